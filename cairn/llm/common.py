@@ -103,6 +103,19 @@ def long_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def binary_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """As long_bytes, of a binary column without nulls."""
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
+    buf = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return buf[off[0] : off[-1]], off - off[0]
+
+
 def chunks(batches, most: int = 16 << 20):
     """Group Arrow record batches into tables of about `most` bytes of text, splitting larger batches by rows."""
     import pyarrow as pa

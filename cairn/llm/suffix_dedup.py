@@ -14,7 +14,8 @@ level reusing the last. Only positions that may still change are refined:
 3. other buckets are refined by the identifiers of whole regions: all windows
    of a region met before (in a smaller document) are removed;
 4. where one bucket still holds different regions, each is refined window by
-   window, by the identifiers of `length` bytes.
+   window, by the identifiers of `length` bytes: in one task where the bucket is
+   small, else in salted parts whose first windows then meet.
 
 Within a chunk of texts every step first combines locally, and global minima
 are taken by partial aggregates, so a string in a third of all documents is a
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import chunks, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
+from cairn.llm.common import binary_bytes, chunks, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
 
 BLOCK = 1 << 20
 _BYTE = mix64(np.arange(256, dtype=np.uint64))
@@ -141,7 +142,7 @@ def _by_id(table) -> tuple[np.ndarray, pa.Table]:
     return np.asarray(table.column("doc_id").combine_chunks()).astype(np.int64), table
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 512) -> DataFrame:
     """(doc_id, s, e): byte spans to remove, for documents with unique non-null ids; spans may overlap."""
     if length % 4:
         raise ValueError("length must be a multiple of 4: identifiers double from a quarter of it")
@@ -192,53 +193,87 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     met = held.join(firsts, ["anchor", "region"])
     again = met.filter("doc_id > first_doc").select("doc_id", "s", "e")
     # Buckets with different regions are refined on, by single windows of each region's first place.
-    mixed = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    open_rows = met.filter("doc_id = first_doc").join(mixed, "anchor", "left_semi").select("anchor", "doc_id", "s", "e")
-    by_doc = open_rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "s", "e")).alias("open"))  # a document's own regions
+    mixed = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    mixed = mixed.select("anchor", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts"))
+    open_rows = met.filter("doc_id = first_doc").select("anchor", "doc_id", "s", "e").join(mixed, "anchor")
+    by_doc = open_rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "s", "e", "salts")).alias("open"))  # a document's own regions
     joined = texts.join(by_doc, "doc_id")
 
-    def windows(batches):
+    def take(batches):
         for table in chunks(batches):
-            ids, table = _by_id(table)
-            buf, offsets = long_bytes(table.column("text"))
             lists = table.column("open").combine_chunks()
-            values, cuts = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
-            anchor, s, e = (np.asarray(values.field(k)) for k in ("anchor", "s", "e"))
-            doc = np.repeat(np.arange(len(ids)), np.diff(cuts))
-            out = []
-            for lo, hi in blocks(offsets, length):
-                if hi - lo < length:
-                    continue
-                _, whole = identifiers(buf[lo:hi], q)
-                g = offsets[doc] + s
-                last = offsets[doc] + e - length  # a region's windows
-                a, b = np.maximum(g, lo), np.minimum(last, lo + len(whole) - 1)
-                mine = np.flatnonzero(a <= b)
-                n = b[mine] - a[mine] + 1
-                row = np.repeat(mine, n)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[row]
-                out.append((anchor[row].view(np.uint64), whole[at - lo], doc[row], at - offsets[doc[row]]))
-            if not out:
+            doc = np.repeat(np.asarray(table.column("doc_id")), np.diff(np.asarray(lists.offsets)))
+            anchor, s, e, salts = (lists.flatten().field(k) for k in range(4))
+            buf, offsets = long_bytes(table.column("text"))
+            base = np.repeat(offsets[:-1], np.diff(np.asarray(lists.offsets)))
+            raw = memoryview(buf)
+            parts = [raw[x:y] for x, y in zip((base + np.asarray(s)).tolist(), (base + np.asarray(e)).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([anchor, salts, pa.array(doc, pa.int64()), s, pa.array(parts, pa.binary())], ["anchor", "salts", "doc_id", "s", "raw"])
+
+    cut_out = joined.mapInArrow(take, "anchor long, salts int, doc_id long, s int, raw binary")
+    cut_out = cut_out.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_out.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
+
+    def compare(table):
+        """Within the table's (whole) buckets: spans of windows met before, and for buckets dealt in parts the first windows."""
+        buf, offsets = binary_bytes(table.column("raw"))
+        anchor, salts, ids, s = (np.asarray(table.column(c)) for c in ("anchor", "salts", "doc_id", "s"))
+        row, at, ident = [], [], []
+        for lo, hi in blocks(offsets, length):
+            if hi - lo < length:
                 continue
-            anchors, ident, d, at = (np.concatenate(x) for x in zip(*out, strict=True))
-            order = d * (int(at.max()) + 1 if len(at) else 1) + at
-            keep = local_first(order, anchors, ident)
-            ld, ls, le = merged(d[~keep], at[~keep], at[~keep] + length)
-            n = int(keep.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _signed(np.concatenate([anchors[keep], ls.astype(np.uint64)])),
-                    _signed(np.concatenate([ident[keep], ld.astype(np.uint64)])),
-                    pa.array(ids[np.concatenate([d[keep], ld])], pa.int64()),
-                    pa.array(np.concatenate([at[keep], ls]), pa.int32()),
-                    pa.array(np.concatenate([at[keep] + length, le]), pa.int32()),
-                    pa.array(np.arange(n + len(ld)) >= n, pa.bool_()),
-                ],
-                ["anchor", "window", "doc_id", "s", "e", "done"],
-            )
+            _, whole = identifiers(buf[lo:hi], q)
+            starts = np.arange(lo, lo + len(whole))
+            r = np.searchsorted(offsets, starts, side="right") - 1
+            ok = starts + length <= offsets[r + 1]
+            row.append(r[ok])
+            at.append(starts[ok] - offsets[r[ok]])
+            ident.append(whole[ok])
+        row, at, ident = (np.concatenate(x) for x in (row, at, ident))
+        start, doc, key = s[row] + at, ids[row], anchor[row].view(np.uint64)
+        by = np.lexsort((start, doc, ident, key))
+        same = np.zeros(len(by), bool)
+        same[1:] = (ident[by][1:] == ident[by][:-1]) & (key[by][1:] == key[by][:-1])
+        late, first = by[same], by[~same]
+        first = first[salts[row[first]] > 1]
+        _, index = np.unique(doc[late], return_inverse=True)
+        d, x, y = merged(index, start[late].astype(np.int64), start[late].astype(np.int64) + length)
+        names = np.unique(doc[late])
+        n = len(first)
+        return pa.RecordBatch.from_arrays(
+            [
+                _signed(np.concatenate([key[first], x.astype(np.uint64)])),
+                _signed(np.concatenate([ident[first], y.astype(np.uint64)])),
+                pa.array(np.concatenate([doc[first], names[d]]), pa.int64()),
+                pa.array(np.concatenate([start[first], x]), pa.int32()),
+                pa.array(np.concatenate([start[first] + length, y]), pa.int32()),
+                pa.array(np.arange(n + len(d)) >= n, pa.bool_()),
+            ],
+            ["anchor", "window", "doc_id", "s", "e", "done"],
+        )
 
-    single = materialize(joined.mapInArrow(windows, "anchor long, window long, doc_id long, s int, e int, done boolean"), "windows")
+    def windows(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.get_total_buffer_size()
+            if size < 8 << 20:
+                continue
+            table = pa.Table.from_batches(held)
+            a, t = np.asarray(table.column("anchor")), np.asarray(table.column("salt"))
+            whole = int(np.flatnonzero((a != a[-1]) | (t != t[-1])).max(initial=-1)) + 1
+            if whole:
+                yield compare(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+            size = sum(x.nbytes for x in held)
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    single = materialize(dealt.mapInArrow(windows, "anchor long, window long, doc_id long, s int, e int, done boolean"), "windows")
     release(spark)
+    # Windows of buckets that were dealt in parts meet here.
     free = single.filter("not done")
     earliest = free.groupBy("anchor", "window").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     late = free.join(earliest, ["anchor", "window"]).filter("doc_id > first_doc").select("doc_id", "s", "e")
@@ -262,16 +297,16 @@ def cut(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
     return [(s, e) for s, e in runs], b"".join(kept)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, bucket_rows: int = 512) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans array<struct<s,e>> (maximal removed runs), kept (bytes that stay).
 
     Null text counts as empty. Rows with a null doc_id take no part and give no
     row; rows that repeat a doc_id count once (see unique_docs). Texts of under
-    `length` bytes keep everything. Of equal strings the one that starts first
+    `length` bytes keep everything. bucket_rows only divides the work. Of equal strings the one that starts first
     stays, so ties cannot occur. Other columns are ignored.
     """
     texts = unique_docs(docs)
-    spans = repeated_spans(texts, length).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # a document's own
+    spans = repeated_spans(texts, length, bucket_rows).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # a document's own
     joined = texts.join(spans, "doc_id", "left")
 
     def run(batches):
