@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import binary_bytes, chunks, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
+from cairn.llm.common import binary_bytes, chunks, discard, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
 
 BLOCK = 1 << 20
 _BYTE = mix64(np.arange(256, dtype=np.uint64))
@@ -142,7 +142,7 @@ def _by_id(table) -> tuple[np.ndarray, pa.Table]:
     return np.asarray(table.column("doc_id").combine_chunks()).astype(np.int64), table
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 512) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 2048) -> DataFrame:
     """(doc_id, s, e): byte spans to remove, for documents with unique non-null ids; spans may overlap."""
     if length % 4:
         raise ValueError("length must be a multiple of 4: identifiers double from a quarter of it")
@@ -187,6 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 512) -
     rows = texts.mapInArrow(refine, "anchor long, region long, doc_id long, s int, e int, done boolean")
     rows = rows.join(several, F.col("anchor") == F.col("bucket"), "left").filter("done or bucket is not null").drop("bucket")
     rows = materialize(rows, "regions")
+    discard(several)
     release(spark)
     held = rows.filter("not done")
     firsts = materialize(held.groupBy("anchor", "region").agg(F.min("doc_id").alias("first_doc")), "firsts")
@@ -278,7 +279,11 @@ def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 512) -
     earliest = free.groupBy("anchor", "window").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     late = free.join(earliest, ["anchor", "window"]).filter("doc_id > first_doc").select("doc_id", "s", "e")
     done = lambda t: t.filter("done").select("doc_id", "s", "e")
-    return done(rows).unionByName(again).unionByName(done(single)).unionByName(late)
+    found = materialize(done(rows).unionByName(again).unionByName(done(single)).unionByName(late), "spans")
+    discard(rows, firsts, single)
+    del held, met, again, mixed, open_rows, by_doc, joined, cut_out, dealt, free, earliest, late
+    release(spark)
+    return found
 
 
 def cut(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
@@ -297,7 +302,7 @@ def cut(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
     return [(s, e) for s, e in runs], b"".join(kept)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, bucket_rows: int = 512) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, bucket_rows: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans array<struct<s,e>> (maximal removed runs), kept (bytes that stay).
 
     Null text counts as empty. Rows with a null doc_id take no part and give no
