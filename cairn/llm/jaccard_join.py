@@ -6,7 +6,8 @@ share. A run starts at the root and, at each node, samples `width` coordinates;
 sets go to the child of each sampled token. Nodes of at most `small` sets are
 brute-forced with the full shingle sets; larger ones are split on, except where
 a child keeps most of its parent (`dense`): splitting does not part those sets,
-and the node is brute-forced in blocks. The chance that a run parts two sets
+and the node is brute-forced in blocks. Members of a leaf whose vectors agree with no other's are left out before
+that. The chance that a run parts two sets
 at the threshold bounds the recall; runs are added until the target is reached.
 
 A pair that meets in several leaves is counted in the smallest of them, so
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import C1, C2, chunks, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
+from cairn.llm.common import C1, C2, chunks, discard, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
 
 COORDINATES = 32
 #: Fixed byte classes: ASCII letters and digits and all bytes beyond ASCII belong to words; A-Z count as a-z.
@@ -181,10 +182,48 @@ def leaves(reps: DataFrame, threshold: float, target: float, small: int, dense:
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    every = materialize(every, "leaves")
+    return once(materialize(every, "leaves"), "members")
+
+
+def once(every: DataFrame, name: str) -> DataFrame:
+    """(leaf, rep, n): leaves of two members or more, and of those with the same members one."""
     same = every.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)) % (1 << 31)).alias("s"))
-    once = same.groupBy("n", "x", "s").agg(F.min("leaf").alias("leaf")).select("leaf", "n")
-    return materialize(every.join(once, "leaf"), "members")
+    first = same.filter("n > 1").groupBy("n", "x", "s").agg(F.min("leaf").alias("leaf")).select("leaf", "n")
+    return materialize(every.join(first, "leaf"), name)
+
+
+def dealt(members: DataFrame, block: int) -> DataFrame:
+    """(leaf, i, j, rep, own): members of a leaf under each pair of blocks they are compared in."""
+    cuts = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("cuts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    placed = members.withColumn("cuts", cuts).withColumn("own", own).withColumn("pair", F.explode(pairs))
+    return placed.select("leaf", "rep", "own", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+
+
+def sifted(members: DataFrame, sketches: DataFrame, least: int, block: int) -> DataFrame:
+    """Members whose MinHash vector agrees with another's of the leaf in at least `least` coordinates."""
+
+    def sift(key, table):
+        leaf = key[0].as_py()
+        m = _matrix_of(table.column("sketch"))
+        own = np.asarray(table.column("own"))
+        equal = np.zeros((len(m), len(m)), np.uint8)
+        for c in range(m.shape[1]):
+            equal += m[:, c][:, None] == m[:, c][None, :]
+        near = equal >= least
+        np.fill_diagonal(near, False)
+        if key[1].as_py() != key[2].as_py():
+            near &= own[:, None] != own[None, :]
+        keep = np.asarray(table.column("rep"))[near.any(axis=1)]
+        return pa.table({"leaf": pa.array(np.full(len(keep), leaf), pa.int64()), "rep": pa.array(keep, pa.int64())})
+
+    return dealt(members, block).join(sketches, "rep").groupBy("leaf", "i", "j").applyInArrow(sift, "leaf long, rep long").distinct()
+
+
+def _matrix_of(column) -> np.ndarray:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(lists.flatten()).reshape(len(lists), -1)
 
 
 def links_in(tokens: list[np.ndarray], sizes: np.ndarray, split: int, threshold: float, columns: int = 4096) -> np.ndarray:
@@ -226,16 +265,12 @@ def verified(docs: DataFrame, members: DataFrame, weights: DataFrame, n: int, th
         for table in chunks(batches):
             found, starts = token_sets(table, n)
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found.view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), lists], ["rep", "tokens"])
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), table.column("leaves").combine_chunks(), table.column("weight").combine_chunks(), lists], ["rep", "leaves", "weight", "tokens"])
 
-    wanted = docs.join(listed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    full = materialize(wanted.select("doc_id", "text").mapInArrow(sets, "rep long, tokens array<long>").join(listed, "rep").join(weights, "rep"), "sets")
+    # Sorted on both sides at any size: a broadcast on small inputs only would hide what texts cost.
+    wanted = docs.hint("merge").join(listed.join(weights, "rep").withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "leaves", "weight")
+    full = materialize(wanted.mapInArrow(sets, "rep long, leaves array<long>, weight long, tokens array<long>"), "sets")
     release(docs.sparkSession)
-    cuts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("cuts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    placed = members.withColumn("cuts", cuts).withColumn("own", own).withColumn("pair", F.explode(pairs))
-    placed = placed.select("leaf", "rep", "own", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
 
     def brute(key, table):
         leaf, i, j = (k.as_py() for k in key)
@@ -270,7 +305,9 @@ def verified(docs: DataFrame, members: DataFrame, weights: DataFrame, n: int, th
         use = (links > 0) | (root != np.arange(len(reps)))
         return pa.table({"rep": pa.array(reps[use], pa.int64()), "links": pa.array(np.rint(links[use]).astype(np.int64)), "root": pa.array(reps[root[use]], pa.int64())})
 
-    return placed.join(full, "rep").groupBy("leaf", "i", "j").applyInArrow(brute, "rep long, links long, root long")
+    out = materialize(dealt(members, block).join(full, "rep").groupBy("leaf", "i", "j").applyInArrow(brute, "rep long, links long, root long"), "links")
+    discard(full)
+    return out
 
 
 def _lists(column, by) -> list[np.ndarray]:
@@ -294,7 +331,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9999, small: int = 64, dense: float = 0.6, width: int = 2, depth: int = 4, block: int = 512) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9999, small: int = 64, dense: float = 0.6, width: int = 2, depth: int = 4, block: int = 512, least: int = 14) -> DataFrame:
     """One row per document: doc_id, rep_id, class_id, n_links, n_shingles.
 
     Words are runs of ASCII letters and digits or non-ASCII characters, A-Z as
@@ -306,14 +343,18 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: fl
     with a null doc_id give no row; rows that repeat a doc_id count once (see
     unique_docs). Other columns are ignored; an empty table gives an empty
     result. A link at the threshold itself is found with a chance of at least
-    `target`, nearer ones with more.
+    `target`, nearer ones with more; `least` of 32 equal coordinates, asked for
+    before the sets are compared, adds a chance of a miss of under 1e-5.
     """
     docs = unique_docs(docs)
     signed = materialize(signatures(docs, n), "signatures")
     classes = materialize(signed.filter("size > 0").groupBy("set_a", "set_b", "size").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
     reps = signed.select(F.col("doc_id").alias("rep"), "sketch").join(classes.select("rep", "weight"), "rep")
     members = leaves(reps, threshold, target, small, dense, width, depth)
-    pairs = materialize(verified(docs, members, classes.select("rep", "weight"), n, threshold, block), "links")
+    near = once(materialize(sifted(members, reps.select("rep", "sketch"), least, block), "sifted"), "near")
+    release(docs.sparkSession)
+    pairs = verified(docs, near, classes.select("rep", "weight"), n, threshold, block)
+    release(docs.sparkSession)
     links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected(pairs.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     known = classes.join(groups, "rep", "left").join(links, "rep", "left")
