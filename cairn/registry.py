@@ -4,12 +4,190 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from cairn import oracle
+from cairn.functions import text
+from cairn.operators import layout, rebuild, reports, review, rules, suggestions, tagtree
+from cairn.sources import tables
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def lines(spark, d):
+    return tables.text_elements(tables.read(spark, d, "documents"))
+
+
+def elements(spark, d):
+    return tables.order_elements(tables.read(spark, d, "lineitem"))
+
+
+def issues(spark, d):
+    return rules.element_issues(elements(spark, d))
+
+
+def inspections(spark, d):
+    return tables.order_inspections(tables.read(spark, d, "orders"))
+
+
+def plan(spark, d):
+    return rebuild.structure_plan(elements(spark, d))
+
+
+def links(spark, d):
+    return tables.page_links(tables.read(spark, d, "pages"))
+
+
+def decisions(spark, d):
+    return tables.event_decisions(tables.read(spark, d, "events"))
+
+
+def slots(spark, d):
+    """Suggestions of the decision log: five slots for each job but those of which job_id + slot is divisible by 7."""
+    jobs = tables.read(spark, d, "events").select(F.col("user_id").alias("job_id")).distinct()
+    rows = jobs.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).filter((F.col("job_id") + F.col("slot")) % 7 != 0)
+    return rows.withColumn("proposed_value", F.concat(F.lit("value "), F.col("slot").cast("string")))
+
+
+def rule(kind: str) -> Query:
+    return lambda spark, d: issues(spark, d).filter(F.col("issue_type") == kind).select("doc_id", "pos", "severity", "confidence")
+
+
+def inspection(kind: str) -> Query:
+    return lambda spark, d: rules.inspection_issues(inspections(spark, d)).filter(F.col("issue_type") == kind).select("doc_id", "rule_id", "severity", "confidence", "automation_status", F.coalesce("pages", F.lit("")).alias("pages"))
+
+
+def r6(spark, d):
+    docs = tables.read(spark, d, "documents").select("doc_id")
+    rows = docs.join(rules.first_text(lines(spark, d)), "doc_id", "left")
+    has = F.col("first_text").isNotNull()
+    return rows.select("doc_id", F.coalesce("first_text", F.lit("")).alias("suggested_fix"), F.when(has, 0.85).otherwise(0.6).alias("confidence"), F.when(has, rules.AUTO).otherwise(rules.CONFIRM).alias("automation_status"))
+
+
+def o14(spark, d):
+    docs = tables.read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
+    cells = docs.filter(F.trim("raw") != "").select("doc_id", F.col("line").cast("long").alias("line"), text.parse_row(F.col("raw")).alias("cells"))
+    return cells.filter(F.size("cells") > 1).select("doc_id", "line", F.size("cells").cast("long").alias("n_cells"), F.element_at("cells", 1).alias("first_cell"), F.element_at("cells", -1).alias("last_cell"))
+
+
+def bare(tree):
+    return tree.select("doc_id", "pos", "row", "cell", "role", "page_index", "is_top", "is_leaf", F.coalesce("mcid", F.lit(-1)).alias("mcid"))
+
+
+def x1(spark, d):
+    e = elements(spark, d)
+    body = layout.page_median(e)
+    rows = e.join(body, ["doc_id", "page_number"])
+    return rows.select("doc_id", "pos", "body_size", layout.heading(F.col("text"), F.col("font_size"), F.col("body_size")).alias("is_heading"), layout.heading_level(F.col("font_size"), F.col("body_size")).cast("long").alias("level"))
+
+
+def p8(spark, d):
+    source = issues(spark, d).withColumn("final_status", F.when(F.col("issue_ord") % 5 == 0, "rejected").otherwise("accepted"))
+    again = issues(spark, d).filter(~F.col("issue_type").isin("missing_image_alt_text") | (F.col("doc_id") % 3 == 0))
+    return reports.before_after(source, again)
+
+
+def jobs_with_status(spark, d):
+    """Issues are the slots that a decision knows; jobs without any are kept."""
+    mine = slots(spark, d).join(review.latest(decisions(spark, d)), ["job_id", "slot"], "left").withColumn("final_status", F.coalesce("final_status", F.lit("open")))
+    return review.job_status(mine, tables.read(spark, d, "events").select(F.col("user_id").alias("job_id")).distinct())
+
+
+def open_suggestions(spark, d):
+    mine = slots(spark, d).join(review.latest(decisions(spark, d)).select("job_id", "slot", "final_status"), ["job_id", "slot"], "left")
+    return mine.filter("final_status is null or final_status = 'open'").select("job_id", "slot", "proposed_value")
+
+
+def check(f) -> Query:
+    """A structural check over the damaged tree."""
+    return lambda spark, d: f(plan(spark, d))
+
+
+def tree_of(p):
+    return tagtree.nodes(p)
+
+
+def hurt(p):
+    return tagtree.damaged(tagtree.nodes(p))
+
+
+QUERIES: dict[str, Query] = {
+    "r6_missing_title": r6,
+    "r6a_first_text": lambda s, d: rules.first_text(lines(s, d)),
+    "r8_missing_heading_structure": lambda s, d: rules.without_headings(lines(s, d)),
+    "s5_line_split": lambda s, d: lines(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("lines"), F.sum(F.length("text")).cast("long").alias("chars")),
+    "x2_heading_upper": lambda s, d: lines(s, d).filter("type = 'heading'").select("doc_id", "pos", "text"),
+    "o14_table_parse": o14,
+    "o16_cell_fit": lambda s, d: lines(s, d).select("doc_id", "pos", text.fit_cell(F.col("text")).alias("cell")),
+    "ad2_links": lambda s, d: links(s, d),
+    "r11_weak_link": rule("weak_link_text"),
+    "g6_link_authority": lambda s, d: links(s, d).select("doc_id", "pos", F.concat(F.lit("Open "), suggestions.authority(F.col("href"))).alias("proposed_value")),
+    "o6_content_filter": lambda s, d: rebuild.content(elements(s, d)).select("doc_id", "pos", "type"),
+    "r9_skipped_level": lambda s, d: issues(s, d).filter("issue_type = 'skipped_heading_level'").select("doc_id", "pos", "suggested_fix"),
+    "r10_missing_alt": rule("missing_image_alt_text"),
+    "r12_missing_headers": rule("missing_table_headers"),
+    "r13_low_confidence": rule("low_reading_order_confidence"),
+    "p1_by_status": lambda s, d: reports.count_by(issues(s, d), "doc_id", "automation_status"),
+    "p2_by_severity": lambda s, d: reports.count_by(issues(s, d), "doc_id", "severity"),
+    "p3_by_type": lambda s, d: reports.count_by(issues(s, d), "issue_type", "severity"),
+    "p123_all_counts": lambda s, d: reports.counts(issues(s, d)),
+    "p4_counts": lambda s, d: reports.issue_counts(elements(s, d), issues(s, d)),
+    "r1_encrypted": inspection("encrypted_pdf"),
+    "r2_untagged": inspection("untagged_pdf"),
+    "r3_unknown_tagging": inspection("unknown_pdf_tagging"),
+    "r4_no_text": inspection("no_extractable_pdf_text"),
+    "r5_multicolumn": inspection("multi_column_reading_order_review"),
+    "r7_missing_language": inspection("missing_document_language"),
+    "r14_is_tagged": lambda s, d: inspections(s, d).select("doc_id", F.coalesce(rules.is_tagged().cast("string"), F.lit("unknown")).alias("is_tagged")),
+    "r15_rule_catalogue": lambda s, d: issues(s, d).join(F.broadcast(rules.rules_dim(s)), "rule_id", "left").groupBy("rule_id", "criterion", "level").agg(F.count(F.lit(1)).cast("long").alias("n")),
+    "g3_action": lambda s, d: suggestions.suggest(issues(s, d), elements(s, d)).groupBy("issue_type", "action").agg(F.count(F.lit(1)).cast("long").alias("n")),
+    "g4_source": lambda s, d: issues(s, d).groupBy(suggestions.source(F.col("issue_type")).alias("source")).agg(F.count(F.lit(1)).cast("long").alias("n")),
+    "g5_first_match": lambda s, d: suggestions.first_match(issues(s, d), elements(s, d)),
+    "g6_proposed_value": lambda s, d: suggestions.suggest(issues(s, d), elements(s, d)).select("doc_id", "issue_ord", F.coalesce("proposed_value", F.lit("")).alias("proposed_value")),
+    "g10_confidence": lambda s, d: suggestions.suggest(issues(s, d), elements(s, d)).select("doc_id", "issue_ord", "requires_user_confirmation", "confidence"),
+    "v1_latest_decision": lambda s, d: review.latest(decisions(s, d)).select("job_id", "slot", "decision", "final_status"),
+    "v1_audit_log": lambda s, d: review.audit_rows(decisions(s, d)).select("job_id", "event_seq", "type", "slot", "decision"),
+    "v2_bad_decisions": lambda s, d: review.unknown(decisions(s, d), slots(s, d)).select("job_id", "seq", "slot"),
+    "o2_latest_value": lambda s, d: review.resolved_values(decisions(s, d), slots(s, d)),
+    "j7_job_status": jobs_with_status,
+    "h7_open_suggestions": open_suggestions,
+    "x1_median_size": x1,
+    "x7_columns": lambda s, d: layout.multi_column(elements(s, d), ["doc_id"]),
+    "x10_overlap_join": lambda s, d: layout.link_texts(elements(s, d)),
+    "x11_two_nearest": lambda s, d: layout.nearby(elements(s, d)),
+    "x13_preorder": lambda s, d: elements(s, d).select("doc_id", "pos", "type", "page_number", F.lead("type").over(Window.partitionBy("doc_id").orderBy("pos")).alias("next_type")),
+    "o7_duplicate_text": lambda s, d: rebuild.duplicate_texts(elements(s, d)).select("doc_id", "pos"),
+    "o8_roles": lambda s, d: elements(s, d).select("doc_id", "pos", rebuild.role().alias("role")),
+    "o9_role_counts": lambda s, d: rebuild.role_counts(plan(s, d)),
+    "o10_pagination": lambda s, d: plan(s, d).select("doc_id", "pos", "page_index"),
+    "o11_wrap": lambda s, d: rebuild.wrapped_lines(lines(s, d)),
+    "o18_output_name": lambda s, d: tables.read(s, d, "part").select("p_partkey", text.output_name(F.concat("p_name", F.lit(" (v1).pdf"))).alias("name"), text.escaped(F.concat(F.lit("("), "p_name", F.lit(")"))).alias("escaped")),
+    "t2_list_islands": lambda s, d: tagtree.islands(plan(s, d)).groupBy("doc_id", "island").agg(F.count(F.lit(1)).cast("long").alias("n"), F.min("pos").alias("pos")),
+    "t4_table_cells": lambda s, d: bare(tree_of(plan(s, d))).filter(F.col("role").isin("Table", "TR", "TH", "TD")),
+    "t5_mcid": lambda s, d: bare(tree_of(plan(s, d))),
+    "t7_link_zip": lambda s, d: tagtree.zipped_links(plan(s, d)),
+    "t8_parent_tree": lambda s, d: (lambda p: tagtree.parent_tree(tree_of(p), p))(plan(s, d)),
+    "c3_parent_tree": check(lambda p: tagtree.parent_tree_covers(tagtree.nodes(p), tagtree.parent_tree(hurt(p), p))),
+    "c4_figure_alt": check(lambda p: tagtree.figures_have_alt(hurt(p))),
+    "c5_link_refs": check(tagtree.links_have_annotations),
+    "c6_annotation_map": check(lambda p: tagtree.annotations_mapped(p, tagtree.parent_tree(hurt(p), p).filter("key % 3 <> 1"))),
+    "c7_table_roles": check(lambda p: tagtree.tables_have_roles(hurt(p))),
+    "c8_list_roles": check(lambda p: tagtree.lists_have_roles(hurt(p))),
+    "c9a_top_order": check(lambda p: tagtree.sequences_equal(tagtree.top_sequence_of_plan(p), tagtree.top_sequence_of_tree(hurt(p).filter("k % 19 <> 0")))),
+    "c9b_leaf_order": check(lambda p: tagtree.sequences_equal(tagtree.leaf_sequence(tree_of(p)), tagtree.leaf_sequence(hurt(p)))),
+    "c9c_increasing": check(lambda p: tagtree.ids_increase(hurt(p))),
+    "c9d_keys": check(lambda p: tagtree.keys_match(hurt(p), tagtree.parent_tree(hurt(p), p).filter("key % 3 <> 1"))),
+    "c10_plan_counts": check(lambda p: tagtree.counts_match(p, hurt(p).filter("k % 19 <> 0"))),
+    "c11_histogram": lambda s, d: hurt(plan(s, d)).groupBy("role").agg(F.count(F.lit(1)).cast("long").alias("n")),
+    "p8_before_after": p8,
+    "p6_report": lambda s, d: reports.issue_counts(elements(s, d), issues(s, d)).join(reports.report_json(elements(s, d), issues(s, d)), "doc_id").select("doc_id", "issues", F.get_json_object("report", "$.issues[0].issue_type").alias("first_issue")),
+}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracle.SQL.items() if k in QUERIES}
