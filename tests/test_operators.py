@@ -1,0 +1,94 @@
+"""Boundary cases of the operators on hand-made rows."""
+
+from __future__ import annotations
+
+import textwrap
+
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.functions import text
+from cairn.operators import layout, rebuild, review, rules, suggestions, tagtree
+
+
+def one(spark, value, f):
+    return spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
+
+
+@pytest.mark.parametrize(("link", "weak"), [("", True), (None, True), (" Read More ", True), ("www.x.org", True), ("HTTPS://x", True), ("download", True), ("Our report", False), ("here and there", False)])
+def test_weak_links(spark, link, weak):
+    assert one(spark, link, rules.weak_link) is weak
+
+
+@pytest.mark.parametrize(("cell", "shown"), [("a" * 28, "a" * 28), ("a" * 29, "a" * 25 + "..."), ("", "")])
+def test_cells_fit(spark, cell, shown):
+    assert one(spark, cell, text.fit_cell) == shown
+
+
+@pytest.mark.parametrize(("line", "cells"), [("a\tb, c", ["a", "b, c"]), ("| a | b |", ["a", "b"]), ("a, b", ["a", "b"]), ("a  b c", ["a", "b c"]), ("a", ["a"])])
+def test_table_lines(spark, line, cells):
+    assert one(spark, line, text.parse_row) == cells
+
+
+def test_forty_paragraphs_take_two_pages(spark):
+    rows = spark.createDataFrame([(1, k, 24) for k in range(40)], "doc_id long, pos long, height long")
+    assert [r["n"] for r in rebuild.paginate(rows).groupBy("page_index").agg(F.count("*").alias("n")).orderBy("page_index").collect()] == [29, 11]
+
+
+def test_wrapping_is_textwrap(spark):
+    long = "word " * 60
+    rows = spark.createDataFrame([(1, 0, long), (1, 1, None)], "doc_id long, pos long, text string")
+    assert [r["lines"] for r in rebuild.wrapped_lines(rows).orderBy("pos").collect()] == [len(textwrap.wrap(long, 72)), 1]
+
+
+def test_two_columns(spark):
+    rows = [(1, float(x)) for x in (72, 72, 75, 330, 330, 331)] + [(2, float(72 + k)) for k in range(6)] + [(3, 72.0), (3, 330.0)]
+    got = {r["doc_id"]: r["multi_column"] for r in layout.multi_column(spark.createDataFrame(rows, "doc_id long, x0 double"), ["doc_id"]).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_median_is_exact(spark):
+    rows = spark.createDataFrame([(1, 1, 11.0), (1, 1, 11.0), (1, 1, 18.0), (1, 1, 22.0), (1, 1, 0.0)], "doc_id long, page_number long, font_size double")
+    assert layout.page_median(rows).first()["body_size"] == 14.5
+
+
+def test_a_later_reject_does_not_cancel_an_accept(spark):
+    decisions = spark.createDataFrame([(1, 1, 0, "edit", "mine"), (1, 2, 0, "reject", None)], "job_id long, seq long, slot long, decision string, final_value string")
+    slots = spark.createDataFrame([(1, 0, "theirs")], "job_id long, slot long, proposed_value string")
+    assert review.resolved_values(decisions, slots).first()["value"] == "mine"
+    assert review.latest(decisions).first()["final_status"] == "rejected"
+
+
+def test_unknown_suggestion_raises(spark):
+    decisions = spark.createDataFrame([(1, 1, 3, "accept", None)], "job_id long, seq long, slot long, decision string, final_value string")
+    with pytest.raises(review.ReviewError):
+        review.apply_decisions(spark.createDataFrame([(1, 0)], "job_id long, slot long"), decisions)
+
+
+def test_job_without_issues_awaits_review(spark):
+    issues = spark.createDataFrame([(1, "accepted"), (2, "open")], "job_id long, final_status string")
+    got = {r["job_id"]: r["status"] for r in review.job_status(issues, spark.range(1, 4).withColumnRenamed("id", "job_id")).collect()}
+    assert got == {1: "reviewed", 2: "awaiting_review", 3: "awaiting_review"}
+
+
+def test_authority_keeps_the_port(spark):
+    assert one(spark, "https://example.com:8080/a", suggestions.authority) == "example.com:8080"
+    assert one(spark, "mailto:a@b.c", suggestions.authority) == "mailto:a@b.c"
+
+
+PLAN = "doc_id long, pos long, role string, page_index long, n_rows long, n_headers long, alt_text string, decorative boolean, k long"
+
+
+def test_table_and_list_nodes(spark):
+    plan = spark.createDataFrame([(1, 0, "Table", 0, 3, 2, None, False, 1), (2, 0, "LI", 0, 0, 0, None, False, 1), (2, 1, "LI", 0, 0, 0, None, False, 1)], PLAN)
+    tree = tagtree.nodes(plan)
+    got = {(r["doc_id"], r["role"]): r["n"] for r in tree.groupBy("doc_id", "role").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, "Table"): 1, (1, "TR"): 3, (1, "TH"): 2, (1, "TD"): 4, (2, "L"): 1, (2, "LI"): 2, (2, "Lbl"): 2, (2, "LBody"): 2}
+    assert all(r["passed"] for f in (tagtree.tables_have_roles, tagtree.lists_have_roles, tagtree.ids_increase, tagtree.figures_have_alt) for r in f(tree).collect())
+
+
+def test_damage_is_found(spark):
+    plan = spark.createDataFrame([(1, 0, "Figure", 0, 0, 0, "x", False, 7), (2, 0, "LI", 0, 0, 0, None, False, 11), (3, 0, "P", 0, 0, 0, None, False, 1)], PLAN)
+    hurt = tagtree.damaged(tagtree.nodes(plan))
+    assert {r["doc_id"]: r["passed"] for r in tagtree.figures_have_alt(hurt).collect()} == {1: False, 2: True, 3: True}
+    assert {r["doc_id"]: r["passed"] for r in tagtree.lists_have_roles(hurt).collect()} == {2: False}
