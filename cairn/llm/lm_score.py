@@ -53,7 +53,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, words: int = 1 << 18, pairs: int
     """(target, background) models: counts over the texts whose doc_id is in target_ids, and over all texts."""
     small_batches(docs.sparkSession)
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(ids, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    # Sorted at any size: a broadcast on small inputs only would hide what texts cost.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     width = words + (words + 1) + pairs  # singles, histories, bigrams end to end
 
     def count(batches):
