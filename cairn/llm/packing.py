@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         from pyspark import TaskContext
 
         encode, part, seen = word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for table in chunks(batches):
+        for table in chunks(batches, 8 << 20):
             ids, counts = encode(table.column("text"))
             at, rows = 0, []
             for doc, n in zip(table.column("doc_id").to_pylist(), counts.tolist(), strict=True):
