@@ -40,14 +40,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id."""
     kept = exact_dedup.exact_groups(docs.select("doc_id", "text")).select(F.col("keep_id").alias("doc_id")).filter("doc_id is not null").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id").select(*COLUMNS)
+    return docs.select(*COLUMNS).hint("merge").join(kept, "doc_id").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id."""
     groups = jaccard_join.jaccard_join(docs)
     kept = materialize(groups.filter("doc_id = class_id").select("doc_id"), "kept")
-    return docs.select(*COLUMNS).join(kept, "doc_id").select(*COLUMNS)
+    return docs.select(*COLUMNS).hint("merge").join(kept, "doc_id").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
