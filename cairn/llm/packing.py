@@ -44,7 +44,8 @@ class WordIds:
     together, apart by a digit that is always a token of its own.
     """
 
-    MOST = 600_000
+    MOST = 400_000
+    AT_ONCE = 20  # texts of a call to the tokenizer: its results are large
 
     def __init__(self, path: str) -> None:
         import regex
@@ -66,9 +67,10 @@ class WordIds:
     def _encode(self, tokenizer, words: list[str], step: int = 1000) -> list[np.ndarray]:
         texts = [" 0 ".join(words[i : i + step]) for i in range(0, len(words), step)]
         out = []
-        for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.asarray(e.ids, np.uint32)
-            out += np.split(ids, np.flatnonzero(ids == self.mark[0]))
+        for at in range(0, len(texts), self.AT_ONCE):
+            for e in tokenizer.encode_batch_fast(texts[at : at + self.AT_ONCE], add_special_tokens=False):
+                ids = np.asarray(e.ids, np.uint32)
+                out += np.split(ids, np.flatnonzero(ids == self.mark[0]))
         return [x[1:] if x.size and x[0] == self.mark[0] else x for x in out]
 
     def add(self, words: list[str]) -> None:
@@ -88,7 +90,8 @@ class WordIds:
         if other:
             ids += self._encode(self.whole, other)
         if own:
-            ids += [np.asarray(e.ids, np.uint32) for e in self.whole.encode_batch_fast(own, add_special_tokens=False)]
+            for i in range(0, len(own), 1000):
+                ids += [np.asarray(e.ids, np.uint32) for e in self.whole.encode_batch_fast(own[i : i + 1000], add_special_tokens=False)]
         at = len(self.index)
         for k, w in enumerate([*plain, *other, *own]):
             self.index[w] = at + k
@@ -140,7 +143,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         from pyspark import TaskContext
 
         encode, part, seen = word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for table in chunks(batches, 8 << 20):
+        for table in chunks(batches, 4 << 20):
             ids, counts = encode(table.column("text"))
             at, rows = 0, []
             for doc, n in zip(table.column("doc_id").to_pylist(), counts.tolist(), strict=True):
