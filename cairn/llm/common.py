@@ -54,8 +54,9 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches small enough that very long texts fit a Python worker's memory."""
+    """Arrow batches small enough, in rows and in bytes, that very long texts fit a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def unique_docs(docs: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ configuration and length however many sequences there are.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 
 import numpy as np
@@ -48,6 +49,8 @@ class WordIds:
     AT_ONCE = 20  # texts of a call to the tokenizer: its results are large
 
     def __init__(self, path: str) -> None:
+        # A task has one core; the tokenizer's own threads would each hold memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -143,7 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         from pyspark import TaskContext
 
         encode, part, seen = word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for table in chunks(batches, 4 << 20):
+        for table in chunks(batches, 2 << 20):
             ids, counts = encode(table.column("text"))
             at, rows = 0, []
             for doc, n in zip(table.column("doc_id").to_pylist(), counts.tolist(), strict=True):
@@ -156,6 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             names = [x.split()[0] for x in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECES)
 
