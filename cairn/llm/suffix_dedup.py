@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import binary_bytes, chunks, discard, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
+from cairn.llm.common import binary_bytes, chunks, discard, give_back, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
 
 BLOCK = 1 << 20
 _BYTE = mix64(np.arange(256, dtype=np.uint64))
@@ -260,7 +260,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 2048)
         for b in batches:
             held.append(b)
             size += b.get_total_buffer_size()
-            if size < 8 << 20:
+            if size < 2 << 20:
                 continue
             table = pa.Table.from_batches(held)
             a, t = np.asarray(table.column("anchor")), np.asarray(table.column("salt"))
@@ -271,6 +271,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 2048)
             size = sum(x.nbytes for x in held)
         if held:
             yield compare(pa.Table.from_batches(held))
+        give_back()
 
     single = materialize(dealt.mapInArrow(windows, "anchor long, window long, doc_id long, s int, e int, done boolean"), "windows")
     release(spark)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import exact_dedup, jaccard_join, packing, suffix_dedup, toxicity
-from cairn.llm.common import materialize, small_batches
+from cairn.llm.common import give_back, materialize, small_batches
 from cairn.llm.queries import WORD_TOKENIZER, table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,6 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             clean = [scorer.score(t or "") < 0.5 for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(clean))
+        del scorer
+        give_back()
 
     rows = docs.select(*COLUMNS)
     return rows.mapInArrow(run, rows.schema)
