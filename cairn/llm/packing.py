@@ -45,7 +45,7 @@ class WordIds:
     together, apart by a digit that is always a token of its own.
     """
 
-    MOST = 400_000
+    MOST = 500_000
     AT_ONCE = 20  # texts of a call to the tokenizer: its results are large
 
     def __init__(self, path: str) -> None:
@@ -146,7 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         from pyspark import TaskContext
 
         encode, part, seen = word_ids(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for table in chunks(batches, 2 << 20):
+        for table in chunks(batches, 4 << 20):
             ids, counts = encode(table.column("text"))
             at, rows = 0, []
             for doc, n in zip(table.column("doc_id").to_pylist(), counts.tolist(), strict=True):
