@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,16 +43,17 @@ class WordIds:
 
     The tokenizer drops white space and no pre-token or normalisation reaches
     across it, so a text's ids are those of its words. New words are encoded
-    together, apart by a digit that is always a token of its own.
+    together, each behind a digit that is always a token of its own. Words stay
+    in Arrow arrays throughout.
     """
 
-    MOST = 500_000
+    MOST = 1_000_000
     AT_ONCE = 20  # texts of a call to the tokenizer: its results are large
+    LETTERS, CLOSING = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]"
 
     def __init__(self, path: str) -> None:
         # A task has one core; the tokenizer's own threads would each hold memory of their own.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -59,67 +61,66 @@ class WordIds:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Lowercase()
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.is_plain = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
         self.mark = self.whole.encode("0", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-
-    def _encode(self, tokenizer, words: list[str], step: int = 1000) -> list[np.ndarray]:
-        texts = [" 0 ".join(words[i : i + step]) for i in range(0, len(words), step)]
-        out = []
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _together(self, tokenizer, words: pa.Array, step: int = 1000) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words that hold no mark, end to end, and their counts."""
+        offsets = np.append(np.arange(0, len(words), step), len(words))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), pa.scalar(" 0 ", words.type)).to_pylist()
+        flat, lengths = [], []
         for at in range(0, len(texts), self.AT_ONCE):
-            for e in tokenizer.encode_batch_fast(texts[at : at + self.AT_ONCE], add_special_tokens=False):
+            for e in tokenizer.encode_batch_fast(["0 " + x for x in texts[at : at + self.AT_ONCE]], add_special_tokens=False):
                 ids = np.asarray(e.ids, np.uint32)
-                out += np.split(ids, np.flatnonzero(ids == self.mark[0]))
-        return [x[1:] if x.size and x[0] == self.mark[0] else x for x in out]
-
-    def add(self, words: list[str]) -> None:
-        plain, plain_text, other, own = [], [], [], []
-        for w in words:
-            m = self.is_plain(w)
-            if m:
-                plain.append(w)
-                plain_text.append(f"{m[1]} {m[2]}" if m[2] else w)
-            elif len(self.mark) == 1 and w.isascii() and "0" not in w and "<|" not in w and "'" not in w:
-                other.append(w)
-            else:
-                own.append(w)
-        ids = self._encode(self.plain, plain_text) if plain and len(self.mark) == 1 else []
-        if plain and not ids:
-            own, plain = plain + own, []
-        if other:
-            ids += self._encode(self.whole, other)
-        if own:
-            for i in range(0, len(own), 1000):
-                ids += [np.asarray(e.ids, np.uint32) for e in self.whole.encode_batch_fast(own[i : i + 1000], add_special_tokens=False)]
-        at = len(self.index)
-        for k, w in enumerate([*plain, *other, *own]):
-            self.index[w] = at + k
-        self.flat.append(np.concatenate(ids) if ids else np.zeros(0, np.uint32))
-        self.lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                marks = np.flatnonzero(ids == self.mark[0])
+                lengths.append(np.diff(marks, append=len(ids)) - 1)
+                flat.append(np.delete(ids, marks))
+        return flat, lengths
+
+    def add(self, words: pa.Array) -> np.ndarray:
+        """Learn new words; their numbers."""
+        plain = np.asarray(pc.match_substring_regex(words, f"^{self.LETTERS}{self.CLOSING}*$"))
+        ascii_ = np.asarray(pc.string_is_ascii(words)) & ~np.asarray(pc.match_substring_regex(words, r"[0']|<\|"))
+        if len(self.mark) != 1:
+            plain = ascii_ = np.zeros(len(words), bool)
+        order = [np.flatnonzero(plain), np.flatnonzero(~plain & ascii_), np.flatnonzero(~plain & ~ascii_)]
+        apart = pc.replace_substring_regex(words.take(pa.array(order[0])), f"^({self.LETTERS})({self.CLOSING}+)$", r"\1 \2")
+        flat, lengths = self._together(self.plain, apart)
+        more = self._together(self.whole, words.take(pa.array(order[1])))
+        flat, lengths = flat + more[0], lengths + more[1]
+        own = words.take(pa.array(order[2])).to_pylist()
+        for i in range(0, len(own), 1000):
+            ids = [e.ids for e in self.whole.encode_batch_fast(own[i : i + 1000], add_special_tokens=False)]
+            flat += [np.asarray(x, np.uint32) for x in ids]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        order, at = np.concatenate(order), len(self.lengths)
+        self.known = pa.concat_arrays([self.known, words.take(pa.array(order))])
+        self.flat, self.lengths = np.concatenate([self.flat, *flat]), np.concatenate([self.lengths, *lengths])
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = at + np.arange(len(words))
+        return numbers
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts end to end, and each text's count."""
-        import pyarrow.compute as pc
-
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         offsets = np.asarray(lists.offsets).astype(np.int64)
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        codes, unique = np.asarray(words.indices).astype(np.int64), words.dictionary.to_pylist()
-        if len(self.index) > self.MOST:
+        codes, unique = np.asarray(words.indices), words.dictionary
+        if len(self.known) > self.MOST:
             self.forget()
-        self.add([w for w in unique if w not in self.index])
-        self.flat, self.lengths = [np.concatenate(self.flat)], [np.concatenate(self.lengths)]
-        starts = np.concatenate([[0], np.cumsum(self.lengths[0])])
-        where = np.fromiter((self.index[w] for w in unique), np.int64, len(unique))[codes] if len(unique) else codes
-        n = self.lengths[0][where]
+        where = np.asarray(pc.fill_null(pc.index_in(unique, self.known), -1)).astype(np.int64)
+        new = where < 0
+        where[new] = self.add(unique.filter(pa.array(new)))
+        starts = np.cumsum(self.lengths) - self.lengths
+        n = self.lengths[where][codes]
         ends = np.cumsum(n)
-        ids = self.flat[0][np.repeat(starts[where] - (ends - n), n) + np.arange(n.sum())]
+        ids = self.flat[np.repeat(starts[where][codes] - (ends - n), n) + np.arange(n.sum())]
         total = np.concatenate([[0], ends])
         bounds = total[offsets - offsets[0]]
         return ids, np.diff(bounds)
