@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import C1, C2, chunks, discard, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
+from cairn.llm.common import C1, C2, chunks, discard, give_back, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
 
 COORDINATES = 32
 #: Fixed byte classes: ASCII letters and digits and all bytes beyond ASCII belong to words; A-Z count as a-z.
@@ -226,21 +226,36 @@ def _matrix_of(column) -> np.ndarray:
     return np.asarray(lists.flatten()).reshape(len(lists), -1)
 
 
-def links_in(tokens: list[np.ndarray], sizes: np.ndarray, split: int, threshold: float, columns: int = 4096) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray], split: int, columns: int = 4096, at_once: int = 1 << 20) -> np.ndarray:
+    """How many values each two sorted sets share: of all sets, or of those before `split` with those behind.
+
+    Values are hashes, taken a range of about `at_once` at a time: memory does not follow the sets' sizes.
+    """
+    left, right = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+    both = np.zeros((len(sets[left]), len(sets[right])), np.float32)
+    kind = np.iinfo(sets[0].dtype)
+    ranges = 1 + sum(map(len, sets)) // at_once
+    edges = np.array([kind.min + (k << 64) // ranges for k in range(1, ranges)], kind.dtype)
+    cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in sets]
+    for k in range(ranges):
+        parts = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)]
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in parts])
+        _, col, df = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        use = df[col] > 1
+        row, col = row[use], col[use]
+        names, col = np.unique(col, return_inverse=True)
+        for at in range(0, len(names), columns):
+            inside = (col >= at) & (col < at + columns)
+            m = np.zeros((len(sets), min(columns, len(names) - at)), np.float32)
+            m[row[inside], col[inside] - at] = 1
+            both += m[left] @ m[right].T
+    return both
+
+
+def links_in(tokens: list[np.ndarray], sizes: np.ndarray, split: int, threshold: float) -> np.ndarray:
     """Which sets are at the threshold or over: of all of them, or of those before `split` with those behind."""
-    lens = np.array([len(t) for t in tokens])
-    row = np.repeat(np.arange(len(tokens)), lens)
-    _, col, df = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    use = df[col] > 1
-    row, col = row[use], col[use]
-    names, col = np.unique(col, return_inverse=True)
     left, right = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
-    both = np.zeros((len(tokens[left]), len(tokens[right])), np.float32)
-    for at in range(0, len(names), columns):
-        inside = (col >= at) & (col < at + columns)
-        m = np.zeros((len(tokens), min(columns, len(names) - at)), np.float32)
-        m[row[inside], col[inside] - at] = 1
-        both += m[left] @ m[right].T
+    both = shared_counts(tokens, split)
     union = sizes[left][:, None] + sizes[right][None, :] - both
     return both >= threshold * union - 1e-6
 
@@ -259,7 +274,7 @@ def components(links: np.ndarray) -> np.ndarray:
 
 def verified(docs: DataFrame, members: DataFrame, weights: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
     """Brute force within leaves: (rep, links, root) rows; root is a rep that rep is connected to within a block pair."""
-    listed = members.groupBy("rep").agg(F.collect_list("leaf").alias("leaves"))  # at most runs * width**depth of them
+    listed = members.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # at most runs * width**depth of them
 
     def sets(batches):
         for table in chunks(batches, 4 << 20):
@@ -286,13 +301,12 @@ def verified(docs: DataFrame, members: DataFrame, weights: DataFrame, n: int, th
         if empty:
             return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         near = links_in(tokens, sizes, split, threshold)
+        if sizes.sum() > 1 << 19:
+            del tokens
+            give_back()
         # A pair counts here unless it also meets in a smaller leaf.
-        names, col = np.unique(np.concatenate(lists), return_inverse=True)
-        before = np.zeros((len(reps), len(names)), np.float32)
-        before[np.repeat(np.arange(len(reps)), [len(x) for x in lists]), col] = 1
-        before = before[:, names < leaf]
         left, right = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
-        mine = near & ~(before[left] @ before[right].T > 0)
+        mine = near & ~(shared_counts([x[: np.searchsorted(x, leaf)] for x in lists], split) > 0)
         square = near
         if split:
             links = np.concatenate([mine @ weight[right], mine.T @ weight[left]])

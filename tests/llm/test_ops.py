@@ -312,3 +312,21 @@ def test_long_words_hash_alike():
 def test_unique_docs(spark):
     rows = common.unique_docs(frame(spark, [(1, "b"), (1, "a"), (2, None), (None, "c")])).collect()
     assert sorted(tuple(r) for r in rows) == [(1, "a"), (2, "")]
+
+
+@pytest.mark.parametrize("kind", [np.uint64, np.int64])
+@pytest.mark.parametrize("split", [0, 4])
+def test_shared_counts(kind, split):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(np.iinfo(kind).min, np.iinfo(kind).max, 300, dtype=kind)
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (0, 1, 40, 200, 300, 7, 0, 150)]
+    left, right = (sets[:split], sets[split:]) if split else (sets, sets)
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    for at_once in (1, 50, 1 << 20):
+        got = jaccard_join.shared_counts(sets, split, columns=16, at_once=at_once)
+        # Values of one set alone are left out of the count, but for a set with itself.
+        both = np.array(want)
+        if not split:
+            np.fill_diagonal(both, 0)
+            np.fill_diagonal(got, 0)
+        assert (got == both).all()
