@@ -1,9 +1,12 @@
 """Cross-entropy difference of matched n-gram models.
 
 Two interpolated bigram models, one of the target texts and one of all texts,
-have the same order, smoothing and vocabulary: words are places of one hashed
-vocabulary of fixed size, bigrams places of one hashed table, so the models'
-size does not grow with the corpus while their counts take in all of it. The
+have the same order, smoothing and vocabulary. Words and bigrams are 64-bit
+hashes and their counts exact, in tables that grow with the corpus and lie in
+no one place: texts are taken in chunks, a chunk asks for each of its different
+words and bigrams once, in the bucket of the key's range, a bucket adds up what
+its chunks have of a key and answers each of them, and the answers meet the
+chunk's texts again. A key takes one entry a chunk, however common it is. The
 score of a document is the mean over its tokens of background loss less target
 loss (in nats): above 0 the target model predicts it better.
 """
@@ -12,94 +15,163 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import chunks, long_bytes, mix64, pair64, small_batches
+from cairn.llm.common import give_back, long_bytes, materialize, mix64, pair64, release, small_batches
 from cairn.llm.jaccard_join import word_hashes
 
 START = np.uint64(0x5354415254)
+WORD, PAIR = 0, 1
+ASKED = "chunk long, kind int, bucket int, keys binary, counts binary"
+ANSWERED = "chunk long, kind int, bucket int, counts binary, words long, tokens long, target_tokens long"
 
 
-def grams(table: pa.Table, words: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary place of each token, that of the token before (place `words` at a start), bigram place, and the documents' first tokens."""
+def grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token, of the token before (START at a start), of the bigram, and the documents' first tokens."""
     hashes, starts = word_hashes(*long_bytes(table.column("text")))
-    place = (hashes % np.uint64(words)).astype(np.int64)
-    before = np.empty_like(place)
-    before[1:] = place[:-1]
-    firsts = starts[:-1][np.diff(starts) > 0]
-    before[firsts] = words
-    pair = (mix64(pair64(before.astype(np.uint64) ^ START, place.astype(np.uint64))) % np.uint64(pairs)).astype(np.int64)
-    return place, before, pair, starts
-
-
-class Model:
-    """log P(w | v) = log of weight * c(v, w) / c(v) + (1 - weight) * (c(w) + 1) / (N + V)."""
-
-    def __init__(self, singles: np.ndarray, histories: np.ndarray, pairs: np.ndarray, weight: float) -> None:
-        self.singles, self.histories, self.pairs, self.weight = singles, histories, pairs, weight
-        self.total = singles.sum()
-
-    def losses(self, place: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        one = (self.singles[place] + 1) / (self.total + len(self.singles))
-        seen = self.histories[before]
-        # Hashed bigrams may share a place: a count over its history's is held to it.
-        two = np.minimum(self.pairs[pair], seen) / np.maximum(seen, 1)
-        w = np.where(seen > 0, self.weight, 0.0)
-        return -np.log(w * two + (1 - w) * one)
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, words: int = 1 << 18, pairs: int = 1 << 20, weight: float = 0.6) -> tuple[Model, Model]:
-    """(target, background) models: counts over the texts whose doc_id is in target_ids, and over all texts."""
-    small_batches(docs.sparkSession)
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    # Sorted at any size: a broadcast on small inputs only would hide what texts cost.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    width = words + (words + 1) + pairs  # singles, histories, bigrams end to end
-
-    def count(batches):
-        total, target = np.zeros(width, np.int64), np.zeros(width, np.int64)
-        for table in chunks(batches):
-            place, before, pair, starts = grams(table, words, pairs)
-            where = np.concatenate([place, words + before, 2 * words + 1 + pair])
-            mine = np.repeat(np.asarray(table.column("is_target")), np.diff(starts))
-            total += np.bincount(where, minlength=width)
-            target += np.bincount(where[np.tile(mine, 3)], minlength=width)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part]), pa.array(target[part])], ["place", "n", "n_target"])
-
-    counted = rows.mapInArrow(count, "place int, n long, n_target long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    models = []
-    for name in ("n_target", "n"):
-        dense = np.zeros(width, np.float64)
-        dense[np.asarray(counted.column("place"))] = np.asarray(counted.column(name))
-        models.append(Model(dense[:words], dense[words : 2 * words + 1], dense[2 * words + 1 :], weight))
-    return models[0], models[1]
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int = 1 << 18, pairs: int = 1 << 20, weight: float = 0.6) -> DataFrame:
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[starts[:-1][np.diff(starts) > 0]] = START
+    return hashes, before, mix64(pair64(before, hashes)), starts
+
+
+def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range of the sorted keys begins (buckets+1 numbers)."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers byte place by byte place: high places are mostly 0, which written and shuffled files compress."""
+    return x.reshape(-1, 1).view(np.uint8).T.tobytes()
+
+
+def unplanes(blob: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8).reshape(width, -1).T.copy().view(f"u{width}").reshape(-1)
+
+
+def packed(*counts: np.ndarray) -> bytes:
+    """Columns of counts in the narrowest integers that hold them."""
+    kind = np.min_scalar_type(max((int(c.max()) for c in counts if len(c)), default=0))
+    return bytes([kind.itemsize]) + planes(np.concatenate(counts).astype(kind))
+
+
+def unpacked(blob: bytes, columns: int) -> np.ndarray:
+    return unplanes(blob[1:], blob[0]).reshape(columns, -1)
+
+
+def ask(table: pa.Table, is_target: np.ndarray, chunk: int, pair_buckets: int, word_buckets: int) -> pa.Table:
+    """A chunk's keys by kind and bucket, as differences of sorted ones, with its own counts of them.
+
+    Counts of words are as tokens and as histories, those of bigrams one; each in all texts and in target texts.
+    """
+    hashes, before, pair, starts = grams(table)
+    mine = np.repeat(is_target, np.diff(starts))
+    words, where = np.unique(np.concatenate([hashes, before]), return_inverse=True)
+    as_token, as_history = where[: len(hashes)], where[len(hashes) :]
+    counted = [np.bincount(x, minlength=len(words)) for x in (as_token, as_token[mine], as_history, as_history[mine])]
+    out: list[tuple[int, int, bytes, bytes]] = asked(WORD, words, counted, word_buckets)
+    del words, where, as_token, as_history, hashes, before
+    pairs, where = np.unique(pair, return_inverse=True)
+    out += asked(PAIR, pairs, [np.bincount(x, minlength=len(pairs)) for x in (where, where[mine])], pair_buckets)
+    kinds, buckets, keys, counts = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.table({"chunk": pa.array(np.full(len(out), chunk, np.int64)), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def asked(kind: int, keys: np.ndarray, counts: list[np.ndarray], buckets: int) -> list[tuple[int, int, bytes, bytes]]:
+    at = cuts(keys, buckets)
+    return [(kind, int(b), planes(np.diff(keys[at[b] : at[b + 1]], prepend=np.uint64(0))), packed(*(c[at[b] : at[b + 1]] for c in counts))) for b in np.flatnonzero(np.diff(at))]
+
+
+def answer(key, table):
+    """A bucket's counts over all chunks, for each chunk in the order of its keys; and, with a null chunk, what the bucket holds in all."""
+    kind, bucket = key[0].as_py(), key[1].as_py()
+    columns = 4 if kind == WORD else 2
+    blobs = table.column("keys").to_pylist()
+    keys = np.concatenate([np.cumsum(unplanes(b, 8), dtype=np.uint64) for b in blobs])
+    ends = np.cumsum([len(b) // 8 for b in blobs])
+    own = np.concatenate([unpacked(b, columns).astype(np.float64) for b in table.column("counts").to_pylist()], axis=1)
+    names, where = np.unique(keys, return_inverse=True)
+    sums = [np.bincount(where, c, len(names)).astype(np.int64) for c in own]  # exact below 2^53
+    del blobs, keys, own
+    out = [packed(*(s[w] for s in sums)) for w in np.split(where, ends[:-1])]
+    m = len(out) + 1
+    whole = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())] if kind == WORD else [0, 0, 0]
+    result = pa.table({
+        "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), "kind": pa.array(np.full(m, kind, np.int32)), "bucket": pa.array(np.full(m, bucket, np.int32)), "counts": pa.array([*out, None], pa.binary()),
+        **{c: pa.array([*[None] * len(out), x], pa.int64()) for c, x in zip(("words", "tokens", "target_tokens"), whole, strict=True)},
+    })
+    give_back()
+    return result
+
+
+def losses(single: np.ndarray, history: np.ndarray, pair: np.ndarray, tokens: int, vocabulary: int, weight: float) -> np.ndarray:
+    """-log P(w | v) = -log of weight * c(v, w) / c(v) + (1 - weight) * (c(w) + 1) / (N + V); the second part alone where c(v) is 0."""
+    one = (single + 1) / (tokens + vocabulary)
+    w = np.where(history > 0, weight, 0.0)
+    return -np.log(w * (pair / np.maximum(history, 1)) + (1 - w) * one)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int = 1 << 18, weight: float = 0.6, chunk: int = 8 << 20, bucket: int = 16 << 20) -> DataFrame:
     """One row per input row: doc_id, n_tokens, target_loss, background_loss, score.
 
-    Losses are means over tokens; texts without words (null and empty ones)
-    have 0 tokens and 0 for the rest. Repeated rows count and come back each
-    time; null ids are background. Other columns are ignored; an empty table
-    gives an empty result, and with no target text both models are still
-    defined (the target model is then uniform).
+    Both models' vocabulary is that of all texts; smoothing takes it to have
+    `words` words where it has fewer. Losses are means over tokens; texts
+    without words (null and empty ones) have 0 tokens and 0 for the rest.
+    Repeated rows count and come back each time; null ids are background. Other
+    columns are ignored; an empty table gives an empty result, and with no
+    target text both models are still defined (the target model is then
+    uniform). `chunk` and `bucket` are bytes of text; rows that repeat an id
+    share a chunk.
     """
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, target_ids, words, pairs, weight))  # size fixed by words and pairs
-
-    def run(batches):
-        target, background = models.value
-        for table in chunks(batches):
-            place, before, pair, starts = grams(table, words, pairs)
-            n = np.diff(starts)
-            sums = []
-            for m in (target, background):
-                total = np.concatenate([[0.0], np.cumsum(m.losses(place, before, pair))])
-                sums.append((total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), *(pa.array(s) for s in (*sums, sums[1] - sums[0]))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    spark = docs.sparkSession
+    small_batches(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pair_buckets, word_buckets = 1 + size // bucket, 1 + size // (8 * bucket)
+    # A chunk is a hash of the id (of the text without one): the same rows in every use, and target ids find theirs.
+    of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 + size // chunk)).alias("chunk")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    texts = rows.select(F.when(F.col("doc_id").isNull(), of("text")).otherwise(of("doc_id")).alias("chunk"), "doc_id", "text")
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+
+    def collect(key, rows, ids):
+        if not rows.num_rows:  # of ids without a text
+            return ask(pa.table({"text": pa.array([], pa.string())}), np.zeros(0, bool), -1, 1, 1)
+        is_target = np.asarray(pc.is_in(rows.column("doc_id"), value_set=ids.column("doc_id").combine_chunks(), skip_nulls=True)) if ids.num_rows else np.zeros(rows.num_rows, bool)
+        out = ask(rows, is_target, key[0].as_py(), pair_buckets, word_buckets)
+        give_back()
+        return out
+
+    keys = texts.groupBy("chunk").cogroup(ids.select(of("doc_id"), "doc_id").groupBy("chunk")).applyInArrow(collect, ASKED)
+    answers = materialize(keys.groupBy("kind", "bucket").applyInArrow(answer, ANSWERED), "lm_answers")
+    del keys
+    whole = answers.filter("chunk is null").agg(F.sum("words"), F.sum("tokens"), F.sum("target_tokens")).first()
+    release(spark)  # here, behind a further query, the shuffle files of the counting one go
+    found, tokens, target_tokens = (x or 0 for x in whole)
+    vocabulary = max(words, found)
+
+    def run(texts, told):
+        hashes, before, pair, starts = grams(texts)
+        n = np.diff(starts)
+        sums = [np.zeros(len(n)), np.zeros(len(n))]
+        if len(hashes):
+            # Chunks ask in the order of their sorted keys, so buckets' answers end to end belong to those.
+            blobs = sorted(zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True))
+            singles, singles_t, histories, histories_t = np.concatenate([unpacked(b, 4).astype(np.int64) for k, _, b in blobs if k == WORD], axis=1)
+            pairs, pairs_t = np.concatenate([unpacked(b, 2).astype(np.int64) for k, _, b in blobs if k == PAIR], axis=1)
+            w = np.unique(np.concatenate([hashes, before]), return_inverse=True)[1]
+            v, w = w[len(hashes) :], w[: len(hashes)]
+            del hashes, before, blobs
+            p = np.unique(pair, return_inverse=True)[1]
+            del pair
+            for k, (s, h, b, total) in enumerate(((singles_t, histories_t, pairs_t, target_tokens), (singles, histories, pairs, tokens))):
+                sofar = np.concatenate([[0.0], np.cumsum(losses(s[w], h[v], b[p], total, vocabulary, weight))])
+                sums[k] = (sofar[starts[1:]] - sofar[starts[:-1]]) / np.maximum(n, 1)
+        out = pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(sums[0]), "background_loss": pa.array(sums[1]), "score": pa.array(sums[1] - sums[0])})
+        give_back()
+        return out
+
+    told = answers.filter("chunk is not null").select("chunk", "kind", "bucket", "counts")
+    return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -261,6 +261,34 @@ def test_lm_score(spark, empty):
     assert lm_score.cross_entropy_difference(empty, ids).count() == 0
 
 
+def test_lm_score_counts_are_exact(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{k}" for k in (rng.pareto(0.4, 4000) * 50 % 500_000).astype(int))) for i in range(300)]
+    ids = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long")
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(frame(spark, rows), ids).collect()}
+    small = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(frame(spark, rows), ids, chunk=1 << 18, bucket=1 << 19).collect()}
+    texts = {d: t.split() for d, t in rows}
+    v = max(1 << 18, len({w for t in texts.values() for w in t}))
+    for column, part in (("target_loss", range(0, 300, 3)), ("background_loss", range(300))):
+        one = Counter(w for d in part for w in texts[d])
+        two = Counter(p for d in part for p in zip(["", *texts[d]], texts[d], strict=False))
+        history = Counter(w for d in part for w in ["", *texts[d][:-1]])
+        n = sum(one.values())
+        for d in (0, 1, 150, 299):
+            loss = []
+            for a, b in zip(["", *texts[d]], texts[d], strict=False):
+                w = 0.6 if history[a] else 0.0
+                loss.append(-np.log(w * two[a, b] / max(history[a], 1) + (1 - w) * (one[b] + 1) / (n + v)))
+            assert abs(got[d][column] - np.mean(loss)) < 1e-9
+            assert abs(small[d][column] - np.mean(loss)) < 1e-9
+    few = frame(spark, [*ODD, (None, "a b"), (None, "b a c"), (None, None), (40, "a b c a"), (40, "a b c a")])
+    ids = spark.createDataFrame([(40,), (1,), *((k,) for k in range(900, 960))], "doc_id long")
+    one, many = (sorted((r[0] or -1, r[1], *(round(x, 9) for x in r[2:])) for r in lm_score.cross_entropy_difference(few, ids, chunk=c, bucket=c).collect()) for c in (1 << 20, 8))
+    assert one == many and len(one) == few.count()
+
+
 # 10
 
 
