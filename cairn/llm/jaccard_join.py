@@ -26,13 +26,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import C1, C2, chunks, discard, give_back, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
 
-COORDINATES = 32
 #: Fixed byte classes: ASCII letters and digits and all bytes beyond ASCII belong to words; A-Z count as a-z.
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(7777))[_LOWER]
-_SEEDS = mix64(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(99))
-_FACTORS = mix64(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(3333)) | np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -106,11 +103,13 @@ def token_sets(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def survival(threshold: float, width: int, depth: int) -> float:
-    """Least chance that two sets at the threshold share a leaf of one run `depth` levels down."""
-    kept = 1.0
-    for _ in range(depth):
-        kept = 1 - (1 - threshold * kept) ** width
-    return kept
+    """Chance that two sets at the threshold share a leaf of one run `depth` levels down: all nodes of a level sample the same coordinates."""
+    return (1 - (1 - threshold) ** width) ** depth
+
+
+def place_of(run, level, k, width: int, depth: int):
+    """Coordinate that a run samples at a level: none is sampled twice, so levels and runs are independent."""
+    return (run * depth + level) * width + k
 
 
 def runs_for(target: float, threshold: float, width: int, depth: int) -> int:
@@ -118,9 +117,11 @@ def runs_for(target: float, threshold: float, width: int, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - target) / math.log(1 - p)))
 
 
-def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, n: int, coordinates: int) -> DataFrame:
     """(doc_id, size, set_a, set_b, sketch): number of shingles, a 128-bit digest of the set and its MinHash vector."""
     small_batches(docs.sparkSession)
+    seeds = mix64(np.arange(coordinates, dtype=np.uint64) + np.uint64(99))
+    factors = mix64(np.arange(coordinates, dtype=np.uint64) + np.uint64(3333)) | np.uint64(1)
 
     def run(batches):
         for table in chunks(batches, 4 << 20):
@@ -128,40 +129,38 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
             size = np.diff(starts)
             full = size > 0
             one, two = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-            sketch = np.zeros((len(size), COORDINATES), np.uint64)
+            sketch = np.zeros((len(size), coordinates), np.uint64)
             if full.any():
                 at = starts[:-1][full]
                 one[full] = np.add.reduceat(mix64(found), at)
                 two[full] = np.add.reduceat(mix64(found ^ C2), at)
-                for c in range(COORDINATES):
-                    sketch[full, c] = np.minimum.reduceat((found ^ _SEEDS[c]) * _FACTORS[c] ^ (found >> np.uint64(29)), at)
+                for c in range(coordinates):
+                    sketch[full, c] = np.minimum.reduceat((found ^ seeds[c]) * factors[c] ^ (found >> np.uint64(29)), at)
             flat = pa.array(sketch.reshape(-1).view(np.int64), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * COORDINATES, pa.int32()), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * coordinates, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(size, pa.int32()), pa.array(one.view(np.int64), pa.int64()), pa.array(two.view(np.int64), pa.int64()), lists], ["doc_id", "size", "set_a", "set_b", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, set_a long, set_b long, sketch array<long>")
 
 
-def _children(rows: DataFrame, level: int, width: int) -> DataFrame:
+def _children(rows: DataFrame, level: int, width: int, depth: int) -> DataFrame:
     """The nodes below: rows of (rep, run, node, sketch) go to the child of each coordinate sampled for (run, level)."""
     kids = []
     for k in range(width):
-        # Different (run, level, k) take different coordinates as long as there are enough of them.
-        place = F.pmod(F.col("run") * width + F.lit(level) * F.lit(8) + k, F.lit(COORDINATES))
+        place = place_of(F.col("run"), level, k, width, depth)
         kids.append(F.struct(place.cast("int").alias("c"), F.element_at("sketch", (place + 1).cast("int")).alias("v")))
     rows = rows.withColumn("kid", F.explode(F.array(*kids)))
     return rows.select("rep", "run", F.col("node").alias("parent"), F.xxhash64("node", "run", F.lit(level), "kid.c", "kid.v").alias("node"))
 
 
-def leaves(reps: DataFrame, threshold: float, target: float, small: int, dense: float, width: int, depth: int) -> DataFrame:
+def leaves(reps: DataFrame, runs: int, small: int, dense: float, width: int, depth: int) -> DataFrame:
     """(leaf, rep) of all runs, each set of members once."""
-    runs = runs_for(target, threshold, width, depth)
     sketches = reps.select("rep", "sketch")
     frontier = sketches.withColumn("run", F.explode(F.array(*[F.lit(r) for r in range(runs)]))).withColumn("node", F.lit(0).cast("long"))
     found: list[DataFrame] = []
     above: DataFrame | None = None
     for level in range(depth):
-        rows = materialize(_children(frontier, level, width), f"level{level}")
+        rows = materialize(_children(frontier, level, width, depth), f"level{level}")
         sizes = materialize(rows.groupBy("node", "parent").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"sizes{level}")
         if above is not None:
             # Parents of which a child keeps most are dense: the parent is a leaf and its children are dropped.
@@ -208,7 +207,7 @@ def sifted(members: DataFrame, sketches: DataFrame, least: int, block: int) -> D
         leaf = key[0].as_py()
         m = _matrix_of(table.column("sketch"))
         own = np.asarray(table.column("own"))
-        equal = np.zeros((len(m), len(m)), np.uint8)
+        equal = np.zeros((len(m), len(m)), np.uint16)
         for c in range(m.shape[1]):
             equal += m[:, c][:, None] == m[:, c][None, :]
         near = equal >= least
@@ -357,14 +356,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: fl
     with a null doc_id give no row; rows that repeat a doc_id count once (see
     unique_docs). Other columns are ignored; an empty table gives an empty
     result. A link at the threshold itself is found with a chance of at least
-    `target`, nearer ones with more; `least` of 32 equal coordinates, asked for
+    `target`, nearer ones with more; `least` equal coordinates, asked for
     before the sets are compared, adds a chance of a miss of under 1e-5.
     """
     docs = unique_docs(docs)
-    signed = materialize(signatures(docs, n), "signatures")
+    runs = runs_for(target, threshold, width, depth)
+    signed = materialize(signatures(docs, n, runs * depth * width), "signatures")
     classes = materialize(signed.filter("size > 0").groupBy("set_a", "set_b", "size").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
     reps = signed.select(F.col("doc_id").alias("rep"), "sketch").join(classes.select("rep", "weight"), "rep")
-    members = leaves(reps, threshold, target, small, dense, width, depth)
+    members = leaves(reps, runs, small, dense, width, depth)
     near = once(materialize(sifted(members, reps.select("rep", "sketch"), least, block), "sifted"), "near")
     release(docs.sparkSession)
     pairs = verified(docs, near, classes.select("rep", "weight"), n, threshold, block)

@@ -330,6 +330,21 @@ def test_jaccard_join(spark, empty, block, small):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_runs_reach_the_target(spark, threshold):
+    width, depth, target = 2, 4, 0.9999
+    runs = jaccard_join.runs_for(target, threshold, width, depth)
+    places = [jaccard_join.place_of(r, level, k, width, depth) for r in range(runs) for level in range(depth) for k in range(width)]
+    assert sorted(places) == list(range(runs * depth * width))
+    signed = jaccard_join.signatures(frame(spark, [(1, "a b c d e f g")]), 5, len(places)).first()
+    assert len(set(signed["sketch"])) > 1 and len(signed["sketch"]) == len(places)
+    # Two sets stay together where, at every level, one of the coordinates that all its nodes share agrees.
+    agree = np.random.default_rng(3).random((100_000, depth, width)) < threshold
+    together = agree.any(axis=2).all(axis=1).mean()
+    assert abs(jaccard_join.survival(threshold, width, depth) - together) < 0.01
+    assert (1 - jaccard_join.survival(threshold, width, depth)) ** runs <= 1 - target
+
+
 def test_long_words_hash_alike():
     t = "short " + "é" * 400 + " short"
     a = jaccard_join.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
