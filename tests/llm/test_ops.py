@@ -225,6 +225,20 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_in_small_leaves(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    m = np.concatenate([np.tile(rng.normal(size=16), (600, 1)), rng.normal(size=16) + 0.01 * rng.normal(size=(300, 16)), 3 * rng.normal(size=(4, 16))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, (F.col("vec_id") < 200) | (F.col("vec_id") >= 900), branching=4, leaf_size=50).collect()
+    assert {q: sum(r["query_id"] == q for r in got) for q in (0, 900, 901, 902, 903)} == dict.fromkeys((0, 900, 901, 902, 903), 5)
+    # 9 of 10 queries are done at once, the tenth late.
+    when = [[0] * 5] * 90 + [[6] * 5] * 10
+    assert ann.visits_for(when, 0.8) == 7
+    assert ann.visits_for([[0, 0, 0, 0, 9]] * 20, 0.8) == 1
+
+
 # 8
 
 
