@@ -107,6 +107,16 @@ def survival(threshold: float, width: int, depth: int) -> float:
     return (1 - (1 - threshold) ** width) ** depth
 
 
+def least_for(threshold: float, coordinates: int, miss: float) -> int:
+    """Most equal coordinates that can be asked for: two sets at the threshold have fewer with a chance of at most `miss`."""
+    below = 0.0
+    for m in range(coordinates + 1):
+        below += math.comb(coordinates, m) * threshold**m * (1 - threshold) ** (coordinates - m)
+        if below > miss:
+            return m
+    return coordinates
+
+
 def place_of(run, level, k, width: int, depth: int):
     """Coordinate that a run samples at a level: none is sampled twice, so levels and runs are independent."""
     return (run * depth + level) * width + k
@@ -344,7 +354,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9999, small: int = 64, dense: float = 0.6, width: int = 2, depth: int = 4, block: int = 512, least: int = 14) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9999, small: int = 64, dense: float = 0.6, width: int = 2, depth: int = 4, block: int = 512) -> DataFrame:
     """One row per document: doc_id, rep_id, class_id, n_links, n_shingles.
 
     Words are runs of ASCII letters and digits or non-ASCII characters, A-Z as
@@ -356,8 +366,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: fl
     with a null doc_id give no row; rows that repeat a doc_id count once (see
     unique_docs). Other columns are ignored; an empty table gives an empty
     result. A link at the threshold itself is found with a chance of at least
-    `target`, nearer ones with more; `least` equal coordinates, asked for
-    before the sets are compared, adds a chance of a miss of under 1e-5.
+    `target`, nearer ones with more; the equal coordinates asked for
+    before the sets are compared add a chance of a miss of at most a hundredth
+    of the target's.
     """
     docs = unique_docs(docs)
     runs = runs_for(target, threshold, width, depth)
@@ -365,7 +376,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: fl
     classes = materialize(signed.filter("size > 0").groupBy("set_a", "set_b", "size").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
     reps = signed.select(F.col("doc_id").alias("rep"), "sketch").join(classes.select("rep", "weight"), "rep")
     members = leaves(reps, runs, small, dense, width, depth)
-    near = once(materialize(sifted(members, reps.select("rep", "sketch"), least, block), "sifted"), "near")
+    near = once(materialize(sifted(members, reps.select("rep", "sketch"), least_for(threshold, runs * depth * width, (1 - target) / 100), block), "sifted"), "near")
     release(docs.sparkSession)
     pairs = verified(docs, near, classes.select("rep", "weight"), n, threshold, block)
     release(docs.sparkSession)

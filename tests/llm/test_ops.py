@@ -359,6 +359,14 @@ def test_runs_reach_the_target(spark, threshold):
     assert (1 - jaccard_join.survival(threshold, width, depth)) ** runs <= 1 - target
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_sieve_follows_the_threshold(threshold):
+    runs = jaccard_join.runs_for(0.9999, threshold, 2, 4)
+    equal = np.random.default_rng(4).binomial(runs * 8, threshold, 1_000_000)
+    assert (equal < jaccard_join.least_for(threshold, runs * 8, 1e-6)).mean() < 1e-5
+    assert (equal < jaccard_join.least_for(threshold, runs * 8, 1e-2) + 1).mean() > 0.009
+
+
 def test_long_words_hash_alike():
     t = "short " + "é" * 400 + " short"
     a = jaccard_join.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
