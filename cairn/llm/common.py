@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -13,10 +14,17 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one of our own only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir).
+
+    Where it is unset, a session in one process (as in tests) gets a temporary
+    folder; on a cluster that folder would be each machine's own, so it is an error.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="cairn-")
@@ -27,11 +35,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}/{name}"
 
 
+#: Drops a statement's shuffle files as soon as it ends: what is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of a statement."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
@@ -45,14 +72,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished, unreferenced plans."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches small enough, in rows and in bytes, that very long texts fit a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -85,6 +104,18 @@ def unique_docs(docs: DataFrame) -> DataFrame:
     return named.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
+def by_row(docs: DataFrame, key: str = "row_key") -> DataFrame:
+    """docs with a key for each row, in order of doc_id with nulls last.
+
+    Where ids are unique and not null the key is the id. Else rows are sorted,
+    numbered and written, so that rows that share an id keep their own texts.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    return materialize(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(key, F.monotonically_increasing_id()), "rows")
+
+
 # 64-bit mixing constants (odd, from the golden ratio and two common finalizers).
 C1 = np.uint64(0x9E3779B97F4A7C15)
 C2 = np.uint64(0xBF58476D1CE4E5B9)

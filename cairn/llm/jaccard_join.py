@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import C1, C2, chunks, discard, give_back, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
+from cairn.llm.common import C1, C2, chunks, discard, give_back, long_bytes, materialize, mix64, pair64, small_batches, unique_docs
 
 #: Fixed byte classes: ASCII letters and digits and all bytes beyond ASCII belong to words; A-Z count as a-z.
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -294,7 +294,6 @@ def verified(docs: DataFrame, members: DataFrame, weights: DataFrame, n: int, th
     # Sorted on both sides at any size: a broadcast on small inputs only would hide what texts cost.
     wanted = docs.hint("merge").join(listed.join(weights, "rep").withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "leaves", "weight")
     full = materialize(wanted.mapInArrow(sets, "rep long, leaves array<long>, weight long, tokens array<long>"), "sets")
-    release(docs.sparkSession)
 
     def brute(key, table):
         leaf, i, j = (k.as_py() for k in key)
@@ -377,9 +376,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: fl
     reps = signed.select(F.col("doc_id").alias("rep"), "sketch").join(classes.select("rep", "weight"), "rep")
     members = leaves(reps, runs, small, dense, width, depth)
     near = once(materialize(sifted(members, reps.select("rep", "sketch"), least_for(threshold, runs * depth * width, (1 - target) / 100), block), "sifted"), "near")
-    release(docs.sparkSession)
     pairs = verified(docs, near, classes.select("rep", "weight"), n, threshold, block)
-    release(docs.sparkSession)
     links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected(pairs.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     known = classes.join(groups, "rep", "left").join(links, "rep", "left")

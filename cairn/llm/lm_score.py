@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import give_back, long_bytes, materialize, mix64, pair64, release, small_batches
+from cairn.llm.common import give_back, long_bytes, materialize, mix64, pair64, small_batches
 from cairn.llm.jaccard_join import word_hashes
 
 START = np.uint64(0x5354415254)
@@ -148,7 +148,6 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int
     answers = materialize(keys.groupBy("kind", "bucket").applyInArrow(answer, ANSWERED), "lm_answers")
     del keys
     whole = answers.filter("chunk is null").agg(F.sum("words"), F.sum("tokens"), F.sum("target_tokens")).first()
-    release(spark)  # here, behind a further query, the shuffle files of the counting one go
     found, tokens, target_tokens = (x or 0 for x in whole)
     vocabulary = max(words, found)
 

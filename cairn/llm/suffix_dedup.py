@@ -2,24 +2,29 @@
 
 A byte is removed when a string of `length` bytes over it also starts earlier
 (in a document with a smaller id, or earlier in the same one). As in a
-bucket-pointer refining suffix sorter, positions lie in buckets of equal q-gram
-first, and a bucket is refined by the bucket identifiers of later offsets:
-the identifier of 2h bytes at i is made of those of h bytes at i and i+h, each
-level reusing the last. Only positions that may still change are refined:
+bucket-pointer refining suffix sorter, window starts lie in buckets of equal
+q-grams first; a bucket is refined by what follows at later offsets, under the
+identifier that the last round gave it; and only starts whose bucket is not yet
+settled go on to the next round:
 
 1. of the q-grams in each window of `length` bytes the one with the smallest
-   identifier is the window's anchor; windows in a row with one anchor are a
-   region, and equal windows have equal anchors at equal offsets;
-2. anchors whose bucket is single in the whole corpus are done;
-3. other buckets are refined by the identifiers of whole regions: all windows
-   of a region met before (in a smaller document) are removed;
-4. where one bucket still holds different regions, each is refined window by
-   window, by the identifiers of `length` bytes: in one task where the bucket is
-   small, else in salted parts whose first windows then meet.
-
-Within a chunk of texts every step first combines locally, and global minima
-are taken by partial aggregates, so a string in a third of all documents is a
-few rows for each task.
+   identifier is the window's anchor: its first bucket. Identifiers of q and of
+   `length` bytes are made by doubling: that of 2h bytes at i from those of h
+   bytes at i and i+h. Windows in a row with one anchor are a region; equal
+   windows have equal anchors at equal offsets;
+2. buckets that are single in the whole corpus are settled;
+3. so are regions met before as a whole; buckets that hold different regions go on;
+4. a round deals the windows of each region that goes on by their offset from
+   the anchor into nodes. All windows of a node share a core, the bytes that
+   each of them covers, longer than the round's before. A node's new bucket is
+   its old bucket's identifier with the core's bytes. Nodes with equal bytes
+   settle at their first place; buckets that still hold different bytes go on
+   with one place for each, under the new identifier and in smaller nodes, down
+   to nodes of one window, whose core is the window itself.
+
+Rounds compare bytes, not digests. Every step combines within a task first and
+takes firsts by partial aggregates, so a string in a third of all documents is a
+few rows for each task, and no bucket has to fit into one.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import binary_bytes, chunks, discard, give_back, long_bytes, materialize, mix64, pair64, release, small_batches, unique_docs
+from cairn.llm.common import chunks, discard, long_bytes, materialize, mix64, pair64, small_batches, unique_docs
 
 BLOCK = 1 << 20
 _BYTE = mix64(np.arange(256, dtype=np.uint64))
@@ -77,7 +82,7 @@ def blocks(offsets: np.ndarray, length: int):
 
 
 def regions(buf: np.ndarray, offsets: np.ndarray, q: int) -> dict[str, np.ndarray]:
-    """doc (row), a, b (first and last window start within the document), anchor and region identifiers."""
+    """doc (row), a, b (first and last window start within the document), place of the anchor behind a, anchor and region identifiers."""
     length, out = 4 * q, []
     for lo, hi in blocks(offsets, length):
         if hi - lo < length:
@@ -99,9 +104,9 @@ def regions(buf: np.ndarray, offsets: np.ndarray, q: int) -> dict[str, np.ndarra
         p = at[a]
         span = (p - a).astype(np.uint64) << np.uint64(32) | (b - p + length).astype(np.uint64)
         region = mix64(pair64(pair64(whole[a], whole[b]), span))
-        out.append((doc[a], starts[a] - offsets[doc[a]], starts[b] - offsets[doc[a]], first[p], region))
-    parts = zip(*out, strict=True) if out else [[np.zeros(0, np.int64)]] * 3 + [[np.zeros(0, np.uint64)]] * 2
-    return dict(zip(("doc", "a", "b", "anchor", "region"), (np.concatenate(x) for x in parts), strict=True))
+        out.append((doc[a], starts[a] - offsets[doc[a]], starts[b] - offsets[doc[a]], p - a, first[p], region))
+    parts = zip(*out, strict=True) if out else [[np.zeros(0, np.int64)]] * 4 + [[np.zeros(0, np.uint64)]] * 2
+    return dict(zip(("doc", "a", "b", "hi", "anchor", "region"), (np.concatenate(x) for x in parts), strict=True))
 
 
 def local_first(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -142,13 +147,69 @@ def _by_id(table) -> tuple[np.ndarray, pa.Table]:
     return np.asarray(table.column("doc_id").combine_chunks()).astype(np.int64), table
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 2048) -> DataFrame:
+def widths(offsets: int) -> list[int]:
+    """Offsets in a node of each round, down to one."""
+    out, w = [], offsets
+    while w > 1:
+        w = -(-w // (4 if out else 2))
+        out.append(w)
+    return out or [1]
+
+
+def _earlier(doc_id: str, s: str):
+    return F.struct(F.col(doc_id).alias("doc_id"), F.col(s).alias("s"))
+
+
+def _smaller_nodes(rows: DataFrame, width: int, nodes: int, length: int) -> DataFrame:
+    """rows (bucket, x, y, hi, raw, doc_id, s, core) in nodes of `width` offsets, under the identifier of bucket and core."""
+    low = F.col("hi") - (F.length("raw") - length)
+    parts = []
+    for k in range(nodes):
+        x = F.col("x") + k * width
+        y = F.least(F.col("y"), x + width)
+        top, bottom = F.least(y - 1, F.col("hi")), F.greatest(x, low)
+        raw = F.substring("raw", F.col("hi") - top + 1, top - bottom + length)
+        parts.append(F.struct(x.alias("x"), y.alias("y"), top.alias("hi"), F.when(top >= bottom, raw).alias("raw"), (F.col("s") + F.col("hi") - top).alias("s")))
+    bucket = F.xxhash64("bucket", "x", "core").alias("bucket")
+    return rows.select(bucket, "doc_id", F.explode(F.filter(F.array(*parts), lambda n: n["raw"].isNotNull())).alias("n")).select("bucket", "n.x", "n.y", "n.hi", "n.raw", "doc_id", "n.s")
+
+
+def refined(rows: DataFrame, sizes: list[int], length: int) -> list[DataFrame]:
+    """Rounds of refinement over (bucket, x, y, hi, raw, doc_id, s); returns the (doc_id, s, e) of windows met before.
+
+    A row stands for the windows with offsets down from hi to hi - len(raw) +
+    length, in the node of offsets x to y-1; raw is what they cover and s where
+    that starts.
+    """
+    found, content = [], ["bucket", "x", "y", "hi", "raw"]
+    for k in range(len(sizes)):
+        firsts = materialize(rows.groupBy(*content).agg(F.min(_earlier("doc_id", "s")).alias("first"), F.count(F.lit(1)).alias("n")), f"contents{k}")
+        copies = firsts.filter("n > 1").select(*content, "first")
+        late = rows.join(copies, content).filter(_earlier("doc_id", "s") > F.col("first"))
+        found.append(materialize(late.select("doc_id", "s", (F.col("s") + F.length("raw")).cast("int").alias("e")), f"late{k}"))
+        discard(rows)
+        if k + 1 == len(sizes):  # a node of one window: its core is all of it
+            discard(firsts)
+            break
+        core = F.substring("raw", F.col("hi") - F.col("x") + 1, F.lit(length + 1) - F.col("y") + F.col("x"))
+        cored = firsts.withColumn("core", core)
+        mixed = materialize(cored.groupBy("bucket", "x", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds"), f"mixed{k}")
+        left = cored.join(mixed, ["bucket", "x", "core"]).select("bucket", "x", "y", "hi", "raw", "core", "first.doc_id", "first.s")
+        rows = materialize(_smaller_nodes(left, sizes[k + 1], -(-sizes[k] // sizes[k + 1]), length), f"nodes{k}")
+        discard(firsts, mixed)
+        if rows.limit(1).isEmpty():
+            discard(rows)
+            break
+    return found
+
+
+def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, s, e): byte spans to remove, for documents with unique non-null ids; spans may overlap."""
     if length % 4:
         raise ValueError("length must be a multiple of 4: identifiers double from a quarter of it")
     q = length // 4
-    spark = docs.sparkSession
-    small_batches(spark)
+    sizes = widths(length - q + 1)
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
 
     def buckets(batches):
@@ -161,16 +222,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 2048)
 
     several = texts.mapInArrow(buckets, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
     several = materialize(several.select(F.col("anchor").alias("bucket")), "buckets")
-    release(spark)
 
-    def refine(batches):
+    def places(batches):
         for table in chunks(batches):
             ids, table = _by_id(table)
             r = regions(*long_bytes(table.column("text")), q)
             keep = local_first(r["doc"], r["anchor"], r["region"])
             d, s, e = merged(r["doc"][~keep], r["a"][~keep], r["b"][~keep] + length)
-            n = int(keep.sum())
-            # Spans found within the chunk travel along, each under a key of its own.
+            # Spans found within the chunk travel along, each under a key of its own and without an anchor.
             key = mix64(pair64(ids[d].view(np.uint64), s.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -179,112 +238,55 @@ def repeated_spans(docs: DataFrame, length: int = 100, bucket_rows: int = 2048)
                     pa.array(np.concatenate([ids[r["doc"][keep]], ids[d]]), pa.int64()),
                     pa.array(np.concatenate([r["a"][keep], s]), pa.int32()),
                     pa.array(np.concatenate([r["b"][keep] + length, e]), pa.int32()),
-                    pa.array(np.arange(n + len(d)) >= n, pa.bool_()),
+                    pa.array(np.concatenate([r["hi"][keep], np.full(len(d), -1)]), pa.int32()),
                 ],
-                ["anchor", "region", "doc_id", "s", "e", "done"],
+                ["anchor", "region", "doc_id", "s", "e", "hi"],
             )
 
-    rows = texts.mapInArrow(refine, "anchor long, region long, doc_id long, s int, e int, done boolean")
-    rows = rows.join(several, F.col("anchor") == F.col("bucket"), "left").filter("done or bucket is not null").drop("bucket")
+    rows = texts.mapInArrow(places, "anchor long, region long, doc_id long, s int, e int, hi int")
+    rows = rows.join(several, F.col("anchor") == F.col("bucket"), "left").filter("hi < 0 or bucket is not null").drop("bucket")
     rows = materialize(rows, "regions")
     discard(several)
-    release(spark)
-    held = rows.filter("not done")
+    held = rows.filter("hi >= 0")
     firsts = materialize(held.groupBy("anchor", "region").agg(F.min("doc_id").alias("first_doc")), "firsts")
     met = held.join(firsts, ["anchor", "region"])
-    again = met.filter("doc_id > first_doc").select("doc_id", "s", "e")
-    # Buckets with different regions are refined on, by single windows of each region's first place.
-    mixed = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    mixed = mixed.select("anchor", F.ceil(F.col("n") / bucket_rows).cast("int").alias("salts"))
-    open_rows = met.filter("doc_id = first_doc").select("anchor", "doc_id", "s", "e").join(mixed, "anchor")
-    by_doc = open_rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "s", "e", "salts")).alias("open"))  # a document's own regions
-    joined = texts.join(by_doc, "doc_id")
+    spans = ["doc_id", "s", "e"]
+    found = [materialize(met.filter("doc_id > first_doc").select(*spans).unionByName(rows.filter("hi < 0").select(*spans)), "again")]
+    # Buckets with different regions go on, with each region's first place.
+    mixed = materialize(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "mixed")
+    alone = met.filter("doc_id = first_doc").select("anchor", "doc_id", "s", "e", "hi")
+    goes_on = materialize(alone.join(mixed, "anchor"), "open")
+    discard(rows, firsts, mixed)
+    by_doc = goes_on.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "s", "e", "hi")).alias("open"))  # a document's own regions
+    width = sizes[0]
 
     def take(batches):
         for table in chunks(batches):
             lists = table.column("open").combine_chunks()
-            doc = np.repeat(np.asarray(table.column("doc_id")), np.diff(np.asarray(lists.offsets)))
-            anchor, s, e, salts = (lists.flatten().field(k) for k in range(4))
+            counts = np.diff(np.asarray(lists.offsets))
+            doc = np.repeat(np.asarray(table.column("doc_id")), counts)
+            anchor, s, e, hi = (np.asarray(lists.flatten().field(k)) for k in range(4))
             buf, offsets = long_bytes(table.column("text"))
-            base = np.repeat(offsets[:-1], np.diff(np.asarray(lists.offsets)))
-            raw = memoryview(buf)
-            parts = [raw[x:y] for x, y in zip((base + np.asarray(s)).tolist(), (base + np.asarray(e)).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([anchor, salts, pa.array(doc, pa.int64()), s, pa.array(parts, pa.binary())], ["anchor", "salts", "doc_id", "s", "raw"])
-
-    cut_out = joined.mapInArrow(take, "anchor long, salts int, doc_id long, s int, raw binary")
-    cut_out = cut_out.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut_out.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-
-    def compare(table):
-        """Within the table's (whole) buckets: spans of windows met before, and for buckets dealt in parts the first windows."""
-        buf, offsets = binary_bytes(table.column("raw"))
-        anchor, salts, ids, s = (np.asarray(table.column(c)) for c in ("anchor", "salts", "doc_id", "s"))
-        row, at, ident = [], [], []
-        for lo, hi in blocks(offsets, length):
-            if hi - lo < length:
-                continue
-            _, whole = identifiers(buf[lo:hi], q)
-            starts = np.arange(lo, lo + len(whole))
-            r = np.searchsorted(offsets, starts, side="right") - 1
-            ok = starts + length <= offsets[r + 1]
-            row.append(r[ok])
-            at.append(starts[ok] - offsets[r[ok]])
-            ident.append(whole[ok])
-        row, at, ident = (np.concatenate(x) for x in (row, at, ident))
-        start, doc, key = s[row] + at, ids[row], anchor[row].view(np.uint64)
-        by = np.lexsort((start, doc, ident, key))
-        same = np.zeros(len(by), bool)
-        same[1:] = (ident[by][1:] == ident[by][:-1]) & (key[by][1:] == key[by][:-1])
-        late, first = by[same], by[~same]
-        first = first[salts[row[first]] > 1]
-        _, index = np.unique(doc[late], return_inverse=True)
-        d, x, y = merged(index, start[late].astype(np.int64), start[late].astype(np.int64) + length)
-        names = np.unique(doc[late])
-        n = len(first)
-        return pa.RecordBatch.from_arrays(
-            [
-                _signed(np.concatenate([key[first], x.astype(np.uint64)])),
-                _signed(np.concatenate([ident[first], y.astype(np.uint64)])),
-                pa.array(np.concatenate([doc[first], names[d]]), pa.int64()),
-                pa.array(np.concatenate([start[first], x]), pa.int32()),
-                pa.array(np.concatenate([start[first] + length, y]), pa.int32()),
-                pa.array(np.arange(n + len(d)) >= n, pa.bool_()),
-            ],
-            ["anchor", "window", "doc_id", "s", "e", "done"],
-        )
-
-    def windows(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            held.append(b)
-            size += b.get_total_buffer_size()
-            if size < 2 << 20:
-                continue
-            table = pa.Table.from_batches(held)
-            a, t = np.asarray(table.column("anchor")), np.asarray(table.column("salt"))
-            whole = int(np.flatnonzero((a != a[-1]) | (t != t[-1])).max(initial=-1)) + 1
-            if whole:
-                yield compare(table.slice(0, whole))
-            held = table.slice(whole).to_batches()
-            size = sum(x.nbytes for x in held)
-        if held:
-            yield compare(pa.Table.from_batches(held))
-        give_back()
-
-    single = materialize(dealt.mapInArrow(windows, "anchor long, window long, doc_id long, s int, e int, done boolean"), "windows")
-    release(spark)
-    # Windows of buckets that were dealt in parts meet here.
-    free = single.filter("not done")
-    earliest = free.groupBy("anchor", "window").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    late = free.join(earliest, ["anchor", "window"]).filter("doc_id > first_doc").select("doc_id", "s", "e")
-    done = lambda t: t.filter("done").select("doc_id", "s", "e")
-    found = materialize(done(rows).unionByName(again).unionByName(done(single)).unionByName(late), "spans")
-    discard(rows, firsts, single)
-    del held, met, again, mixed, open_rows, by_doc, joined, cut_out, dealt, free, earliest, late
-    release(spark)
-    return found
+            base = np.repeat(offsets[:-1], counts)
+            low, raw = hi - (e - s - length), memoryview(buf)
+            for x in range(0, length - q + 1, width):
+                y = min(x + width, length - q + 1)
+                top, bottom = np.minimum(y - 1, hi), np.maximum(x, low)
+                k = np.flatnonzero(top >= bottom)
+                at, n = s[k] + hi[k] - top[k], top[k] - bottom[k] + length
+                from_ = base[k] + at
+                parts = [raw[i:j] for i, j in zip(from_.tolist(), (from_ + n).tolist(), strict=True)]
+                fixed = [pa.array(np.full(len(k), v), pa.int32()) for v in (x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[k], pa.int64()), *fixed, pa.array(top[k], pa.int32()), pa.array(parts, pa.binary()), pa.array(doc[k], pa.int64()), pa.array(at, pa.int32())], ["bucket", "x", "y", "hi", "raw", "doc_id", "s"])
+
+    nodes = texts.join(by_doc, "doc_id").mapInArrow(take, "bucket long, x int, y int, hi int, raw binary, doc_id long, s int")
+    nodes = materialize(nodes, "nodes")
+    discard(goes_on)
+    found += refined(nodes, sizes, length)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def cut(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
@@ -303,16 +305,18 @@ def cut(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
     return [(s, e) for s, e in runs], b"".join(kept)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, bucket_rows: int = 2048) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, decoded: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans array<struct<s,e>> (maximal removed runs), kept (bytes that stay).
 
     Null text counts as empty. Rows with a null doc_id take no part and give no
     row; rows that repeat a doc_id count once (see unique_docs). Texts of under
-    `length` bytes keep everything. bucket_rows only divides the work. Of equal strings the one that starts first
-    stays, so ties cannot occur. Other columns are ignored.
+    `length` bytes keep everything. Of equal strings the one that starts first
+    stays, so ties cannot occur. Other columns are ignored. decoded gives kept as
+    text, without parts of characters at cut edges.
     """
     texts = unique_docs(docs)
-    spans = repeated_spans(texts, length, bucket_rows).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # a document's own
+    kind = "string" if decoded else "binary"
+    spans = repeated_spans(texts, length).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # a document's own
     joined = texts.join(spans, "doc_id", "left")
 
     def run(batches):
@@ -323,10 +327,10 @@ def suffix_dedup(docs: DataFrame, length: int = 100, bucket_rows: int = 2048) ->
                 cuts, stays = cut(raw, [(x["s"], x["e"]) for x in spans_ or ()])
                 n.append(len(raw))
                 runs.append([{"s": s, "e": e} for s, e in cuts])
-                kept.append(stays)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                kept.append(kept_text(stays) if decoded else stays)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(kept, pa.string() if decoded else pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<s:int,e:int>>, kept binary")
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<s:int,e:int>>, kept " + kind)
 
 
 def digests(result: DataFrame) -> DataFrame:

@@ -179,11 +179,11 @@ def brute_repeats(docs, n=100):
     return out
 
 
-@pytest.mark.parametrize(("bucket_rows", "block"), [(2048, 1 << 20), (2, 700)])
-def test_suffix_dedup(spark, empty, monkeypatch, bucket_rows, block):
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_suffix_dedup(spark, empty, monkeypatch, block):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     rnd = random.Random(6)
-    rows = [*ODD[:6], (7, "ab" * 400), (8, "ab" * 350), (9, "x" * 99), (10, "x" * 250)]
+    rows = [*ODD[:6], (12, "word " * 30_000), (7, "ab" * 400), (8, "ab" * 350), (9, "x" * 99), (10, "x" * 250)]
     rows += [(20 + i, "".join(rnd.choice(["aab", "abab ", "b", "é"]) for _ in range(rnd.randint(0, 150)))) for i in range(40)]
     base = "".join(rnd.choice("abcdefgh ") for _ in range(1500))
     for i in range(30):
@@ -192,9 +192,16 @@ def test_suffix_dedup(spark, empty, monkeypatch, bucket_rows, block):
             t[rnd.randrange(len(t))] = rnd.choice("xyz")
         a = rnd.randint(0, 300)
         rows.append((100 + i, "".join(t)[a : a + rnd.randint(50, 1400)]))
-    found = suffix_dedup.digests(suffix_dedup.suffix_dedup(frame(spark, [*rows, (None, "x" * 500)]), bucket_rows=bucket_rows))
-    assert {r[0]: tuple(r)[1:] for r in found.collect()} == brute_repeats(dict(rows))
+    # One line, shorter than the length, in many texts between other characters: its buckets go on through all rounds.
+    line = "".join(rnd.choice("lmnopq ") for _ in range(90))
+    rows += [(500 + i, "".join(rnd.choice("ab") for _ in range(30)) + line + "".join(rnd.choice("ab") for _ in range(30))) for i in range(300)]
+    found = suffix_dedup.digests(suffix_dedup.suffix_dedup(frame(spark, [*rows, rows[0], rows[-1], (20, None), (None, "x" * 500)]).repartition(5)))
+    dict_rows = dict(rows) | {20: ""}
+    got = [tuple(r) for r in found.collect()]
+    assert {r[0]: r[1:] for r in got} == brute_repeats(dict_rows)
+    assert len(got) == len(dict_rows)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
+    assert suffix_dedup.widths(76) == [38, 10, 3, 1]
 
 
 # 7
