@@ -6,7 +6,10 @@ share. A run starts at the root and, at each node, samples `width` coordinates;
 sets go to the child of each sampled token. Nodes of at most `small` sets are
 brute-forced with the full shingle sets; larger ones are split on, except where
 a child keeps most of its parent (`dense`): splitting does not part those sets,
-and the node is brute-forced in blocks. Members of a leaf whose vectors agree with no other's are left out before
+and the node is brute-forced. Nodes beyond a cell's bounds in sets or shingles
+are brute-forced in cells: each cell is compared within itself and packed into
+one row, and packed cells meet in pairs, so a node gives a row for each member
+and one for each pair of cells. Members of a leaf of one cell whose vectors agree with no other's are left out before
 that. The chance that a run parts two sets
 at the threshold bounds the recall; runs are added until the target is reached.
 
@@ -201,33 +204,24 @@ def once(every: DataFrame, name: str) -> DataFrame:
     return materialize(every.join(first, "leaf"), name)
 
 
-def dealt(members: DataFrame, block: int) -> DataFrame:
-    """(leaf, i, j, rep, own): members of a leaf under each pair of blocks they are compared in."""
-    cuts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("cuts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    placed = members.withColumn("cuts", cuts).withColumn("own", own).withColumn("pair", F.explode(pairs))
-    return placed.select("leaf", "rep", "own", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+def sifted(members: DataFrame, sketches: DataFrame, least: int, cell: int) -> DataFrame:
+    """(leaf, rep): members whose MinHash vector agrees with another's of the leaf in at least `least` coordinates.
 
-
-def sifted(members: DataFrame, sketches: DataFrame, least: int, block: int) -> DataFrame:
-    """Members whose MinHash vector agrees with another's of the leaf in at least `least` coordinates."""
+    Leaves of more than a cell pass whole: as good as all of their members agree with some other.
+    """
 
     def sift(key, table):
-        leaf = key[0].as_py()
         m = _matrix_of(table.column("sketch"))
-        own = np.asarray(table.column("own"))
         equal = np.zeros((len(m), len(m)), np.uint16)
         for c in range(m.shape[1]):
             equal += m[:, c][:, None] == m[:, c][None, :]
         near = equal >= least
         np.fill_diagonal(near, False)
-        if key[1].as_py() != key[2].as_py():
-            near &= own[:, None] != own[None, :]
         keep = np.asarray(table.column("rep"))[near.any(axis=1)]
-        return pa.table({"leaf": pa.array(np.full(len(keep), leaf), pa.int64()), "rep": pa.array(keep, pa.int64())})
+        return pa.table({"leaf": pa.array(np.full(len(keep), key[0].as_py()), pa.int64()), "rep": pa.array(keep, pa.int64())})
 
-    return dealt(members, block).join(sketches, "rep").groupBy("leaf", "i", "j").applyInArrow(sift, "leaf long, rep long").distinct()
+    small = members.filter(F.col("n") <= cell).select("leaf", "rep").join(sketches, "rep")
+    return small.groupBy("leaf").applyInArrow(sift, "leaf long, rep long").unionByName(members.filter(F.col("n") > cell).select("leaf", "rep"))
 
 
 def _matrix_of(column) -> np.ndarray:
@@ -281,8 +275,36 @@ def components(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verified(docs: DataFrame, members: DataFrame, weights: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
-    """Brute force within leaves: (rep, links, root) rows; root is a rep that rep is connected to within a block pair."""
+def compared(leaf: int, tables: list[pa.Table], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rep, links, root) of one cell (rep, leaves, weight, tokens) within itself, or of two cells against each other."""
+    order = [np.argsort(np.asarray(t.column("rep"))) for t in tables]
+    reps = np.concatenate([np.asarray(t.column("rep"))[by] for t, by in zip(tables, order, strict=True)])
+    weight = np.concatenate([np.asarray(t.column("weight"))[by] for t, by in zip(tables, order, strict=True)]).astype(np.float64)
+    tokens, lists = ([x for t, by in zip(tables, order, strict=True) for x in _lists(t.column(c), by)] for c in ("tokens", "leaves"))
+    tokens = [x.view(np.uint64) for x in tokens]
+    sizes = np.array([len(t) for t in tokens], np.float32)
+    split = len(order[0]) if len(tables) > 1 else 0
+    near = links_in(tokens, sizes, split, threshold)
+    if sizes.sum() > 1 << 19:
+        del tokens
+        give_back()
+    # A pair counts here unless it also meets in a smaller leaf.
+    mine = near & ~(shared_counts([x[: np.searchsorted(x, leaf)] for x in lists], split) > 0)
+    if split:
+        links = np.concatenate([mine @ weight[split:], mine.T @ weight[:split]])
+        square = np.zeros((len(reps), len(reps)), bool)
+        square[:split, split:], square[split:, :split] = near, near.T
+    else:
+        np.fill_diagonal(mine, False)
+        links, square = mine @ weight, near
+    root = components(square)
+    root_rep = reps[root]
+    use = (links > 0) | (root_rep != reps)
+    return reps[use], np.rint(links[use]).astype(np.int64), root_rep[use]
+
+
+def verified(docs: DataFrame, members: DataFrame, weights: DataFrame, n: int, threshold: float, cell: int, cell_shingles: int) -> DataFrame:
+    """Brute force within leaves: (rep, links, root) rows; root is a rep that rep is connected to within a cell or a pair of cells."""
     listed = members.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # at most runs * width**depth of them
 
     def sets(batches):
@@ -292,44 +314,43 @@ def verified(docs: DataFrame, members: DataFrame, weights: DataFrame, n: int, th
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), table.column("leaves").combine_chunks(), table.column("weight").combine_chunks(), lists], ["rep", "leaves", "weight", "tokens"])
 
     # Sorted on both sides at any size: a broadcast on small inputs only would hide what texts cost.
-    wanted = docs.hint("merge").join(listed.join(weights, "rep").withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "leaves", "weight")
+    wanted = docs.hint("merge").join(listed.join(weights.select("rep", "weight"), "rep").withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "leaves", "weight")
     full = materialize(wanted.mapInArrow(sets, "rep long, leaves array<long>, weight long, tokens array<long>"), "sets")
-
-    def brute(key, table):
-        leaf, i, j = (k.as_py() for k in key)
-        reps, own_block = np.asarray(table.column("rep")), np.asarray(table.column("own"))
-        by = np.lexsort((reps, own_block))
-        reps, own_block = reps[by], own_block[by]
-        tokens = [x.view(np.uint64) for x in _lists(table.column("tokens"), by)]
-        lists = _lists(table.column("leaves"), by)
-        weight = np.asarray(table.column("weight")).astype(np.float64)[by]
-        sizes = np.array([len(t) for t in tokens], np.float32)
-        split = int((own_block == i).sum()) if i != j else 0
-        empty = len(reps) < 2 or (i != j and split in (0, len(reps)))
-        if empty:
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        near = links_in(tokens, sizes, split, threshold)
-        if sizes.sum() > 1 << 19:
-            del tokens
-            give_back()
-        # A pair counts here unless it also meets in a smaller leaf.
-        left, right = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
-        mine = near & ~(shared_counts([x[: np.searchsorted(x, leaf)] for x in lists], split) > 0)
-        square = near
-        if split:
-            links = np.concatenate([mine @ weight[right], mine.T @ weight[left]])
-            square = np.zeros((len(reps), len(reps)), bool)
-            square[left, right], square[right, left] = near, near.T
-        else:
-            np.fill_diagonal(mine, False)
-            links = mine @ weight
-        root = components(square)
-        use = (links > 0) | (root != np.arange(len(reps)))
-        return pa.table({"rep": pa.array(reps[use], pa.int64()), "links": pa.array(np.rint(links[use]).astype(np.int64)), "root": pa.array(reps[root[use]], pa.int64())})
-
-    out = materialize(dealt(members, block).join(full, "rep").groupBy("leaf", "i", "j").applyInArrow(brute, "rep long, links long, root long"), "links")
+    heavy = members.join(weights.select("rep", "size"), "rep").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    heavy = heavy.select("leaf", F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("shingles") / cell_shingles)).cast("int").alias("cuts"))
+    placed = members.select("leaf", "rep").join(materialize(heavy, "cells"), "leaf").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("cuts")).cast("int"))
+    kinds = {"leaf": pa.int64(), "own": pa.int32(), "rep": pa.int64(), "links": pa.int64(), "root": pa.int64(), "packed": pa.binary()}
+
+    def within(key, table):
+        leaf, own = (k.as_py() for k in key)
+        reps, links, root = compared(leaf, [table], threshold) if len(table) > 1 else [[], [], []]
+        packed = []
+        if table.column("cuts")[0].as_py() > 1:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, (lean := table.select(["rep", "leaves", "weight", "tokens"])).schema) as w:
+                w.write_table(lean)
+            packed = [sink.getvalue().to_pybytes()]
+        rows, more = len(reps), len(packed)
+        cols = [[leaf] * (rows + more), [own] * (rows + more), [*reps, *[None] * more], [*links, *[None] * more], [*root, *[None] * more], [*[None] * rows, *packed]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+    def across(batches):
+        for b in batches:
+            for leaf, one, two in zip(*(b.column(c) for c in ("leaf", "one", "two")), strict=True):
+                tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in (one, two)]
+                cols = compared(leaf.as_py(), tables, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "links", "root"])
+        give_back()
+
+    inside = placed.join(full, "rep").groupBy("leaf", "own").applyInArrow(within, "leaf long, own int, rep long, links long, root long, packed binary")
+    inside = materialize(inside, "cells_within")
     discard(full)
-    return out
+    packed = inside.filter("packed is not null")
+    one, two = (packed.select("leaf", F.col("own").alias(i), F.col("packed").alias(c)) for i, c in (("i", "one"), ("j", "two")))
+    pairs = one.select("leaf", "i").join(two.select("leaf", "j"), "leaf").filter("i < j")
+    met = pairs.hint("merge").join(one, ["leaf", "i"]).join(two.hint("merge"), ["leaf", "j"]).select("leaf", "one", "two")
+    links = ["rep", "links", "root"]
+    return materialize(inside.filter("packed is null").select(*links).unionByName(met.mapInArrow(across, "rep long, links long, root long")), "links")
 
 
 def _lists(column, by) -> list[np.ndarray]:
@@ -353,7 +374,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9999, small: int = 64, dense: float = 0.6, width: int = 2, depth: int = 4, block: int = 512) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9999, small: int = 64, dense: float = 0.6, width: int = 2, depth: int = 4, cell: int = 2048, cell_shingles: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, rep_id, class_id, n_links, n_shingles.
 
     Words are runs of ASCII letters and digits or non-ASCII characters, A-Z as
@@ -375,8 +396,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: fl
     classes = materialize(signed.filter("size > 0").groupBy("set_a", "set_b", "size").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
     reps = signed.select(F.col("doc_id").alias("rep"), "sketch").join(classes.select("rep", "weight"), "rep")
     members = leaves(reps, runs, small, dense, width, depth)
-    near = once(materialize(sifted(members, reps.select("rep", "sketch"), least_for(threshold, runs * depth * width, (1 - target) / 100), block), "sifted"), "near")
-    pairs = verified(docs, near, classes.select("rep", "weight"), n, threshold, block)
+    near = once(materialize(sifted(members, reps.select("rep", "sketch"), least_for(threshold, runs * depth * width, (1 - target) / 100), cell), "sifted"), "near")
+    pairs = verified(docs, near, classes.select("rep", "weight", "size"), n, threshold, cell, cell_shingles)
     links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected(pairs.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     known = classes.join(groups, "rep", "left").join(links, "rep", "left")

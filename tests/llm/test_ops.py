@@ -330,11 +330,11 @@ def brute_join(docs, n=5):
     return {d: (group[d], len(links[d])) for d in docs}
 
 
-@pytest.mark.parametrize(("block", "small"), [(512, 64), (16, 4)])
-def test_jaccard_join(spark, empty, block, small):
+@pytest.mark.parametrize(("cell", "shingles", "small"), [(2048, 1 << 20, 64), (16, 1 << 20, 4), (2048, 700, 4)])
+def test_jaccard_join(spark, empty, cell, shingles, small):
     rnd = random.Random(10)
     vocabulary_ = [f"w{k}" for k in range(2000)]
-    rows = [*ODD[:6], (7, "A B!"), (8, "a, b")]
+    rows = [*ODD[:6], (7, "A B!"), (8, "a, b"), (9, "word " * 30_000), (10, "word " * 30_000 + "end")]
     at = 20
     for size in (2, 3, 40, 80):
         base = rnd.choices(vocabulary_, k=rnd.randint(20, 120))
@@ -346,7 +346,7 @@ def test_jaccard_join(spark, empty, block, small):
             at += 1
     passage = rnd.choices(vocabulary_, k=60)
     rows += [(at + k, " ".join(rnd.choices(vocabulary_, k=40) + passage)) for k in range(60)]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(frame(spark, [*rows, rows[-1], (None, "x y")]), block=block, small=small).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(frame(spark, [*rows, rows[-1], (None, "x y")]), cell=cell, cell_shingles=shingles, small=small).collect()}
     assert got == brute_join(dict(rows))
     assert jaccard_join.jaccard_join(empty).count() == 0
 
