@@ -116,6 +116,23 @@ def by_row(docs: DataFrame, key: str = "row_key") -> DataFrame:
     return materialize(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(key, F.monotonically_increasing_id()), "rows")
 
 
+def meet(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """rows with the columns of their group, which is there for each of them; groups is a written table with one row a key.
+
+    A group of more than a thousandth of all rows is broadcast: there are under
+    a thousand of them. Their rows are dealt by `spread`, only those of others
+    by the key, so no task gets a large group.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    own = F.struct(*[c for c in groups.columns if c != key])
+    large = F.col(size) * 1000 > total
+    hot = groups.filter(large).select(key, own.alias("_hot"))
+    cold = groups.filter(~large).select(F.col(key).alias("_at"), own.alias("_cold"))
+    apart = F.concat(F.lit("spread "), F.coalesce(F.col(spread), F.monotonically_increasing_id()).cast("string"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_to", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(apart))
+    return marked.hint("merge").join(cold, F.col("_to") == F.col("_at"), "left").withColumn("_own", F.coalesce("_hot", "_cold")).select(*rows.columns, "_own.*")
+
+
 # 64-bit mixing constants (odd, from the golden ratio and two common finalizers).
 C1 = np.uint64(0x9E3779B97F4A7C15)
 C2 = np.uint64(0xBF58476D1CE4E5B9)
