@@ -29,6 +29,7 @@ EDGE = "".join(c for c in "!.,;:?\"'()[]{}<>*#%&$+-_=/\\|~^`…«»“”„‚
 SPACED = regex.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){2,}[^\W_](?!\S)")
 REPEATED = regex.compile(r"(.)\1\1")
 ALPHABET = 64  # characters the model tells apart; others share one place
+OTHER = "\ufffd"  # stands for those in trigrams
 
 
 def disguised(token: str) -> bool:
@@ -46,7 +47,8 @@ class CharModel:
     def __init__(self, counts: dict[str, int]) -> None:
         singles: Counter = Counter()
         for gram, n in counts.items():
-            singles[gram[2]] += n
+            if gram[2] != OTHER:
+                singles[gram[2]] += n
         self.index = {c: k + 1 for k, (c, _) in enumerate(sorted(singles.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2])}
         self.index.setdefault("^", ALPHABET - 1)
         three = np.zeros((ALPHABET, ALPHABET, ALPHABET))
@@ -153,11 +155,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def trigrams(docs: DataFrame) -> dict[str, int]:
+    """Character trigrams of the words of all documents: how many texts' words have them.
+
+    Characters beyond the most frequent ones are one, so the result has at most
+    ALPHABET ** 3 entries whatever the corpus.
+    """
+
+    def count(batches):
+        for b in batches:
+            words: Counter = Counter()
+            for text in b.column("text").to_pylist():
+                words.update(set(WORD.findall((text or "").lower())))
+            grams: Counter = Counter()
+            for w, n in words.items():
+                padded = f"^^{w}$"
+                for i in range(len(w) + 1):
+                    grams[padded[i : i + 3]] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["name", "n"])
+
+    small_batches(docs.sparkSession)
+    every = materialize(docs.select("text").mapInArrow(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")), "trigrams")
+    top = every.groupBy(F.substring("name", 3, 1).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET - 2).collect()
+    known = "".join(f"\\x{{{ord(c):x}}}" for c in sorted({"^", *(r["c"] for r in top)}))
+    folded = every.groupBy(F.regexp_replace("name", f"[^{known}]", OTHER).alias("name")).agg(F.sum("n").alias("n"))
+    return dict(folded.collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[dict[str, float], dict[str, int]]:
-    """Feature strengths and character trigrams from at most max_rows labelled rows that are not held out.
+    """Feature strengths from at most max_rows labelled rows that are not held out, and character trigrams of all documents.
 
     Labels with a null doc_id or toxic value are left out; of several labels of
-    a document the largest counts. With no such rows nothing is learnt.
+    a document the largest counts. With no such rows no strengths are learnt.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
@@ -166,35 +195,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[dict[
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
     def count(batches):
-        toxic, clean, grams = Counter(), Counter(), Counter()
+        toxic, clean = Counter(), Counter()
         for b in batches:
             for text, mark in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = set(WORD.findall((text or "").lower()))
                 (toxic if mark else clean).update({f for w in words for f in features(w)})
-                for w in words:
-                    padded = f"^^{w}$"
-                    grams.update(padded[i : i + 3] for i in range(len(w) + 1))
-        names = sorted(toxic.keys() | clean.keys())
-        rows = [("f", x, toxic[x], clean[x]) for x in names] + [("g", x, n, 0) for x, n in sorted(grams.items())]
+        rows = [(x, toxic[x], clean[x]) for x in sorted(toxic.keys() | clean.keys())]
         for at in range(0, len(rows), 50_000):
             part = rows[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["kind", "name", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["name", "toxic", "clean"])
 
     small_batches(spark)
-    counts = texts.join(marks, "doc_id").select("text", "toxic").mapInArrow(count, "kind string, name string, toxic long, clean long")
-    total = counts.groupBy("kind", "name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("kind = 'g' or toxic > 2 * clean")
+    counts = texts.join(marks, "doc_id").select("text", "toxic").mapInArrow(count, "name string, toxic long, clean long")
+    total = counts.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic > 2 * clean")
     # At most what max_rows texts hold, and of features only those that lean to toxic texts.
-    strength, grams = {}, {}
+    strength = {}
     rows = total.collect()
     share = marks.agg(F.avg("toxic")).first()[0] or 0.5
-    tried = sum(r["kind"] == "f" for r in rows)
-    for kind, name, hits, clean in rows:
-        if kind == "g":
-            grams[name] = hits
-        elif (s := lower_bound(hits, hits + clean)) >= 0.2:
+    for name, hits, clean in rows:
+        if (s := lower_bound(hits, hits + clean)) >= 0.2:
             # So many features are tried that some meet toxic texts only by chance: such ones stay under the threshold.
-            chance = tried * math.comb(hits + clean, hits) * share**hits
-            strength[name] = s if chance < 0.05 else min(s, 0.45)
+            n = hits + clean
+            chance = math.log(len(rows)) + math.lgamma(n + 1) - math.lgamma(hits + 1) - math.lgamma(clean + 1) + hits * math.log(share)
+            strength[name] = s if chance < math.log(0.05) else min(s, 0.45)
     strong = {f for f, s in strength.items() if s >= 0.5}
 
     def own(batches):
@@ -204,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[dict[
 
     toxic = texts.join(marks.filter("toxic > 0"), "doc_id").select("text").distinct()
     lists = [r["found"] for r in toxic.mapInArrow(own, "found array<string>").collect()]  # of at most max_rows texts
-    return covering(strength, lists), grams
+    return covering(strength, lists), trigrams(docs)
 
 
 def covering(strength: dict[str, float], lists: list[list[str]]) -> dict[str, float]:
