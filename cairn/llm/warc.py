@@ -1,10 +1,11 @@
 """WARC archives packaged in ZIP files: a writer, and a reader that range-reads records in place.
 
-A package holds two stored (not deflated) members: `archive/data.warc.gz`, one
+A package that is written holds two stored (not deflated) members: `archive/data.warc.gz`, one
 gzip member for each record, and `indexes/index.cdx`, a line for each record
 with its id, offset and length within the archive member. The reader parses
-the end of the file for the central directory (ZIP64 too), finds where a
-stored member's bytes begin, and reads index and records by their ranges; no
+the end of the file for the central directory (ZIP64 too), lists all stored
+members under `archive/` and `indexes/` (gzip'd indexes and those with JSON fields
+too), finds where their bytes begin, and reads indexes and records by their ranges; no
 member is extracted. Paths are opened through pyarrow.fs, so that a package
 may lie in any store with a pyarrow file system (file, s3, gs, hdfs).
 """
@@ -12,8 +13,10 @@ may lie in any store with a pyarrow file system (file, s3, gs, hdfs).
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, new_path, small_batches
+from cairn.llm.common import materialize, meet, new_path, small_batches
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 # Signatures and sizes of the ZIP format (APPNOTE): fixed values.
@@ -37,6 +40,8 @@ def open_store(uri: str):
 
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if uri.startswith(("s3a:", "s3n:")):  # the names that Hadoop gives one store
+        uri = "s3:" + uri.partition(":")[2]
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
@@ -99,16 +104,35 @@ def stored_start(f, member: tuple[int, int, int]) -> int:
     return offset + 30 + sum(struct.unpack("<HH", header[26:30]))
 
 
-def read_index(uri: str) -> tuple[int, list[tuple[str, int, int]]]:
-    """(start of the archive member in the file, [(record id, offset, length)])."""
+def index_lines(raw: bytes) -> list[tuple[str, str, int, int]]:
+    """(record id or key, file name or "", offset, length) of an index: lines of `id offset length`, or of key, time and JSON; gzip'd or not."""
+    text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8")
+    out = []
+    for line in text.splitlines():
+        if line.endswith("}") and "{" in line:
+            head, _, rest = line.partition("{")
+            fields = json.loads("{" + rest)
+            out.append((head.strip(), fields.get("filename", ""), int(fields["offset"]), int(fields["length"])))
+        elif line.strip() and not line.startswith((" CDX", "!")):
+            rid, at, n = line.rsplit(" ", 2)
+            out.append((rid, "", int(at), int(n)))
+    return out
+
+
+def read_index(uri: str) -> list[tuple[str, int, int]]:
+    """(record id, offset in the file, length) of the records that a package's indexes name, in all of its stored archive members."""
     fs, path = open_store(uri)
     with fs.open_input_file(path) as f:
         members = zip_members(f, f.size())
-        start = stored_start(f, members[ARCHIVE])
-        at = stored_start(f, members[INDEX])
-        f.seek(at)
-        lines = f.read(members[INDEX][1]).decode().splitlines()
-    return start, [(a, int(b), int(c)) for a, b, c in (x.rsplit(" ", 2) for x in lines)]
+        starts = {name: stored_start(f, m) for name, m in members.items() if name.startswith("archive/") and not name.endswith("/")}
+        out = []
+        for name in sorted(m for m in members if m.startswith("indexes/") and not m.endswith("/")):
+            f.seek(stored_start(f, members[name]))
+            for rid, file, at, n in index_lines(f.read(members[name][1])):
+                if not file and len(starts) > 1:
+                    raise ValueError(f"{uri}: {name} does not say which archive member {rid} is in")
+                out.append((rid, (starts[f"archive/{file}"] if file else next(iter(starts.values()))) + at, n))
+    return out
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -185,8 +209,9 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, mi
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    latest = rows.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("latest"))
-    joined = rows.join(latest, ["digest", "n_bytes"])
+    rows = rows.withColumn("digest", F.concat_ws(" ", "digest", F.col("n_bytes").cast("string")))
+    latest = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n_equal")), "latest")
+    joined = meet(rows, latest, "digest", "n_equal", "page_id")
     revisit = (F.col("n_bytes") >= min_bytes) & (F.col("page_id") < F.col("latest"))
     placed = joined.select("page_id", "url", F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"), "n_bytes", F.upper(F.sha1("payload")).alias("sha1"), F.when(revisit, F.col("latest")).alias("refers_to"))
 
@@ -223,6 +248,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 4
 
     Returns page_id, url, payload_bytes, payload_digest (base32 SHA-1),
     record_type, refers_to and, if asked for, payload (null for a revisit).
+    Records of other writers have a null page_id; theirs are the headers' values.
     Length and digest of a response are taken from the bytes read and must
     agree with its headers; those of a revisit are in its headers.
     """
@@ -231,10 +257,10 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 4
         for b in batches:
             rows: list[tuple[str, int, list[int]]] = []
             for path in b.column("path").to_pylist():
-                start, index = read_index(path)
+                index = read_index(path)
                 run, held = [], 0
                 for k, (_, at, n) in enumerate(index):
-                    run += [start + at, n]
+                    run += [at, n]
                     held += n
                     if held >= range_bytes or k == len(index) - 1:
                         rows.append((path, run[0], run))
@@ -242,8 +268,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 4
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["path", "ranges"])
 
     def number(headers, key):
-        value = headers[key].strip("<>").removeprefix("urn:page:")
-        return None if value == "None" else int(value)
+        value = headers.get(key, "").strip("<>").removeprefix("urn:page:")
+        return int(value) if value.lstrip("-").isdigit() else None
 
     def fetch(batches):
         for b in batches:
@@ -251,16 +277,22 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 4
                 fs, own = open_store(path)
                 cols: list[list] = [[] for _ in range(7)]
                 with fs.open_input_file(own) as f:
+                    from_, to = ranges[0], ranges[-2] + ranges[-1]
+                    whole = to - from_ == sum(ranges[1::2])  # records side by side: one read
+                    if whole:
+                        f.seek(from_)
+                        blob = f.read(to - from_)
                     for at, n in zip(ranges[::2], ranges[1::2], strict=True):
-                        f.seek(at)
-                        headers, block = parse_record(f.read(n))
-                        digest, length = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"])
-                        kind = headers["WARC-Type"]
-                        if kind == "response":
+                        if not whole:
+                            f.seek(at)
+                        headers, block = parse_record(blob[at - from_ : at - from_ + n] if whole else f.read(n))
+                        kind, ours = headers["WARC-Type"], "X-Payload-Length" in headers
+                        digest, length = headers.get("WARC-Payload-Digest", "").rpartition(":")[2], int(headers["X-Payload-Length"] if ours else headers["Content-Length"])
+                        if kind == "response" and ours:
                             read = base64.b32encode(hashlib.sha1(block).digest()).decode()
                             if (read, len(block)) != (digest, length):
                                 raise ValueError(f"{path}: record at {at} does not agree with its headers")
-                        values = (number(headers, "WARC-Record-ID"), headers["WARC-Target-URI"], length, digest, kind, number(headers, "WARC-Refers-To") if kind == "revisit" else None, block if with_payload and kind == "response" else None)
+                        values = (number(headers, "WARC-Record-ID"), headers.get("WARC-Target-URI", ""), length, digest, kind, number(headers, "WARC-Refers-To") if kind == "revisit" else None, block if with_payload and kind == "response" else None)
                         for c, v in zip(cols, values, strict=True):
                             c.append(v)
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
