@@ -3,8 +3,8 @@
 Every rolling word k-gram hash of a text is joined to the template positions
 that have it. Hits of one template on one diagonal (position in the text less
 position in the template) vote together; diagonals a few words apart, as a word
-put in or left out makes them, are merged; and a merged span counts when it
-covers enough of the template.
+put in or left out makes them, are merged; and a merged span is verified by the
+share of the template's own positions that its words agree with, each counted once.
 """
 
 from __future__ import annotations
@@ -75,14 +75,14 @@ def license_spans(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, coverage:
     hits = places.join(F.broadcast(index.unionByName(lone)), "hash")
     # Votes of each diagonal.
     votes = hits.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("place") - F.col("at")))
-    near = votes.groupBy("doc_key", "doc_id", "template", "label", "exact", "n_grams", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("at").alias("low"), F.max("at").alias("high"))
-    # Merge diagonals of one template that drift by a few words and overlap it in the text.
+    near = votes.groupBy("doc_key", "doc_id", "template", "label", "exact", "n_grams", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), F.collect_set("at").alias("met"))
+    # Merge diagonals of one template that drift by a few words: their texts are within a template's length of each other.
     order = Window.partitionBy("doc_key", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(order)
     fresh = F.when(F.col("exact") | step.isNull() | (step > drift), 1).otherwise(0)
     merged = near.withColumn("island", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("doc_key", "doc_id", "template", "label", "exact", "n_grams", "island").agg(F.sum("votes").alias("votes"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.max("last").alias("n_words"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.greatest(F.col("n_grams"), F.lit(1)))
+    spans = merged.groupBy("doc_key", "doc_id", "template", "label", "exact", "n_grams", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("votes"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.max("last").alias("n_words"))
+    share = F.col("votes") / F.greatest(F.col("n_grams"), F.lit(1))
     good = F.when(F.col("exact"), F.col("votes") == F.col("n_grams")).otherwise(share >= coverage)
     return spans.withColumn("covered", share).filter((F.col("template") < 0) | good)
 
