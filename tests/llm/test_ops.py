@@ -88,6 +88,34 @@ def test_archives(spark):
     assert all(r["record_type"] == "response" for r in warc.archive_round_trip(pages, min_bytes=10).collect())
 
 
+def test_archives_of_others(spark, tmp_path):
+    records = [warc.warc_record(k, "http://x/", b"payload %d" % k, 9, "D", None if k else 1) for k in range(4)]
+    one, two = b"".join(records[:2]), b"".join(records[2:])
+    line = lambda k, name, at: f'com,x)/ 2020 {{"offset": "{at}", "length": "{len(records[k])}", "filename": "{name}"}}\n'
+    index = line(0, "a.warc.gz", 0) + line(1, "a.warc.gz", len(records[0])) + line(3, "b.warc.gz", len(records[2])) + line(2, "b.warc.gz", 0)
+    import gzip
+
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/a.warc.gz", one)
+        z.writestr("datapackage.json", "{}")
+        z.writestr("indexes/index.cdx.gz", gzip.compress(index.encode()))
+        z.writestr("archive/b.warc.gz", two)
+    found = warc.read_index(str(tmp_path / "x.wacz"))
+    raw = (tmp_path / "x.wacz").read_bytes()
+    assert [raw[at : at + n] for _, at, n in found] == [records[k] for k in (0, 1, 3, 2)]
+    refers = spark.createDataFrame([(str(tmp_path / "x.wacz"),)], "path string")
+    with pytest.raises(Exception, match="agree with its headers"):  # the digest in these headers is not the payload's
+        warc.read_archives(spark, refers).collect()
+
+
+def test_equal_pages_and_long_ones(spark):
+    pages = spark.createDataFrame([(1, "u", "p" * 3_000_000), (2, "u", "p" * 3_000_000), (2, "u", "p" * 3_000_000), *((k, "u", "same") for k in range(10, 2000))], "page_id long, url string, html string")
+    got = warc.archive_round_trip(pages, roll_bytes=1 << 16).collect()
+    assert len(got) == pages.count()
+    assert {r["refers_to"] for r in got if 10 <= r["page_id"] < 1999} == {1999}
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["page_id"] < 10) == [(1, "revisit", 2, 3_000_000), (2, "response", None, 3_000_000), (2, "response", None, 3_000_000)]
+
+
 def test_zip64_directory():
     raw = warc.package([("urn:page:1", warc.warc_record(1, "u", b"payload", 7, "D", None))])
     # The same package with a ZIP64 end record: the plain one's fields are full.
@@ -141,9 +169,63 @@ def test_exact_dedup(spark, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_goes_by_content(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "digest", lambda body: F.length(body).cast("string"))  # many texts share one digest
+    rows = [(i, f"t{i % 7}") for i in range(200)] + [(500 + i, "hot  text") for i in range(3000)]
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(frame(spark, rows).repartition(7)).collect()}
+    assert all((got[i]["keep_id"], got[i]["group_size"]) == (i % 7, len(range(i % 7, 200, 7))) for i in range(200))
+    assert all((got[i]["keep_id"], got[i]["group_size"]) == (500, 3000) for i in range(500, 3500))
+
+
 # 5
 
 
+def brute_decode(model, token):
+    """Best reading over all paths, without dynamic programming."""
+    paths, previous = [(0.0, "")], ""
+    for c in token:
+        options = [(c, 0.0)] if c.isalpha() else []
+        options += [(r, 0.7) for r in toxicity.LEET.get(c, "")]
+        options += [("", 0.4)] * (c == previous) + [("", 0.5)] * (c in toxicity.SEPARATORS or not c.isalnum())
+        paths = [(cost + price, text + r) for cost, text in paths for r, price in options or [("", 2.0)]]
+        previous = c
+
+    def loss(text):
+        p = f"^^{text}$"
+        return sum(model.step(*p[i : i + 3]) for i in range(len(p) - 2))
+
+    return min(cost + loss(text) for cost, text in paths), {text: cost + loss(text) for cost, text in sorted(paths, reverse=True)}
+
+
+def test_decoder_finds_the_best_path(spark):
+    docs = frame(spark, [(k, "an idiot and a fool sat on the old wall together, so silly") for k in range(5)] + [(9, None)])
+    model = toxicity.CharModel(toxicity.trigrams(docs))
+    for token in ("1d10t", "f00l", "s!lly", "i d-i o.t", "siiilly", "@ll", "7|_", "x9*"):
+        best, costs = brute_decode(model, token)
+        assert abs(costs[model.decode(token)] - best) < 1e-9
+
+
+def test_trigrams_are_bounded(spark):
+    rows = [(k, "".join(chr(0x4E00 + (k * 37 + j) % 3000) for j in range(200)) + " word word") for k in range(40)]
+    grams = toxicity.trigrams(frame(spark, rows))
+    assert len({c for g in grams for c in g}) <= toxicity.ALPHABET and toxicity.OTHER * 3 in grams
+    assert grams["^^w"] == 40
+
+
+def test_toxicity_on_mostly_toxic_labels(spark):
+    from zlib import crc32
+
+    rows = [(i, f"idiot word{i % 50} text" if i % 4 else f"word{i % 50} text") for i in range(3000)] + [(None, "idiot"), (4000, "idiot " * 50_000), (1, "idiot word1 text")]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(3000)], "doc_id long, toxic int")
+    got = toxicity.toxicity(frame(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    df = frame(spark, rows)
+    held = {r["doc_id"]: r["h"] for r in df.select("doc_id", toxicity.held_out(df["doc_id"]).alias("h")).collect()}
+    assert all(h == (i is None or crc32(str(i).encode()) % 5 == 0) for i, h in held.items())
+
+
 def test_toxicity(spark, empty):
     rnd = random.Random(5)
     words = ["".join(rnd.choice("aeiou" if k % 2 else "bdlmnrst") for k in range(rnd.randint(3, 8))) for _ in range(400)]
