@@ -156,23 +156,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def trigrams(docs: DataFrame) -> dict[str, int]:
-    """Character trigrams of the words of all documents: how many texts' words have them.
+    """Character trigrams of the words of all documents, with how often the words have them.
 
     Characters beyond the most frequent ones are one, so the result has at most
     ALPHABET ** 3 entries whatever the corpus.
     """
 
+    def spelt(tokens: Counter) -> pa.RecordBatch:
+        words: Counter = Counter()
+        for token, n in tokens.items():
+            for w in WORD.findall(token):
+                words[w] += n
+        grams: Counter = Counter()
+        for w, n in words.items():
+            padded = f"^^{w}$"
+            for i in range(len(w) + 1):
+                grams[padded[i : i + 3]] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["name", "n"])
+
     def count(batches):
+        tokens: Counter = Counter()
         for b in batches:
-            words: Counter = Counter()
             for text in b.column("text").to_pylist():
-                words.update(set(WORD.findall((text or "").lower())))
-            grams: Counter = Counter()
-            for w, n in words.items():
-                padded = f"^^{w}$"
-                for i in range(len(w) + 1):
-                    grams[padded[i : i + 3]] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["name", "n"])
+                tokens.update((text or "").lower().split())
+            if len(tokens) > 200_000:
+                yield spelt(tokens)
+                tokens = Counter()
+        yield spelt(tokens)
 
     small_batches(docs.sparkSession)
     every = materialize(docs.select("text").mapInArrow(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")), "trigrams")

@@ -211,7 +211,7 @@ def test_trigrams_are_bounded(spark):
     rows = [(k, "".join(chr(0x4E00 + (k * 37 + j) % 3000) for j in range(200)) + " word word") for k in range(40)]
     grams = toxicity.trigrams(frame(spark, rows))
     assert len({c for g in grams for c in g}) <= toxicity.ALPHABET and toxicity.OTHER * 3 in grams
-    assert grams["^^w"] == 40
+    assert grams["^^w"] == 80 and sum(n for g, n in grams.items() if g.endswith("$")) == 120
 
 
 def test_toxicity_on_mostly_toxic_labels(spark):
