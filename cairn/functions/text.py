@@ -6,9 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space that stripping removes: that of ASCII, the separators of information, and Unicode's.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(SPACE))
+
+
 def cleaned(c: Column) -> Column:
     """Stripped text, or null where nothing is left."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
+
+
+def folded(c: Column) -> Column:
+    """For comparing without case: lower case after upper, so that letters with several lower forms meet."""
+    return F.lower(F.upper(c))
 
 
 def is_upper(c: Column) -> Column:
@@ -30,15 +44,26 @@ def escaped(c: Column) -> Column:
 
 
 def fit_cell(c: Column) -> Column:
-    return F.when(F.length(c) <= 28, c).otherwise(F.concat(F.substring(c, 1, 25), F.lit("...")))
+    flat = strip(F.replace(c, F.lit("\n"), F.lit(" ")))
+    return F.when(F.length(flat) <= 28, flat).otherwise(F.concat(F.substring(flat, 1, 25), F.lit("...")))
 
 
 def parse_row(line: Column) -> Column:
-    """Cells of a table line: by tabs, else pipes, else commas, else two spaces or more; blank cells are dropped."""
-    outer = F.regexp_replace(F.trim(line), r"^\|+|\|+$", "")
-    cells = F.when(line.contains("\t"), F.split(line, "\t")).when(line.contains("|"), F.split(outer, r"\|")).when(line.contains(","), F.split(line, ",")).otherwise(F.split(line, " {2,}"))
-    return F.filter(F.transform(cells, lambda x: F.trim(x)), lambda x: x != "")
+    """Cells of a table line: by tabs, else pipes, else commas, else two white spaces or more; blank cells are dropped."""
+    bare = strip(line)
+    outer = F.regexp_replace(bare, r"^\|+|\|+$", "")
+    cells = F.when(bare.contains("\t"), F.split(bare, "\t")).when(bare.contains("|"), F.split(outer, r"\|")).when(bare.contains(","), F.split(bare, ",")).otherwise(F.split(bare, r"(?U)\s{2,}"))
+    return F.filter(F.transform(cells, strip), lambda x: x != "")
+
+
+def lines_of(c: Column) -> Column:
+    """Stripped lines that are not blank."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip), lambda x: x != "")
 
 
-def stable_id(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def table_rows(c: Column, headers: Column) -> Column:
+    """Rows of a table's text, under its headers unless the first row is the same but for case."""
+    rows = F.filter(F.transform(lines_of(c), parse_row), lambda r: F.size(r) > 0)
+    named = F.filter(F.transform(headers, strip), lambda x: x != "")
+    same = F.coalesce(F.transform(F.get(rows, F.lit(0)), folded) == F.transform(named, folded), F.lit(False))
+    return F.when((F.size(named) == 0) | same, rows).otherwise(F.concat(F.array(named), rows))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.text import cleaned, lines_of, strip
+
 
 def page_median(lines: DataFrame) -> DataFrame:
     """Exact median of non-zero font sizes of each page, 0 where there is none."""
@@ -14,12 +16,48 @@ def page_median(lines: DataFrame) -> DataFrame:
 
 def heading(text: Column, size: Column, body: Column, line_count: Column | None = None) -> Column:
     lines = F.lit(1) if line_count is None else line_count
-    upper = (text == F.upper(text)) & (text != F.lower(text)) & (F.size(F.split(F.trim(text), r"\s+")) <= 10)
+    upper = (text == F.upper(text)) & (text != F.lower(text)) & (F.size(F.split(strip(text), r"(?U)\s+")) <= 10)
     return (F.length(text) <= 120) & (lines <= 2) & (((body > 0) & (size >= body + 2)) | upper)
 
 
 def heading_level(size: Column, body: Column) -> Column:
-    return F.when(size >= body + 8, 1).when(size >= body + 4, 2).otherwise(3)
+    return F.when((body > 0) & (size >= body + 8), 1).when((body > 0) & (size >= body + 4), 2).otherwise(3)
+
+
+def table_text(text: Column) -> Column:
+    """Whether text looks like a table: two lines or more, and two or more with a tab or two spaces."""
+    lines = lines_of(text)
+    return (F.size(lines) >= 2) & (F.size(F.filter(lines, lambda x: x.contains("\t") | x.contains("  "))) >= 2)
+
+
+def table_headers(text: Column) -> Column:
+    """Cells of the first line: by tabs, else by two spaces."""
+    first = F.coalesce(F.get(lines_of(text), F.lit(0)), F.lit(""))
+    cells = F.when(first.contains("\t"), F.split(first, "\t")).otherwise(F.split(first, "  "))
+    return F.filter(F.transform(cells, strip), lambda x: x != "")
+
+
+def block_confidence(line_count: Column) -> Column:
+    return F.when(line_count == 1, 0.85).otherwise(0.8)
+
+
+def image_rows(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Images (doc_id, page_number, pos) with the box that has their number on the page, if there is one.
+
+    boxes (doc_id, page_number, ord, x0, y0, x1, y1) counts every drawing, so an
+    image that is drawn twice shifts the boxes of those behind it.
+    """
+    nth = (F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("pos")) - 1).cast("long")
+    rows = images.select("doc_id", "page_number", "pos").withColumn("ord", nth).join(boxes, ["doc_id", "page_number", "ord"], "left")
+    name = F.concat(F.col("page_number").cast("string"), F.lit(":image:"), (F.col("ord") + 1).cast("string"))
+    return rows.select("doc_id", "pos", name.alias("element_id"), F.lit(0.65).alias("confidence"), "x0", "y0", "x1", "y1")
+
+
+def link_rows(elements: DataFrame) -> DataFrame:
+    """Links with the text their box touches, else their address; those without one of both are little trusted."""
+    rows = elements.filter("type = 'link'").select("doc_id", F.col("pos").alias("link_pos"), cleaned(F.col("href")).alias("href")).join(link_texts(elements), ["doc_id", "link_pos"])
+    text = F.nullif("texts", F.lit(""))
+    return rows.select("doc_id", F.col("link_pos").alias("pos"), F.coalesce(text, "href", F.lit("")).alias("text"), F.when(text.isNotNull() & F.col("href").isNotNull(), 0.85).otherwise(0.45).alias("confidence"))
 
 
 def link_texts(elements: DataFrame) -> DataFrame:
@@ -27,8 +65,10 @@ def link_texts(elements: DataFrame) -> DataFrame:
     links = elements.filter("type = 'link'").select("doc_id", "page_number", F.col("pos").alias("link_pos"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
     lines = elements.filter("type <> 'link'").select("doc_id", "page_number", "pos", "text", "x0", "y0", "x1", "y1")
     touch = (F.col("x0") <= F.col("l_x1")) & (F.col("x1") >= F.col("l_x0")) & (F.col("y0") <= F.col("l_y1")) & (F.col("y1") >= F.col("l_y0"))
-    met = links.join(lines, ["doc_id", "page_number"]).filter(touch)
-    return met.groupBy("doc_id", "link_pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("texts"), F.count(F.lit(1)).cast("long").alias("lines"))
+    lines = lines.withColumnRenamed("doc_id", "l_doc").withColumnRenamed("page_number", "l_page")
+    met = links.join(lines, (F.col("doc_id") == F.col("l_doc")) & (F.col("page_number") == F.col("l_page")) & touch, "left")
+    listed = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "text")))
+    return met.groupBy("doc_id", "link_pos").agg(F.array_join(F.transform(F.sort_array(listed), lambda x: x["text"]), " ").alias("texts"), F.count("pos").cast("long").alias("lines"))
 
 
 def nearby(elements: DataFrame, k: int = 2, limit: int = 160) -> DataFrame:
@@ -36,10 +76,10 @@ def nearby(elements: DataFrame, k: int = 2, limit: int = 160) -> DataFrame:
     images = elements.filter("type = 'image'").select("doc_id", "page_number", F.col("pos").alias("image_pos"), (F.col("x0") + F.col("x1")).alias("cx"), (F.col("y0") + F.col("y1")).alias("cy"))
     lines = elements.filter("type <> 'image'").select("doc_id", "page_number", "pos", "text", "x0", "y0", "x1", "y1")
     far = (F.abs(F.col("x0") + F.col("x1") - F.col("cx")) + F.abs(F.col("y0") + F.col("y1") - F.col("cy"))) / 2
-    near = images.join(lines, ["doc_id", "page_number"]).withColumn("far", far)
+    near = images.join(lines, ["doc_id", "page_number"], "left").withColumn("far", far)
     near = near.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "image_pos").orderBy("far", "pos"))).filter(F.col("rn") <= k)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "text"))), lambda x: x["text"]), " ")
-    return near.groupBy("doc_id", "image_pos").agg(F.trim(F.substring(text, 1, limit)).alias("nearby_text"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("rn", "text")))), lambda x: x["text"]), " ")
+    return near.groupBy("doc_id", "image_pos").agg(strip(F.substring(text, 1, limit)).alias("nearby_text"))
 
 
 def multi_column(lines: DataFrame, keys: list[str], least: int = 6, gap: int = 48, spread: int = 120) -> DataFrame:

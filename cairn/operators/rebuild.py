@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import textwrap
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.functions.text import cleaned
+from cairn.functions.text import cleaned, folded, strip, table_rows
 
 RENDERED = ["heading", "paragraph", "list_item", "table", "image", "link"]
 
@@ -19,13 +20,20 @@ def role() -> Column:
 
 
 def has_content() -> Column:
-    shown = cleaned(F.col("text")).isNotNull()
-    return F.col("type").isin(RENDERED) & (shown | (F.col("type") == "image") | ((F.col("type") == "link") & cleaned(F.col("href")).isNotNull()) | ((F.col("type") == "table") & (F.col("n_headers") > 0)))
+    """Images always, tables with rows or headers, other elements with text."""
+    t = F.col("type")
+    shown = F.when(t == "image", True).when(t == "table", F.size(table_rows(F.col("text"), F.col("table_headers"))) > 0).otherwise(cleaned(F.col("text")).isNotNull())
+    return t.isin(RENDERED) & shown
+
+
+def list_label(label: Column) -> Column:
+    """What stands before a list item: its own label, else a dash; nothing before other elements."""
+    return F.when(F.col("type") == "list_item", F.coalesce(cleaned(label), F.lit("-"))).otherwise(F.lit(""))
 
 
 def duplicate_texts(elements: DataFrame) -> DataFrame:
     """Elements whose text is a link's, ignoring case, and whose box overlaps it by an area."""
-    key = F.lower(F.trim("text"))
+    key = folded(strip(F.col("text")))
     links = elements.filter("type = 'link'").select("doc_id", key.alias("key"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
     over = (F.col("x0") < F.col("l_x1")) & (F.col("x1") > F.col("l_x0")) & (F.col("y0") < F.col("l_y1")) & (F.col("y1") > F.col("l_y0"))
     texts = elements.filter("type <> 'link'").withColumn("key", key).filter("key <> ''")
@@ -45,44 +53,116 @@ def height(wrapped_lines: Column, table_rows: Column) -> Column:
 
 
 def paginate(rows: DataFrame, top: int = 72, bottom: int = 760) -> DataFrame:
-    """(doc_id, pos, page_index) of (doc_id, pos, height): a fold, since where a page begins depends on the pages before."""
-    ordered = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("height").cast("long").alias("height")))).alias("rows"))
-    state = F.struct(F.lit(top).cast("long").alias("y"), F.lit(0).cast("long").alias("page"), F.array().cast("array<struct<pos:bigint,page_index:bigint>>").alias("out"))
+    """(doc_id, pos, page_index) of (doc_id, pos, height): a fold, since where a page begins depends on the pages before.
+
+    Rows pass in order of document and place; only the cursor is held, so a
+    document of any length takes one pass.
+    """
 
-    def step(s, x):
-        turn = s["y"] > bottom
-        page = F.when(turn, s["page"] + 1).otherwise(s["page"])
-        y = F.when(turn, F.lit(top).cast("long")).otherwise(s["y"])
-        return F.struct((y + x["height"]).alias("y"), page.alias("page"), F.concat(s["out"], F.array(F.struct(x["pos"].alias("pos"), page.alias("page_index")))).alias("out"))
+    def run(batches):
+        import pyarrow as pa
 
-    folded = ordered.select("doc_id", F.explode(F.aggregate("rows", state, step, lambda s: s["out"])).alias("r"))
-    return folded.select("doc_id", "r.pos", "r.page_index")
+        doc, y, page = None, top, 0
+        for b in batches:
+            pages = []
+            for d, h in zip(b.column("doc_id").to_pylist(), b.column("height").to_pylist(), strict=True):
+                if d != doc:
+                    doc, y, page = d, top, 0
+                if y > bottom:
+                    y, page = top, page + 1
+                y += h
+                pages.append(page)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("pos"), pa.array(pages, pa.int64())], ["doc_id", "pos", "page_index"])
 
+    ordered = rows.select("doc_id", "pos", F.col("height").cast("long").alias("height")).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    return ordered.mapInArrow(run, "doc_id long, pos long, page_index long")
 
-def wrapped_lines(texts: DataFrame, width: int = 72) -> DataFrame:
-    """(doc_id, pos, lines): how many lines greedy word wrapping gives; Arrow batches around the standard library."""
+
+def with_lines(rows: DataFrame, width: int = 72) -> DataFrame:
+    """rows (with text) and how many lines greedy word wrapping gives; Arrow batches around the standard library."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             n = [max(1, len(textwrap.wrap(t or "", width))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("pos"), pa.array(n, pa.int64())], ["doc_id", "pos", "lines"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*b.schema.names, "lines"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lines", T.LongType())]))
 
-    return texts.select("doc_id", "pos", "text").mapInArrow(run, "doc_id long, pos long, lines long")
+
+def wrapped_lines(texts: DataFrame, width: int = 72) -> DataFrame:
+    """(doc_id, pos, lines) of texts."""
+    return with_lines(texts.select("doc_id", "pos", "text"), width).drop("text")
 
 
 def structure_plan(elements: DataFrame) -> DataFrame:
-    """The plan of all rendered elements: (doc_id, pos, role, page_index, n_rows, n_headers, alt_text, decorative, k)."""
-    rows = F.when(F.col("type") == "table", 1 + F.col("pos") % 3).otherwise(0).cast("long")
-    kept = content(elements).withColumn("n_rows", rows + F.when((F.col("type") == "table") & (F.col("n_headers") > 0), 1).otherwise(0))
-    pages = paginate(kept.select("doc_id", "pos", height(F.lit(1), F.greatest("n_rows", F.lit(1))).alias("height")))
-    return kept.join(pages, ["doc_id", "pos"]).select("doc_id", "pos", role().alias("role"), "page_index", "n_rows", "n_headers", "alt_text", "decorative", "k")
+    """The plan of all rendered elements: (doc_id, pos, role, page_index, n_rows, row_sizes, n_headers, alt_text, decorative, k).
 
+    row_sizes has the cells of each row of a table; text is laid out as it is
+    written: stripped, and behind its label in a list.
+    """
+    table = F.when(F.col("type") == "table", F.transform(table_rows(F.col("text"), F.col("table_headers")), F.size)).otherwise(F.array().cast("array<int>"))
+    label = list_label(F.col("list_label"))
+    shown = F.concat(F.when(label != "", F.concat(label, F.lit(" "))).otherwise(F.lit("")), strip(F.coalesce("text", F.lit(""))))
+    kept = content(elements).withColumn("row_sizes", table).withColumn("n_rows", F.size("row_sizes").cast("long")).withColumn("text", shown)
+    tall = with_lines(kept.select("doc_id", "pos", "type", "heading_level", "n_rows", "text"))
+    pages = paginate(tall.select("doc_id", "pos", height(F.col("lines"), F.col("n_rows")).alias("height")))
+    return kept.join(pages, ["doc_id", "pos"]).select("doc_id", "pos", role().alias("role"), "page_index", "n_rows", "row_sizes", "n_headers", "alt_text", "decorative", "k")
 
-def role_counts(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("doc_id", "role").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+def failed(plan: DataFrame, why: str) -> DataFrame:
+    """One row for each document of a plan that could not be written."""
+    return plan.select("doc_id").distinct().select("doc_id", F.lit("failed").alias("status"), F.lit(why).alias("details"))
 
 
-def ordered(*by: str):
-    return Window.partitionBy("doc_id").orderBy(*by)
+FALLBACK_TITLE, FALLBACK_LANGUAGE = "Accessible Document", "en-AU"  # fixed values
+
+
+def document_values(documents: DataFrame, values: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, title, language): the accepted value, else the document's own, else its first text and a fixed language.
+
+    values: (doc_id, action, value); texts: (doc_id, first_text).
+    """
+    of = lambda action: F.max(F.when(F.col("action") == action, F.col("value")))
+    accepted = values.groupBy("doc_id").agg(of("set_document_title").alias("t"), of("set_document_language").alias("l"))
+    rows = documents.select("doc_id", "title", "language").join(accepted, "doc_id", "left").join(texts, "doc_id", "left")
+    title = F.coalesce(cleaned(F.col("t")), F.nullif("title", F.lit("")), "first_text", F.lit(FALLBACK_TITLE))
+    return rows.select("doc_id", title.alias("title"), F.coalesce(cleaned(F.col("l")), F.nullif("language", F.lit("")), F.lit(FALLBACK_LANGUAGE)).alias("language"))
+
+
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def alt_texts(elements: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(doc_id, pos, alt) of images: empty for decorative ones, else the latest accepted text for the element, else its own.
+
+    accepted: (doc_id, seq, element_id, page_number, x0, y0, x1, y1, value) of
+    accepted alternative texts with their issue's place. It is an element's by
+    id; or by page, where the issue's box is the element's or is not known;
+    or, without a page, by the whole place. Each way is an equi-join of its own.
+    """
+    images = elements.filter("type = 'image'").select("doc_id", "pos", "alt_text", "decorative", "element_id", "page_number", *BOX)
+    a = accepted.select(F.col("doc_id").alias("a_doc"), "seq", "value", *[F.col(c).alias(f"a_{c}") for c in ("element_id", "page_number", *BOX)])
+    one = F.col("doc_id") == F.col("a_doc")
+    boxed = [F.col(c) == F.col(f"a_{c}") for c in BOX]
+    whole = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in ("element_id", "page_number", *BOX)]
+
+    def on(rows, *terms):
+        cond = one
+        for t in terms:
+            cond = cond & t
+        return images.join(rows, cond).select("doc_id", "pos", "seq", "value")
+
+    page = F.col("page_number") == F.col("a_page_number")
+    paged = a.filter("a_page_number <> 0")
+    ways = on(a.filter("a_element_id <> ''"), F.col("element_id") == F.col("a_element_id"))
+    ways = ways.unionByName(on(paged.filter("a_x0 is not null"), page, *boxed)).unionByName(on(paged.filter("a_x0 is null"), page))
+    ways = ways.unionByName(on(a.filter("coalesce(a_page_number, 0) = 0"), *whole)).withColumn("value", cleaned(F.col("value"))).filter("value is not null")
+    latest = ways.groupBy("doc_id", "pos").agg(F.max_by("value", "seq").alias("value"))
+    own = F.coalesce("value", cleaned(F.col("alt_text")))
+    return images.join(latest, ["doc_id", "pos"], "left").select("doc_id", "pos", F.when(F.col("decorative"), F.lit("")).otherwise(own).alias("alt"))
+
+
+def role_counts(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("doc_id", "role").agg(F.count(F.lit(1)).cast("long").alias("n"))

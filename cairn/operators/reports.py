@@ -35,7 +35,11 @@ def before_after(source: DataFrame, regenerated: DataFrame) -> DataFrame:
 
 
 def report_json(documents: DataFrame, issues: DataFrame) -> DataFrame:
-    """(doc_id, report): one JSON report per document, with an empty list where there are no issues."""
+    """(doc_id, report): one JSON report per document: counts by status, severity and type, and the issues; all empty where there are none."""
     listed = issues.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("issue_ord", "issue_type", "severity", "automation_status"))).alias("issues"))
-    rows = documents.select("doc_id").distinct().join(listed, "doc_id", "left")
-    return rows.select("doc_id", F.to_json(F.struct(F.coalesce(F.size("issues"), F.lit(0)).alias("issue_count"), "issues")).alias("report"))
+    maps = counts(issues).groupBy("doc_id", "kind").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n")))).alias("m"))
+    maps = maps.groupBy("doc_id").agg(*[F.first(F.when(F.col("kind") == k, F.col("m")), ignorenulls=True).alias(f"by_{k}") for k in ("automation_status", "severity", "issue_type")])
+    rows = documents.select("doc_id").distinct().join(listed, "doc_id", "left").join(maps, "doc_id", "left")
+    none = F.create_map().cast("map<string,bigint>")
+    parts = [F.coalesce(f"by_{k}", none).alias(f"by_{k}") for k in ("automation_status", "severity", "issue_type")]
+    return rows.select("doc_id", F.to_json(F.struct(F.coalesce(F.size("issues"), F.lit(0)).alias("issue_count"), *parts, F.coalesce("issues", F.array().cast("array<struct<issue_ord:bigint,issue_type:string,severity:string,automation_status:string>>")).alias("issues"))).alias("report"))

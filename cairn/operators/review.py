@@ -27,6 +27,22 @@ def unknown(decisions: DataFrame, suggestions: DataFrame) -> DataFrame:
     return decisions.join(suggestions, ["job_id", "slot"], "left_anti")
 
 
+def problems(decisions: DataFrame, suggestions: DataFrame, issues: DataFrame) -> DataFrame:
+    """(job_id, seq, problem) of decisions (job_id, seq, slot, issue): unknown suggestion, one of another issue, or unknown issue.
+
+    suggestions: (job_id, slot, of_issue); issues: (job_id, issue).
+    """
+    known = issues.select("job_id", "issue").distinct().withColumn("there", F.lit(True))
+    rows = decisions.join(suggestions.select("job_id", "slot", "of_issue"), ["job_id", "slot"], "left").join(known, ["job_id", "issue"], "left")
+    problem = F.when(F.col("of_issue").isNull(), "unknown suggestion").when(F.col("of_issue") != F.col("issue"), "mismatch").when(F.col("there").isNull(), "unknown issue")
+    return rows.select("job_id", "seq", problem.alias("problem")).filter("problem is not null")
+
+
+def message(decision: Column) -> Column:
+    """What the audit log says of a decision."""
+    return F.when(decision == "accept", "The suggestion was taken as it is.").when(decision == "edit", "The suggestion was taken with changes.").when(decision == "reject", "The suggestion was turned down.")
+
+
 def apply_decisions(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     """Issues (job_id, slot, ...) with final_status; all or nothing: an unknown reference raises."""
     if not unknown(decisions, issues.select("job_id", "slot")).limit(1).isEmpty():

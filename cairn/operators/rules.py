@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import cleaned
+from cairn.functions.text import cleaned, strip
 
 #: Link texts that say nothing.
 GENERIC_LINK_TEXT = ["click here", "here", "link", "learn more", "more", "read more", "view", "download"]
@@ -32,7 +32,7 @@ def rules_dim(spark: SparkSession) -> DataFrame:
 
 
 def weak_link(text: Column) -> Column:
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    t = F.lower(strip(F.coalesce(text, F.lit(""))))
     return (t == "") | t.isin(GENERIC_LINK_TEXT) | t.rlike(r"^(https?://|www\.)")
 
 
@@ -78,7 +78,7 @@ def without_headings(elements: DataFrame) -> DataFrame:
 
 def first_text(elements: DataFrame) -> DataFrame:
     """First non-blank text of each document, cut to 80 characters."""
-    return elements.filter(F.trim("text") != "").groupBy("doc_id").agg(F.substring(F.trim(F.min_by("text", "pos")), 1, 80).alias("first_text"))
+    return elements.filter(strip(F.col("text")) != "").groupBy("doc_id").agg(F.substring(strip(F.min_by("text", "pos")), 1, 80).alias("first_text"))
 
 
 def is_tagged() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.text import cleaned
+from cairn.functions.text import cleaned, strip
 
 #: The action for each issue type; others are for manual_review.
 ACTIONS = {
@@ -31,6 +31,9 @@ CONFIRM_ORDER = "Confirm the correct reading order and section structure before
 CONFIRM_HEADERS = "Confirm the first row or column that should be treated as table headers."
 DESCRIBE_IMAGE = "Describe the meaningful content or purpose of this image."
 REPLACE_LINK = "Replace with descriptive link text."
+REBUILD_TAGS = "Rebuild PDF logical structure tree from the internal document model."
+RUN_OCR = "Run OCR before remediation."
+LANGUAGE = "en-AU"
 
 
 def action_dim(spark: SparkSession) -> DataFrame:
@@ -75,7 +78,7 @@ def suggest(issues: DataFrame, elements: DataFrame) -> DataFrame:
     e = elements.select("doc_id", F.col("pos").alias("match_pos"), F.col("text").alias("e_text"), "href", "nearby_text")
     rows = issues.join(first_match(issues, elements), ["doc_id", "issue_ord"], "left").join(e, ["doc_id", "match_pos"], "left").join(F.broadcast(action_dim(spark)), "issue_type", "left")
     near = cleaned(F.col("nearby_text"))
-    context = F.coalesce(F.substring(near, 1, 160), cleaned(F.substring(F.trim("e_text"), 1, 160)))
+    context = F.coalesce(F.substring(near, 1, 160), cleaned(F.substring(strip(F.col("e_text")), 1, 160)))
     t = F.col("issue_type")
     value = (
         F.when(t == "missing_image_alt_text", F.coalesce(F.concat(F.lit("Image related to: "), context), F.lit(DESCRIBE_IMAGE)))
@@ -92,3 +95,27 @@ def suggest(issues: DataFrame, elements: DataFrame) -> DataFrame:
 def confidence() -> Column:
     c = F.col("confidence")
     return F.when(cleaned(F.col("proposed_value")).isNull(), F.least(c, F.lit(0.4))).when(F.col("automation_status") == "auto_fixable", F.greatest(c, F.lit(0.85))).otherwise(c)
+
+
+def document_suggestions(issues: DataFrame, documents: DataFrame, texts: DataFrame) -> DataFrame:
+    """Suggestions for issues of documents and inspections (doc_id, issue_type, suggested_fix, confidence, automation_status).
+
+    documents: (doc_id, metadata_language); texts: (doc_id, first_text).
+    """
+    rows = issues.join(documents, "doc_id", "left").join(texts, "doc_id", "left").join(F.broadcast(action_dim(issues.sparkSession)), "issue_type", "left")
+    t, fix = F.col("issue_type"), F.nullif("suggested_fix", F.lit(""))
+    value = (
+        F.when(t == "missing_document_title", F.coalesce(fix, "first_text"))
+        .when(t == "missing_document_language", F.coalesce(F.nullif("metadata_language", F.lit("")), F.lit(LANGUAGE)))
+        .when(t == "untagged_pdf", F.lit(REBUILD_TAGS))
+        .when(t == "no_extractable_pdf_text", F.lit(RUN_OCR))
+        .when(t == "multi_column_reading_order_review", F.lit(CONFIRM_ORDER))
+        .otherwise(F.col("suggested_fix"))
+    )
+    rows = rows.withColumn("proposed_value", value)
+    return rows.select("doc_id", "issue_type", F.coalesce("action", F.lit("manual_review")).alias("action"), source(t).alias("source"), "proposed_value", (F.col("automation_status") != "auto_fixable").alias("requires_user_confirmation"), confidence().alias("confidence"))
+
+
+def explanation(reason: Column, action: Column, value: Column) -> Column:
+    """Why, and what is proposed or that someone has to look."""
+    return F.concat(reason, F.when(cleaned(value).isNotNull(), F.concat(F.lit(" Suggested step: "), action, F.lit("."))).otherwise(F.lit(" Nothing can be suggested; please look at it yourself.")))

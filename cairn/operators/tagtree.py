@@ -17,7 +17,7 @@ def islands(plan: DataFrame) -> DataFrame:
     return plan.withColumn("island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
-def nodes(plan: DataFrame, columns: int = 2) -> DataFrame:
+def nodes(plan: DataFrame) -> DataFrame:
     """All nodes of the tree, with content ids counted on each page in order over leaves."""
     at = islands(plan)
     first = F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("pos")) == 1
@@ -25,13 +25,12 @@ def nodes(plan: DataFrame, columns: int = 2) -> DataFrame:
     node = lambda row, cell, role, top, leaf: F.struct(row.cast("long").alias("row"), cell.cast("long").alias("cell"), role.alias("role"), F.lit(top).alias("is_top"), F.lit(leaf).alias("is_leaf"))
     none = F.lit(-1)
     listed = F.filter(F.array(F.when(F.col("first"), node(F.lit(-2), none, F.lit("L"), True, False)), node(none, none, F.lit("LI"), False, False), node(F.lit(0), F.lit(0), F.lit("Lbl"), False, False), node(F.lit(0), F.lit(1), F.lit("LBody"), False, True)), lambda x: x.isNotNull())
-    rows = F.sequence(F.lit(0), F.greatest(F.col("n_rows"), F.lit(1)) - 1)
     th = lambda r: F.when((r == 0) & (F.col("n_headers") > 0), F.lit("TH")).otherwise(F.lit("TD"))
-    cells = F.flatten(F.transform(rows, lambda r: F.concat(F.array(node(r, none, F.lit("TR"), False, False)), F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: node(r, c, th(r), False, True)))))
-    table = F.concat(F.array(node(none, none, F.lit("Table"), True, False)), F.when(F.col("n_rows") > 0, cells).otherwise(F.slice(cells, 1, 0)))
+    cells = F.flatten(F.transform("row_sizes", lambda n, r: F.concat(F.array(node(r, none, F.lit("TR"), False, False)), F.transform(F.sequence(F.lit(0), n - 1), lambda c: node(r, c, th(r), False, True)))))
+    table = F.concat(F.array(node(none, none, F.lit("Table"), True, False)), cells)
     single = F.array(node(none, none, F.col("role"), True, True))
     made = at.withColumn("n", F.explode(F.when(F.col("role") == "LI", listed).when(F.col("role") == "Table", table).otherwise(single)))
-    alt = F.when(F.col("n.role") == "Figure", F.when(F.col("decorative"), F.lit("")).otherwise(F.coalesce(F.trim("alt_text"), F.lit("Figure"))))
+    alt = F.when(F.col("n.role") == "Figure", F.when(F.col("decorative"), F.lit("")).otherwise(F.col("alt_text")))
     made = made.select("doc_id", "pos", "n.row", "n.cell", "n.role", "page_index", "n.is_top", "n.is_leaf", alt.alias("alt"), "k")
     order = Window.partitionBy("doc_id", "page_index", "is_leaf").orderBy("pos", "row", "cell")
     return made.withColumn("mcid", F.when(F.col("is_leaf"), F.row_number().over(order) - 1).cast("long"))
@@ -133,7 +132,7 @@ def ids_increase(tree: DataFrame) -> DataFrame:
 
 
 def keys_match(tree: DataFrame, parents: DataFrame) -> DataFrame:
-    pages = tree.select("doc_id", F.col("page_index").alias("key")).distinct()
+    pages = tree.filter("mcid is not null").select("doc_id", F.col("page_index").alias("key")).distinct()
     return _all(pages.join(parents.select("doc_id", "key", F.lit(True).alias("there")), ["doc_id", "key"], "left"), F.coalesce("there", F.lit(False)))
 
 
@@ -141,4 +140,25 @@ def counts_match(plan: DataFrame, tree: DataFrame) -> DataFrame:
     """Every planned role is there as often as planned: list parts anywhere, other roles at the top level."""
     want = plan.groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("want"))
     got = tree.filter(F.col("is_top") | F.col("role").isin("LI", "Lbl", "LBody")).groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("got"))
-    return _all(want.join(got, ["doc_id", "role"], "left"), F.coalesce("got", F.lit(0)) >= F.col("want"))
+    roles = _all(want.join(got, ["doc_id", "role"], "left"), F.coalesce("got", F.lit(0)) >= F.col("want"))
+    top = tree.groupBy("doc_id").agg(F.count_if("is_top").alias("top"))
+    expected = islands(plan).groupBy("doc_id").agg(F.countDistinct("island").alias("islands")).join(top, "doc_id", "left")
+    enough = expected.select("doc_id", (F.coalesce("top", F.lit(0)) >= F.col("islands")).alias("enough"))
+    return roles.join(enough, "doc_id").select("doc_id", (F.col("passed") & F.col("enough")).alias("passed"))
+
+
+def root_present(pdf: DataFrame) -> DataFrame:
+    return pdf.select("doc_id", F.coalesce("has_struct_tree", F.lit(False)).alias("passed"))
+
+
+def marked(pdf: DataFrame) -> DataFrame:
+    return pdf.select("doc_id", F.coalesce("mark_info_marked", F.lit(False)).alias("passed"))
+
+
+def reading_order(plan: DataFrame, tree: DataFrame, parents: DataFrame, expected: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """Whether top-level and leaf order are as planned, ids increase and every page has its key: all four."""
+    parts = [sequences_equal(top_sequence_of_plan(plan), top_sequence_of_tree(tree if top is None else top)), sequences_equal(leaf_sequence(expected), leaf_sequence(tree)), ids_increase(tree), keys_match(tree, parents)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return _all(every, F.col("passed"))

@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+#: White space that stripping removes.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _stripping(sql: str) -> str:
+    """SQL whose trim(x) take away all of SPACE."""
+    at = sql.find("trim(")
+    if at < 0:
+        return sql
+    depth, end = 1, at + 5
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        end += 1
+    return f"{sql[: at + 5]}{_stripping(sql[at + 5 : end - 1])}, '{SPACE}'){_stripping(sql[end:])}"
+
+
 LINES = r"""
 lines AS (SELECT doc_id, line - 1 AS pos, trim(raw) AS text FROM
   (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents) WHERE trim(raw) <> ''),
@@ -68,19 +84,25 @@ slots AS (SELECT job_id, slot, 'value ' || slot AS proposed_value FROM jobs, (SE
 lat AS (SELECT job_id, slot, arg_max(decision, seq) AS decision, CASE WHEN arg_max(decision, seq) = 'reject' THEN 'rejected' ELSE 'accepted' END AS final_status FROM dec GROUP BY ALL)
 """
 
+TABLE = """,
+tb AS (SELECT *, CASE WHEN trim(text) = '' THEN CAST([] AS VARCHAR[][]) WHEN contains(text, ',') THEN [list_transform(string_split(trim(text), ','), lambda x: trim(x))] ELSE [[trim(text)]] END AS base FROM el WHERE type = 'table'),
+tbl AS (SELECT doc_id, pos, CASE WHEN n_headers = 0 OR (len(base) > 0 AND list_transform(base[1], lambda x: lower(x)) = ['budget', 'by year']) THEN base ELSE list_concat([['Budget', 'BY YEAR']], base) END AS rws FROM tb)
+"""
+
 PLAN = (
     EL
+    + TABLE.rstrip()
     + """,
 dup AS (SELECT DISTINCT e.doc_id, e.pos FROM el e JOIN el l ON l.doc_id = e.doc_id AND l.type = 'link' AND e.type <> 'link' AND lower(trim(e.text)) <> '' AND lower(trim(l.text)) = lower(trim(e.text))
    AND e.x0 < l.x1 AND e.x1 > l.x0 AND e.y0 < l.y1 AND e.y1 > l.y0),
-con AS (SELECT * FROM el WHERE (trim(text) <> '' OR type = 'image' OR (type = 'link' AND coalesce(href, '') <> '') OR (type = 'table' AND n_headers > 0)) AND NOT EXISTS (SELECT 1 FROM dup WHERE dup.doc_id = el.doc_id AND dup.pos = el.pos)),
-kept AS (SELECT *, CASE WHEN type = 'table' THEN 1 + pos % 3 + CASE WHEN n_headers > 0 THEN 1 ELSE 0 END ELSE 0 END AS n_rows,
+con AS (SELECT el.*, coalesce(list_transform(rws, lambda r: len(r)), []) AS row_sizes FROM el LEFT JOIN tbl USING (doc_id, pos) WHERE CASE type WHEN 'image' THEN TRUE WHEN 'table' THEN len(rws) > 0 ELSE trim(text) <> '' END AND NOT EXISTS (SELECT 1 FROM dup WHERE dup.doc_id = el.doc_id AND dup.pos = el.pos)),
+kept AS (SELECT *, len(row_sizes) AS n_rows,
    CASE type WHEN 'heading' THEN 'H' || heading_level WHEN 'link' THEN 'Link' WHEN 'list_item' THEN 'LI' WHEN 'table' THEN 'Table' WHEN 'image' THEN 'Figure' ELSE 'P' END AS role,
    row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM con),
 high AS (SELECT *, CASE type WHEN 'image' THEN 76 WHEN 'table' THEN 24 * n_rows + 12 WHEN 'heading' THEN CASE WHEN heading_level = 1 THEN 32 ELSE 28 END ELSE 24 END AS h FROM kept),
 pg(doc_id, rn, y, page) AS (SELECT doc_id, rn, CAST(72 + h AS BIGINT), CAST(0 AS BIGINT) FROM high WHERE rn = 1
    UNION ALL SELECT k.doc_id, k.rn, CASE WHEN p.y > 760 THEN 72 ELSE p.y END + k.h, CASE WHEN p.y > 760 THEN p.page + 1 ELSE p.page END FROM pg p JOIN high k ON k.doc_id = p.doc_id AND k.rn = p.rn + 1),
-plan AS (SELECT doc_id, pos, role, page AS page_index, n_rows, n_headers, alt_text, decorative, k FROM kept JOIN pg USING (doc_id, rn))
+plan AS (SELECT doc_id, pos, role, page AS page_index, n_rows, row_sizes, n_headers, alt_text, decorative, k FROM kept JOIN pg USING (doc_id, rn))
 """
 )
 
@@ -96,8 +118,8 @@ raw AS (
   UNION ALL SELECT doc_id, pos, 0, 1, 'LBody', page_index, FALSE, TRUE, k, NULL FROM isl WHERE role = 'LI'
   UNION ALL SELECT doc_id, pos, -1, -1, 'Table', page_index, TRUE, FALSE, k, NULL FROM plan WHERE role = 'Table'
   UNION ALL SELECT doc_id, pos, r, -1, 'TR', page_index, FALSE, FALSE, k, NULL FROM tr
-  UNION ALL SELECT doc_id, pos, r, c, CASE WHEN r = 0 AND n_headers > 0 THEN 'TH' ELSE 'TD' END, page_index, FALSE, TRUE, k, NULL FROM tr, (SELECT unnest(range(2)) AS c)
-  UNION ALL SELECT doc_id, pos, -1, -1, role, page_index, TRUE, TRUE, k, CASE WHEN role = 'Figure' THEN CASE WHEN decorative THEN '' ELSE coalesce(trim(alt_text), 'Figure') END END FROM plan WHERE role NOT IN ('LI', 'Table')),
+  UNION ALL SELECT doc_id, pos, r, c, CASE WHEN r = 0 AND n_headers > 0 THEN 'TH' ELSE 'TD' END, page_index, FALSE, TRUE, k, NULL FROM (SELECT *, unnest(range(row_sizes[r + 1])) AS c FROM tr)
+  UNION ALL SELECT doc_id, pos, -1, -1, role, page_index, TRUE, TRUE, k, CASE WHEN role = 'Figure' THEN CASE WHEN decorative THEN '' ELSE alt_text END END FROM plan WHERE role NOT IN ('LI', 'Table')),
 nodes AS (SELECT *, CASE WHEN is_leaf THEN row_number() OVER (PARTITION BY doc_id, page_index, is_leaf ORDER BY pos, row, cell) - 1 END AS mcid FROM raw),
 hurt AS (SELECT doc_id, pos, row, cell, role, page_index, is_top, is_leaf, k, CASE WHEN k % 7 <> 0 THEN alt END AS alt, CASE WHEN k % 17 = 0 AND is_leaf THEN 0 ELSE mcid END AS mcid FROM nodes WHERE NOT (role = 'LBody' AND k % 11 = 0) AND NOT (role = 'TH' AND k % 13 = 0)),
 ann AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY pos) AS ord, (SELECT 0) + pages + row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS struct_parent
@@ -135,7 +157,7 @@ SQL: dict[str, str] = {
     "r8_missing_heading_structure": _with(LINES, "SELECT doc_id, count(*) AS paragraphs FROM ln GROUP BY 1 HAVING count(*) FILTER (type = 'heading') = 0 AND count(*) >= 4"),
     "s5_line_split": _with(LINES, "SELECT doc_id, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM ln GROUP BY 1"),
     "x2_heading_upper": _with(LINES, "SELECT doc_id, pos, text FROM ln WHERE type = 'heading'"),
-    "o14_table_parse": _with(LINES, r"SELECT doc_id, pos AS line, len(c) AS n_cells, c[1] AS first_cell, c[-1] AS last_cell FROM (SELECT doc_id, pos, list_filter(list_transform(CASE WHEN contains(text, chr(9)) THEN string_split(text, chr(9)) WHEN contains(text, '|') THEN string_split(regexp_replace(text, '^\|+|\|+$', '', 'g'), '|') WHEN contains(text, ',') THEN string_split(text, ',') ELSE regexp_split_to_array(text, ' {2,}') END, lambda x: trim(x)), lambda x: x <> '') AS c FROM ln) WHERE len(c) > 1"),
+    "o14_table_parse": _with(LINES, r"SELECT doc_id, pos AS line, len(c) AS n_cells, c[1] AS first_cell, c[-1] AS last_cell FROM (SELECT doc_id, pos, list_filter(list_transform(CASE WHEN contains(text, chr(9)) THEN string_split(text, chr(9)) WHEN contains(text, '|') THEN string_split(regexp_replace(text, '^\|+|\|+$', '', 'g'), '|') WHEN contains(text, ',') THEN string_split(text, ',') ELSE regexp_split_to_array(text, '\s{2,}') END, lambda x: trim(x)), lambda x: x <> '') AS c FROM ln) WHERE len(c) > 0"),
     "o16_cell_fit": _with(LINES, "SELECT doc_id, pos, CASE WHEN length(text) <= 28 THEN text ELSE left(text, 25) || '...' END AS cell FROM ln"),
     "ad2_links": _with(LINKS, "SELECT doc_id, pos, href, text FROM lk"),
     "g6_link_authority": _with(LINKS, "SELECT doc_id, pos, 'Open ' || coalesce(nullif(regexp_extract(href, '^[a-z]+://([^/]*)', 1), ''), href) AS proposed_value FROM lk"),
@@ -174,8 +196,8 @@ SQL: dict[str, str] = {
           UNION ALL SELECT e.doc_id, e.rn, CASE WHEN abs(e.x0 - list_median(c.cur)) > 48 THEN [e.x0] ELSE list_append(c.cur, e.x0) END, CASE WHEN abs(e.x0 - list_median(c.cur)) > 48 AND len(c.cur) >= 2 THEN list_append(c.mids, list_median(c.cur)) ELSE c.mids END FROM cl c JOIN ed e ON e.doc_id = c.doc_id AND e.rn = c.rn + 1),
         fin AS (SELECT doc_id, rn, CASE WHEN len(cur) >= 2 THEN list_append(mids, list_median(cur)) ELSE mids END AS mids FROM cl QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rn DESC) = 1)""",
         "SELECT doc_id, rn AS lines, coalesce(rn >= 6 AND len(mids) >= 2 AND list_max(mids) - list_min(mids) > 120, FALSE) AS multi_column FROM fin"),
-    "x10_overlap_join": _with(EL, "SELECT l.doc_id, l.pos AS link_pos, string_agg(t.text, ' ' ORDER BY t.pos) AS texts, count(*) AS lines FROM el l JOIN el t ON t.doc_id = l.doc_id AND t.page_number = l.page_number AND l.type = 'link' AND t.type <> 'link' AND t.x0 <= l.x1 AND t.x1 >= l.x0 AND t.y0 <= l.y1 AND t.y1 >= l.y0 GROUP BY 1, 2"),
-    "x11_two_nearest": _with(EL, "SELECT doc_id, image_pos, trim(left(string_agg(text, ' ' ORDER BY rn), 160)) AS nearby_text FROM (SELECT i.doc_id, i.pos AS image_pos, t.text, row_number() OVER (PARTITION BY i.doc_id, i.pos ORDER BY abs(t.x0 + t.x1 - i.x0 - i.x1) / 2 + abs(t.y0 + t.y1 - i.y0 - i.y1) / 2, t.pos) AS rn FROM el i JOIN el t ON t.doc_id = i.doc_id AND t.page_number = i.page_number AND i.type = 'image' AND t.type <> 'image') WHERE rn <= 2 GROUP BY 1, 2"),
+    "x10_overlap_join": _with(EL, "SELECT l.doc_id, l.pos AS link_pos, coalesce(string_agg(t.text, ' ' ORDER BY t.pos), '') AS texts, count(t.pos) AS lines FROM el l LEFT JOIN el t ON t.doc_id = l.doc_id AND t.page_number = l.page_number AND t.type <> 'link' AND t.x0 <= l.x1 AND t.x1 >= l.x0 AND t.y0 <= l.y1 AND t.y1 >= l.y0 WHERE l.type = 'link' GROUP BY 1, 2"),
+    "x11_two_nearest": _with(EL, "SELECT doc_id, image_pos, trim(left(coalesce(string_agg(text, ' ' ORDER BY rn), ''), 160)) AS nearby_text FROM (SELECT i.doc_id, i.pos AS image_pos, t.text, row_number() OVER (PARTITION BY i.doc_id, i.pos ORDER BY abs(t.x0 + t.x1 - i.x0 - i.x1) / 2 + abs(t.y0 + t.y1 - i.y0 - i.y1) / 2, t.pos) AS rn FROM el i LEFT JOIN el t ON t.doc_id = i.doc_id AND t.page_number = i.page_number AND t.type <> 'image' WHERE i.type = 'image') WHERE rn <= 2 GROUP BY 1, 2"),
     "x13_preorder": _with(EL, "SELECT doc_id, pos, type, page_number, lead(type) OVER (PARTITION BY doc_id ORDER BY pos) AS next_type FROM el"),
     "o6_content_filter": _with(PLAN, "SELECT doc_id, pos, type FROM con"),
     "o7_duplicate_text": _with(PLAN, "SELECT doc_id, pos FROM dup"),
@@ -197,8 +219,8 @@ SQL: dict[str, str] = {
     "c9a_top_order": _with(NODES, "SELECT doc_id, coalesce(want, []) = coalesce(got, []) AS passed FROM (SELECT doc_id, list(role ORDER BY pos, row, cell) AS want FROM nodes WHERE is_top GROUP BY 1) FULL JOIN (SELECT doc_id, list(role ORDER BY pos, row, cell) AS got FROM hurt WHERE is_top AND k % 19 <> 0 GROUP BY 1) USING (doc_id)"),
     "c9b_leaf_order": _with(NODES, "SELECT doc_id, coalesce(want, []) = coalesce(got, []) AS passed FROM (SELECT doc_id, list(role || '@' || page_index ORDER BY pos, row, cell) AS want FROM nodes WHERE is_leaf GROUP BY 1) FULL JOIN (SELECT doc_id, list(role || '@' || page_index ORDER BY pos, row, cell) AS got FROM hurt WHERE is_leaf GROUP BY 1) USING (doc_id)"),
     "c9c_increasing": _with(NODES, "SELECT doc_id, bool_and(b IS NULL OR mcid > b) AS passed FROM (SELECT doc_id, mcid, lag(mcid) OVER (PARTITION BY doc_id, page_index ORDER BY pos, row, cell) AS b FROM hurt WHERE is_leaf) GROUP BY 1"),
-    "c9d_keys": _with(NODES, "SELECT doc_id, bool_and(key IN (SELECT p.key FROM par p WHERE p.doc_id = q.doc_id AND p.key % 3 <> 1)) AS passed FROM (SELECT DISTINCT doc_id, page_index AS key FROM hurt) q GROUP BY 1"),
-    "c10_plan_counts": _with(NODES, "SELECT doc_id, bool_and(coalesce(got, 0) >= want) AS passed FROM (SELECT doc_id, role, count(*) AS want FROM plan GROUP BY 1, 2) LEFT JOIN (SELECT doc_id, role, count(*) AS got FROM hurt WHERE k % 19 <> 0 AND (is_top OR role IN ('LI', 'Lbl', 'LBody')) GROUP BY 1, 2) USING (doc_id, role) GROUP BY 1"),
+    "c9d_keys": _with(NODES, "SELECT doc_id, bool_and(key IN (SELECT p.key FROM par p WHERE p.doc_id = q.doc_id AND p.key % 3 <> 1)) AS passed FROM (SELECT DISTINCT doc_id, page_index AS key FROM hurt WHERE mcid IS NOT NULL) q GROUP BY 1"),
+    "c10_plan_counts": _with(NODES, "SELECT doc_id, bool_and(coalesce(got, 0) >= want) AND any_value(coalesce(top, 0) >= islands) AS passed FROM (SELECT doc_id, role, count(*) AS want FROM plan GROUP BY 1, 2) LEFT JOIN (SELECT doc_id, role, count(*) AS got FROM hurt WHERE k % 19 <> 0 AND (is_top OR role IN ('LI', 'Lbl', 'LBody')) GROUP BY 1, 2) USING (doc_id, role) JOIN (SELECT doc_id, count(DISTINCT island) AS islands FROM isl GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS top FROM hurt WHERE k % 19 <> 0 AND is_top GROUP BY 1) USING (doc_id) GROUP BY 1"),
     "c11_histogram": _with(NODES, "SELECT role, count(*) AS n FROM hurt GROUP BY 1"),
     "p8_before_after": _with(ISS + """, again AS (SELECT * FROM iss WHERE issue_type <> 'missing_image_alt_text' OR doc_id % 3 = 0)""", """
         SELECT doc_id, bucket, issue_type, count(*) AS n FROM (
@@ -207,3 +229,54 @@ SQL: dict[str, str] = {
           UNION ALL SELECT doc_id, 'remaining', issue_type FROM again UNION ALL SELECT doc_id, 'manual', issue_type FROM again) GROUP BY ALL"""),
     "p6_report": _with(ISS, "SELECT doc_id, count(issue_ord) AS issues, arg_min(issue_type, issue_ord) AS first_issue FROM (SELECT DISTINCT doc_id FROM el) LEFT JOIN iss USING (doc_id) GROUP BY 1"),
 }
+
+VALUES = "val AS (SELECT job_id, slot, arg_max(coalesce(nullif(trim(final_value), ''), proposed_value), seq) AS value FROM dec JOIN slots USING (job_id, slot) WHERE decision IN ('accept', 'edit') GROUP BY ALL), ft AS (SELECT doc_id, left(arg_min(text, pos), 80) AS t FROM ln GROUP BY 1)"
+OVERLAP = SQL["x10_overlap_join"].removeprefix(_with(EL, ""))
+ACTION = "CASE issue_type WHEN 'missing_image_alt_text' THEN 'generate_alt_text' WHEN 'weak_link_text' THEN 'improve_link_text' WHEN 'skipped_heading_level' THEN 'adjust_heading_level' WHEN 'missing_table_headers' THEN 'confirm_table_headers' ELSE 'confirm_reading_order' END"
+
+
+def _value(kind: str, action: str, value: str, when: str, confidence: float, asks: str = "TRUE") -> str:
+    return f"SELECT doc_id, '{kind}' AS issue_type, '{action}' AS action, {value} AS proposed_value, {asks} AS requires_user_confirmation, {confidence}::DOUBLE AS confidence FROM tg WHERE {when}"
+
+
+SQL |= {
+    "s2_docx_scan": _with(LINES, "SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN 'heading' ELSE 'paragraph' END AS type, text, CASE WHEN pos % 5 = 0 THEN 2 END AS heading_level, CAST(pos + 1 AS VARCHAR) AS element_id FROM lines"),
+    "s5_span_lines": _with(EL, "SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, pos) - 1 AS pos, text, font_size FROM (SELECT doc_id, page_number, pos, x0, y0, concat_ws(' ', nullif(trim(text), ''), nullif(trim(alt_text), '')) AS text, CASE WHEN coalesce(trim(alt_text), '') <> '' THEN font_size + 2 ELSE font_size END AS font_size FROM el) WHERE text <> ''"),
+    "s12_parent_tree_size": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN o_orderkey % 3 > 0 THEN 1 ELSE 0 END AS entries FROM orders",
+    "s13_marked_count": "SELECT o_orderkey AS doc_id, o_orderkey % 4 + 1 AS marked FROM orders",
+    "x4_table_text": "SELECT p_partkey, p_size % 2 = 0 AS is_table FROM part",
+    "x5_table_headers": "SELECT p_partkey, p_brand || '|' || p_type AS headers FROM part",
+    "x6_block_confidence": _with(EL, "SELECT doc_id, pos, CASE WHEN k % 9 = 0 THEN 0.8 ELSE 0.85 END::DOUBLE AS confidence FROM el"),
+    "x8_image_rows": _with(EL, "SELECT i.doc_id, i.pos, i.page_number || ':image:' || (i.ord + 1) AS element_id, 0.65::DOUBLE AS confidence, b.x0, b.y0 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY pos) - 1 AS ord FROM el WHERE type = 'image') i LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY pos, copy) - 1 AS ord FROM (SELECT *, unnest(range(CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END)) AS copy FROM el WHERE type = 'image')) b ON b.doc_id = i.doc_id AND b.page_number = i.page_number AND b.ord = i.ord"),
+    "x9_link_rows": _with(EL, f"SELECT e.doc_id, e.pos, coalesce(nullif(texts, ''), nullif(trim(href), ''), '') AS text, CASE WHEN texts <> '' AND coalesce(trim(href), '') <> '' THEN 0.85 ELSE 0.45 END::DOUBLE AS confidence FROM el e JOIN ({OVERLAP}) o ON o.doc_id = e.doc_id AND o.link_pos = e.pos"),
+    "x14_heading_counts": _with(LINES, "SELECT doc_id, count(*) FILTER (type = 'heading') AS headings, 0 AS tables FROM ln GROUP BY 1"),
+    "o3_document_values": _with(f"{DEC.strip()}, {LINES.strip()}, {VALUES}", "SELECT job_id AS doc_id, coalesce(nullif(trim(v0.value), ''), CASE WHEN job_id % 4 > 1 THEN 'Title ' || job_id END, t, 'Accessible Document') AS title, coalesce(nullif(trim(v1.value), ''), CASE WHEN job_id % 3 > 0 THEN 'en' END, 'en-AU') AS language FROM jobs LEFT JOIN (SELECT * FROM val WHERE slot = 0) v0 USING (job_id) LEFT JOIN (SELECT * FROM val WHERE slot = 1) v1 USING (job_id) LEFT JOIN ft ON ft.doc_id = job_id"),
+    "o4_alt_text": _with(ISS.rstrip() + """,
+        acc AS (SELECT doc_id, issue_ord AS seq, element_id, page_number, CASE WHEN pos % 6 <> 0 THEN x0 END AS x0, y0, x1, y1, 'Alt ' || issue_ord AS value FROM iss WHERE issue_type = 'missing_image_alt_text' AND issue_ord % 4 < 2),
+        hit AS (SELECT e.doc_id, e.pos, arg_max(a.value, a.seq) AS v FROM el e JOIN acc a ON a.doc_id = e.doc_id AND e.type = 'image' AND (a.element_id = e.element_id OR (a.page_number = e.page_number AND (a.x0 IS NULL OR (a.x0 = e.x0 AND a.y0 = e.y0 AND a.x1 = e.x1 AND a.y1 = e.y1)))) GROUP BY 1, 2)""",
+        "SELECT doc_id, pos, CASE WHEN decorative THEN '' ELSE coalesce(v, nullif(trim(alt_text), '')) END AS alt FROM el LEFT JOIN hit USING (doc_id, pos) WHERE type = 'image'"),
+    "o9_failed_plan": _with(PLAN, "SELECT DISTINCT doc_id, 'failed' AS status, 'no space left' AS details FROM plan"),
+    "o15_table_rows": _with(EL + TABLE, "SELECT doc_id, pos, len(rws) AS n_rows, coalesce(list_max(list_transform(rws, lambda r: len(r))), 0) AS n_columns, coalesce(array_to_string(rws[1], '|'), '') AS first_row FROM tbl"),
+    "o17_list_labels": _with(EL, "SELECT doc_id, pos, CASE WHEN type <> 'list_item' THEN '' WHEN k % 3 = 0 THEN '*' ELSE '-' END AS label FROM el"),
+    "c1_root_present": _with(PDF, "SELECT doc_id, coalesce(a, FALSE) AS passed FROM pdf"),
+    "c2_mark_info": _with(PDF, "SELECT doc_id, coalesce(b, FALSE) AS passed FROM pdf"),
+    "c9_reading_order": _with(NODES, "SELECT doc_id, bool_and(passed) AS passed FROM (" + " UNION ALL ".join(f"({SQL[k].removeprefix(_with(NODES, ''))})" for k in ("c9a_top_order", "c9b_leaf_order", "c9c_increasing", "c9d_keys")) + ") GROUP BY 1"),
+    "v2_problems": _with(DEC, "SELECT job_id, seq, problem FROM (SELECT job_id, seq, CASE WHEN (job_id + slot) % 7 = 0 THEN 'unknown suggestion' WHEN seq % 9 = 0 THEN 'mismatch' WHEN slot = 3 THEN 'unknown issue' END AS problem FROM dec) WHERE problem IS NOT NULL"),
+    "v4_messages": _with(DEC, "SELECT job_id, seq, CASE decision WHEN 'accept' THEN 'The suggestion was taken as it is.' WHEN 'edit' THEN 'The suggestion was taken with changes.' ELSE 'The suggestion was turned down.' END AS message FROM dec"),
+    "g6_document_values": _with(PDF, " UNION ALL ".join([
+        _value("encrypted_pdf", "manual_review", "''", "enc", 0.4),
+        _value("untagged_pdf", "rebuild_pdf_tags", "'Rebuild PDF logical structure tree from the internal document model.'", "NOT enc AND tagged = FALSE", 0.95, "FALSE"),
+        _value("unknown_pdf_tagging", "manual_review", "''", "NOT enc AND tagged IS NULL", 0.4),
+        _value("no_extractable_pdf_text", "request_ocr", "'Run OCR before remediation.'", "NOT enc AND page_count > 0 AND blocks = 0", 0.9),
+        _value("multi_column_reading_order_review", "confirm_reading_order", "'Confirm the correct reading order and section structure before PDF rebuild.'", "NOT enc AND pages <> ''", 0.75),
+        _value("missing_document_language", "set_document_language", "CASE WHEN doc_id % 5 = 0 THEN 'fr' ELSE 'en-AU' END", BLANK, 0.7),
+    ])),
+    "g9_explanation": _with(MATCH, f"SELECT doc_id, issue_ord, 'Found: ' || issue_type || '.' || CASE WHEN coalesce(trim(proposed_value), '') <> '' THEN ' Suggested step: ' || {ACTION} || '.' ELSE ' Nothing can be suggested; please look at it yourself.' END AS explanation FROM sg"),
+    "p5_audit_rows": _with(ISS, f"SELECT doc_id, issue_ord AS event_seq, 'suggestion_created' AS type, issue_ord, {ACTION} AS action FROM iss"),
+    "p7_job_report": _with(ISS, "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN 'reviewed' ELSE 'awaiting_review' END AS status, o_orderkey % 3 AS artifacts, count(issue_ord) AS issues, count(*) FILTER (severity = 'high') AS high FROM orders LEFT JOIN iss ON iss.doc_id = o_orderkey GROUP BY 1"),
+    "p10_report_name": "SELECT p_partkey, p_name || '_accessibility_report.json' AS name FROM part",
+    "j5_status_after": _with(DEC, "SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'output_generated' ELSE 'awaiting_review' END AS before, CASE WHEN count(slot) > 0 AND count(*) FILTER (slot IS NOT NULL AND decision IS NULL) = 0 THEN 'reviewed' ELSE 'awaiting_review' END AS after FROM jobs LEFT JOIN slots USING (job_id) LEFT JOIN lat USING (job_id, slot) GROUP BY 1"),
+    "j9_round_trip": _with(EL, "SELECT doc_id, pos, type, text, heading_level, alt_text, decorative FROM el"),
+    "h7_categories": _with(ISS, "SELECT doc_id, count(DISTINCT issue_type) AS categories FROM iss GROUP BY 1"),
+}
+SQL = {name: _stripping(sql) for name, sql in SQL.items()}

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cairn import oracle
 from cairn.functions import text
-from cairn.operators import layout, rebuild, reports, review, rules, suggestions, tagtree
-from cairn.sources import tables
+from cairn.operators import jobs, layout, rebuild, reports, review, rules, suggestions, tagtree
+from cairn.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +67,8 @@ def r6(spark, d):
 
 def o14(spark, d):
     docs = tables.read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    cells = docs.filter(F.trim("raw") != "").select("doc_id", F.col("line").cast("long").alias("line"), text.parse_row(F.col("raw")).alias("cells"))
-    return cells.filter(F.size("cells") > 1).select("doc_id", "line", F.size("cells").cast("long").alias("n_cells"), F.element_at("cells", 1).alias("first_cell"), F.element_at("cells", -1).alias("last_cell"))
+    cells = docs.filter(text.strip(F.col("raw")) != "").select("doc_id", F.col("line").cast("long").alias("line"), text.parse_row(F.col("raw")).alias("cells"))
+    return cells.filter(F.size("cells") > 0).select("doc_id", "line", F.size("cells").cast("long").alias("n_cells"), F.element_at("cells", 1).alias("first_cell"), F.element_at("cells", -1).alias("last_cell"))
 
 
 def bare(tree):
@@ -112,7 +112,148 @@ def hurt(p):
     return tagtree.damaged(tagtree.nodes(p))
 
 
+def part_tables(spark, d):
+    """Two lines of text for each part; the second has a tab for even sizes."""
+    gap = F.when(F.col("p_size") % 2 == 0, F.lit("\t")).otherwise(F.lit(" "))
+    return tables.read(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("  "), "p_type", F.lit("\n"), "p_name", gap, "p_brand", F.lit("\n\n")).alias("text"))
+
+
+def x8(spark, d):
+    """Every image is drawn once, and twice where k is divisible by 5."""
+    images = elements(spark, d).filter("type = 'image'")
+    drawn = images.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("k") % 5 == 0, 1).otherwise(0))))
+    nth = (F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("pos", "copy")) - 1).cast("long")
+    return layout.image_rows(images, drawn.select("doc_id", "page_number", nth.alias("ord"), *rebuild.BOX)).select("doc_id", "pos", "element_id", "confidence", "x0", "y0")
+
+
+def o3(spark, d):
+    job = F.col("job_id")
+    docs = tables.read(spark, d, "events").select(F.col("user_id").alias("job_id")).distinct()
+    docs = docs.select(job.alias("doc_id"), F.when(job % 4 == 0, F.lit("")).when(job % 4 > 1, F.concat(F.lit("Title "), job.cast("string"))).alias("title"), F.when(job % 3 > 0, F.lit("en")).alias("language"))
+    action = F.when(F.col("slot") == 0, "set_document_title").when(F.col("slot") == 1, "set_document_language")
+    values = review.resolved_values(decisions(spark, d), slots(spark, d)).select(job.alias("doc_id"), action.alias("action"), "value").filter("action is not null")
+    return rebuild.document_values(docs, values, rules.first_text(lines(spark, d)))
+
+
+def o4(spark, d):
+    """Of the image issues the first two of four are accepted; where pos is divisible by 6 the box is not known."""
+    found = issues(spark, d).filter("issue_type = 'missing_image_alt_text' and issue_ord % 4 < 2")
+    box = [F.when(F.col("pos") % 6 != 0, F.col(c)).alias(c) for c in rebuild.BOX]
+    accepted = found.select("doc_id", F.col("issue_ord").alias("seq"), "element_id", "page_number", *box, F.concat(F.lit("Alt "), F.col("issue_ord").cast("string")).alias("value"))
+    return rebuild.alt_texts(elements(spark, d), accepted)
+
+
+def o15(spark, d):
+    rows = elements(spark, d).filter("type = 'table'").select("doc_id", "pos", text.table_rows(F.col("text"), F.col("table_headers")).alias("r"))
+    first = F.coalesce(F.array_join(F.get("r", F.lit(0)), "|"), F.lit(""))
+    return rows.select("doc_id", "pos", F.size("r").cast("long").alias("n_rows"), F.coalesce(F.array_max(F.transform("r", F.size)), F.lit(0)).cast("long").alias("n_columns"), first.alias("first_row"))
+
+
+def v2_problems(spark, d):
+    """A ninth of the decisions names the next slot's issue; issue 3 is not there."""
+    asked = decisions(spark, d).withColumn("issue", F.col("slot") + (F.col("seq") % 9 == 0).cast("long"))
+    known = slots(spark, d).withColumn("of_issue", F.col("slot"))
+    return review.problems(asked, known, known.filter("slot <> 3").select("job_id", F.col("slot").alias("issue")))
+
+
+def document_values(spark, d):
+    pdf = inspections(spark, d)
+    found = rules.inspection_issues(pdf).withColumn("suggested_fix", F.lit(None).cast("string"))
+    docs = pdf.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("fr")).alias("metadata_language"))
+    made = suggestions.document_suggestions(found, docs, rules.first_text(lines(spark, d)))
+    return made.select("doc_id", "issue_type", "action", F.coalesce("proposed_value", F.lit("")).alias("proposed_value"), "requires_user_confirmation", "confidence")
+
+
+def g9(spark, d):
+    made = suggestions.suggest(issues(spark, d), elements(spark, d))
+    return made.select("doc_id", "issue_ord", suggestions.explanation(F.concat(F.lit("Found: "), F.col("issue_type"), F.lit(".")), F.col("action"), F.col("proposed_value")).alias("explanation"))
+
+
+def p7(spark, d):
+    """A job for each order, with as many artifacts as the remainder of its key by 3."""
+    key = F.col("o_orderkey")
+    one = lambda i: F.struct(i.cast("string").alias("id"), F.lit("accessible_pdf").alias("type"))
+    made = tables.read(spark, d, "orders").select(key.alias("job_id"), F.when(key % 2 == 0, "reviewed").otherwise("awaiting_review").alias("status"), F.when(key % 3 > 0, F.transform(F.sequence(F.lit(1).cast("long"), key % 3), one)).alias("artifacts"))
+    found = jobs.job_report(made, reports.report_json(elements(spark, d), issues(spark, d)))
+    of = lambda path: F.get_json_object("report", path)
+    return found.select("job_id", of("$.status").alias("status"), of("$.artifact_count").cast("long").alias("artifacts"), F.coalesce(of("$.validation.issue_count"), F.lit("0")).cast("long").alias("issues"), F.coalesce(of("$.validation.by_severity.high"), F.lit("0")).cast("long").alias("high"))
+
+
+def j5(spark, d):
+    docs = tables.read(spark, d, "events").select(F.col("user_id").alias("job_id")).distinct()
+    mine = slots(spark, d).join(review.latest(decisions(spark, d)), ["job_id", "slot"], "left").withColumn("final_status", F.coalesce("final_status", F.lit("open")))
+    return jobs.after_decisions(docs.withColumn("status", F.when(F.col("job_id") % 2 == 0, "output_generated").otherwise("awaiting_review")), mine)
+
+
+def j9(spark, d):
+    rows = elements(spark, d).select("doc_id", "pos", "type", "text", "heading_level", "alt_text", "decorative")
+    return jobs.decode(jobs.encode(rows, "doc_id"), "doc_id", "pos long, type string, text string, heading_level long, alt_text string, decorative boolean", ["pos", "type"])
+
+
+def s2(spark, d):
+    """Word-processor files made of the documents' lines, each fifth a heading, and scanned."""
+
+    def made(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            raw = [files.docx_file([(t, "Normal" if k % 5 else "Heading 2") for k, t in enumerate((x or "").split("\n"))]) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(raw, pa.binary())], ["path", "content"])
+
+    named = tables.read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".DOCX")).alias("path"), "text")
+    found = files.docx_elements(named.mapInArrow(made, "path string, content binary").filter(files.file_kind(F.col("path")) == "docx"))
+    return found.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "pos", "type", "text", "heading_level", "element_id")
+
+
+def s5_spans(spark, d):
+    """Lines of two spans: an element's text, and in a larger size its alternative text."""
+    span = lambda n, c, more: F.struct(F.lit(n).cast("long").alias("span"), c.alias("text"), (F.col("font_size") + more).alias("size"))
+    rows = elements(spark, d).withColumn("s", F.explode(F.array(span(0, F.col("text"), 0), span(1, F.col("alt_text"), 2))))
+    spans = rows.select("doc_id", "page_number", F.lit(0).cast("long").alias("block"), F.col("pos").alias("line"), "s.*", *rebuild.BOX)
+    return files.lines_of_spans(spans).select("doc_id", "page_number", "pos", "text", "font_size")
+
+
+def order_lists(spark, d):
+    key = F.col("o_orderkey")
+    flat = F.array(F.lit("0"), F.when(key % 2 == 0, "[1, 2, 3]").otherwise("[]"), F.lit("1"), F.when(key % 3 > 0, F.lit('"x"')))
+    streams = F.array(F.repeat(F.lit("/MCID "), (key % 4).cast("int")), F.lit(None).cast("string"), F.lit("q /MCID 0 Q"))
+    return tables.read(spark, d, "orders").select(key.alias("doc_id"), files.parent_tree_size(flat).cast("long").alias("entries"), files.marked_count(streams).cast("long").alias("marked"))
+
+
+def c9(spark, d):
+    p = plan(spark, d)
+    return tagtree.reading_order(p, hurt(p), tagtree.parent_tree(hurt(p), p).filter("key % 3 <> 1"), tree_of(p), hurt(p).filter("k % 19 <> 0"))
+
+
 QUERIES: dict[str, Query] = {
+    "s2_docx_scan": s2,
+    "s5_span_lines": s5_spans,
+    "s12_parent_tree_size": lambda s, d: order_lists(s, d).select("doc_id", "entries"),
+    "s13_marked_count": lambda s, d: order_lists(s, d).select("doc_id", "marked"),
+    "x4_table_text": lambda s, d: part_tables(s, d).select("p_partkey", layout.table_text(F.col("text")).alias("is_table")),
+    "x5_table_headers": lambda s, d: part_tables(s, d).select("p_partkey", F.array_join(layout.table_headers(F.col("text")), "|").alias("headers")),
+    "x6_block_confidence": lambda s, d: elements(s, d).select("doc_id", "pos", layout.block_confidence(F.when(F.col("k") % 9 == 0, 2).otherwise(1)).alias("confidence")),
+    "x8_image_rows": x8,
+    "x9_link_rows": lambda s, d: layout.link_rows(elements(s, d)),
+    "x14_heading_counts": lambda s, d: lines(s, d).groupBy("doc_id").agg(F.count_if(F.col("type") == "heading").cast("long").alias("headings"), F.count_if(layout.table_text(F.col("text"))).cast("long").alias("tables")),
+    "o3_document_values": o3,
+    "o4_alt_text": o4,
+    "o9_failed_plan": lambda s, d: rebuild.failed(plan(s, d), "no space left"),
+    "o15_table_rows": o15,
+    "o17_list_labels": lambda s, d: elements(s, d).select("doc_id", "pos", rebuild.list_label(F.col("list_label")).alias("label")),
+    "c1_root_present": lambda s, d: tagtree.root_present(inspections(s, d)),
+    "c2_mark_info": lambda s, d: tagtree.marked(inspections(s, d)),
+    "c9_reading_order": c9,
+    "v2_problems": v2_problems,
+    "v4_messages": lambda s, d: decisions(s, d).select("job_id", "seq", review.message(F.col("decision")).alias("message")),
+    "g6_document_values": document_values,
+    "g9_explanation": g9,
+    "p5_audit_rows": lambda s, d: jobs.suggestion_events(suggestions.suggest(issues(s, d), elements(s, d))),
+    "p7_job_report": p7,
+    "p10_report_name": lambda s, d: tables.read(s, d, "part").select("p_partkey", jobs.report_name(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "_accessible.pdf").otherwise(".pdf"))).alias("name")),
+    "j5_status_after": j5,
+    "j9_round_trip": j9,
+    "h7_categories": lambda s, d: issues(s, d).groupBy("doc_id").agg(F.countDistinct("issue_type").cast("long").alias("categories")),
     "r6_missing_title": r6,
     "r6a_first_text": lambda s, d: rules.first_text(lines(s, d)),
     "r8_missing_heading_structure": lambda s, d: rules.without_headings(lines(s, d)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import is_upper
+from cairn.functions.text import is_upper, strip
 
 KINDS = ["heading", "image", "link", "table", "list_item", "paragraph"]
 TEXTS = ["click here", " Read More ", "https://example.com/a", "www.example.org", "", "HERE", "Annual report", "Contact the team", "Budget, by year", "Find a form"]
@@ -18,8 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_elements(docs: DataFrame) -> DataFrame:
     """Text documents: a non-blank line is a HEADING of level 3 if it looks like one, else a PARAGRAPH."""
     lines = docs.select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    t = F.trim("raw")
-    head = (F.length(t) <= 120) & is_upper(t) & (F.size(F.split(t, r"\s+")) <= 10)
+    t = strip(F.col("raw"))
+    head = (F.length(t) <= 120) & is_upper(t) & (F.size(F.split(t, r"(?U)\s+")) <= 10)
     return lines.filter(t != "").select("doc_id", F.col("line").cast("long").alias("pos"), t.alias("text"), F.when(head, "heading").otherwise("paragraph").alias("type"))
 
 
@@ -28,7 +28,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
     tags = F.regexp_extract_all(body, F.lit(r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))
     links = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(tags).alias("pos", "tag"))
-    inner = F.trim(F.regexp_replace("tag", r"(?s)<[^>]*>", ""))
+    inner = strip(F.regexp_replace("tag", r"(?s)<[^>]*>", ""))
     return links.select("doc_id", F.col("pos").cast("long").alias("pos"), F.regexp_extract("tag", r'(?i)href="([^"]*)"', 1).alias("href"), inner.alias("text"))
 
 
@@ -43,6 +43,7 @@ def order_elements(lineitem: DataFrame) -> DataFrame:
         pick(KINDS, F.col("l_quantity").cast("long") % 6).alias("type"), pick(TEXTS, k % 10).alias("text"),
         (F.col("l_partkey") % 6 + 1).cast("long").alias("heading_level"), F.round(1 - 5 * F.col("l_discount"), 6).alias("confidence"),
         F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.lit("")).otherwise(F.lit("A picture")).alias("alt_text"),
+        F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(" Budget"), F.lit("BY YEAR"))).alias("table_headers"), F.when(k % 3 == 0, F.lit(" * ")).alias("list_label"),
         (F.col("l_tax") > 0.06).alias("decorative"), F.when(k % 4 == 0, F.lit(0)).otherwise(F.lit(2)).cast("long").alias("n_headers"),
         (F.floor(F.col("pos") / 4) + 1).cast("long").alias("page_number"), (11 + F.col("l_partkey") % 10).cast("double").alias("font_size"),
         F.when(k % 2 == 0, F.concat(F.lit("e"), (k % 7).cast("string"))).alias("element_id"),

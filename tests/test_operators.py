@@ -8,24 +8,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import layout, rebuild, review, rules, suggestions, tagtree
+from cairn.operators import jobs, layout, rebuild, review, rules, suggestions, tagtree
+from cairn.sources import files
 
 
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
 
 
-@pytest.mark.parametrize(("link", "weak"), [("", True), (None, True), (" Read More ", True), ("www.x.org", True), ("HTTPS://x", True), ("download", True), ("Our report", False), ("here and there", False)])
+@pytest.mark.parametrize(("link", "weak"), [("", True), (None, True), (" Read More ", True), ("www.x.org", True), ("HTTPS://x", True), ("download", True), ("here\t", True), ("\u00a0here\u00a0", True), ("Our report", False), ("here and there", False)])
 def test_weak_links(spark, link, weak):
     assert one(spark, link, rules.weak_link) is weak
 
 
-@pytest.mark.parametrize(("cell", "shown"), [("a" * 28, "a" * 28), ("a" * 29, "a" * 25 + "..."), ("", "")])
+@pytest.mark.parametrize(("cell", "shown"), [("a" * 28, "a" * 28), ("a" * 29, "a" * 25 + "..."), (" a\nb ", "a b"), ("", "")])
 def test_cells_fit(spark, cell, shown):
     assert one(spark, cell, text.fit_cell) == shown
 
 
-@pytest.mark.parametrize(("line", "cells"), [("a\tb, c", ["a", "b, c"]), ("| a | b |", ["a", "b"]), ("a, b", ["a", "b"]), ("a  b c", ["a", "b c"]), ("a", ["a"])])
+@pytest.mark.parametrize(("line", "cells"), [("a\tb, c", ["a", "b, c"]), ("| a | b |", ["a", "b"]), ("a, b", ["a", "b"]), ("a  b c", ["a", "b c"]), ("abc, d\t", ["abc", "d"]), ("a\u2003 b", ["a", "b"]), ("a", ["a"])])
 def test_table_lines(spark, line, cells):
     assert one(spark, line, text.parse_row) == cells
 
@@ -76,11 +77,11 @@ def test_authority_keeps_the_port(spark):
     assert one(spark, "mailto:a@b.c", suggestions.authority) == "mailto:a@b.c"
 
 
-PLAN = "doc_id long, pos long, role string, page_index long, n_rows long, n_headers long, alt_text string, decorative boolean, k long"
+PLAN = "doc_id long, pos long, role string, page_index long, row_sizes array<int>, n_headers long, alt_text string, decorative boolean, k long"
 
 
 def test_table_and_list_nodes(spark):
-    plan = spark.createDataFrame([(1, 0, "Table", 0, 3, 2, None, False, 1), (2, 0, "LI", 0, 0, 0, None, False, 1), (2, 1, "LI", 0, 0, 0, None, False, 1)], PLAN)
+    plan = spark.createDataFrame([(1, 0, "Table", 0, [2, 2, 2], 2, None, False, 1), (2, 0, "LI", 0, [], 0, None, False, 1), (2, 1, "LI", 0, [], 0, None, False, 1)], PLAN)
     tree = tagtree.nodes(plan)
     got = {(r["doc_id"], r["role"]): r["n"] for r in tree.groupBy("doc_id", "role").agg(F.count("*").alias("n")).collect()}
     assert got == {(1, "Table"): 1, (1, "TR"): 3, (1, "TH"): 2, (1, "TD"): 4, (2, "L"): 1, (2, "LI"): 2, (2, "Lbl"): 2, (2, "LBody"): 2}
@@ -88,7 +89,107 @@ def test_table_and_list_nodes(spark):
 
 
 def test_damage_is_found(spark):
-    plan = spark.createDataFrame([(1, 0, "Figure", 0, 0, 0, "x", False, 7), (2, 0, "LI", 0, 0, 0, None, False, 11), (3, 0, "P", 0, 0, 0, None, False, 1)], PLAN)
+    plan = spark.createDataFrame([(1, 0, "Figure", 0, [], 0, "x", False, 7), (2, 0, "LI", 0, [], 0, None, False, 11), (3, 0, "P", 0, [], 0, None, False, 1)], PLAN)
     hurt = tagtree.damaged(tagtree.nodes(plan))
     assert {r["doc_id"]: r["passed"] for r in tagtree.figures_have_alt(hurt).collect()} == {1: False, 2: True, 3: True}
     assert {r["doc_id"]: r["passed"] for r in tagtree.lists_have_roles(hurt).collect()} == {2: False}
+
+
+def test_ragged_tables_and_missing_alt(spark):
+    plan = spark.createDataFrame([(1, 0, "Table", 0, [1, 3], 0, None, False, 1), (2, 0, "Figure", 0, [], 0, None, False, 1), (3, 0, "Figure", 0, [], 0, None, True, 1)], PLAN)
+    tree = tagtree.nodes(plan)
+    assert {(r["row"], r["cell"]) for r in tree.filter("role = 'TD'").collect()} == {(0, 0), (1, 0), (1, 1), (1, 2)}
+    assert {r["doc_id"]: r["passed"] for r in tagtree.figures_have_alt(tree).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_whole_reading_order(spark):
+    plan = spark.createDataFrame([(d, k, "P", 0, [], 0, None, False, 1) for d in (1, 2) for k in range(3)], PLAN)
+    tree = tagtree.nodes(plan)
+    turned = tree.withColumn("mcid", F.when(F.col("doc_id") == 2, 5 - F.col("mcid")).otherwise(F.col("mcid")))
+    assert {r["doc_id"]: r["passed"] for r in tagtree.reading_order(plan, turned, tagtree.parent_tree(turned, plan), tree).collect()} == {1: True, 2: False}
+
+
+ELEMENT = "doc_id long, pos long, type string, text string, href string, table_headers array<string>, n_headers long"
+
+
+@pytest.mark.parametrize(("kind", "shown", "headers", "stays"), [("link", " ", [], False), ("link", "x", [], True), ("image", "", [], True), ("table", "", [], False), ("table", " ", ["A"], True), ("table", "a", [], True), ("paragraph", "\u00a0", [], False), ("form_field", "x", [], False)])
+def test_what_is_rendered(spark, kind, shown, headers, stays):
+    row = spark.createDataFrame([(1, 0, kind, shown, "http://x", headers, len(headers))], ELEMENT)
+    assert row.filter(rebuild.has_content()).count() == int(stays)
+
+
+@pytest.mark.parametrize(("value", "headers", "rows"), [("Name\tAge\nAda\t36", ["name ", "AGE"], [["Name", "Age"], ["Ada", "36"]]), ("Ada\t36", ["Name", "Age"], [["Name", "Age"], ["Ada", "36"]]), ("a, b\n\n | c |", [" "], [["a", "b"], ["c"]]), ("", [], [])])
+def test_table_rows(spark, value, headers, rows):
+    df = spark.createDataFrame([(value, headers)], "v string, h array<string>")
+    assert df.select(text.table_rows(F.col("v"), F.col("h"))).first()[0] == rows
+
+
+def test_size_of_body_text_zero(spark):
+    df = spark.createDataFrame([(20.0, 0.0), (20.0, 11.0), (15.0, 11.0), (12.0, 11.0)], "s double, b double")
+    assert [r[0] for r in df.select(layout.heading_level(F.col("s"), F.col("b"))).collect()] == [3, 1, 2, 3]
+
+
+def test_links_and_images_without_neighbours_stay(spark):
+    cols = "doc_id long, page_number long, pos long, type string, text string, href string, x0 double, y0 double, x1 double, y1 double"
+    df = spark.createDataFrame([(1, 1, 0, "link", "", "http://a", 0.0, 0.0, 9.0, 9.0), (2, 1, 0, "image", "", None, 0.0, 0.0, 9.0, 9.0)], cols)
+    assert tuple(layout.link_texts(df).first()) == (1, 0, "", 0)
+    assert tuple(layout.nearby(df).first()) == (2, 0, "")
+    assert tuple(layout.link_rows(df).first()) == (1, 0, "http://a", 0.45)
+
+
+@pytest.mark.parametrize(("value", "table", "headers"), [("a\tb\nc\td", True, ["a", "b"]), ("a  b\nc", False, ["a", "b"]), ("a  b", False, ["a", "b"]), ("", False, []), (" \n x\t y \n z  w", True, ["x", "y"])])
+def test_table_guesses(spark, value, table, headers):
+    assert one(spark, value, layout.table_text) is table
+    assert one(spark, value, layout.table_headers) == headers
+
+
+def test_page_cursor_passes_between_batches(spark):
+    rows = spark.createDataFrame([(d, k, 24) for d in range(30) for k in range(100)], "doc_id long, pos long, height long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r[0], r[1]): r[2] for r in rebuild.paginate(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(got[d, k] == k // 29 for d in range(30) for k in range(100))
+
+
+def test_title_and_language(spark):
+    docs = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "Own", "de"), (4, None, None)], "doc_id long, title string, language string")
+    values = spark.createDataFrame([(1, "set_document_title", "Mine"), (1, "set_document_language", "fr")], "doc_id long, action string, value string")
+    texts = spark.createDataFrame([(2, "First")], "doc_id long, first_text string")
+    assert sorted(tuple(r) for r in rebuild.document_values(docs, values, texts).collect()) == [(1, "Mine", "fr"), (2, "First", "en-AU"), (3, "Own", "de"), (4, "Accessible Document", "en-AU")]
+
+
+def test_word_processor_files(spark, tmp_path):
+    raw = files.docx_file([("Title here", "Heading 1"), ("", "Normal"), (" Some <text> & more ", "Normal"), ("x", "Heading")], "T")
+    (tmp_path / "a.DOCX").write_bytes(raw)
+    found = files.read_files(spark, str(tmp_path))
+    assert [tuple(r)[1:] for r in files.docx_elements(found).orderBy("pos").collect()] == [(0, "heading", "Title here", "Heading 1", 1, "1", "T"), (2, "paragraph", "Some <text> & more", "Normal", None, "3", "T"), (3, "heading", "x", "Heading", None, "4", "T")]
+    (tmp_path / "b.txt").write_bytes(b"x")
+    with pytest.raises(Exception, match="Unsupported document"):
+        files.read_files(spark, str(tmp_path)).collect()
+
+
+def test_job_store(spark, tmp_path):
+    store = jobs.JobStore(spark, str(tmp_path / "jobs"))
+    store.create(spark.createDataFrame([(k, f"result {k}") for k in range(20)], "job_id long, result string"))
+    assert store.get(7).first()["status"] == "awaiting_review"
+    with pytest.raises(jobs.JobNotFound):
+        store.get(99)
+    kind = "struct<id:string,type:string,filename:string,path:string,created_at:string,validation_report:string>"
+    store.add_artifacts(spark.createDataFrame([(7, ("a", "accessible_pdf", "f", "p", "now", "{}"))], f"job_id long, artifact {kind}"))
+    got = store.get(7).first()
+    assert (got["status"], len(got["artifacts"]), got["result"]) == ("output_generated", 1, "result 7")
+    assert store.read().count() == 20 and store.get(8).first()["status"] == "awaiting_review"
+
+
+@pytest.mark.parametrize(("path", "ok"), [("/jobs/1/a.pdf", True), ("/jobs/1/../2", True), ("/jobs/../etc", False), ("/jobs", False), ("/jobsx/1", False)])
+def test_paths_inside(spark, path, ok):
+    assert one(spark, path, lambda c: jobs.inside(F.lit("/jobs"), c)) is ok
+
+
+def test_records_lacking_a_field_fail(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1, "more": 2}')], "id long, record string")
+    assert tuple(jobs.decode(rows, "id", "a int, b string", ["a"]).first()) == (1, 1, None)
+    with pytest.raises(Exception, match="record lacks b"):
+        jobs.decode(rows, "id", "a int, b string", ["b"]).collect()
