@@ -10,6 +10,7 @@ each feature has a cautious estimate of how often texts with it are toxic.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 
@@ -155,6 +156,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+PLANES = 0x30000  # code points that the table of letters has
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """Whether a code point is in words; those past the table are taken for letters, as nearly all of them are."""
+    table = np.zeros(PLANES + 1, bool)
+    table[[ord(c) for c in WORD.findall("\n".join(map(chr, range(PLANES))))]] = True
+    table[PLANES] = True
+    return table
+
+
+def counted(text: str) -> pa.RecordBatch:
+    """(name, n): trigrams of the words of a text, ^^ before and $ after each, over arrays of its characters."""
+    codes = np.concatenate([[10], np.frombuffer(text.encode("utf-32-le"), np.uint32), [10]]).astype(np.int64)
+    inside = letters()[np.minimum(codes, PLANES)]
+    codes[~inside] = ord("^")
+    found, ids = np.unique(codes, return_inverse=True) if len(codes) < 1000 else _ranked(codes)
+    at = np.flatnonzero(inside)
+    start, end = ~inside[at - 1], at[~inside[at + 1]]
+    edge = np.searchsorted(found, ord("^"))
+    before = np.where(start, edge, ids[at - 2])
+    n = np.int64(len(found) + 1)  # the last place is for $
+    keys = np.concatenate([(before * n + ids[at - 1]) * n + ids[at], (ids[end - 1] * n + ids[end]) * n + len(found)])
+    if n**3 <= 1 << 22:
+        total = np.bincount(keys, minlength=int(n**3))
+        keys = np.flatnonzero(total)
+        total = total[keys]
+    else:
+        keys, total = np.unique(keys, return_counts=True)
+    names = [*map(chr, found), "$"]
+    grams = [names[k // (n * n)] + names[k // n % n] + names[k % n] for k in keys.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(total, pa.int64())], ["name", "n"])
+
+
+def _ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different code points in order and each one's rank, as np.unique gives them, without sorting."""
+    there = np.bincount(codes) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
+
+
 def trigrams(docs: DataFrame) -> dict[str, int]:
     """Character trigrams of the words of all documents, with how often the words have them.
 
@@ -162,27 +204,17 @@ def trigrams(docs: DataFrame) -> dict[str, int]:
     ALPHABET ** 3 entries whatever the corpus.
     """
 
-    def spelt(tokens: Counter) -> pa.RecordBatch:
-        words: Counter = Counter()
-        for token, n in tokens.items():
-            for w in WORD.findall(token):
-                words[w] += n
-        grams: Counter = Counter()
-        for w, n in words.items():
-            padded = f"^^{w}$"
-            for i in range(len(w) + 1):
-                grams[padded[i : i + 3]] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["name", "n"])
-
     def count(batches):
-        tokens: Counter = Counter()
         for b in batches:
+            held, size = [], 0
             for text in b.column("text").to_pylist():
-                tokens.update((text or "").lower().split())
-            if len(tokens) > 200_000:
-                yield spelt(tokens)
-                tokens = Counter()
-        yield spelt(tokens)
+                held.append((text or "").lower())
+                size += len(held[-1])
+                if size > 1 << 20:
+                    yield counted("\n".join(held))
+                    held, size = [], 0
+            if held:
+                yield counted("\n".join(held))
 
     small_batches(docs.sparkSession)
     every = materialize(docs.select("text").mapInArrow(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")), "trigrams")

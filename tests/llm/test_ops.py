@@ -207,6 +207,19 @@ def test_decoder_finds_the_best_path(spark):
         assert abs(costs[model.decode(token)] - best) < 1e-9
 
 
+def test_trigrams_by_arrays():
+    from collections import Counter
+
+    rnd = random.Random(7)
+    for text in ("", "a", "ab c", " x\ny1z_w ", "é'ü 🙂 語文", "".join(rnd.choice("abé ü1_-\n語") for _ in range(5000))):
+        want: Counter = Counter()
+        for w in toxicity.WORD.findall(text):
+            p = f"^^{w}$"
+            want.update(p[i : i + 3] for i in range(len(p) - 2))
+        got = toxicity.counted(text)
+        assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) == dict(want)
+
+
 def test_trigrams_are_bounded(spark):
     rows = [(k, "".join(chr(0x4E00 + (k * 37 + j) % 3000) for j in range(200)) + " word word") for k in range(40)]
     grams = toxicity.trigrams(frame(spark, rows))
