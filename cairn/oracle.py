@@ -279,4 +279,28 @@ SQL |= {
     "j9_round_trip": _with(EL, "SELECT doc_id, pos, type, text, heading_level, alt_text, decorative FROM el"),
     "h7_categories": _with(ISS, "SELECT doc_id, count(DISTINCT issue_type) AS categories FROM iss GROUP BY 1"),
 }
+#: A stream's text block, and the fates of an order's stream.
+BLOCK = "q BT (x) Tj ET Q"
+MARKED = f"""CASE
+  WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 = 2 OR o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN '/P <</MCID 0>> BDC' || chr(10) || '/P <</MCID 1>> BDC' || chr(10) || 'head ' || repeat('{BLOCK} ', o_orderkey % 4) || 'tail' || chr(10) || 'EMC' || chr(10) || 'EMC' || chr(10) END
+  ELSE 'head /P <</MCID 0>> BDC' || chr(10) || '{BLOCK}' || chr(10) || 'EMC ' || repeat('{BLOCK} ', o_orderkey % 4 - 1) || 'tail' END"""
+RAW = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN o_orderkey % 7 - 3 END AS v FROM orders)"
+
+SQL |= {
+    "t9_marked_streams": f"SELECT o_orderkey AS doc_id, {MARKED} AS stream FROM orders",
+    "t10_plan_values": f"SELECT o_orderkey AS doc_id, greatest(0, least(2, coalesce(v, 0))) AS page_index, greatest(1, coalesce(v, 1)) AS blocks, greatest(0, coalesce(v, 0)) AS headers FROM {RAW}",
+    "c12_tree_elements": "SELECT o_orderkey AS doc_id, role, depth, CASE WHEN role = 'L' THEN 1 ELSE o_orderkey % 4 END AS n FROM orders, (VALUES ('L', 0::BIGINT), ('LI', 1), ('LBody', 2)) v(role, depth) WHERE o_orderkey % 5 <> 0 AND (role = 'L' OR o_orderkey % 4 > 0)",
+    "c13_number_tree": "SELECT o_orderkey AS doc_id, key, CASE WHEN key = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS entries FROM orders, (VALUES (0::BIGINT), (1)) v(key)",
+    "c14_page_marks": "SELECT o_orderkey AS doc_id, 0::BIGINT AS page_index, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS marks FROM orders WHERE o_orderkey % 6 > 0",
+    "c16_validator": "SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE o_orderkey % 4 WHEN 0 THEN 'unavailable' WHEN 3 THEN 'error' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 4 = 3 THEN 'false' WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 2 THEN 'unknown' WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END AS passed, o_orderkey % 8 = 3 AS told FROM orders",
+    "h3_payloads": "SELECT o_orderkey AS doc_id, (['no record', 'lacks issue_id', 'unknown decision', '', 'no record'])[o_orderkey % 5 + 1] AS problem FROM orders",
+    "h3_suffix": "SELECT p_partkey, (['.pdf', '.docx', ''])[p_size % 3 + 1] AS suffix FROM part",
+    "h6_reports": _with(ISS, """SELECT doc_id, n0 + n1 AS issues, n0_high + n1_high AS high, CASE WHEN doc_id % 2 <> 0 THEN 'missing_document_title' WHEN doc_id % 3 <> 0 THEN 'missing_document_language' WHEN flat THEN 'missing_heading_structure' ELSE coalesce(first_issue, '') END AS first_issue FROM (
+        SELECT o_orderkey AS doc_id, coalesce(flat, FALSE) AS flat, first_issue, coalesce(n, 0) AS n1, coalesce(high, 0) AS n1_high,
+          CASE WHEN o_orderkey % 2 <> 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(flat, FALSE) THEN 1 ELSE 0 END AS n0,
+          CASE WHEN o_orderkey % 2 <> 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS n0_high
+        FROM orders LEFT JOIN (SELECT doc_id, count(*) FILTER (type = 'heading') = 0 AND count(*) FILTER (type = 'paragraph') >= 4 AS flat FROM el GROUP BY 1) f ON f.doc_id = o_orderkey
+        LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (severity = 'high') AS high, arg_min(issue_type, issue_ord) AS first_issue FROM iss GROUP BY 1) i ON i.doc_id = o_orderkey)"""),
+    "h8_scripted_review": _with(MATCH, "SELECT doc_id, issue_ord, CASE WHEN issue_type IN ('missing_image_alt_text', 'weak_link_text') THEN 'edit' ELSE 'accept' END AS decision, CASE issue_type WHEN 'missing_image_alt_text' THEN 'Bar chart showing quarterly accessibility progress.' WHEN 'weak_link_text' THEN 'Read the quarterly accessibility report' ELSE coalesce(proposed_value, '') END AS final_value FROM sg"),
+}
 SQL = {name: _stripping(sql) for name, sql in SQL.items()}

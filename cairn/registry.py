@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn import oracle
 from cairn.functions import text
-from cairn.operators import jobs, layout, rebuild, reports, review, rules, suggestions, tagtree
+from cairn.operators import content, jobs, layout, rebuild, reports, review, rules, service, suggestions, tagtree, validate
 from cairn.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,12 +220,75 @@ def order_lists(spark, d):
     return tables.read(spark, d, "orders").select(key.alias("doc_id"), files.parent_tree_size(flat).cast("long").alias("entries"), files.marked_count(streams).cast("long").alias("marked"))
 
 
+def page_streams(spark, d):
+    """A stream for each order, with as many text blocks as its key's remainder by 4; even keys plan three blocks, others one."""
+    key = F.col("o_orderkey")
+    entry = lambda mcid, n: F.struct(F.lit(mcid).alias("mcid"), F.lit(n).alias("blocks"))
+    plan = F.when(key % 2 == 0, F.array(entry(0, 1), entry(1, 2))).otherwise(F.array(entry(0, 1)))
+    stream = F.concat(F.lit("head "), F.repeat(F.lit("q BT (x) Tj ET Q "), (key % 4).cast("int")), F.lit("tail"))
+    return tables.read(spark, d, "orders").select(key.alias("doc_id"), content.marked(stream, plan).alias("stream"))
+
+
+def plan_values(spark, d):
+    """Page index, blocks and headers as texts, of which some are no numbers, for three pages."""
+    key = F.col("o_orderkey")
+    raw = F.when(key % 7 == 0, F.lit("none")).when(key % 7 != 1, ((key % 7) - 3).cast("string"))
+    return tables.read(spark, d, "orders").select(key.alias("doc_id"), content.page_of(raw, F.lit(3)).alias("page_index"), content.blocks_of(raw).alias("blocks"), content.header_count_of(raw).alias("headers"))
+
+
+def number_trees(spark, d):
+    """Keys 0, 1 and 0 again, one that is no number, and a last one without value."""
+    key = F.col("o_orderkey")
+    nums = F.array(F.lit("0"), F.lit("[1, 2, 3]"), F.lit("1"), F.when(key % 2 == 0, '"x"'), F.lit("0"), F.when(key % 3 == 0, "[1]").otherwise("[]"), F.lit("k"), F.lit("[1, 2]"), F.lit("9"))
+    return content.number_tree(tables.read(spark, d, "orders").select(key.alias("doc_id"), nums.alias("nums"))).select("doc_id", "key", "entries")
+
+
+def written_trees(spark, d):
+    """A list with an item for each remainder of the key by 4, below an object that is no element; every fifth tree is broken."""
+    key = F.col("o_orderkey")
+    item = F.lit('{"Type": "/StructElem", "S": "/LI", "K": {"Type": "/StructElem", "S": "/LBody", "K": 3}}')
+    items = F.array_join(F.array_repeat(item, (key % 4).cast("int")), ", ")
+    tree = F.concat(F.lit('{"K": [{"Type": "/StructElem", "S": "/L", "K": ['), items, F.when(key % 5 == 0, "]").otherwise("]}, 7, null]}"))
+    return content.tree_elements(tables.read(spark, d, "orders").select(key.alias("doc_id"), tree.alias("tree"))).groupBy("doc_id", "role", "depth").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+def validator_runs(spark, d):
+    key = F.col("o_orderkey")
+    output = F.when(key % 3 == 0, '{"jobs": [{"validationResult": {"isCompliant": true}}]}').when(key % 3 == 1, '{"validationResult": {"isCompliant": false}}').otherwise("no report")
+    rows = tables.read(spark, d, "orders").select(key.cast("string").alias("path"), F.when(key % 4 > 0, (key % 4 - 1).cast("int")).alias("code"), output.alias("output"), F.when(key % 8 < 4, " bad file ").alias("errors"))
+    made = validate.outcome(rows)
+    return made.select("path", "status", F.coalesce(F.col("passed").cast("string"), F.lit("unknown")).alias("passed"), (F.col("details") == "bad file").alias("told"))
+
+
+def payloads(spark, d):
+    key = F.col("o_orderkey")
+    payload = F.when(key % 5 == 0, "[]").when(key % 5 == 1, '{"suggestion_id": "s", "decision": "accept"}').when(key % 5 == 2, '{"suggestion_id": "s", "issue_id": "i", "decision": "skip"}').when(key % 5 == 3, '{"suggestion_id": "s", "issue_id": "i", "decision": "edit", "more": 1}')
+    return tables.read(spark, d, "orders").select(key.alias("doc_id"), F.coalesce(service.payload_problem(payload), F.lit("")).alias("problem"))
+
+
+def whole_reports(spark, d):
+    docs = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, "T").alias("title"), F.when(F.col("o_orderkey") % 3 == 0, "en").otherwise(" ").alias("language"))
+    found = service.analyse(docs, elements(spark, d))
+    of = lambda path: F.get_json_object("report", path)
+    return found.select("doc_id", of("$.issue_count").cast("long").alias("issues"), F.coalesce(of("$.by_severity.high"), F.lit("0")).cast("long").alias("high"), F.coalesce(of("$.issues[0].issue_type"), F.lit("")).alias("first_issue"))
+
+
 def c9(spark, d):
     p = plan(spark, d)
     return tagtree.reading_order(p, hurt(p), tagtree.parent_tree(hurt(p), p).filter("key % 3 <> 1"), tree_of(p), hurt(p).filter("k % 19 <> 0"))
 
 
 QUERIES: dict[str, Query] = {
+    "t9_marked_streams": page_streams,
+    "t10_plan_values": plan_values,
+    "c12_tree_elements": written_trees,
+    "c13_number_tree": number_trees,
+    "c14_page_marks": lambda s, d: content.page_marks(page_streams(s, d).select("doc_id", F.lit(0).cast("long").alias("page_index"), F.when(F.col("doc_id") % 6 > 0, F.col("stream")).alias("content"))),
+    "c16_validator": validator_runs,
+    "h3_payloads": payloads,
+    "h3_suffix": lambda s, d: tables.read(s, d, "part").select("p_partkey", service.safe_suffix(F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ".PDF").when(F.col("p_size") % 3 == 1, ".Docx").otherwise(".txt"))).alias("suffix")),
+    "h6_reports": whole_reports,
+    "h8_scripted_review": lambda s, d: service.scripted_decisions(suggestions.suggest(issues(s, d), elements(s, d))).select("doc_id", "issue_ord", "decision", "final_value"),
     "s2_docx_scan": s2,
     "s5_span_lines": s5_spans,
     "s12_parent_tree_size": lambda s, d: order_lists(s, d).select("doc_id", "entries"),

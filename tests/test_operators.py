@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import jobs, layout, rebuild, review, rules, suggestions, tagtree
+from cairn.operators import content, jobs, layout, rebuild, review, rules, service, suggestions, tagtree, validate
 from cairn.sources import files
 
 
@@ -193,3 +193,72 @@ def test_records_lacking_a_field_fail(spark):
     assert tuple(jobs.decode(rows, "id", "a int, b string", ["a"]).first()) == (1, 1, None)
     with pytest.raises(Exception, match="record lacks b"):
         jobs.decode(rows, "id", "a int, b string", ["b"]).collect()
+
+
+BLOCK = "q\nBT /F1 12 Tf (a) Tj\nET\nQ"
+
+
+@pytest.mark.parametrize(("stream", "plan", "want"), [
+    (f"0 {BLOCK} 1 {BLOCK} 2", [(4, 1), (5, 1)], f"0 /P <</MCID 4>> BDC\n{BLOCK}\nEMC 1 /P <</MCID 5>> BDC\n{BLOCK}\nEMC 2"),
+    (f"{BLOCK}{BLOCK}", [(0, 2)], f"/P <</MCID 0>> BDC\n{BLOCK}{BLOCK}\nEMC"),
+    (f"{BLOCK} {BLOCK}", [(0, 0), (1, 1)], f"/P <</MCID 1>> BDC\n{BLOCK}\nEMC {BLOCK}"),
+    (BLOCK, [(0, 1), (1, 1)], f"/P <</MCID 0>> BDC\n/P <</MCID 1>> BDC\n{BLOCK}\nEMC\nEMC\n"),
+    ("", [(0, 1)], "/P <</MCID 0>> BDC\n\nEMC\n"), ("x", [], "x"), (None, [(0, 1)], None),
+])
+def test_marked_content(spark, stream, plan, want):
+    df = spark.createDataFrame([(stream, plan)], "s string, p array<struct<mcid:int,blocks:int>>")
+    assert df.select(content.marked(F.col("s"), F.col("p"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("value", "page", "blocks", "headers"), [("1", 1, 1, 1), ("-2", 0, 1, 0), ("9", 2, 9, 9), (None, 0, 1, 0), ("", 0, 1, 0), ("x", 0, 1, 0), (" 2 ", 2, 2, 2)])
+def test_plan_values(spark, value, page, blocks, headers):
+    row = spark.createDataFrame([(value,)], "v string").select(content.page_of(F.col("v"), F.lit(3)), content.blocks_of(F.col("v")), content.header_count_of(F.col("v")), content.page_of(F.col("v"), F.lit(0))).first()
+    assert tuple(row) == (page, blocks, headers, 0)
+
+
+def test_clean_rows(spark):
+    df = spark.createDataFrame([([[" a ", "", None], None, [" "]],), (None,)], "r array<array<string>>")
+    assert [r[0] for r in df.select(content.rows_of(F.col("r"))).collect()] == [[["a"]], []]
+
+
+def test_written_trees(spark):
+    tree = '{"K": [{"Type": "/StructElem", "S": "/Table", "K": [{"Type": "/StructElem", "S": "/TR"}, {"Type": "/MCR", "MCID": 1}]}, {"Type": "/StructElem"}]}'
+    df = spark.createDataFrame([(1, tree), (2, None), (3, "{"), (4, "[]"), (5, "[" * 900 + "]" * 900)], "doc_id long, tree string")
+    assert [tuple(r) for r in content.tree_elements(df).orderBy("doc_id", "ord").collect()] == [(1, 0, 0, "Table"), (1, 1, 1, "TR"), (1, 2, 0, "")]
+
+
+def test_number_trees(spark):
+    df = spark.createDataFrame([(1, ["0", "[1, 2]", "0", "null", "x", "[1]", "7", None]), (2, []), (3, None)], "doc_id long, nums array<string>")
+    assert [tuple(r) for r in content.number_tree(df).orderBy("key").collect()] == [(1, 0, "null", 0), (1, 7, None, 0)]
+
+
+def test_the_validator(spark, tmp_path):
+    df = spark.createDataFrame([("a", bytearray(b"x")), ("b", None)], "path string, content binary")
+    assert {tuple(r)[1:3] for r in validate.outcome(validate.runs(df, "no-such-tool")).collect()} == {("unavailable", None)}
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\nif [ -z \"$(cat)\" ]; then echo broken >&2; exit 7; fi\necho '{\"jobs\": [{\"validationResult\": {\"isCompliant\": true}}]}'\n")
+    tool.chmod(0o755)
+    assert [tuple(r) for r in validate.outcome(validate.runs(df, str(tool))).orderBy("path").collect()] == [("a", "completed", True, "The validator has run."), ("b", "error", False, "broken")]
+
+
+def test_status_codes():
+    assert [service.status_code(e) for e in (service.Unsupported("x"), jobs.JobNotFound(1), service.ArtifactNotFound("a"), review.ReviewError("x"), ValueError("x"))] == [415, 404, 404, 400, 500]
+
+
+def test_artifact_by_id(spark):
+    kind = "struct<id:string,type:string,filename:string>"
+    job = spark.createDataFrame([(1, [("a", "accessible_pdf", "1"), ("b", "accessibility_report", "2"), ("b", "accessible_pdf", "3")])], f"job_id long, artifacts array<{kind}>")
+    assert tuple(service.artifact(job, "b").first()) == ("b", "accessibility_report", "2", "application/json")
+    with pytest.raises(service.ArtifactNotFound):
+        service.artifact(job, "c")
+
+
+def test_reports_of_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.docx").write_bytes(files.docx_file([("One", "Heading 1"), ("Two", "Heading 3")], "T"))
+    (tmp_path / "b.docx").write_bytes(files.docx_file([("", "Normal")]))
+    found = files.read_files(spark, str(tmp_path))
+    got = {r["path"][-6:]: json.loads(r["report"]) for r in service.docx_reports(found, files.docx_elements(found)).collect()}
+    kinds = {k: [i["issue_type"] for i in v["issues"]] for k, v in got.items()}
+    assert kinds == {"a.docx": ["missing_document_language", "skipped_heading_level"], "b.docx": ["missing_document_title", "missing_document_language"]}
