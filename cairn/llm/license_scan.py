@@ -3,8 +3,9 @@
 Every rolling word k-gram hash of a text is joined to the template positions
 that have it. Hits of one template on one diagonal (position in the text less
 position in the template) vote together; diagonals a few words apart, as a word
-put in or left out makes them, are merged; and a merged span is verified by the
-share of the template's own positions that its words agree with, each counted once.
+put in or left out makes them, are merged; and a merged span is verified word by
+word: the words of each hit are compared with the template's, and what counts
+is the share of the template's own positions that stand so, each counted once.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ def fourgrams(pairs: Column) -> Column:
     return F.zip_with(pairs, F.slice(pairs, 3, F.greatest(F.size(pairs) - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
+def said(w: Column, place: Column, k: int) -> Column:
+    """The k words from a place on."""
+    return F.array(*[F.get(w, place + n) for n in range(k)])
+
+
 def templates(spark: SparkSession, phrases, passages) -> DataFrame:
     """The rolling hashes of all templates with their positions: bigrams of phrases, 4-grams of passages. Fixed texts: a few hundred rows."""
     rows = [(k, label, text, exact) for k, (text, label, exact) in enumerate([(t, n, True) for t, n in phrases] + [(t, n, False) for t, n in passages])]
@@ -51,15 +57,16 @@ def templates(spark: SparkSession, phrases, passages) -> DataFrame:
     table = table.withColumn("w", words(F.col("body")))
     two = bigrams(F.col("w"))
     grams = F.when(F.col("exact"), F.slice(two, 1, F.size("w") - 1)).otherwise(F.slice(fourgrams(two), 1, F.greatest(F.size("w") - 3, F.lit(0))))
-    return table.select("template", "label", "exact", F.size(grams).alias("n_grams"), F.posexplode(grams).alias("at", "hash"))
+    index = table.select("template", "label", "exact", F.size(grams).alias("n_grams"), "w", F.posexplode(grams).alias("at", "hash"))
+    return index.withColumn("asked", F.when(F.col("exact"), said(F.col("w"), F.col("at"), 2)).otherwise(said(F.col("w"), F.col("at"), 4))).drop("w")
 
 
 def license_spans(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, coverage: float = 0.6, drift: int = 3) -> DataFrame:
-    """Verified spans: doc_key, doc_id, n_words, template, label, exact, first_word, last_word (of the span), hits, covered.
+    """Verified spans: doc_key, doc_id, n_words, template, label, exact, first_word, last_word (first places of the span's first and last n-gram), votes, covered.
 
     A row with template -1 stands for each input row, so that texts without
     a span appear too. Phrases must be met in full; passages by the given share
-    of their 4-grams.
+    of their 4-grams. Hits whose hash agrees and whose words differ count for nothing.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("doc_key", F.monotonically_increasing_id())
@@ -67,21 +74,26 @@ def license_spans(docs: DataFrame, phrases=PHRASES, passages=PASSAGES, coverage:
     # One entry for each word place, and one (place -1, hash of nothing) that stands for the row itself.
     mark = F.lit(0).cast("long")
     rows = rows.withColumn("two", bigrams(F.col("w")))
-    grams = F.concat(*(F.transform(h, lambda x, i: F.struct(i.alias("place"), F.when(x == 0, F.lit(1)).otherwise(x).alias("hash"))) for h in (F.col("two"), fourgrams(F.col("two")))))
-    own = F.array(F.struct(F.size("w").alias("place"), mark.alias("hash")))
-    places = rows.select("doc_id", "doc_key", F.explode(F.concat(own, grams)).alias("p")).select("doc_id", "doc_key", "p.place", "p.hash")
+
+    def entries(hashes, k):
+        return F.transform(hashes, lambda x, i: F.struct(i.alias("place"), F.when(x == 0, F.lit(1)).otherwise(x).alias("hash"), said(F.col("w"), i, k).alias("said")))
+
+    own = F.array(F.struct(F.size("w").alias("place"), mark.alias("hash"), F.lit(None).cast("array<string>").alias("said")))
+    places = rows.select("doc_id", "doc_key", F.explode(F.concat(own, entries(F.col("two"), 2), entries(fourgrams(F.col("two")), 4))).alias("p")).select("doc_id", "doc_key", "p.*")
     index = templates(spark, phrases, passages)
-    lone = spark.createDataFrame([(-1, None, None, 0, 0, 0)], "template int, label string, exact boolean, n_grams int, at int, hash long")
+    lone = spark.createDataFrame([(-1, None, None, 0, 0, 0, None)], "template int, label string, exact boolean, n_grams int, at int, hash long, asked array<string>")
     hits = places.join(F.broadcast(index.unionByName(lone)), "hash")
     # Votes of each diagonal.
     votes = hits.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("place") - F.col("at")))
-    near = votes.groupBy("doc_key", "doc_id", "template", "label", "exact", "n_grams", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"), F.collect_set("at").alias("met"))
+    near = votes.groupBy("doc_key", "doc_id", "template", "label", "exact", "n_grams", "diagonal").agg(F.collect_set(F.struct("at", "place", F.col("said").eqNullSafe(F.col("asked")).alias("holds"))).alias("met"))
     # Merge diagonals of one template that drift by a few words: their texts are within a template's length of each other.
     order = Window.partitionBy("doc_key", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(order)
     fresh = F.when(F.col("exact") | step.isNull() | (step > drift), 1).otherwise(0)
     merged = near.withColumn("island", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("doc_key", "doc_id", "template", "label", "exact", "n_grams", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("votes"), F.min("first").alias("first_word"), F.max("last").alias("last_word"), F.max("last").alias("n_words"))
+    spans = merged.groupBy("doc_key", "doc_id", "template", "label", "exact", "n_grams", "island").agg(F.filter(F.flatten(F.collect_list("met")), lambda m: m["holds"]).alias("met"))
+    spans = spans.withColumn("votes", F.size(F.array_distinct("met.at"))).withColumn("first_word", F.array_min("met.place")).withColumn("last_word", F.array_max("met.place"))
+    spans = spans.withColumn("n_words", F.col("last_word")).drop("met")
     share = F.col("votes") / F.greatest(F.col("n_grams"), F.lit(1))
     good = F.when(F.col("exact"), F.col("votes") == F.col("n_grams")).otherwise(share >= coverage)
     return spans.withColumn("covered", share).filter((F.col("template") < 0) | good)

@@ -8,9 +8,11 @@ import io
 import random
 import re
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import ann, bpe, common, exact_dedup, jaccard_join, license_scan, lm_score, packing, suffix_dedup, toxicity, warc
 from cairn.llm.queries import BYTE_RANKS, WORD_TOKENIZER, vocabulary
@@ -56,6 +58,25 @@ def test_packing(spark, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_pieces_hold_the_ids_in_order(spark):
+    """piece, start, length and ids_crc32 against the tokenizer's own ids; null ids and repeated rows left to the test above."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary(WORD_TOKENIZER)
+    one = Tokenizer.from_file(path)
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "word " * 5000), (5, "".join(chr(0x4E00 + n) for n in range(3000))), (6, "x" * 9000)]
+    by = {}
+    for r in packing.pack(frame(spark, rows), path).collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    for i, t in rows:
+        ids = np.array([*one.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        pieces = sorted(by[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in pieces] == list(range(-(-len(ids) // 2048)))
+        for r in pieces:
+            cut = ids[r["piece"] * 2048 :][:2048]
+            assert (r["start"], r["length"], r["ids_crc32"]) == (r["piece"] * 2048, len(cut), zlib.crc32(cut.tobytes()))
+
+
 def test_plan_is_close_to_the_bound():
     rng = np.random.default_rng(1)
     counts = np.bincount(np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 2048), minlength=2049)
@@ -170,7 +191,6 @@ def test_exact_dedup(spark, empty):
 
 
 def test_exact_dedup_goes_by_content(spark, monkeypatch):
-    from pyspark.sql import functions as F
 
     monkeypatch.setattr(exact_dedup, "digest", lambda body: F.length(body).cast("string"))  # many texts share one digest
     rows = [(i, f"t{i % 7}") for i in range(200)] + [(500 + i, "hot  text") for i in range(3000)]
@@ -308,7 +328,6 @@ def test_nearest(spark):
     m[100:140] = m[0]
     rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(m)] + [(900, None, 1), (950, [0.0] * 16, 1), (1000, [float("nan")] * 16, 1), (1050, [None] * 16, 1), (1100, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf int")
-    from pyspark.sql import functions as F
 
     got = ann.nearest(df, F.col("vec_id") % 50 == 0, branching=4, leaf_size=50, block=64).collect()
     x = m.astype(float)
@@ -328,7 +347,6 @@ def test_nearest(spark):
 
 
 def test_nearest_in_small_leaves(spark):
-    from pyspark.sql import functions as F
 
     rng = np.random.default_rng(8)
     m = np.concatenate([np.tile(rng.normal(size=16), (600, 1)), rng.normal(size=16) + 0.01 * rng.normal(size=(300, 16)), 3 * rng.normal(size=(4, 16))])
@@ -360,6 +378,18 @@ def test_license_scan(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_words_are_compared(spark, monkeypatch):
+    """Where hashes agree by chance, words decide."""
+    docs = frame(spark, [(1, "an mit license and a general public license, a public license"), (2, "mit x license general public x license"), (3, license_scan.PASSAGES[3][0]), (4, " ".join(f"w{n}" for n in range(300)))])
+    right = sorted(license_scan.license_scan(docs).collect())
+    assert [(r["n_base"], r["labels"]) for r in right] == [(2, "gpl,mit"), (0, ""), (0, "bsd-text"), (0, "")]
+    for name in ("bigrams", "fourgrams"):
+        plain = getattr(license_scan, name)
+        monkeypatch.setattr(license_scan, name, lambda c, plain=plain: F.transform(plain(c), lambda x: F.pmod(x, F.lit(7)) + 1))
+    weak = sorted(license_scan.license_scan(docs).collect())
+    assert [r[:6] for r in weak] == [r[:6] for r in right]
+
+
 # 9
 
 
