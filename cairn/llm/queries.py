@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import ann, bpe, exact_dedup, jaccard_join, license_scan, lm_score, packing, suffix_dedup, toxicity, warc
+from cairn.llm import ann, bpe, exact_dedup, fill_middle, jaccard_join, license_scan, lm_score, packing, suffix_dedup, toxicity, warc
 
 WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -65,6 +65,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_best_fit_packing, op2_warc, op3_byte_bpe, op4_exact_dedup, op5_toxicity, op6_suffix_dedup, op7_nearest_neighbours, op8_license_scan, op9_lm_score, op10_jaccard_join, pipeline]
+    named = [op1_best_fit_packing, op2_warc, op3_byte_bpe, op4_exact_dedup, op5_toxicity, op6_suffix_dedup, op7_nearest_neighbours, op8_license_scan, op9_lm_score, op10_jaccard_join, op11_fill_in_middle, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -83,4 +87,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                    doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
             FROM d""",
+        "op11_fill_in_middle": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+            g AS (SELECT *, length(t) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) for i in [0, 1, 2, 3]] AS x FROM d),
+            c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS i, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS j,
+                  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+            p AS (SELECT *, substring(t, 1, i) AS a, substring(t, i + 1, j - i) AS b, substring(t, j + 1, n - j) AS e FROM c)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || e || '<M>' || b ELSE '<S>' || e || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256
+            FROM p""",
     }
