@@ -14,7 +14,9 @@ from cairn.llm.common import small_batches
 
 _ENCODINGS: dict = {}
 #: A match of the pattern never runs on from a non-space into white space, so a text may be cut there.
-SAFE_CUT = r"(?<=\S)(?=\s)"
+SAFE_CUT = r"(?<=\P{White_Space})(?=\p{White_Space})"
+#: A run of white space before other characters is one match up to its last character; at a text's end it is one as a whole.
+LONG_BLANK = r"\p{White_Space}{%d,}"
 
 
 def encoding(path: str, pattern: str):
@@ -29,7 +31,24 @@ def encoding(path: str, pattern: str):
 
 
 def safe_pieces(text: str, size: int):
-    """Cut a long text at safe boundaries into pieces of `size` characters or, where there is no boundary, longer."""
+    """Cut a long text at safe boundaries: (piece, whether it is one match of white space).
+
+    Pieces have `size` characters or, where there is no boundary, more. Runs of
+    white space of that length come apart, as the pattern's look-ahead would
+    take a stack as deep as they are long.
+    """
+    import regex
+
+    blank, at = regex.compile(LONG_BLANK % max(2, size)), 0
+    for run in blank.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield from ((x, False) for x in cut_pieces(text[at : run.start()], size))
+        yield text[run.start() : end], True
+        at = end
+    yield from ((x, False) for x in cut_pieces(text[at:], size))
+
+
+def cut_pieces(text: str, size: int):
     import regex
 
     cut, at = regex.compile(SAFE_CUT), 0
@@ -39,15 +58,16 @@ def safe_pieces(text: str, size: int):
             break
         yield text[at : found.start()]
         at = found.start()
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 def encode_text(enc, text: str, size: int = 1 << 16) -> list[int]:
     if len(text) <= size:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for piece in safe_pieces(text, size):
-        ids += enc.encode_ordinary(piece)
+    for piece, blank in safe_pieces(text, size):
+        ids += enc._encode_single_piece(piece) if blank else enc.encode_ordinary(piece)
     return ids
 
 
