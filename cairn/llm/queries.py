@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import ann, bpe, exact_dedup, fill_middle, jaccard_join, license_scan, lm_score, packing, suffix_dedup, toxicity, warc
+from cairn.llm import align, ann, bpe, exact_dedup, fill_middle, jaccard_join, license_scan, lm_score, packing, suffix_dedup, toxicity, warc
 
 WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_counts(table(spark, sf_dir, "documents"), (vocabulary(BYTE_TOKENIZER), vocabulary(PIECE_TOKENIZER)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_best_fit_packing, op2_warc, op3_byte_bpe, op4_exact_dedup, op5_toxicity, op6_suffix_dedup, op7_nearest_neighbours, op8_license_scan, op9_lm_score, op10_jaccard_join, op11_fill_in_middle, pipeline]
+    named = [op1_best_fit_packing, op2_warc, op3_byte_bpe, op4_exact_dedup, op5_toxicity, op6_suffix_dedup, op7_nearest_neighbours, op8_license_scan, op9_lm_score, op10_jaccard_join, op11_fill_in_middle, op12_token_alignment, pipeline]
     return {f.__name__: f for f in named}
 
 
