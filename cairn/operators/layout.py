@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import cleaned, lines_of, strip
+from cairn.functions.text import lines_of, strip
 
 
 def page_median(lines: DataFrame) -> DataFrame:
@@ -54,16 +54,21 @@ def image_rows(images: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def link_rows(elements: DataFrame) -> DataFrame:
-    """Links with the text their box touches, else their address; those without one of both are little trusted."""
-    rows = elements.filter("type = 'link'").select("doc_id", F.col("pos").alias("link_pos"), cleaned(F.col("href")).alias("href")).join(link_texts(elements), ["doc_id", "link_pos"])
-    text = F.nullif("texts", F.lit(""))
-    return rows.select("doc_id", F.col("link_pos").alias("pos"), F.coalesce(text, "href", F.lit("")).alias("text"), F.when(text.isNotNull() & F.col("href").isNotNull(), 0.85).otherwise(0.45).alias("confidence"))
+    """Links with the text of the lines that their box touches, else their address; those without an address are little trusted."""
+    rows = elements.filter("type = 'link'").select("doc_id", F.col("pos").alias("link_pos"), F.nullif("href", F.lit("")).alias("href")).join(link_texts(elements), ["doc_id", "link_pos"])
+    text = F.coalesce(F.nullif(strip(F.col("texts")), F.lit("")), "href", F.lit(""))
+    return rows.select("doc_id", F.col("link_pos").alias("pos"), text.alias("text"), F.when((text != "") & F.col("href").isNotNull(), 0.85).otherwise(0.45).alias("confidence"))
+
+
+def text_lines(elements: DataFrame) -> DataFrame:
+    """The elements that are lines of text: neither images nor links."""
+    return elements.filter(~F.col("type").isin("image", "link"))
 
 
 def link_texts(elements: DataFrame) -> DataFrame:
     """For each link the texts of the lines that its box touches, in order: equi-join on the page, four inequalities."""
     links = elements.filter("type = 'link'").select("doc_id", "page_number", F.col("pos").alias("link_pos"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
-    lines = elements.filter("type <> 'link'").select("doc_id", "page_number", "pos", "text", "x0", "y0", "x1", "y1")
+    lines = text_lines(elements).select("doc_id", "page_number", "pos", "text", "x0", "y0", "x1", "y1")
     touch = (F.col("x0") <= F.col("l_x1")) & (F.col("x1") >= F.col("l_x0")) & (F.col("y0") <= F.col("l_y1")) & (F.col("y1") >= F.col("l_y0"))
     lines = lines.withColumnRenamed("doc_id", "l_doc").withColumnRenamed("page_number", "l_page")
     met = links.join(lines, (F.col("doc_id") == F.col("l_doc")) & (F.col("page_number") == F.col("l_page")) & touch, "left")
@@ -74,7 +79,7 @@ def link_texts(elements: DataFrame) -> DataFrame:
 def nearby(elements: DataFrame, k: int = 2, limit: int = 160) -> DataFrame:
     """For each image the texts of the k nearest lines of its page by Manhattan distance of centres, ties in reading order."""
     images = elements.filter("type = 'image'").select("doc_id", "page_number", F.col("pos").alias("image_pos"), (F.col("x0") + F.col("x1")).alias("cx"), (F.col("y0") + F.col("y1")).alias("cy"))
-    lines = elements.filter("type <> 'image'").select("doc_id", "page_number", "pos", "text", "x0", "y0", "x1", "y1")
+    lines = text_lines(elements).select("doc_id", "page_number", "pos", "text", "x0", "y0", "x1", "y1")
     far = (F.abs(F.col("x0") + F.col("x1") - F.col("cx")) + F.abs(F.col("y0") + F.col("y1") - F.col("cy"))) / 2
     near = images.join(lines, ["doc_id", "page_number"], "left").withColumn("far", far)
     near = near.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "image_pos").orderBy("far", "pos"))).filter(F.col("rn") <= k)
@@ -83,17 +88,25 @@ def nearby(elements: DataFrame, k: int = 2, limit: int = 160) -> DataFrame:
 
 
 def multi_column(lines: DataFrame, keys: list[str], least: int = 6, gap: int = 48, spread: int = 120) -> DataFrame:
-    """Whether each page has columns: left edges clustered in order against the running cluster's median."""
-    edges = lines.groupBy(*keys).agg(F.sort_array(F.collect_list("x0")).alias("edges"))
-    middle = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2 + 1).cast("int"))) / 2
-    start = F.struct(F.array().cast("array<double>").alias("cur"), F.array().cast("array<double>").alias("mids"))
-    close = lambda s: F.when(F.size(s["cur"]) >= 2, F.concat(s["mids"], F.array(middle(s["cur"])))).otherwise(s["mids"])
+    """Whether each page has columns: left edges clustered in order against the running cluster's median.
+
+    The fold holds where the cluster begins in the sorted edges, so its work is in proportion to the page's lines.
+    """
+    edges = lines.filter("x0 is not null").groupBy(*keys).agg(F.sort_array(F.collect_list("x0")).alias("edges"))
+    at = lambda i: F.get(F.col("edges"), i.cast("int"))
+    middle = lambda s: (at(s["low"] + F.floor((s["i"] - s["low"] - 1) / 2)) + at(s["low"] + F.floor((s["i"] - s["low"]) / 2))) / 2
+    state = lambda low, i, n, first, last: F.struct(low.cast("int").alias("low"), i.cast("int").alias("i"), n.cast("int").alias("n"), first.cast("double").alias("first"), last.cast("double").alias("last"))
+
+    def closed(s, when, low, i):
+        """The state behind a cluster's end; only clusters of two edges or more count."""
+        counts = when & (s["i"] - s["low"] >= 2)
+        return state(low, i, s["n"] + counts.cast("int"), F.when(counts & s["first"].isNull(), middle(s)).otherwise(s["first"]), F.when(counts, middle(s)).otherwise(s["last"]))
 
     def step(s, x):
-        fresh = (F.size(s["cur"]) > 0) & (F.abs(x - middle(F.when(F.size(s["cur"]) > 0, s["cur"]).otherwise(F.array(x)))) > gap)
-        return F.struct(F.when(fresh, F.array(x)).otherwise(F.concat(s["cur"], F.array(x))).alias("cur"), F.when(fresh, close(s)).otherwise(s["mids"]).alias("mids"))
+        fresh = F.coalesce((s["i"] > s["low"]) & (F.abs(x - middle(s)) > gap), F.lit(False))
+        return closed(s, fresh, F.when(fresh, s["i"]).otherwise(s["low"]), s["i"] + 1)
 
-    mids = F.aggregate("edges", start, step, close)
-    rows = edges.withColumn("mids", mids)
-    wide = (F.size("edges") >= least) & (F.size("mids") >= 2) & (F.array_max("mids") - F.array_min("mids") > spread)
+    zero, none = F.lit(0), F.lit(None)
+    rows = edges.withColumn("s", F.aggregate("edges", state(zero, zero, zero, none, none), step, lambda s: closed(s, F.lit(True), s["low"], s["i"])))
+    wide = (F.size("edges") >= least) & (F.col("s.n") >= 2) & (F.col("s.last") - F.col("s.first") > spread)
     return rows.select(*keys, F.size("edges").cast("long").alias("lines"), F.coalesce(wide, F.lit(False)).alias("multi_column"))

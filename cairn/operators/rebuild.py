@@ -42,40 +42,12 @@ def duplicate_texts(elements: DataFrame) -> DataFrame:
 
 
 def content(elements: DataFrame) -> DataFrame:
-    dropped = duplicate_texts(elements).select("doc_id", "pos")
-    return elements.filter(has_content()).join(dropped, ["doc_id", "pos"], "left_anti")
-
-
-def height(wrapped_lines: Column, table_rows: Column) -> Column:
-    t = F.col("type")
-    per_line = F.when((t == "heading") & (F.col("heading_level") == 1), 24).when(t == "heading", 20).otherwise(16)
-    return F.when(t == "image", 76).when(t == "table", 24 * table_rows + 12).otherwise(per_line * wrapped_lines + 8)
-
-
-def paginate(rows: DataFrame, top: int = 72, bottom: int = 760) -> DataFrame:
-    """(doc_id, pos, page_index) of (doc_id, pos, height): a fold, since where a page begins depends on the pages before.
-
-    Rows pass in order of document and place; only the cursor is held, so a
-    document of any length takes one pass.
-    """
-
-    def run(batches):
-        import pyarrow as pa
-
-        doc, y, page = None, top, 0
-        for b in batches:
-            pages = []
-            for d, h in zip(b.column("doc_id").to_pylist(), b.column("height").to_pylist(), strict=True):
-                if d != doc:
-                    doc, y, page = d, top, 0
-                if y > bottom:
-                    y, page = top, page + 1
-                y += h
-                pages.append(page)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("pos"), pa.array(pages, pa.int64())], ["doc_id", "pos", "page_index"])
-
-    ordered = rows.select("doc_id", "pos", F.col("height").cast("long").alias("height")).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
-    return ordered.mapInArrow(run, "doc_id long, pos long, page_index long")
+    """Elements that are rendered: those with content but no texts that a link repeats at its place; one anti join."""
+    key = F.nullif(folded(strip(F.col("text"))), F.lit(""))
+    links = elements.filter("type = 'link'").select(F.col("doc_id").alias("l_doc"), key.alias("l_key"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
+    over = (F.col("x0") < F.col("l_x1")) & (F.col("x1") > F.col("l_x0")) & (F.col("y0") < F.col("l_y1")) & (F.col("y1") > F.col("l_y0"))
+    shown = elements.filter(has_content()).withColumn("key", F.when(F.col("type") != "link", key))
+    return shown.join(links, (F.col("doc_id") == F.col("l_doc")) & (F.col("key") == F.col("l_key")) & over, "left_anti").drop("key")
 
 
 def with_lines(rows: DataFrame, width: int = 72) -> DataFrame:
@@ -96,19 +68,87 @@ def wrapped_lines(texts: DataFrame, width: int = 72) -> DataFrame:
     return with_lines(texts.select("doc_id", "pos", "text"), width).drop("text")
 
 
-def structure_plan(elements: DataFrame) -> DataFrame:
-    """The plan of all rendered elements: (doc_id, pos, role, page_index, n_rows, row_sizes, n_headers, alt_text, decorative, k).
+#: The page's left edge and width, where pages begin and the last place where an element may begin.
+LEFT, WIDTH, TOP, BOTTOM = 72.0, 451.0, 72.0, 760.0
+LINE = "struct<text:string,x:double,y:double,size:double>"
+LAID = f"page_index long, y double, block_count long, lines array<{LINE}>"
 
-    row_sizes has the cells of each row of a table; text is laid out as it is
-    written: stripped, and behind its label in a list.
+
+def _text_lines(text: str, level: int | None, y: float) -> tuple[list[tuple], float]:
+    """Lines of a text element, level 0 where it is no heading, and its height."""
+    size, step = {0: (11.0, 16.0), 1: (18.0, 24.0)}.get(level, (14.0, 20.0))
+    lines = textwrap.wrap(text, 72) or [text]
+    return [(x, LEFT, y + k * step, size) for k, x in enumerate(lines)], step * len(lines) + 8
+
+
+def _image_lines(alt: str | None, decorative: bool, y: float) -> tuple[list[tuple], float]:
+    """The label in an image's frame: three lines at most; the frame's height is fixed."""
+    label = "Decorative image" if decorative else f"Figure: {alt}" if alt else "Figure: alt text requires review"
+    lines = textwrap.wrap(label.replace("\n", " ").strip(), 68)[:3]
+    return [(x, LEFT + 10, y + 20 + 14 * k, 10.0) for k, x in enumerate(lines)], 76.0
+
+
+def _table_lines(cells: list[list[str]], y: float) -> tuple[list[tuple], float]:
+    """A table's cells in columns of one width, each cut to what fits."""
+    wide = WIDTH / max([1, *map(len, cells)])
+    fit = lambda x: x if len(x) <= 28 else f"{x[:25]}..."
+    return [(fit(x.replace("\n", " ").strip()), LEFT + k * wide + 4, y + 24 * r + 15, 9.0) for r, row in enumerate(cells) for k, x in enumerate(row) if x], 24.0 * len(cells) + 12
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """rows with page_index, y, block_count and lines: one fold over each document's elements, as a page's end depends on all before.
+
+    rows: (doc_id, pos, type, heading_level, text, cells, alt, decorative, ...),
+    where text is what is written and cells a table's rows. They are dealt by
+    document once and pass in order; only the cursor is held, so a document of
+    any length takes one pass. An element that begins on a page ends on it.
+    """
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(LAID).fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        doc, y, page = None, TOP, 0
+        line = pa.list_(pa.struct([("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("size", pa.float64())]))
+        for b in batches:
+            out: list[tuple] = []
+            for d, kind, level, text, cells, alt, plain in zip(*(b.column(c).to_pylist() for c in ("doc_id", "type", "heading_level", "text", "cells", "alt", "decorative")), strict=True):
+                if d != doc:
+                    doc, y, page = d, TOP, 0
+                if y > BOTTOM:
+                    y, page = TOP, page + 1
+                if kind == "image":
+                    lines, high = _image_lines(alt, plain, y)
+                elif kind == "table":
+                    lines, high = _table_lines(cells or [], y)
+                else:
+                    lines, high = _text_lines(text or "", (2 if level is None else level) if kind == "heading" else 0, y)
+                out.append((page, y, len(lines), [dict(zip(("text", "x", "y", "size"), x, strict=True)) for x in lines]))
+                y += high
+            new = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.int64(), line), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "page_index", "y", "block_count", "lines"])
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(run, schema)
+
+
+def structure_plan(elements: DataFrame, alts: DataFrame | None = None) -> DataFrame:
+    """The plan of all rendered elements, in one pass: what each is tagged as, where it lies and what is written there.
+
+    (doc_id, pos, role, page_index, y, block_count, lines, text_preview, cells,
+    n_rows, row_sizes, n_headers, list_label, alt_text, decorative, href, k).
+    cells has a table's rows, row_sizes the cells of each. Text is laid out as
+    it is written: stripped, and behind its label in a list. alts (doc_id, pos,
+    alt) are alternative texts to show; without it images show their own.
     """
-    table = F.when(F.col("type") == "table", F.transform(table_rows(F.col("text"), F.col("table_headers")), F.size)).otherwise(F.array().cast("array<int>"))
+    cells = F.when(F.col("type") == "table", table_rows(F.col("text"), F.col("table_headers"))).otherwise(F.array().cast("array<array<string>>"))
     label = list_label(F.col("list_label"))
-    shown = F.concat(F.when(label != "", F.concat(label, F.lit(" "))).otherwise(F.lit("")), strip(F.coalesce("text", F.lit(""))))
-    kept = content(elements).withColumn("row_sizes", table).withColumn("n_rows", F.size("row_sizes").cast("long")).withColumn("text", shown)
-    tall = with_lines(kept.select("doc_id", "pos", "type", "heading_level", "n_rows", "text"))
-    pages = paginate(tall.select("doc_id", "pos", height(F.col("lines"), F.col("n_rows")).alias("height")))
-    return kept.join(pages, ["doc_id", "pos"]).select("doc_id", "pos", role().alias("role"), "page_index", "n_rows", "row_sizes", "n_headers", "alt_text", "decorative", "k")
+    shown = F.concat(F.when(label != "", F.concat(label, F.lit(" "))).otherwise(F.lit("")), strip(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))))
+    kept = content(elements)
+    kept = kept.join(alts.select("doc_id", "pos", "alt"), ["doc_id", "pos"], "left") if alts is not None else kept.withColumn("alt", F.when(F.col("type") == "image", F.when(F.col("decorative"), F.lit("")).otherwise(cleaned(F.col("alt_text")))))
+    href = F.col("href") if "href" in elements.columns else F.lit(None).cast("string")
+    rows = kept.select("doc_id", "pos", "type", "heading_level", F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("text_preview"), shown.alias("text"), cells.alias("cells"), "alt", "alt_text", "decorative", "n_headers", label.alias("list_label"), href.alias("href"), "k")
+    made = laid_out(rows).withColumn("row_sizes", F.transform("cells", F.size))
+    return made.select("doc_id", "pos", role().alias("role"), "page_index", "y", "block_count", "lines", "text_preview", "cells", F.size("cells").cast("long").alias("n_rows"), "row_sizes", "n_headers", "list_label", "alt", "alt_text", "decorative", "href", "k")
 
 
 def failed(plan: DataFrame, why: str) -> DataFrame:

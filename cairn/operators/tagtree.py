@@ -1,7 +1,8 @@
-"""Tag trees from the plan, and the structural checks that hold a tree against it.
+"""Tag trees from the plan.
 
 A tree is a flat table of nodes: (doc_id, pos, row, cell, role, page_index,
-is_top, is_leaf, mcid, alt, k). Lists have pos of their first item.
+is_top, is_leaf, mcid, alt, scope, struct_parent, k). Lists have pos of their
+first item. The checks are in validation.py.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators import validation
+
 
 def islands(plan: DataFrame) -> DataFrame:
     """Each plan row's island: list items next to each other on one page share one, other rows stand alone."""
@@ -17,148 +20,111 @@ def islands(plan: DataFrame) -> DataFrame:
     return plan.withColumn("island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
-def nodes(plan: DataFrame) -> DataFrame:
-    """All nodes of the tree, with content ids counted on each page in order over leaves."""
+def nodes(plan: DataFrame, keep_plan: bool = False) -> DataFrame:
+    """All nodes of the tree, with content ids counted on each page in order over leaves.
+
+    keep_plan also keeps the plan's rows, told apart by kind ('plan' or 'node').
+    Links carry their annotation's struct_parent where the plan has it. Header
+    cells have the scope Column.
+    """
     at = islands(plan)
     first = F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("pos")) == 1
     at = at.withColumn("first", first)
-    node = lambda row, cell, role, top, leaf: F.struct(row.cast("long").alias("row"), cell.cast("long").alias("cell"), role.alias("role"), F.lit(top).alias("is_top"), F.lit(leaf).alias("is_leaf"))
+    made = lambda kind, row, cell, role, top, leaf: F.struct(F.lit(kind).alias("kind"), row.cast("long").alias("row"), cell.cast("long").alias("cell"), role.alias("role"), F.lit(top).alias("is_top"), F.lit(leaf).alias("is_leaf"))
+    node = lambda *x: made(validation.NODE, *x)
     none = F.lit(-1)
     listed = F.filter(F.array(F.when(F.col("first"), node(F.lit(-2), none, F.lit("L"), True, False)), node(none, none, F.lit("LI"), False, False), node(F.lit(0), F.lit(0), F.lit("Lbl"), False, False), node(F.lit(0), F.lit(1), F.lit("LBody"), False, True)), lambda x: x.isNotNull())
     th = lambda r: F.when((r == 0) & (F.col("n_headers") > 0), F.lit("TH")).otherwise(F.lit("TD"))
     cells = F.flatten(F.transform("row_sizes", lambda n, r: F.concat(F.array(node(r, none, F.lit("TR"), False, False)), F.transform(F.sequence(F.lit(0), n - 1), lambda c: node(r, c, th(r), False, True)))))
     table = F.concat(F.array(node(none, none, F.lit("Table"), True, False)), cells)
     single = F.array(node(none, none, F.col("role"), True, True))
-    made = at.withColumn("n", F.explode(F.when(F.col("role") == "LI", listed).when(F.col("role") == "Table", table).otherwise(single)))
+    every = F.when(F.col("role") == "LI", listed).when(F.col("role") == "Table", table).otherwise(single)
+    if keep_plan:
+        every = F.concat(every, F.array(made(validation.PLAN, none, none, F.col("role"), False, False)))
+    rows = at.withColumn("n", F.explode(every))
     alt = F.when(F.col("n.role") == "Figure", F.when(F.col("decorative"), F.lit("")).otherwise(F.col("alt_text")))
-    made = made.select("doc_id", "pos", "n.row", "n.cell", "n.role", "page_index", "n.is_top", "n.is_leaf", alt.alias("alt"), "k")
+    more = ["kind", "row_sizes", "n_headers"] if keep_plan else []
+    parent = F.col("struct_parent") if "struct_parent" in plan.columns else F.lit(None).cast("long")
+    rows = rows.select("doc_id", "pos", "n.row", "n.cell", "n.role", "page_index", "n.is_top", "n.is_leaf", alt.alias("alt"), F.when(F.col("n.role") == "TH", "Column").alias("scope"), F.when(F.col("n.role") == "Link", parent).alias("struct_parent"), *[f"n.{c}" if c == "kind" else c for c in more], "k")
     order = Window.partitionBy("doc_id", "page_index", "is_leaf").orderBy("pos", "row", "cell")
-    return made.withColumn("mcid", F.when(F.col("is_leaf"), F.row_number().over(order) - 1).cast("long"))
-
-
-def damaged(tree: DataFrame) -> DataFrame:
-    """A tree with known faults, for the checks: lost alt texts, list bodies, header cells and shifted ids."""
-    kept = tree.filter(~((F.col("role") == "LBody") & (F.col("k") % 11 == 0))).filter(~((F.col("role") == "TH") & (F.col("k") % 13 == 0)))
-    kept = kept.withColumn("alt", F.when(F.col("k") % 7 != 0, F.col("alt")))
-    return kept.withColumn("mcid", F.when((F.col("k") % 17 == 0) & F.col("is_leaf"), F.lit(0)).otherwise(F.col("mcid")).cast("long"))
-
-
-def annotations(plan: DataFrame) -> DataFrame:
-    """Link annotations of the pages: those of links whose k is not divisible by 5, first in first out; keys follow the pages'."""
-    pages = plan.groupBy("doc_id").agg((F.max("page_index") + 1).alias("pages"))
-    notes = plan.filter("role = 'Link' and k % 5 <> 0")
-    notes = notes.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("pos")))
-    notes = notes.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
-    return notes.join(pages, "doc_id").select("doc_id", "page_index", F.col("ord").cast("long").alias("ord"), (F.col("pages") + F.col("nth") - 1).cast("long").alias("struct_parent"))
-
-
-def zipped_links(plan: DataFrame) -> DataFrame:
-    """Links of the plan with the annotations of their page, by order; null where there are fewer annotations."""
-    links = plan.filter("role = 'Link'").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("pos")).cast("long"))
-    return links.join(annotations(plan), ["doc_id", "page_index", "ord"], "left").select("doc_id", "pos", "page_index", "ord", "struct_parent")
-
-
-def parent_tree(tree: DataFrame, plan: DataFrame) -> DataFrame:
-    """(doc_id, key, entries): a list of leaves for each page, one entry for each annotation."""
-    pages = tree.filter("is_leaf").groupBy("doc_id", F.col("page_index").alias("key")).agg(F.count(F.lit(1)).cast("long").alias("entries"))
-    return pages.unionByName(annotations(plan).select("doc_id", F.col("struct_parent").alias("key"), F.lit(1).cast("long").alias("entries")))
-
-
-# ------------------------------------------------------------------- checks
-
-
-def _all(rows: DataFrame, ok) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.bool_and(ok).alias("passed"))
-
-
-def parent_tree_covers(tree: DataFrame, parents: DataFrame) -> DataFrame:
-    """Each page with ids has a list at least as long as its count of ids."""
-    pages = tree.filter("mcid is not null").groupBy("doc_id", F.col("page_index").alias("key")).agg(F.count(F.lit(1)).alias("ids"))
-    return _all(pages.join(parents, ["doc_id", "key"], "left"), F.coalesce(F.col("entries") >= F.col("ids"), F.lit(False)))
-
+    return rows.withColumn("mcid", F.when(F.col("is_leaf"), F.row_number().over(order) - 1).cast("long"))
 
-def figures_have_alt(tree: DataFrame) -> DataFrame:
-    return _all(tree, (F.col("role") != "Figure") | F.col("alt").isNotNull())
 
+def damage(tree: DataFrame) -> DataFrame:
+    """A tree with known faults, for the checks: lost alt texts, shifted ids, and nodes that are gone (list bodies and items, header cells, other whole elements)."""
+    k, role = F.col("k"), F.col("role")
+    listed = role.isin("LI", "Lbl", "LBody")
+    gone = ((role == "LBody") & (k % 11 == 0)) | ((role == "TH") & (k % 13 == 0)) | (listed & (k % 23 == 0)) | (~listed & (role != "L") & (k % 19 == 0))
+    rows = tree.withColumn("alt", F.when(k % 7 != 0, F.col("alt"))).withColumn("gone", gone)
+    return rows.withColumn("mcid", F.when((k % 17 == 0) & F.col("is_leaf"), F.lit(0)).otherwise(F.col("mcid")).cast("long"))
 
-def links_have_annotations(plan: DataFrame) -> DataFrame:
-    return _all(zipped_links(plan), F.col("struct_parent").isNotNull())
-
-
-def annotations_mapped(plan: DataFrame, parents: DataFrame) -> DataFrame:
-    keys = parents.select("doc_id", F.col("key").alias("struct_parent"), F.lit(True).alias("there"))
-    return _all(annotations(plan).join(keys, ["doc_id", "struct_parent"], "left"), F.coalesce("there", F.lit(False)))
-
-
-def tables_have_roles(tree: DataFrame) -> DataFrame:
-    """Tables have rows, rows have cells, and there are header and data cells."""
-    t = tree.filter(F.col("role").isin("Table", "TR", "TH", "TD"))
-    one = t.groupBy("doc_id", "pos", "row").agg(F.count_if(F.col("role") == "TR").alias("tr"), F.count_if(F.col("role").isin("TH", "TD")).alias("cells"), F.count_if(F.col("role") == "TH").alias("th"), F.count_if(F.col("role") == "TD").alias("td"))
-    each = one.groupBy("doc_id", "pos").agg(F.sum("tr").alias("tr"), F.bool_and((F.col("tr") == 0) | (F.col("cells") > 0)).alias("full"), F.sum("th").alias("th"), F.sum("td").alias("td"))
-    return _all(each, (F.col("tr") > 0) & F.col("full") & (F.col("th") > 0) & (F.col("td") > 0))
 
+def damaged(tree: DataFrame) -> DataFrame:
+    """What is left of a tree after damage."""
+    return damage(tree).filter("not gone").drop("gone")
 
-def lists_have_roles(tree: DataFrame) -> DataFrame:
-    """Every list item has a label and a body."""
-    t = tree.filter(F.col("role").isin("LI", "Lbl", "LBody"))
-    each = t.groupBy("doc_id", "pos").agg(F.bool_or(F.col("role") == "Lbl").alias("lbl"), F.bool_or(F.col("role") == "LBody").alias("body"))
-    return _all(each, F.col("lbl") & F.col("body"))
 
+def with_struct_parents(plan: DataFrame) -> DataFrame:
+    """plan with the parent-tree key of each link's annotation: the pages' annotations go to its links in order, first in first out.
 
-def sequences_equal(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Per document, whether two sequences (doc_id, ord, value) are the same: a full outer join on the ordinal."""
-    both = expected.withColumnRenamed("value", "want").join(actual.withColumnRenamed("value", "got"), ["doc_id", "ord"], "full_outer")
-    return _all(both, F.coalesce(F.col("want") == F.col("got"), F.lit(False)))
+    Annotations are those of links whose k is not divisible by 5; their keys
+    follow the pages'. Null for links that get none and for other rows. Windows
+    within a document alone.
+    """
+    link = F.col("role") == "Link"
+    note = link & (F.col("k") % 5 != 0)
+    doc, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page_index")
+    ahead = Window.partitionBy("doc_id").orderBy("page_index").rangeBetween(Window.unboundedPreceding, -1)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "page_index", "role").orderBy("pos")).cast("long")
+    rows = plan.withColumn("pages", F.max("page_index").over(doc) + 1).withColumn("here", F.count_if(note).over(page)).withColumn("ahead", F.count_if(note).over(ahead)).withColumn("ord", nth)
+    key = F.when(link & (F.col("ord") <= F.col("here")), F.col("pages") + F.col("ahead") + F.col("ord") - 1)
+    return rows.withColumn("struct_parent", key.cast("long")).withColumn("ord", F.when(link, F.col("ord"))).drop("pages", "here", "ahead")
 
 
-def top_sequence_of_plan(plan: DataFrame) -> DataFrame:
+def zipped_links(plan: DataFrame) -> DataFrame:
+    """Links of the plan with the annotations of their page, by order; null where there are fewer annotations."""
+    return with_struct_parents(plan).filter("role = 'Link'").select("doc_id", "pos", "page_index", "ord", "struct_parent")
+
+
+def parent_tree(tree: DataFrame) -> DataFrame:
+    """(doc_id, key, entries): a list of leaves for each page, one entry for each annotation of a link."""
+    own = F.array(F.when(F.col("is_leaf"), F.col("page_index")), F.when(F.col("role") == "Link", F.col("struct_parent")))
+    rows = tree.select("doc_id", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("key"))
+    return rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).cast("long").alias("entries"))
+
+
+def tagged_records(plan: DataFrame, hurt=None, lost_keys=None) -> DataFrame:
+    """Records for validation of the tree that is made of a plan: plan, tree, parent tree and marks from one pass over it.
+
+    hurt(tree) is the tree with its faults, rows that are lost being gone; lost_keys(key)
+    says which keys the parent tree lacks. Without them the tree is as it was made.
+    """
+    tree = nodes(with_struct_parents(plan), keep_plan=True)
+    if hurt is not None:
+        tree = hurt(tree)
+    gone = F.col("gone") if "gone" in tree.columns else F.lit(False)
+    kept = (F.col("kind") == validation.NODE) & ~gone
+    entry = lambda when, key: F.when(when & ~(F.coalesce(lost_keys(key), F.lit(False)) if lost_keys is not None else F.lit(False)), validation.record(validation.PARENT, page_index=key, n=F.lit(1)))
+    names = [c for c in validation.RECORD if c in tree.columns and c != "kind"]
+    whole = lambda kind, *cut: validation.record(kind, **{c: F.col(c) for c in names if c not in cut})
+    page, link = F.col("page_index"), (F.col("role") == "Link") & F.col("struct_parent").isNotNull() & (F.col("kind") == validation.NODE)
+    out = F.array(
+        F.when(F.col("kind") == validation.PLAN, whole(validation.PLAN, "mcid", "alt", "struct_parent")), F.when(kept, whole(validation.NODE, "row_sizes", "n_headers")),
+        entry(kept & F.col("is_leaf"), page), entry(link, F.col("struct_parent")),
+        F.when((F.col("kind") == validation.NODE) & F.col("is_leaf"), validation.record(validation.MARKS, page_index=page, n=F.lit(1))),
+    )
+    return tree.select("doc_id", F.explode(F.filter(out, lambda x: x.isNotNull())).alias("r")).select("doc_id", "r.*")
+
+
+def top_roles(plan: DataFrame) -> DataFrame:
+    """(doc_id, ord, value): the roles that a plan puts at the top level, in order; list items next to each other are one list."""
     rows = islands(plan).groupBy("doc_id", "island").agg(F.min_by("role", "pos").alias("role"))
     return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("island")).cast("long").alias("ord"), F.when(F.col("role") == "LI", "L").otherwise(F.col("role")).alias("value"))
 
 
-def top_sequence_of_tree(tree: DataFrame) -> DataFrame:
-    return tree.filter("is_top").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "row", "cell")).cast("long").alias("ord"), F.col("role").alias("value"))
-
-
-def leaf_sequence(tree: DataFrame) -> DataFrame:
-    rows = tree.filter("is_leaf")
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "row", "cell")).cast("long").alias("ord"), F.concat_ws("@", "role", "page_index").alias("value"))
-
-
-def ids_increase(tree: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id", "page_index").orderBy("pos", "row", "cell")
-    rows = tree.filter("is_leaf").withColumn("before", F.lag("mcid").over(w))
-    return _all(rows, F.col("mcid").isNotNull() & (F.col("before").isNull() | (F.col("mcid") > F.col("before"))))
-
-
-def keys_match(tree: DataFrame, parents: DataFrame) -> DataFrame:
-    pages = tree.filter("mcid is not null").select("doc_id", F.col("page_index").alias("key")).distinct()
-    return _all(pages.join(parents.select("doc_id", "key", F.lit(True).alias("there")), ["doc_id", "key"], "left"), F.coalesce("there", F.lit(False)))
-
-
-def counts_match(plan: DataFrame, tree: DataFrame) -> DataFrame:
-    """Every planned role is there as often as planned: list parts anywhere, other roles at the top level."""
-    want = plan.groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("want"))
-    got = tree.filter(F.col("is_top") | F.col("role").isin("LI", "Lbl", "LBody")).groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("got"))
-    roles = _all(want.join(got, ["doc_id", "role"], "left"), F.coalesce("got", F.lit(0)) >= F.col("want"))
-    top = tree.groupBy("doc_id").agg(F.count_if("is_top").alias("top"))
-    expected = islands(plan).groupBy("doc_id").agg(F.countDistinct("island").alias("islands")).join(top, "doc_id", "left")
-    enough = expected.select("doc_id", (F.coalesce("top", F.lit(0)) >= F.col("islands")).alias("enough"))
-    return roles.join(enough, "doc_id").select("doc_id", (F.col("passed") & F.col("enough")).alias("passed"))
-
-
 def root_present(pdf: DataFrame) -> DataFrame:
     return pdf.select("doc_id", F.coalesce("has_struct_tree", F.lit(False)).alias("passed"))
 
 
 def marked(pdf: DataFrame) -> DataFrame:
     return pdf.select("doc_id", F.coalesce("mark_info_marked", F.lit(False)).alias("passed"))
-
-
-def reading_order(plan: DataFrame, tree: DataFrame, parents: DataFrame, expected: DataFrame, top: DataFrame | None = None) -> DataFrame:
-    """Whether top-level and leaf order are as planned, ids increase and every page has its key: all four."""
-    parts = [sequences_equal(top_sequence_of_plan(plan), top_sequence_of_tree(tree if top is None else top)), sequences_equal(leaf_sequence(expected), leaf_sequence(tree)), ids_increase(tree), keys_match(tree, parents)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return _all(every, F.col("passed"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn import oracle
 from cairn.functions import text
-from cairn.operators import content, jobs, layout, rebuild, reports, review, rules, service, suggestions, tagtree, validate
+from cairn.operators import content, jobs, layout, rebuild, reports, review, rules, service, suggestions, tagtree, validate, validation
 from cairn.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,17 +99,30 @@ def open_suggestions(spark, d):
     return mine.filter("final_status is null or final_status = 'open'").select("job_id", "slot", "proposed_value")
 
 
-def check(f) -> Query:
-    """A structural check over the damaged tree."""
-    return lambda spark, d: f(plan(spark, d))
-
-
 def tree_of(p):
-    return tagtree.nodes(p)
+    return tagtree.nodes(tagtree.with_struct_parents(p))
 
 
 def hurt(p):
-    return tagtree.damaged(tagtree.nodes(p))
+    return tagtree.damaged(tree_of(p))
+
+
+def lost_key(key):
+    """Keys that the parent trees under validation lack."""
+    return key % 3 == 1
+
+
+def validated(spark, d):
+    """Every document's checks: the plans' trees, damaged, held against the plans and the inspections."""
+    return validation.validate(inspections(spark, d), tagtree.tagged_records(plan(spark, d), tagtree.damage, lost_key))
+
+
+def check(check_id: str) -> Query:
+    return lambda spark, d: validation.check(validated(spark, d), check_id)
+
+
+def order_part(name: str) -> Query:
+    return lambda spark, d: validated(spark, d).select("doc_id", F.col(f"reading_order.{name}").alias("passed"))
 
 
 def part_tables(spark, d):
@@ -273,11 +286,6 @@ def whole_reports(spark, d):
     return found.select("doc_id", of("$.issue_count").cast("long").alias("issues"), F.coalesce(of("$.by_severity.high"), F.lit("0")).cast("long").alias("high"), F.coalesce(of("$.issues[0].issue_type"), F.lit("")).alias("first_issue"))
 
 
-def c9(spark, d):
-    p = plan(spark, d)
-    return tagtree.reading_order(p, hurt(p), tagtree.parent_tree(hurt(p), p).filter("key % 3 <> 1"), tree_of(p), hurt(p).filter("k % 19 <> 0"))
-
-
 QUERIES: dict[str, Query] = {
     "t9_marked_streams": page_streams,
     "t10_plan_values": plan_values,
@@ -306,7 +314,6 @@ QUERIES: dict[str, Query] = {
     "o17_list_labels": lambda s, d: elements(s, d).select("doc_id", "pos", rebuild.list_label(F.col("list_label")).alias("label")),
     "c1_root_present": lambda s, d: tagtree.root_present(inspections(s, d)),
     "c2_mark_info": lambda s, d: tagtree.marked(inspections(s, d)),
-    "c9_reading_order": c9,
     "v2_problems": v2_problems,
     "v4_messages": lambda s, d: decisions(s, d).select("job_id", "seq", review.message(F.col("decision")).alias("message")),
     "g6_document_values": document_values,
@@ -371,18 +378,21 @@ QUERIES: dict[str, Query] = {
     "t4_table_cells": lambda s, d: bare(tree_of(plan(s, d))).filter(F.col("role").isin("Table", "TR", "TH", "TD")),
     "t5_mcid": lambda s, d: bare(tree_of(plan(s, d))),
     "t7_link_zip": lambda s, d: tagtree.zipped_links(plan(s, d)),
-    "t8_parent_tree": lambda s, d: (lambda p: tagtree.parent_tree(tree_of(p), p))(plan(s, d)),
-    "c3_parent_tree": check(lambda p: tagtree.parent_tree_covers(tagtree.nodes(p), tagtree.parent_tree(hurt(p), p))),
-    "c4_figure_alt": check(lambda p: tagtree.figures_have_alt(hurt(p))),
-    "c5_link_refs": check(tagtree.links_have_annotations),
-    "c6_annotation_map": check(lambda p: tagtree.annotations_mapped(p, tagtree.parent_tree(hurt(p), p).filter("key % 3 <> 1"))),
-    "c7_table_roles": check(lambda p: tagtree.tables_have_roles(hurt(p))),
-    "c8_list_roles": check(lambda p: tagtree.lists_have_roles(hurt(p))),
-    "c9a_top_order": check(lambda p: tagtree.sequences_equal(tagtree.top_sequence_of_plan(p), tagtree.top_sequence_of_tree(hurt(p).filter("k % 19 <> 0")))),
-    "c9b_leaf_order": check(lambda p: tagtree.sequences_equal(tagtree.leaf_sequence(tree_of(p)), tagtree.leaf_sequence(hurt(p)))),
-    "c9c_increasing": check(lambda p: tagtree.ids_increase(hurt(p))),
-    "c9d_keys": check(lambda p: tagtree.keys_match(hurt(p), tagtree.parent_tree(hurt(p), p).filter("key % 3 <> 1"))),
-    "c10_plan_counts": check(lambda p: tagtree.counts_match(p, hurt(p).filter("k % 19 <> 0"))),
+    "t8_parent_tree": lambda s, d: tagtree.parent_tree(tree_of(plan(s, d))),
+    "c3_parent_tree": check("structure.mcid_parent_tree"),
+    "c4_figure_alt": check("structure.figures_have_alt"),
+    "c5_link_refs": check("structure.links_reference_annotations"),
+    "c6_annotation_map": check("structure.link_annotations_mapped"),
+    "c7_table_roles": check("structure.tables_have_roles"),
+    "c8_list_roles": check("structure.lists_have_roles"),
+    "c9a_top_order": order_part("top_level_order"),
+    "c9b_leaf_order": order_part("content_sequence"),
+    "c9c_increasing": order_part("ids_increase"),
+    "c9d_keys": order_part("keys_match_pages"),
+    "c9_reading_order": check("structure.reading_order_matches_plan"),
+    "c10_plan_counts": check("structure.matches_plan"),
+    "c_validation_checks": lambda s, d: validation.check_rows(validated(s, d)).select("doc_id", "check_id", "status", "passed"),
+    "c_validation_summary": lambda s, d: validated(s, d).select("doc_id", "status", "check_count", "passed_count", "failed_count", *validation.COUNTS),
     "c11_histogram": lambda s, d: hurt(plan(s, d)).groupBy("role").agg(F.count(F.lit(1)).cast("long").alias("n")),
     "p8_before_after": p8,
     "p6_report": lambda s, d: reports.issue_counts(elements(s, d), issues(s, d)).join(reports.report_json(elements(s, d), issues(s, d)), "doc_id").select("doc_id", "issues", F.get_json_object("report", "$.issues[0].issue_type").alias("first_issue")),
