@@ -138,10 +138,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     table gives an empty result.
     """
     rows = by_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    texts = rows.select("row_key", "doc_id", "text")
+    texts = rows.select("row_key", "text")  # in both joins the same columns, so that texts are shuffled once
     third = lambda t: F.floor(F.length(t) / 3).cast("int")
-    wanted = following(texts).join(texts.select("row_key", third(F.col("text")).alias("third")), "row_key").select(F.col("row_key").alias("of"), "next_key", "third")
-    next_ = texts.hint("merge").join(wanted, F.col("row_key") == F.col("next_key")).select("of", F.substring("text", F.lit(1), F.col("third")).alias("head"), fingerprint(F.col("text")).alias("next_print"))
+    wanted = following(texts).join(rows.select("row_key", "doc_id", third(F.col("text")).alias("third")), "row_key").select(F.col("row_key").alias("of"), "doc_id", "next_key", "third")
+    next_ = texts.hint("merge").join(wanted, F.col("row_key") == F.col("next_key")).select("of", "doc_id", F.substring("text", F.lit(1), F.col("third")).alias("head"), fingerprint(F.col("text")).alias("next_print"))
     both = texts.hint("merge").join(next_, F.col("row_key") == F.col("of"))
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third(F.col("text"))), F.col("head"))
     made = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), "next_print")
