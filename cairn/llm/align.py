@@ -170,7 +170,7 @@ def encoded(table: pa.Table, path: str) -> tuple[np.ndarray, np.ndarray, np.ndar
     return ids, vocabulary(path)[1][ids], np.concatenate([[0], np.cumsum(tokens)]), ok
 
 
-def events(docs: DataFrame, path: str, side: int, window: int = 1 << 16, chunk: int = 4 << 20) -> DataFrame:
+def events(docs: DataFrame, path: str, side: int, window: int = 1 << 16, chunk: int = 2 << 20) -> DataFrame:
     """End events of (row_key, doc_id, text): for each window of bytes a row of them, in order, with `at` where its first token begins.
 
     A text without tokens has one row at -1 with null events: an empty one, and
@@ -313,7 +313,7 @@ def rows_of(batches):
         if b.num_rows:
             held.append(b)
             size += b.nbytes
-        if size >= 12 << 20:
+        if size >= 3 << 20:
             table = pa.Table.from_batches(held)
             key, at = np.asarray(table.column("row_key")), np.asarray(table.column("at"))
             last = int(np.flatnonzero((key != key[-1]) | (at != at[-1])).max(initial=-1)) + 1
