@@ -24,14 +24,19 @@ def issue_counts(documents: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def before_after(source: DataFrame, regenerated: DataFrame) -> DataFrame:
-    """(doc_id, bucket, issue_type, n) with buckets rejected, fixed, remaining and manual; fixed goes by type, not by issue."""
-    types = regenerated.select("doc_id", "issue_type").distinct()
-    rejected = source.filter("final_status = 'rejected'").select("doc_id", "issue_type", F.lit("rejected").alias("bucket"))
-    fixed = source.filter("final_status <> 'rejected'").join(types, ["doc_id", "issue_type"], "left_anti").select("doc_id", "issue_type", F.lit("fixed").alias("bucket"))
-    remaining = regenerated.select("doc_id", "issue_type", F.lit("remaining").alias("bucket"))
-    manual = regenerated.filter(F.col("automation_status").isin("needs_user_confirmation", "cannot_automate")).select("doc_id", "issue_type", F.lit("manual").alias("bucket"))
-    every = rejected.unionByName(fixed).unionByName(remaining).unionByName(manual)
-    return every.groupBy("doc_id", "bucket", "issue_type").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    """(doc_id, bucket, issue_type, n) with buckets rejected, fixed, remaining and manual; fixed goes by type, not by issue.
+
+    Both sides are counted by (doc_id, issue_type) in one aggregate, from which all buckets follow.
+    """
+    none = F.lit(None).cast("string")
+    both = source.select("doc_id", "issue_type", "final_status", none.alias("again")).unionByName(regenerated.select("doc_id", "issue_type", none.alias("final_status"), F.col("automation_status").alias("again")))
+    n = both.groupBy("doc_id", "issue_type").agg(
+        F.count_if(F.col("final_status") == "rejected").alias("rejected"), F.count_if(F.col("final_status") != "rejected").alias("kept"), F.count("again").alias("remaining"),
+        F.count_if(F.col("again").isin("needs_user_confirmation", "cannot_automate")).alias("manual"),
+    )
+    fixed = F.when(F.col("remaining") == 0, F.col("kept")).otherwise(0)
+    buckets = F.array(*[F.struct(F.lit(name).alias("bucket"), c.cast("long").alias("n")) for name, c in (("rejected", F.col("rejected")), ("fixed", fixed), ("remaining", F.col("remaining")), ("manual", F.col("manual")))])
+    return n.select("doc_id", "issue_type", F.explode(buckets).alias("b")).select("doc_id", "b.bucket", "issue_type", "b.n").filter("n > 0")
 
 
 def report_json(documents: DataFrame, issues: DataFrame) -> DataFrame:

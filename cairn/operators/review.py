@@ -43,10 +43,20 @@ def message(decision: Column) -> Column:
     return F.when(decision == "accept", "The suggestion was taken as it is.").when(decision == "edit", "The suggestion was taken with changes.").when(decision == "reject", "The suggestion was turned down.")
 
 
-def apply_decisions(issues: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Issues (job_id, slot, ...) with final_status; all or nothing: an unknown reference raises."""
-    if not unknown(decisions, issues.select("job_id", "slot")).limit(1).isEmpty():
-        raise ReviewError("a decision refers to an unknown suggestion")
+def apply_decisions(issues: DataFrame, decisions: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
+    """Issues (job_id, slot, ...) with final_status, open where no decision knows them; all or nothing.
+
+    A reference to an unknown suggestion raises. With suggestions (job_id, slot,
+    of_issue), and an issue in issues and decisions, so do one to an unknown
+    issue and one to another issue than the suggestion's.
+    """
+    if suggestions is None:
+        wrong = unknown(decisions, issues.select("job_id", "slot")).select("job_id", F.lit("unknown suggestion").alias("problem"))
+    else:
+        wrong = problems(decisions, suggestions, issues)
+    found = wrong.first()
+    if found:
+        raise ReviewError(f"{found['problem']} in a decision of job {found['job_id']}")
     return issues.drop("final_status").join(latest(decisions).select("job_id", "slot", "final_status"), ["job_id", "slot"], "left").withColumn("final_status", F.coalesce("final_status", F.lit("open")))
 
 

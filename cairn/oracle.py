@@ -102,7 +102,7 @@ kept AS (SELECT *, len(row_sizes) AS n_rows,
 high AS (SELECT *, CASE type WHEN 'image' THEN 76 WHEN 'table' THEN 24 * n_rows + 12 WHEN 'heading' THEN CASE WHEN heading_level = 1 THEN 32 ELSE 28 END ELSE 24 END AS h FROM kept),
 pg(doc_id, rn, y, page) AS (SELECT doc_id, rn, CAST(72 + h AS BIGINT), CAST(0 AS BIGINT) FROM high WHERE rn = 1
    UNION ALL SELECT k.doc_id, k.rn, CASE WHEN p.y > 760 THEN 72 ELSE p.y END + k.h, CASE WHEN p.y > 760 THEN p.page + 1 ELSE p.page END FROM pg p JOIN high k ON k.doc_id = p.doc_id AND k.rn = p.rn + 1),
-plan AS (SELECT doc_id, pos, role, page AS page_index, n_rows, row_sizes, n_headers, alt_text, decorative, k FROM kept JOIN pg USING (doc_id, rn))
+plan AS (SELECT doc_id, pos, role, page AS page_index, n_rows, row_sizes, n_headers, alt_text, decorative, k, CAST(y - h AS DOUBLE) AS y FROM high JOIN pg USING (doc_id, rn))
 """
 )
 
@@ -157,6 +157,42 @@ CHECK_IDS = ["root_present", "mark_info_marked", "mcid_parent_tree", "figures_ha
 PASSES = ["coalesce(a, FALSE)", "coalesce(b, FALSE)", *(f"doc_id NOT IN (SELECT doc_id FROM f{k})" for k in range(3, 11))]
 
 
+#: A page's left edges in clusters, from ed (doc_id, page_number, x0, rn): pages with columns in fin.
+COLUMNS = """,
+cl(doc_id, page_number, rn, cur, mids) AS (SELECT doc_id, page_number, rn, [x0], CAST([] AS DOUBLE[]) FROM ed WHERE rn = 1
+  UNION ALL SELECT e.doc_id, e.page_number, e.rn, CASE WHEN abs(e.x0 - list_median(c.cur)) > 48 THEN [e.x0] ELSE list_append(c.cur, e.x0) END, CASE WHEN abs(e.x0 - list_median(c.cur)) > 48 AND len(c.cur) >= 2 THEN list_append(c.mids, list_median(c.cur)) ELSE c.mids END
+  FROM cl c JOIN ed e ON e.doc_id = c.doc_id AND e.page_number = c.page_number AND e.rn = c.rn + 1),
+fin AS (SELECT doc_id, page_number, rn AS lines, coalesce(rn >= 6 AND len(m) >= 2 AND list_max(m) - list_min(m) > 120, FALSE) AS multi_column FROM (SELECT *, CASE WHEN len(cur) >= 2 THEN list_append(mids, list_median(cur)) ELSE mids END AS m FROM cl QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY rn DESC) = 1))
+"""
+#: Lines of rebuilt documents, of a plan and alternative texts al (doc_id, pos, alt).
+REBUILT = r""",
+pl AS (SELECT p.*, e.type, e.text, e.href, e.heading_level, al.alt, t.rws FROM plan p JOIN el e USING (doc_id, pos) LEFT JOIN al USING (doc_id, pos) LEFT JOIN tbl t USING (doc_id, pos)),
+cel AS (SELECT *, unnest(r) AS c, generate_subscripts(r, 1) - 1 AS ci FROM (SELECT doc_id, page_index, y, list_max(row_sizes) AS wide, unnest(rws) AS r, generate_subscripts(rws, 1) - 1 AS ri FROM pl WHERE role = 'Table')),
+gl0 AS (
+  SELECT doc_id, page_index, CASE WHEN role = 'LI' THEN CASE WHEN k % 3 = 0 THEN '* ' ELSE '- ' END || trim(text) ELSE trim(text) END AS text, 72::DOUBLE AS x, y, CASE WHEN role = 'H1' THEN 18 WHEN role LIKE 'H_' THEN 14 ELSE 11 END::DOUBLE AS size FROM pl WHERE role NOT IN ('Table', 'Figure')
+  UNION ALL SELECT doc_id, page_index, CASE WHEN decorative THEN 'Decorative image' WHEN coalesce(alt, '') = '' THEN 'Figure: alt text requires review' ELSE 'Figure: ' || alt END, 82, y + 20, 10 FROM pl WHERE role = 'Figure'
+  UNION ALL SELECT doc_id, page_index, CASE WHEN length(c) <= 28 THEN c ELSE left(c, 25) || '...' END, 72::DOUBLE + ci * (451::DOUBLE / wide) + 4, y + 24 * ri + 15, 9 FROM cel WHERE c <> ''),
+gl AS (SELECT doc_id, page_index + 1 AS page_number, text, size AS font_size, x AS x0, y - size AS y0, x + size * 0.5::DOUBLE * length(text) AS x1, y + size * 0.25::DOUBLE AS y1 FROM gl0 WHERE text <> ''),
+lk2 AS (SELECT doc_id, page_index + 1 AS page_number, pos, href, 72::DOUBLE AS x0, y AS y0, 523::DOUBLE AS x1, y + 16 AS y1 FROM pl WHERE role = 'Link' AND coalesce(href, '') <> ''),
+ra0 AS (SELECT doc_id, page_number, 0 AS part, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, text) AS nth, text, CAST(NULL AS VARCHAR) AS href, x0, y0, x1, y1, font_size, median(font_size) OVER (PARTITION BY doc_id, page_number) AS m FROM gl
+  UNION ALL SELECT doc_id, page_number, 1, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY pos), '', href, x0, y0, x1, y1, NULL, NULL FROM lk2),
+ra1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, part, nth) - 1 AS pos, part = 0 AND length(text) <= 120 AND (font_size >= m + 2 OR (text = upper(text) AND text <> lower(text) AND len(regexp_split_to_array(trim(text), '\s+')) <= 10)) AS head FROM ra0),
+met AS (SELECT l.doc_id, l.pos, string_agg(t.text, ' ' ORDER BY t.pos) AS texts FROM ra1 l JOIN ra1 t ON t.doc_id = l.doc_id AND t.page_number = l.page_number AND l.part = 1 AND t.part = 0 AND t.x0 <= l.x1 AND t.x1 >= l.x0 AND t.y0 <= l.y1 AND t.y1 >= l.y0 GROUP BY 1, 2),
+ra AS (SELECT r.doc_id, r.pos, CASE WHEN part = 1 THEN 'link' WHEN head THEN 'heading' ELSE 'paragraph' END AS type, CASE WHEN part = 1 THEN coalesce(nullif(trim(texts), ''), href) ELSE text END AS text,
+   CASE WHEN head THEN CASE WHEN font_size >= m + 8 THEN 1 WHEN font_size >= m + 4 THEN 2 ELSE 3 END ELSE 0 END::BIGINT AS heading_level, 0.85::DOUBLE AS confidence, page_number || CASE WHEN part = 1 THEN ':link:' ELSE ':' END || nth AS element_id FROM ra1 r LEFT JOIN met USING (doc_id, pos)),
+ed AS (SELECT doc_id, page_number, x0, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY x0) AS rn FROM gl)
+"""
+#: What became of the accepted alternative texts.
+ALTS = """,
+acc AS (SELECT doc_id, issue_ord AS seq, element_id, page_number, CASE WHEN pos % 6 <> 0 THEN x0 END AS x0, y0, x1, y1, 'Alt ' || issue_ord AS value FROM iss WHERE issue_type = 'missing_image_alt_text' AND issue_ord % 4 < 2),
+hit AS (SELECT e.doc_id, e.pos, arg_max(a.value, a.seq) AS v FROM el e JOIN acc a ON a.doc_id = e.doc_id AND e.type = 'image' AND (a.element_id = e.element_id OR (a.page_number = e.page_number AND (a.x0 IS NULL OR (a.x0 = e.x0 AND a.y0 = e.y0 AND a.x1 = e.x1 AND a.y1 = e.y1)))) GROUP BY 1, 2),
+al AS (SELECT doc_id, pos, CASE WHEN decorative THEN '' ELSE coalesce(v, nullif(trim(alt_text), '')) END AS alt FROM el LEFT JOIN hit USING (doc_id, pos) WHERE type = 'image')
+"""
+OWN_ALTS = """,
+al AS (SELECT doc_id, pos, CASE WHEN decorative THEN '' ELSE nullif(trim(alt_text), '') END AS alt FROM el WHERE type = 'image')
+"""
+
+
 LINKS = r"""
 tags AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)', 1) AS t FROM pages),
 lk AS (SELECT doc_id, i - 1 AS pos, regexp_extract(tag, '(?i)href="([^"]*)"', 1) AS href, trim(regexp_replace(tag, '(?s)<[^>]*>', '', 'g')) AS text FROM (SELECT doc_id, unnest(t) AS tag, generate_subscripts(t, 1) AS i FROM tags))
@@ -222,14 +258,9 @@ SQL: dict[str, str] = {
     "j7_job_status": _with(DEC, "SELECT job_id, count(slot) AS issues, CASE WHEN count(slot) > 0 AND count(*) FILTER (slot IS NOT NULL AND decision IS NULL) = 0 THEN 'reviewed' ELSE 'awaiting_review' END AS status FROM jobs LEFT JOIN slots USING (job_id) LEFT JOIN lat USING (job_id, slot) GROUP BY 1"),
     "h7_open_suggestions": _with(DEC, "SELECT job_id, slot, proposed_value FROM slots LEFT JOIN lat USING (job_id, slot) WHERE decision IS NULL"),
     "x1_median_size": _with(EL, r"SELECT doc_id, pos, m AS body_size, length(text) <= 120 AND (font_size >= m + 2 OR (text = upper(text) AND text <> lower(text) AND len(regexp_split_to_array(trim(text), '\s+')) <= 10)) AS is_heading, CASE WHEN font_size >= m + 8 THEN 1 WHEN font_size >= m + 4 THEN 2 ELSE 3 END::BIGINT AS level FROM el JOIN (SELECT doc_id, page_number, median(font_size) AS m FROM el GROUP BY ALL) USING (doc_id, page_number)"),
-    "x7_columns": _with(EL + """, ed AS (SELECT doc_id, x0, row_number() OVER (PARTITION BY doc_id ORDER BY x0) AS rn FROM el),
-        cl(doc_id, rn, cur, mids) AS (SELECT doc_id, rn, [x0], CAST([] AS DOUBLE[]) FROM ed WHERE rn = 1
-          UNION ALL SELECT e.doc_id, e.rn, CASE WHEN abs(e.x0 - list_median(c.cur)) > 48 THEN [e.x0] ELSE list_append(c.cur, e.x0) END, CASE WHEN abs(e.x0 - list_median(c.cur)) > 48 AND len(c.cur) >= 2 THEN list_append(c.mids, list_median(c.cur)) ELSE c.mids END FROM cl c JOIN ed e ON e.doc_id = c.doc_id AND e.rn = c.rn + 1),
-        fin AS (SELECT doc_id, rn, CASE WHEN len(cur) >= 2 THEN list_append(mids, list_median(cur)) ELSE mids END AS mids FROM cl QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rn DESC) = 1)""",
-        "SELECT doc_id, rn AS lines, coalesce(rn >= 6 AND len(mids) >= 2 AND list_max(mids) - list_min(mids) > 120, FALSE) AS multi_column FROM fin"),
+    "x7_columns": _with(PLAN.rstrip() + OWN_ALTS.rstrip() + REBUILT.rstrip() + COLUMNS, "SELECT doc_id, page_number, lines, multi_column FROM fin"),
     "x10_overlap_join": _with(EL, "SELECT l.doc_id, l.pos AS link_pos, coalesce(string_agg(t.text, ' ' ORDER BY t.pos), '') AS texts, count(t.pos) AS lines FROM el l LEFT JOIN el t ON t.doc_id = l.doc_id AND t.page_number = l.page_number AND t.type NOT IN ('image', 'link') AND t.x0 <= l.x1 AND t.x1 >= l.x0 AND t.y0 <= l.y1 AND t.y1 >= l.y0 WHERE l.type = 'link' GROUP BY 1, 2"),
     "x11_two_nearest": _with(EL, "SELECT doc_id, image_pos, trim(left(coalesce(string_agg(text, ' ' ORDER BY rn), ''), 160)) AS nearby_text FROM (SELECT i.doc_id, i.pos AS image_pos, t.text, row_number() OVER (PARTITION BY i.doc_id, i.pos ORDER BY abs(t.x0 + t.x1 - i.x0 - i.x1) / 2 + abs(t.y0 + t.y1 - i.y0 - i.y1) / 2, t.pos) AS rn FROM el i LEFT JOIN el t ON t.doc_id = i.doc_id AND t.page_number = i.page_number AND t.type NOT IN ('image', 'link') WHERE i.type = 'image') WHERE rn <= 2 GROUP BY 1, 2"),
-    "x13_preorder": _with(EL, "SELECT doc_id, pos, type, page_number, lead(type) OVER (PARTITION BY doc_id ORDER BY pos) AS next_type FROM el"),
     "o6_content_filter": _with(PLAN, "SELECT doc_id, pos, type FROM con"),
     "o7_duplicate_text": _with(PLAN, "SELECT doc_id, pos FROM dup"),
     "o8_roles": _with(EL, "SELECT doc_id, pos, CASE type WHEN 'heading' THEN 'H' || heading_level WHEN 'link' THEN 'Link' WHEN 'list_item' THEN 'LI' WHEN 'table' THEN 'Table' WHEN 'image' THEN 'Figure' ELSE 'P' END AS role FROM el"),
@@ -253,11 +284,6 @@ SQL: dict[str, str] = {
     "c9d_keys": _passed("fd"),
     "c10_plan_counts": _passed("f10"),
     "c11_histogram": _with(NODES, "SELECT role, count(*) AS n FROM hurt GROUP BY 1"),
-    "p8_before_after": _with(ISS + """, again AS (SELECT * FROM iss WHERE issue_type <> 'missing_image_alt_text' OR doc_id % 3 = 0)""", """
-        SELECT doc_id, bucket, issue_type, count(*) AS n FROM (
-          SELECT doc_id, 'rejected' AS bucket, issue_type FROM iss WHERE issue_ord % 5 = 0
-          UNION ALL SELECT doc_id, 'fixed', issue_type FROM iss i WHERE issue_ord % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM again a WHERE a.doc_id = i.doc_id AND a.issue_type = i.issue_type)
-          UNION ALL SELECT doc_id, 'remaining', issue_type FROM again UNION ALL SELECT doc_id, 'manual', issue_type FROM again) GROUP BY ALL"""),
     "p6_report": _with(ISS, "SELECT doc_id, count(issue_ord) AS issues, arg_min(issue_type, issue_ord) AS first_issue FROM (SELECT DISTINCT doc_id FROM el) LEFT JOIN iss USING (doc_id) GROUP BY 1"),
 }
 
@@ -320,9 +346,51 @@ BLOCK = "q BT (x) Tj ET Q"
 MARKED = f"""CASE
   WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 = 2 OR o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN '/P <</MCID 0>> BDC' || chr(10) || '/P <</MCID 1>> BDC' || chr(10) || 'head ' || repeat('{BLOCK} ', o_orderkey % 4) || 'tail' || chr(10) || 'EMC' || chr(10) || 'EMC' || chr(10) END
   ELSE 'head /P <</MCID 0>> BDC' || chr(10) || '{BLOCK}' || chr(10) || 'EMC ' || repeat('{BLOCK} ', o_orderkey % 4 - 1) || 'tail' END"""
+#: The plan's part behind the elements, which issues come with too.
+PLANNED = PLAN.removeprefix(EL)
+ROUND = PDF.rstrip() + "," + ISS.rstrip() + PLANNED.rstrip() + ALTS.rstrip() + REBUILT.rstrip() + COLUMNS.rstrip() + """,
+insp AS (SELECT doc_id, coalesce(pgs, 1) AS page_count, CAST(coalesce(found, 0) AS BIGINT) AS text_block_count, coalesce(many, '') AS pages FROM pdf p LEFT JOIN (SELECT doc_id, max(page_index) + 1 AS pgs FROM plan GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, sum(lines) AS found, string_agg(page_number, ', ' ORDER BY page_number) FILTER (multi_column) AS many FROM fin GROUP BY 1) USING (doc_id)),
+flat AS (SELECT doc_id FROM el GROUP BY 1 HAVING count(*) FILTER (type = 'heading') = 0 AND count(*) FILTER (type = 'paragraph') >= 4),
+src AS (SELECT doc_id, issue_type, CASE WHEN issue_type = 'missing_image_alt_text' THEN CASE WHEN issue_ord % 4 < 2 THEN 'accepted' WHEN issue_ord % 4 = 2 THEN 'rejected' ELSE 'open' END WHEN issue_ord % 5 = 0 THEN 'rejected' ELSE 'accepted' END AS final_status FROM iss
+  UNION ALL SELECT doc_id, 'encrypted_pdf', 'accepted' FROM tg WHERE enc UNION ALL SELECT doc_id, 'untagged_pdf', 'accepted' FROM tg WHERE NOT enc AND tagged = FALSE UNION ALL SELECT doc_id, 'unknown_pdf_tagging', 'accepted' FROM tg WHERE NOT enc AND tagged IS NULL
+  UNION ALL SELECT doc_id, 'no_extractable_pdf_text', 'accepted' FROM tg WHERE NOT enc AND page_count > 0 AND blocks = 0 UNION ALL SELECT doc_id, 'multi_column_reading_order_review', 'accepted' FROM tg WHERE NOT enc AND pages <> ''
+  UNION ALL SELECT doc_id, 'missing_document_title', 'accepted' FROM pdf WHERE doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'missing_document_language', 'accepted' FROM tg WHERE coalesce(trim(language), '') = '' UNION ALL SELECT doc_id, 'missing_heading_structure', 'accepted' FROM flat),
+again AS (SELECT doc_id, 'skipped_heading_level' AS issue_type FROM (SELECT doc_id, heading_level, lag(heading_level) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ra WHERE type = 'heading') WHERE heading_level > before + 1
+  UNION ALL SELECT doc_id, 'weak_link_text' FROM ra WHERE type = 'link' AND (lower(trim(text)) IN ('', 'click here', 'here', 'link', 'learn more', 'more', 'read more', 'view', 'download') OR regexp_matches(lower(trim(text)), '^(https?://|www\\.)'))
+  UNION ALL SELECT doc_id, 'missing_heading_structure' FROM ra GROUP BY 1 HAVING count(*) FILTER (type = 'heading') = 0 AND count(*) FILTER (type = 'paragraph') >= 4
+  UNION ALL SELECT doc_id, 'missing_document_language' FROM pdf WHERE language = ' ' UNION ALL SELECT doc_id, 'no_extractable_pdf_text' FROM insp WHERE text_block_count = 0 UNION ALL SELECT doc_id, 'multi_column_reading_order_review' FROM insp WHERE pages <> '')
+"""
 RAW = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN o_orderkey % 7 - 3 END AS v FROM orders)"
 
+#: Elements below elements with the way to each, whose order is the preorder.
+TREES = EL.rstrip() + """,
+up AS (SELECT e.doc_id, e.pos, e.type, e.text, e.k * 100 + e.pos AS ord, (SELECT max(p.pos) FROM el p WHERE p.doc_id = e.doc_id AND p.pos < e.pos AND p.type = 'heading' AND p.heading_level < CASE WHEN e.type = 'heading' THEN e.heading_level ELSE 7 END) AS parent FROM el e),
+down AS (SELECT doc_id, pos, type, text, 0::BIGINT AS depth, [ord] AS way FROM up WHERE parent IS NULL UNION ALL SELECT u.doc_id, u.pos, u.type, u.text, d.depth + 1, list_append(d.way, u.ord) FROM up u JOIN down d ON d.doc_id = u.doc_id AND d.pos = u.parent)
+"""
+STORED = "res AS (SELECT s.job_id, s.slot, l.final_status FROM slots s LEFT JOIN lat l USING (job_id, slot)), ev AS (SELECT d.job_id, d.seq, d.slot, d.decision FROM dec d JOIN slots USING (job_id, slot)), js AS (SELECT job_id, count(*) AS issues, count(*) FILTER (final_status IS NULL) AS open, (SELECT count(*) FROM ev WHERE ev.job_id = res.job_id) AS events, CASE WHEN job_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS artifacts FROM res GROUP BY 1)"
+STATUS = "CASE WHEN events > 0 THEN CASE WHEN open = 0 THEN 'reviewed' ELSE 'awaiting_review' END WHEN artifacts > 0 THEN 'output_generated' ELSE 'awaiting_review' END"
+
 SQL |= {
+    "x13_preorder": _with(TREES, "SELECT doc_id, pos AS id, type, depth, row_number() OVER w - 1 AS place, lead(type) OVER w AS next_type FROM down WINDOW w AS (PARTITION BY doc_id ORDER BY way)"),
+    "j9_nested_round_trip": _with(TREES, "SELECT doc_id, pos AS id, type, text, depth, depth + 1 AS ordinals FROM down"),
+    "s10_resolved_objects": """WITH e AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS num, count(*) OVER (PARTITION BY user_id) AS n, event_type, props FROM events),
+        f AS (SELECT *, num % 17 = 0 AS self, num % 17 <> 0 AND event_type NOT IN ('view', 'signup') AS is_end FROM e),
+        g AS (SELECT *, min(num) FILTER (self OR is_end) OVER (PARTITION BY doc_id ORDER BY num ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM f)
+        SELECT g.doc_id, g.num, CASE WHEN t.is_end THEN t.props ELSE '' END AS value, CASE WHEN g.stop IS NULL THEN g.n - g.num + 1 WHEN t.self THEN -1 ELSE g.stop - g.num END AS hops, CASE WHEN g.stop IS NULL THEN 'dangling' WHEN t.self THEN 'cycle' ELSE 'found' END AS state FROM g LEFT JOIN f t ON t.doc_id = g.doc_id AND t.num = g.stop""",
+    "c14_page_identity": _with(NODES, "SELECT doc_id, pos, row, cell, CASE WHEN k % 9 = 0 THEN -1 ELSE page_index END AS page_index FROM nodes WHERE is_leaf"),
+    "j1_stored_jobs": _with(f"{DEC.strip()}, {STORED}", f"SELECT job_id, {STATUS} AS status, issues, open, events, artifacts, CASE WHEN events > 0 THEN 3 WHEN artifacts > 0 THEN 2 ELSE 1 END::BIGINT AS version FROM js"),
+    "j2_job_history": _with(f"{DEC.strip()}, {STORED}", f"SELECT version, status, count(*) AS jobs FROM (SELECT 1::BIGINT AS version, 'awaiting_review' AS status FROM js UNION ALL SELECT 2, CASE WHEN artifacts > 0 THEN 'output_generated' ELSE 'awaiting_review' END FROM js UNION ALL SELECT 3, {STATUS} FROM js) GROUP BY ALL"),
+    "j3_job_lookup": _with(f"{DEC.strip()}, {STORED}", "SELECT job_id, row_number() OVER (ORDER BY seq) AS event_seq, slot, decision FROM ev WHERE job_id = (SELECT max(user_id) FROM events)"),
+    "o1_documents": _with(ROUND, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Order ' || doc_id WHEN doc_id % 2 = 0 THEN 'T' ELSE coalesce(t, 'Accessible Document') END AS title, CASE WHEN coalesce(language, '') = '' THEN 'en-AU' ELSE language END AS language FROM pdf LEFT JOIN (SELECT doc_id, left(trim(arg_min(text, pos)), 80) AS t FROM el WHERE trim(text) <> '' GROUP BY 1) USING (doc_id)"),
+    "o1_lines": _with(ROUND, "SELECT doc_id, page_number, text, font_size, x0, y0, x1, y1 FROM gl"),
+    "o1_read_again": _with(ROUND, "SELECT doc_id, pos, type, text, heading_level, confidence, element_id FROM ra"),
+    "o1_inspections": _with(ROUND, "SELECT doc_id, page_count, text_block_count, pages FROM insp"),
+    "o9_plan": _with(ROUND, """SELECT doc_id, pos, role, left(text, 80) AS text_preview, page_index, CASE WHEN role = 'Table' THEN (SELECT count(*) FROM cel WHERE cel.doc_id = pl.doc_id AND cel.page_index = pl.page_index AND cel.y = pl.y AND c <> '') ELSE 1 END AS block_count, coalesce(alt, 'none') AS alt, decorative,
+        CASE WHEN role = 'Table' THEN CAST(to_json(rws) AS VARCHAR) ELSE '[]' END AS cells, n_headers, CASE WHEN role <> 'LI' THEN '' WHEN k % 3 = 0 THEN '*' ELSE '-' END AS list_label FROM pl"""),
+    "p8_before_after": _with(ROUND, """SELECT doc_id, bucket, issue_type, n FROM (
+        SELECT doc_id, 'rejected' AS bucket, issue_type, count(*) AS n FROM src WHERE final_status = 'rejected' GROUP BY ALL
+        UNION ALL SELECT doc_id, 'fixed', issue_type, count(*) FROM src s WHERE final_status <> 'rejected' AND NOT EXISTS (SELECT 1 FROM again a WHERE a.doc_id = s.doc_id AND a.issue_type = s.issue_type) GROUP BY ALL
+        UNION ALL SELECT doc_id, unnest(['remaining', 'manual']), issue_type, n FROM (SELECT doc_id, issue_type, count(*) AS n FROM again GROUP BY ALL))"""),
     "t9_marked_streams": f"SELECT o_orderkey AS doc_id, {MARKED} AS stream FROM orders",
     "t10_plan_values": f"SELECT o_orderkey AS doc_id, greatest(0, least(2, coalesce(v, 0))) AS page_index, greatest(1, coalesce(v, 1)) AS blocks, greatest(0, coalesce(v, 0)) AS headers FROM {RAW}",
     "c12_tree_elements": "SELECT o_orderkey AS doc_id, role, depth, CASE WHEN role = 'L' THEN 1 ELSE o_orderkey % 4 END AS n FROM orders, (VALUES ('L', 0::BIGINT), ('LI', 1), ('LBody', 2)) v(role, depth) WHERE o_orderkey % 5 <> 0 AND (role = 'L' OR o_orderkey % 4 > 0)",

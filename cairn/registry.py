@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn import oracle
 from cairn.functions import text
-from cairn.operators import content, jobs, layout, rebuild, reports, review, rules, service, suggestions, tagtree, validate, validation
-from cairn.sources import files, tables
+from cairn.operators import content, jobs, layout, pointers, rebuild, reports, review, roundtrip, rules, service, suggestions, tagtree, validate, validation
+from cairn.sources import files, shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,10 +83,101 @@ def x1(spark, d):
     return rows.select("doc_id", "pos", "body_size", layout.heading(F.col("text"), F.col("font_size"), F.col("body_size")).alias("is_heading"), layout.heading_level(F.col("font_size"), F.col("body_size")).cast("long").alias("level"))
 
 
+def titled(spark, d):
+    """A document for each order: those with an even key have a title, language is that of the inspection."""
+    key = F.col("o_orderkey")
+    docs = tables.read(spark, d, "orders").select(key.alias("doc_id"), F.when(key % 2 == 0, "T").alias("title"))
+    return docs.join(inspections(spark, d).select("doc_id", "language"), "doc_id")
+
+
+def reviewed(spark, d):
+    """Issues of whole documents with what became of them: of alternative texts the first two of four are accepted and the third is not, of others each fifth is not."""
+    found = roundtrip.all_issues(titled(spark, d), inspections(spark, d), elements(spark, d))
+    at = F.col("at")
+    alt = F.when(at % 4 < 2, "accepted").when(at % 4 == 2, "rejected").otherwise("open")
+    other = F.when((F.col("part") == 2) & (at % 5 == 0), "rejected").otherwise("accepted")
+    return found.withColumn("final_status", F.when(F.col("issue_type") == "missing_image_alt_text", alt).otherwise(other))
+
+
+def rebuilt(spark, d):
+    """The documents with accepted titles (a third of them) and alternative texts, and their plan."""
+    key = F.col("o_orderkey")
+    values = tables.read(spark, d, "orders").filter(key % 3 == 0).select(key.alias("doc_id"), F.lit("set_document_title").alias("action"), F.concat(F.lit("Order "), key.cast("string")).alias("value"))
+    return roundtrip.rebuilt(titled(spark, d), elements(spark, d), values, o4(spark, d))
+
+
 def p8(spark, d):
-    source = issues(spark, d).withColumn("final_status", F.when(F.col("issue_ord") % 5 == 0, "rejected").otherwise("accepted"))
-    again = issues(spark, d).filter(~F.col("issue_type").isin("missing_image_alt_text") | (F.col("doc_id") % 3 == 0))
-    return reports.before_after(source, again)
+    return roundtrip.compared(reviewed(spark, d), *rebuilt(spark, d))
+
+
+def element_trees(spark, d):
+    """Elements below elements: each lies below the last heading of a lower level before it, children of one in order of k."""
+    back = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    e = elements(spark, d)
+    level = F.when(F.col("type") == "heading", F.col("heading_level")).otherwise(7)
+    above = [F.when(level > n, F.last(F.when((F.col("type") == "heading") & (F.col("heading_level") == n), F.col("pos")), ignorenulls=True).over(back)) for n in range(1, 7)]
+    return e.select("doc_id", F.col("pos").alias("id"), F.greatest(*above).alias("parent"), (F.col("k") * 100 + F.col("pos")).alias("ord"), "type", "text")
+
+
+def placed_elements(spark, d):
+    rows = shared.written(element_trees(spark, d), "trees")
+    return rows.join(pointers.preorder(rows), ["doc_id", "id"])
+
+
+def nested_round_trip(spark, d):
+    trees = pointers.nested(placed_elements(spark, d), ["id", "type", "text"])
+    return pointers.unnested(trees, "id long, type string, text string").select("doc_id", "id", "type", "text", "depth", F.size("path").cast("long").alias("ordinals"))
+
+
+def user_objects(spark, d):
+    """An object table for each user: its events in order; views and signups refer to the next one, each 17th to itself."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = tables.read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.row_number().over(order).cast("long").alias("num"), F.lit(0).cast("long").alias("gen"), "event_type", "props")
+    next_ = F.concat((F.col("num") + (F.col("num") % 17 != 0).cast("int")).cast("string"), F.lit(" 0 R"))
+    return rows.select("doc_id", "num", "gen", F.when(F.col("event_type").isin("view", "signup") | (F.col("num") % 17 == 0), next_).otherwise(F.col("props")).alias("value"))
+
+
+def marked_pages(spark, d):
+    """Leaves of the tree by the page that their reference names: object 10 + index; every ninth says no reference."""
+    p = plan(spark, d)
+    name = F.concat((10 + F.col("page_index")).cast("string"), F.lit(" 0 R"))
+    pages = pointers.page_identity(p.select("doc_id", "page_index").distinct().select("doc_id", "page_index", name.alias("ref")))
+    leaves = tree_of(p).filter("is_leaf").select("doc_id", "pos", "row", "cell", F.when(F.col("k") % 9 == 0, F.lit("none")).otherwise(name).alias("ref"))
+    num = F.split(pointers.reference(F.col("ref")), " ")
+    met = leaves.withColumn("num", num[0].cast("long")).withColumn("gen", num[1].cast("long")).join(pages, ["doc_id", "num", "gen"], "left")
+    return met.select("doc_id", "pos", "row", "cell", F.coalesce("page_index", F.lit(-1)).alias("page_index"))
+
+
+def stored_jobs(spark, d):
+    """A store of the users' jobs: created, output added to each third, decisions applied, in versions 1 to 3."""
+    store = jobs.JobStore(spark, shared.fresh_path(spark, "jobs"), buckets=16)
+    mine = slots(spark, d).select("job_id", "slot", F.col("slot").alias("issue"), "proposed_value")
+    store.create(jobs.result_json(mine))
+    made = F.struct(F.concat(F.lit("a"), F.col("job_id").cast("string")).alias("id"), F.lit("accessible_pdf").alias("type"), F.lit("f.pdf").alias("filename"), F.lit("f.pdf").alias("path"), F.lit("now").alias("created_at"), F.lit("{}").alias("validation_report"))
+    store.add_artifacts(mine.select("job_id").distinct().filter("job_id % 3 = 0").select("job_id", made.alias("artifact")))
+    known = decisions(spark, d).join(mine.select("job_id", "slot", "issue"), ["job_id", "slot"])
+    store.apply_decisions(known)
+    return store
+
+
+def job_rows(spark, d):
+    rows = jobs.opened(stored_jobs(spark, d).read())
+    return rows.select("job_id", "status", F.size("issues").cast("long").alias("issues"), F.size(F.filter("issues", lambda i: i["final_status"] == "open")).cast("long").alias("open"), F.coalesce(F.size("audit_events"), F.lit(0)).cast("long").alias("events"), F.size("artifacts").cast("long").alias("artifacts"), "version")
+
+
+def job_history(spark, d):
+    """Statuses of the jobs as each version of the store has them."""
+    store = stored_jobs(spark, d)
+    rows = [store.read(v).groupBy("status").agg(F.count(F.lit(1)).cast("long").alias("jobs")).select(F.lit(v).cast("long").alias("version"), "status", "jobs") for v in range(1, store.version() + 1)]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def one_job(spark, d):
+    """The largest job, looked up, with its audit log."""
+    store = stored_jobs(spark, d)
+    largest = tables.read(spark, d, "events").agg(F.max("user_id")).first()[0]
+    rows = jobs.opened(store.get(largest)).select("job_id", F.explode("audit_events").alias("e"))
+    return rows.select("job_id", "e.event_seq", "e.slot", "e.decision")
 
 
 def jobs_with_status(spark, d):
@@ -364,10 +456,16 @@ QUERIES: dict[str, Query] = {
     "j7_job_status": jobs_with_status,
     "h7_open_suggestions": open_suggestions,
     "x1_median_size": x1,
-    "x7_columns": lambda s, d: layout.multi_column(elements(s, d), ["doc_id"]),
+    "x7_columns": lambda s, d: layout.multi_column(roundtrip.generated_lines(plan(s, d)), ["doc_id", "page_number"]),
     "x10_overlap_join": lambda s, d: layout.link_texts(elements(s, d)),
     "x11_two_nearest": lambda s, d: layout.nearby(elements(s, d)),
-    "x13_preorder": lambda s, d: elements(s, d).select("doc_id", "pos", "type", "page_number", F.lead("type").over(Window.partitionBy("doc_id").orderBy("pos")).alias("next_type")),
+    "x13_preorder": lambda s, d: placed_elements(s, d).select("doc_id", "id", "type", "depth", "place", F.lead("type").over(Window.partitionBy("doc_id").orderBy("place")).alias("next_type")),
+    "j9_nested_round_trip": nested_round_trip,
+    "s10_resolved_objects": lambda s, d: pointers.resolved_objects(user_objects(s, d)).select("doc_id", "num", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("hops", F.lit(-1)).cast("long").alias("hops"), "state"),
+    "c14_page_identity": marked_pages,
+    "j1_stored_jobs": job_rows,
+    "j2_job_history": job_history,
+    "j3_job_lookup": one_job,
     "o7_duplicate_text": lambda s, d: rebuild.duplicate_texts(elements(s, d)).select("doc_id", "pos"),
     "o8_roles": lambda s, d: elements(s, d).select("doc_id", "pos", rebuild.role().alias("role")),
     "o9_role_counts": lambda s, d: rebuild.role_counts(plan(s, d)),
@@ -395,6 +493,11 @@ QUERIES: dict[str, Query] = {
     "c_validation_summary": lambda s, d: validated(s, d).select("doc_id", "status", "check_count", "passed_count", "failed_count", *validation.COUNTS),
     "c11_histogram": lambda s, d: hurt(plan(s, d)).groupBy("role").agg(F.count(F.lit(1)).cast("long").alias("n")),
     "p8_before_after": p8,
+    "o1_documents": lambda s, d: rebuilt(s, d)[0],
+    "o1_lines": lambda s, d: roundtrip.generated_lines(rebuilt(s, d)[1]),
+    "o1_read_again": lambda s, d: roundtrip.read_again(rebuilt(s, d)[1]).select("doc_id", "pos", "type", "text", F.coalesce("heading_level", F.lit(0)).alias("heading_level"), "confidence", "element_id"),
+    "o1_inspections": lambda s, d: (lambda docs, p: roundtrip.inspect_again(docs, p).select("doc_id", "page_count", "text_block_count", F.array_join("multi_column_pages", ", ").alias("pages")))(*rebuilt(s, d)),
+    "o9_plan": lambda s, d: rebuilt(s, d)[1].select("doc_id", "pos", "role", "text_preview", "page_index", "block_count", F.coalesce("alt", F.lit("none")).alias("alt"), "decorative", F.to_json("cells").alias("cells"), "n_headers", "list_label"),
     "p6_report": lambda s, d: reports.issue_counts(elements(s, d), issues(s, d)).join(reports.report_json(elements(s, d), issues(s, d)), "doc_id").select("doc_id", "issues", F.get_json_object("report", "$.issues[0].issue_type").alias("first_issue")),
 }
 

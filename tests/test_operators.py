@@ -197,19 +197,6 @@ def test_word_processor_files(spark, tmp_path):
         files.read_files(spark, str(tmp_path)).collect()
 
 
-def test_job_store(spark, tmp_path):
-    store = jobs.JobStore(spark, str(tmp_path / "jobs"))
-    store.create(spark.createDataFrame([(k, f"result {k}") for k in range(20)], "job_id long, result string"))
-    assert store.get(7).first()["status"] == "awaiting_review"
-    with pytest.raises(jobs.JobNotFound):
-        store.get(99)
-    kind = "struct<id:string,type:string,filename:string,path:string,created_at:string,validation_report:string>"
-    store.add_artifacts(spark.createDataFrame([(7, ("a", "accessible_pdf", "f", "p", "now", "{}"))], f"job_id long, artifact {kind}"))
-    got = store.get(7).first()
-    assert (got["status"], len(got["artifacts"]), got["result"]) == ("output_generated", 1, "result 7")
-    assert store.read().count() == 20 and store.get(8).first()["status"] == "awaiting_review"
-
-
 @pytest.mark.parametrize(("path", "ok"), [("/jobs/1/a.pdf", True), ("/jobs/1/../2", True), ("/jobs/../etc", False), ("/jobs", False), ("/jobsx/1", False)])
 def test_paths_inside(spark, path, ok):
     assert one(spark, path, lambda c: jobs.inside(F.lit("/jobs"), c)) is ok
