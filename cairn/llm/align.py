@@ -91,12 +91,15 @@ class Pieces:
         n = self.model.get_piece_size()
         names = [self.model.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.blank = self.model.piece_to_id("▁")
         # A merge over a unit's start would need a piece with a space behind another character.
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("pieces run over the starts of words")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode([u[1:] for u in texts], num_threads=1)
+        lists = self.model.encode([u[1:] for u in texts], num_threads=1)
+        # A space alone, as at a text's end, is an empty text to the model, before which it puts no space.
+        return [ids if u != " " else [self.blank] for u, ids in zip(texts, lists, strict=True)]
 
 
 _MODELS: dict = {}
