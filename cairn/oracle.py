@@ -370,7 +370,26 @@ down AS (SELECT doc_id, pos, type, text, 0::BIGINT AS depth, [ord] AS way FROM u
 STORED = "res AS (SELECT s.job_id, s.slot, l.final_status FROM slots s LEFT JOIN lat l USING (job_id, slot)), ev AS (SELECT d.job_id, d.seq, d.slot, d.decision FROM dec d JOIN slots USING (job_id, slot)), js AS (SELECT job_id, count(*) AS issues, count(*) FILTER (final_status IS NULL) AS open, (SELECT count(*) FROM ev WHERE ev.job_id = res.job_id) AS events, CASE WHEN job_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS artifacts FROM res GROUP BY 1)"
 STATUS = "CASE WHEN events > 0 THEN CASE WHEN open = 0 THEN 'reviewed' ELSE 'awaiting_review' END WHEN artifacts > 0 THEN 'output_generated' ELSE 'awaiting_review' END"
 
+#: All issues of whole analyses.
+_kinds = [("encrypted_pdf", "pdf.encryption", "critical", 1.0, "cannot_automate", "enc"), ("untagged_pdf", "pdf.tags.present", "critical", 0.95, "auto_fixable", "NOT enc AND tagged = FALSE"), ("unknown_pdf_tagging", "pdf.tags.present", "high", 0.5, CONFIRM, "NOT enc AND tagged IS NULL"), ("no_extractable_pdf_text", "pdf.extractable_text", "critical", 0.9, CONFIRM, "NOT enc AND page_count > 0 AND blocks = 0"), ("multi_column_reading_order_review", "pdf.reading_order.multicolumn", "high", 0.75, CONFIRM, "NOT enc AND pages <> ''")]
+ALL = PDF.rstrip() + "," + ISS.rstrip() + f""",
+worded AS (SELECT doc_id FROM el WHERE trim(text) <> '' GROUP BY 1),
+flat AS (SELECT doc_id FROM el GROUP BY 1 HAVING count(*) FILTER (type = 'heading') = 0 AND count(*) FILTER (type = 'paragraph') >= 4),
+alli AS ({" UNION ALL ".join(f"SELECT doc_id, 0 AS part, 0 AS nr, '{r}' AS rule_id, '{t}' AS issue_type, '{s}' AS severity, {c}::DOUBLE AS confidence, '{a}' AS automation_status, 0 AS page FROM tg WHERE {w}" for t, r, s, c, a, w in _kinds)}
+  UNION ALL SELECT doc_id, 1, 0, 'wcag.document.title', 'missing_document_title', 'high', CASE WHEN doc_id IN (SELECT doc_id FROM worded) THEN 0.85 ELSE 0.6 END, CASE WHEN doc_id IN (SELECT doc_id FROM worded) THEN 'auto_fixable' ELSE '{CONFIRM}' END, 0 FROM tg WHERE doc_id % 2 <> 0
+  UNION ALL SELECT doc_id, 1, 1, 'wcag.document.language', 'missing_document_language', 'high', 0.7, '{CONFIRM}', 0 FROM tg WHERE {BLANK}
+  UNION ALL SELECT doc_id, 1, 2, 'wcag.headings.present', 'missing_heading_structure', 'medium', 0.75, '{CONFIRM}', 0 FROM flat JOIN tg USING (doc_id)
+  UNION ALL SELECT doc_id, 2, issue_ord, rule_id, issue_type, severity, confidence, automation_status, page_number FROM iss),
+ai AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, nr, issue_type) - 1 AS issue_ord, CASE issue_type WHEN 'missing_document_title' THEN 'set_document_title' WHEN 'missing_document_language' THEN 'set_document_language' WHEN 'untagged_pdf' THEN 'rebuild_pdf_tags' WHEN 'no_extractable_pdf_text' THEN 'request_ocr' WHEN 'unknown_pdf_tagging' THEN 'manual_review' WHEN 'encrypted_pdf' THEN 'manual_review' ELSE {ACTION} END AS action FROM alli)
+"""
+
 SQL |= {
+    "p6_whole_reports": _with(ALL, """SELECT p.doc_id, 'order ' || p.doc_id || '.pdf' AS file, 'WCAG 2.2 AA' AS target, 'pdf' AS format, page_count AS pages, count(issue_ord) AS issues, count(issue_ord) AS suggestions, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
+        count(*) FILTER (automation_status = 'auto_fixable') AS auto, count(*) FILTER (issue_type = 'weak_link_text') AS weak_links, CASE WHEN p.doc_id % 2 = 0 THEN 'reviewed' ELSE 'awaiting_review' END AS status, CASE WHEN p.doc_id % 3 = 2 THEN '2' ELSE '' END AS second_artifact FROM pdf p LEFT JOIN ai USING (doc_id) GROUP BY p.doc_id, page_count"""),
+    "p6_report_issues": _with(ALL, "SELECT doc_id, issue_ord AS ord, issue_ord, rule_id, issue_type, severity, confidence, automation_status, 'open' AS final_status, page AS source_page_number FROM ai"),
+    "p6_report_suggestions": _with(ALL, "SELECT doc_id, issue_ord AS ord, issue_ord, action, CASE WHEN issue_type IN ('missing_image_alt_text', 'weak_link_text', 'missing_heading_structure') THEN 'ai_assisted' ELSE 'rule' END AS source, automation_status <> 'auto_fixable' AS requires_user_confirmation FROM ai"),
+    "p6_report_events": _with(ALL, "SELECT doc_id, issue_ord AS ord, 'suggestion_created' AS type, issue_ord, action AS metadata_action FROM ai"),
+    "p10_report_files": _with(ALL, "SELECT 'order_' || p.doc_id || '_accessibility_report.json' AS name, p.doc_id AS job_id, count(issue_ord) AS issues FROM pdf p LEFT JOIN ai USING (doc_id) GROUP BY 1, 2"),
     "x13_preorder": _with(TREES, "SELECT doc_id, pos AS id, type, depth, row_number() OVER w - 1 AS place, lead(type) OVER w AS next_type FROM down WINDOW w AS (PARTITION BY doc_id ORDER BY way)"),
     "j9_nested_round_trip": _with(TREES, "SELECT doc_id, pos AS id, type, text, depth, depth + 1 AS ordinals FROM down"),
     "s10_resolved_objects": """WITH e AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS num, count(*) OVER (PARTITION BY user_id) AS n, event_type, props FROM events),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from cairn import oracle
 from cairn.functions import text
-from cairn.operators import content, jobs, layout, pointers, rebuild, reports, review, roundtrip, rules, service, suggestions, tagtree, validate, validation
-from cairn.sources import files, shared, tables
+from cairn.operators import analysis, content, jobs, layout, pointers, rebuild, reports, review, roundtrip, rules, service, suggestions, tagtree, validate, validation
+from cairn.sources import files, report_files, shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,46 @@ def p8(spark, d):
     return roundtrip.compared(reviewed(spark, d), *rebuilt(spark, d))
 
 
+def whole_reports_of(spark, d):
+    """Reports of all orders' documents, with a job for each: its status and as many artifacts as the key's remainder by 3."""
+    key = F.col("o_orderkey")
+    orders = tables.read(spark, d, "orders")
+    docs = orders.select(key.alias("doc_id"), F.concat(F.lit("order "), key.cast("string"), F.lit(".pdf")).alias("file"), F.lit("pdf").alias("format"))
+    one = lambda i: F.struct(i.cast("string").alias("id"), F.lit("accessible_pdf").alias("type"))
+    jobs_ = orders.select(key.alias("doc_id"), key.alias("job_id"), F.when(key % 2 == 0, "reviewed").otherwise("awaiting_review").alias("status"), F.col("o_orderdate").cast("string").alias("created_at"), F.col("o_orderdate").cast("string").alias("updated_at"), F.transform(F.filter(F.sequence(F.lit(0).cast("long"), key % 3), lambda i: i > 0), one).alias("artifacts"))
+    e = elements(spark, d)
+    found = shared.written(analysis.issues(titled(spark, d), inspections(spark, d), e), "issues")
+    made = analysis.suggested(found, e, titled(spark, d).select("doc_id", F.lit(None).cast("string").alias("metadata_language")))
+    return shared.written(analysis.whole_reports(docs, inspections(spark, d), found, made, F.lit("2024-01-01T00:00:00Z"), jobs_), "reports")
+
+
+def report_heads(spark, d):
+    of = lambda path, kind: F.variant_get("report", f"$.{path}", kind)
+    count = lambda path: F.coalesce(of(f"summary.{path}", "bigint"), F.lit(0))
+    return whole_reports_of(spark, d).select(
+        "doc_id", of("file", "string").alias("file"), of("target", "string").alias("target"), of("source.format", "string").alias("format"), of("source.pdf.page_count", "bigint").alias("pages"), count("initial_issue_count").alias("issues"), count("suggestion_count").alias("suggestions"),
+        count("severity_counts.critical").alias("critical"), count("severity_counts.high").alias("high"), count("automation_status_counts.auto_fixable").alias("auto"), count("issue_type_counts.weak_link_text").alias("weak_links"), of("job.status", "string").alias("status"), F.coalesce(of("output_artifacts[1].id", "string"), F.lit("")).alias("second_artifact"),
+    )
+
+
+def report_issues(spark, d):
+    rows = analysis.listed(whole_reports_of(spark, d), "issues", {"issue_ord": "bigint", "rule_id": "string", "issue_type": "string", "severity": "string", "confidence": "double", "automation_status": "string", "final_status": "string", "source.page_number": "bigint"})
+    return rows.withColumn("source_page_number", F.coalesce("source_page_number", F.lit(0)))
+
+
+def report_files_read(spark, d):
+    """Reports written as files by the sink, and what the files say."""
+    from pyspark.sql.functions import parse_json
+
+    spark.dataSource.register(report_files.ReportFiles)
+    reports_ = whole_reports_of(spark, d)
+    path = shared.fresh_path(spark, "report_files")
+    name = jobs.report_name(F.concat(F.lit("order_"), F.col("doc_id").cast("string"), F.lit("_accessible.pdf")))
+    analysis.texts(reports_, name).write.format("report_files").mode("append").save(path)
+    found = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), parse_json("value").alias("report"))
+    return found.select("name", F.variant_get("report", "$.job.id", "bigint").alias("job_id"), F.variant_get("report", "$.summary.initial_issue_count", "bigint").alias("issues"))
+
+
 def element_trees(spark, d):
     """Elements below elements: each lies below the last heading of a lower level before it, children of one in order of k."""
     back = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -459,6 +499,11 @@ QUERIES: dict[str, Query] = {
     "x7_columns": lambda s, d: layout.multi_column(roundtrip.generated_lines(plan(s, d)), ["doc_id", "page_number"]),
     "x10_overlap_join": lambda s, d: layout.link_texts(elements(s, d)),
     "x11_two_nearest": lambda s, d: layout.nearby(elements(s, d)),
+    "p6_whole_reports": report_heads,
+    "p6_report_issues": report_issues,
+    "p6_report_suggestions": lambda s, d: analysis.listed(whole_reports_of(s, d), "suggestions", {"issue_ord": "bigint", "action": "string", "source": "string", "requires_user_confirmation": "boolean"}),
+    "p6_report_events": lambda s, d: analysis.listed(whole_reports_of(s, d), "audit_events", {"type": "string", "issue_ord": "bigint", "metadata.action": "string"}),
+    "p10_report_files": report_files_read,
     "x13_preorder": lambda s, d: placed_elements(s, d).select("doc_id", "id", "type", "depth", "place", F.lead("type").over(Window.partitionBy("doc_id").orderBy("place")).alias("next_type")),
     "j9_nested_round_trip": nested_round_trip,
     "s10_resolved_objects": lambda s, d: pointers.resolved_objects(user_objects(s, d)).select("doc_id", "num", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("hops", F.lit(-1)).cast("long").alias("hops"), "state"),
