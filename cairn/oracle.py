@@ -299,8 +299,8 @@ def _value(kind: str, action: str, value: str, when: str, confidence: float, ask
 SQL |= {
     "s2_docx_scan": _with(LINES, "SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN 'heading' ELSE 'paragraph' END AS type, text, CASE WHEN pos % 5 = 0 THEN 2 END AS heading_level, CAST(pos + 1 AS VARCHAR) AS element_id FROM lines"),
     "s5_span_lines": _with(EL, "SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, x0, pos) - 1 AS pos, text, font_size FROM (SELECT doc_id, page_number, pos, x0, y0, concat_ws(' ', nullif(trim(text), ''), nullif(trim(alt_text), '')) AS text, CASE WHEN coalesce(trim(alt_text), '') <> '' THEN font_size + 2 ELSE font_size END AS font_size FROM el) WHERE text <> ''"),
-    "s12_parent_tree_size": "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN o_orderkey % 3 > 0 THEN 1 ELSE 0 END AS entries FROM orders",
-    "s13_marked_count": "SELECT o_orderkey AS doc_id, o_orderkey % 4 + 1 AS marked FROM orders",
+    "s12_parent_tree_size": _with(NODES, "SELECT doc_id, CAST(sum(entries) AS BIGINT) + 2 AS entries FROM parw GROUP BY 1"),
+    "s13_marked_count": _with(PLAN, "SELECT doc_id, count(*) AS marked FROM plan GROUP BY 1"),
     "x4_table_text": "SELECT p_partkey, p_size % 2 = 0 AS is_table FROM part",
     "x5_table_headers": "SELECT p_partkey, p_brand || '|' || p_type AS headers FROM part",
     "x6_block_confidence": _with(EL, "SELECT doc_id, pos, CASE WHEN k % 9 = 0 THEN 0.8 ELSE 0.85 END::DOUBLE AS confidence FROM el"),
@@ -341,11 +341,6 @@ SQL |= {
     "j9_round_trip": _with(EL, "SELECT doc_id, pos, type, text, heading_level, alt_text, decorative FROM el"),
     "h7_categories": _with(ISS, "SELECT doc_id, count(DISTINCT issue_type) AS categories FROM iss GROUP BY 1"),
 }
-#: A stream's text block, and the fates of an order's stream.
-BLOCK = "q BT (x) Tj ET Q"
-MARKED = f"""CASE
-  WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 = 2 OR o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN '/P <</MCID 0>> BDC' || chr(10) || '/P <</MCID 1>> BDC' || chr(10) || 'head ' || repeat('{BLOCK} ', o_orderkey % 4) || 'tail' || chr(10) || 'EMC' || chr(10) || 'EMC' || chr(10) END
-  ELSE 'head /P <</MCID 0>> BDC' || chr(10) || '{BLOCK}' || chr(10) || 'EMC ' || repeat('{BLOCK} ', o_orderkey % 4 - 1) || 'tail' END"""
 #: The plan's part behind the elements, which issues come with too.
 PLANNED = PLAN.removeprefix(EL)
 ROUND = PDF.rstrip() + "," + ISS.rstrip() + PLANNED.rstrip() + ALTS.rstrip() + REBUILT.rstrip() + COLUMNS.rstrip() + """,
@@ -360,7 +355,12 @@ again AS (SELECT doc_id, 'skipped_heading_level' AS issue_type FROM (SELECT doc_
   UNION ALL SELECT doc_id, 'missing_heading_structure' FROM ra GROUP BY 1 HAVING count(*) FILTER (type = 'heading') = 0 AND count(*) FILTER (type = 'paragraph') >= 4
   UNION ALL SELECT doc_id, 'missing_document_language' FROM pdf WHERE language = ' ' UNION ALL SELECT doc_id, 'no_extractable_pdf_text' FROM insp WHERE text_block_count = 0 UNION ALL SELECT doc_id, 'multi_column_reading_order_review' FROM insp WHERE pages <> '')
 """
-RAW = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN o_orderkey % 7 - 3 END AS v FROM orders)"
+#: Pages as streams of marked content, by element and line.
+STREAMS = PLAN.rstrip() + OWN_ALTS.rstrip() + REBUILT.rstrip() + r""",
+ln2 AS (SELECT doc_id, page_index, y, CASE WHEN role = 'LI' THEN CASE WHEN k % 3 = 0 THEN '* ' ELSE '- ' END || trim(text) WHEN role = 'Figure' THEN CASE WHEN decorative THEN 'Decorative image' WHEN coalesce(alt, '') = '' THEN 'Figure: alt text requires review' ELSE 'Figure: ' || alt END ELSE trim(text) END AS text, 0 AS ri, 0 AS ci FROM pl WHERE role <> 'Table'
+   UNION ALL SELECT doc_id, page_index, y, CASE WHEN length(c) <= 28 THEN c ELSE left(c, 25) || '...' END, ri, ci FROM cel WHERE c <> ''),
+eln AS (SELECT doc_id, page_index, y, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY y) - 1 AS mcid, count(*) AS blocks, string_agg('q BT (' || replace(replace(replace(text, '\', '\\'), '(', '\('), ')', '\)') || ') Tj ET Q', ' ' ORDER BY ri, ci) AS s FROM ln2 GROUP BY 1, 2, 3)
+"""
 
 #: Elements below elements with the way to each, whose order is the preorder.
 TREES = EL.rstrip() + """,
@@ -410,13 +410,13 @@ SQL |= {
         SELECT doc_id, 'rejected' AS bucket, issue_type, count(*) AS n FROM src WHERE final_status = 'rejected' GROUP BY ALL
         UNION ALL SELECT doc_id, 'fixed', issue_type, count(*) FROM src s WHERE final_status <> 'rejected' AND NOT EXISTS (SELECT 1 FROM again a WHERE a.doc_id = s.doc_id AND a.issue_type = s.issue_type) GROUP BY ALL
         UNION ALL SELECT doc_id, unnest(['remaining', 'manual']), issue_type, n FROM (SELECT doc_id, issue_type, count(*) AS n FROM again GROUP BY ALL))"""),
-    "t9_marked_streams": f"SELECT o_orderkey AS doc_id, {MARKED} AS stream FROM orders",
-    "t10_plan_values": f"SELECT o_orderkey AS doc_id, greatest(0, least(2, coalesce(v, 0))) AS page_index, greatest(1, coalesce(v, 1)) AS blocks, greatest(0, coalesce(v, 0)) AS headers FROM {RAW}",
-    "c12_tree_elements": "SELECT o_orderkey AS doc_id, role, depth, CASE WHEN role = 'L' THEN 1 ELSE o_orderkey % 4 END AS n FROM orders, (VALUES ('L', 0::BIGINT), ('LI', 1), ('LBody', 2)) v(role, depth) WHERE o_orderkey % 5 <> 0 AND (role = 'L' OR o_orderkey % 4 > 0)",
-    "c13_number_tree": "SELECT o_orderkey AS doc_id, key, CASE WHEN key = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS entries FROM orders, (VALUES (0::BIGINT), (1)) v(key)",
-    "c14_page_marks": "SELECT o_orderkey AS doc_id, 0::BIGINT AS page_index, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS marks FROM orders WHERE o_orderkey % 6 > 0",
-    "c16_validator": "SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE o_orderkey % 4 WHEN 0 THEN 'unavailable' WHEN 3 THEN 'error' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 4 = 3 THEN 'false' WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 2 THEN 'unknown' WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END AS passed, o_orderkey % 8 = 3 AS told FROM orders",
-    "h3_payloads": "SELECT o_orderkey AS doc_id, (['no record', 'lacks issue_id', 'unknown decision', '', 'no record'])[o_orderkey % 5 + 1] AS problem FROM orders",
+    "t9_marked_streams": _with(STREAMS, "SELECT doc_id, page_index, 'head ' || string_agg('/P <</MCID ' || mcid || '>> BDC' || chr(10) || s || chr(10) || 'EMC', ' ' ORDER BY mcid) || ' tail' AS stream FROM eln GROUP BY 1, 2"),
+    "t10_plan_values": _with(STREAMS, "SELECT doc_id, pos, greatest(0, least(pages - 1, CASE WHEN k % 7 > 1 THEN page_index - m ELSE 0 END)) AS page_index, greatest(1, CASE WHEN k % 7 > 1 THEN blocks - m ELSE 1 END) AS blocks, greatest(0, CASE WHEN k % 7 > 1 THEN n_headers - m ELSE 0 END) AS headers FROM (SELECT pl.*, eln.blocks, CASE WHEN k % 7 = 2 THEN 3 ELSE 0 END AS m, max(pl.page_index) OVER (PARTITION BY pl.doc_id) + 1 AS pages FROM pl JOIN eln ON eln.doc_id = pl.doc_id AND eln.page_index = pl.page_index AND eln.y = pl.y)"),
+    "c12_tree_elements": _with(NODES, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, row, cell) - 1 AS ord, CASE WHEN role IN ('LI', 'TR') THEN 1 WHEN role IN ('Lbl', 'LBody', 'TH', 'TD') THEN 2 ELSE 0 END::BIGINT AS depth, role FROM nodes"),
+    "c13_number_tree": _with(NODES, "SELECT doc_id, key, CAST(sum(entries) AS BIGINT) AS entries FROM parw GROUP BY 1, 2"),
+    "c14_page_marks": _with(PLAN, "SELECT doc_id, page_index, count(*) AS marks FROM plan GROUP BY 1, 2"),
+    "c16_validator": _with(FAILS, f"SELECT CAST(doc_id AS VARCHAR) AS path, CASE doc_id % 4 WHEN 0 THEN 'unavailable' WHEN 3 THEN 'error' ELSE 'completed' END AS status, CASE WHEN doc_id % 4 = 3 THEN 'false' WHEN doc_id % 4 = 0 OR doc_id % 8 = 5 THEN 'unknown' WHEN {' AND '.join(PASSES)} THEN 'true' ELSE 'false' END AS passed, doc_id % 8 = 3 AS told FROM pdf"),
+    "h3_payloads": _with(DEC, "SELECT job_id, seq, CASE WHEN seq % 11 = 0 THEN 'no record' WHEN seq % 5 = 0 THEN 'lacks issue_id' WHEN seq % 7 = 0 THEN 'unknown decision' ELSE '' END AS problem FROM dec"),
     "h3_suffix": "SELECT p_partkey, (['.pdf', '.docx', ''])[p_size % 3 + 1] AS suffix FROM part",
     "h6_reports": _with(ISS, """SELECT doc_id, n0 + n1 AS issues, n0_high + n1_high AS high, CASE WHEN doc_id % 2 <> 0 THEN 'missing_document_title' WHEN doc_id % 3 <> 0 THEN 'missing_document_language' WHEN flat THEN 'missing_heading_structure' ELSE coalesce(first_issue, '') END AS first_issue FROM (
         SELECT o_orderkey AS doc_id, coalesce(flat, FALSE) AS flat, first_issue, coalesce(n, 0) AS n1, coalesce(high, 0) AS n1_high,

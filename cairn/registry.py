@@ -358,57 +358,59 @@ def s5_spans(spark, d):
     return files.lines_of_spans(spans).select("doc_id", "page_number", "pos", "text", "font_size")
 
 
-def order_lists(spark, d):
-    key = F.col("o_orderkey")
-    flat = F.array(F.lit("0"), F.when(key % 2 == 0, "[1, 2, 3]").otherwise("[]"), F.lit("1"), F.when(key % 3 > 0, F.lit('"x"')))
-    streams = F.array(F.repeat(F.lit("/MCID "), (key % 4).cast("int")), F.lit(None).cast("string"), F.lit("q /MCID 0 Q"))
-    return tables.read(spark, d, "orders").select(key.alias("doc_id"), files.parent_tree_size(flat).cast("long").alias("entries"), files.marked_count(streams).cast("long").alias("marked"))
-
-
 def page_streams(spark, d):
-    """A stream for each order, with as many text blocks as its key's remainder by 4; even keys plan three blocks, others one."""
-    key = F.col("o_orderkey")
-    entry = lambda mcid, n: F.struct(F.lit(mcid).alias("mcid"), F.lit(n).alias("blocks"))
-    plan = F.when(key % 2 == 0, F.array(entry(0, 1), entry(1, 2))).otherwise(F.array(entry(0, 1)))
-    stream = F.concat(F.lit("head "), F.repeat(F.lit("q BT (x) Tj ET Q "), (key % 4).cast("int")), F.lit("tail"))
-    return tables.read(spark, d, "orders").select(key.alias("doc_id"), content.marked(stream, plan).alias("stream"))
+    """A stream for each page of the plans, of a text block for each line, as marked content by element."""
+    rows = plan(spark, d)
+    block = F.transform("lines", lambda x: F.concat(F.lit("q BT ("), text.escaped(x["text"]), F.lit(") Tj ET Q")))
+    mcid = (F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("pos")) - 1).cast("int")
+    rows = rows.select("doc_id", "page_index", mcid.alias("mcid"), F.col("block_count").cast("int").alias("blocks"), F.array_join(block, " ").alias("stream"))
+    entry = lambda c: F.transform("e", lambda x: x[c])
+    pages = rows.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("mcid", "blocks", "stream"))).alias("e"))
+    stream = F.concat(F.lit("head "), F.array_join(entry("stream"), " "), F.lit(" tail"))
+    return pages.select("doc_id", "page_index", content.marked(stream, F.transform("e", lambda x: F.struct(x["mcid"].alias("mcid"), x["blocks"].alias("blocks")))).alias("stream"))
 
 
 def plan_values(spark, d):
-    """Page index, blocks and headers as texts, of which some are no numbers, for three pages."""
-    key = F.col("o_orderkey")
-    raw = F.when(key % 7 == 0, F.lit("none")).when(key % 7 != 1, ((key % 7) - 3).cast("string"))
-    return tables.read(spark, d, "orders").select(key.alias("doc_id"), content.page_of(raw, F.lit(3)).alias("page_index"), content.blocks_of(raw).alias("blocks"), content.header_count_of(raw).alias("headers"))
+    """What readers make of the plans' numbers as texts, of which a seventh is no number and a seventh is not there."""
+    p, k = plan(spark, d), F.col("k") % 7
+    raw = lambda c: F.when(k == 0, F.lit("none")).when(k != 1, (F.col(c) - (k == 2).cast("int") * 3).cast("string"))
+    pages = (F.max("page_index").over(Window.partitionBy("doc_id")) + 1).alias("pages")
+    rows = p.select("doc_id", "pos", pages, raw("page_index").alias("p"), raw("block_count").alias("b"), raw("n_headers").alias("h"))
+    return rows.select("doc_id", "pos", content.page_of(F.col("p"), F.col("pages")).alias("page_index"), content.blocks_of(F.col("b")).alias("blocks"), content.header_count_of(F.col("h")).alias("headers"))
 
 
-def number_trees(spark, d):
-    """Keys 0, 1 and 0 again, one that is no number, and a last one without value."""
-    key = F.col("o_orderkey")
-    nums = F.array(F.lit("0"), F.lit("[1, 2, 3]"), F.lit("1"), F.when(key % 2 == 0, '"x"'), F.lit("0"), F.when(key % 3 == 0, "[1]").otherwise("[]"), F.lit("k"), F.lit("[1, 2]"), F.lit("9"))
-    return content.number_tree(tables.read(spark, d, "orders").select(key.alias("doc_id"), nums.alias("nums"))).select("doc_id", "key", "entries")
+def flat_parent_trees(spark, d):
+    """The plans' parent trees as flat lists of keys and values, with a key that is no number and a last one without value."""
+    t = tagtree.parent_tree(tree_of(plan(spark, d)))
+    value = F.when(F.col("entries") > 1, F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("1"), F.col("entries").cast("int")), ","), F.lit("]"))).otherwise(F.lit('"x"'))
+    lists = t.withColumn("value", value).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("e"))
+    pairs = F.flatten(F.transform("e", lambda x: F.array(x["key"].cast("string"), x["value"])))
+    return lists.select("doc_id", F.concat(pairs, F.array(F.lit("k"), F.lit("[1, 2]"), F.lit("9"))).alias("nums"))
 
 
 def written_trees(spark, d):
-    """A list with an item for each remainder of the key by 4, below an object that is no element; every fifth tree is broken."""
-    key = F.col("o_orderkey")
-    item = F.lit('{"Type": "/StructElem", "S": "/LI", "K": {"Type": "/StructElem", "S": "/LBody", "K": 3}}')
-    items = F.array_join(F.array_repeat(item, (key % 4).cast("int")), ", ")
-    tree = F.concat(F.lit('{"K": [{"Type": "/StructElem", "S": "/L", "K": ['), items, F.when(key % 5 == 0, "]").otherwise("]}, 7, null]}"))
-    return content.tree_elements(tables.read(spark, d, "orders").select(key.alias("doc_id"), tree.alias("tree"))).groupBy("doc_id", "role", "depth").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    """The plans' tag trees written as nested JSON and read again."""
+    role = F.col("role")
+    depth = F.when(role.isin("LI", "TR"), 1).when(role.isin("Lbl", "LBody", "TH", "TD"), 2).otherwise(0).cast("long")
+    place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "row", "cell")) - 1).cast("long")
+    rows = tree_of(plan(spark, d)).select("doc_id", place.alias("place"), depth.alias("depth"), F.lit("/StructElem").alias("Type"), F.concat(F.lit("/"), role).alias("S"))
+    return content.tree_elements(pointers.nested(rows, ["Type", "S"], "K"))
 
 
 def validator_runs(spark, d):
-    key = F.col("o_orderkey")
-    output = F.when(key % 3 == 0, '{"jobs": [{"validationResult": {"isCompliant": true}}]}').when(key % 3 == 1, '{"validationResult": {"isCompliant": false}}').otherwise("no report")
-    rows = tables.read(spark, d, "orders").select(key.cast("string").alias("path"), F.when(key % 4 > 0, (key % 4 - 1).cast("int")).alias("code"), output.alias("output"), F.when(key % 8 < 4, " bad file ").alias("errors"))
+    """What a run says of each validated document: an eighth has no report, a quarter no run, a quarter of runs fails."""
+    key = F.col("doc_id")
+    output = F.when(key % 8 == 5, "no report").otherwise(F.concat(F.lit('{"jobs": [{"validationResult": {"isCompliant": '), (F.col("status") == "passed").cast("string"), F.lit("}}]}")))
+    rows = validated(spark, d).select(key.cast("string").alias("path"), F.when(key % 4 > 0, (key % 4 - 1).cast("int")).alias("code"), output.alias("output"), F.when(key % 8 < 4, " bad file ").alias("errors"))
     made = validate.outcome(rows)
     return made.select("path", "status", F.coalesce(F.col("passed").cast("string"), F.lit("unknown")).alias("passed"), (F.col("details") == "bad file").alias("told"))
 
 
 def payloads(spark, d):
-    key = F.col("o_orderkey")
-    payload = F.when(key % 5 == 0, "[]").when(key % 5 == 1, '{"suggestion_id": "s", "decision": "accept"}').when(key % 5 == 2, '{"suggestion_id": "s", "issue_id": "i", "decision": "skip"}').when(key % 5 == 3, '{"suggestion_id": "s", "issue_id": "i", "decision": "edit", "more": 1}')
-    return tables.read(spark, d, "orders").select(key.alias("doc_id"), F.coalesce(service.payload_problem(payload), F.lit("")).alias("problem"))
+    """The decision log as JSON payloads; each fifth lacks its issue, each seventh decides otherwise, each eleventh is a list."""
+    seq = F.col("seq")
+    record = F.to_json(F.struct(F.col("slot").cast("string").alias("suggestion_id"), F.when(seq % 5 > 0, F.col("slot").cast("string")).alias("issue_id"), F.when(seq % 7 == 0, "skip").otherwise(F.col("decision")).alias("decision"), "final_value"))
+    return decisions(spark, d).select("job_id", "seq", F.coalesce(service.payload_problem(F.when(seq % 11 == 0, F.concat(F.lit("["), record, F.lit("]"))).otherwise(record)), F.lit("")).alias("problem"))
 
 
 def whole_reports(spark, d):
@@ -422,8 +424,8 @@ QUERIES: dict[str, Query] = {
     "t9_marked_streams": page_streams,
     "t10_plan_values": plan_values,
     "c12_tree_elements": written_trees,
-    "c13_number_tree": number_trees,
-    "c14_page_marks": lambda s, d: content.page_marks(page_streams(s, d).select("doc_id", F.lit(0).cast("long").alias("page_index"), F.when(F.col("doc_id") % 6 > 0, F.col("stream")).alias("content"))),
+    "c13_number_tree": lambda s, d: content.number_tree(flat_parent_trees(s, d)).select("doc_id", "key", "entries"),
+    "c14_page_marks": lambda s, d: content.page_marks(page_streams(s, d).withColumnRenamed("stream", "content")),
     "c16_validator": validator_runs,
     "h3_payloads": payloads,
     "h3_suffix": lambda s, d: tables.read(s, d, "part").select("p_partkey", service.safe_suffix(F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ".PDF").when(F.col("p_size") % 3 == 1, ".Docx").otherwise(".txt"))).alias("suffix")),
@@ -431,8 +433,8 @@ QUERIES: dict[str, Query] = {
     "h8_scripted_review": lambda s, d: service.scripted_decisions(suggestions.suggest(issues(s, d), elements(s, d))).select("doc_id", "issue_ord", "decision", "final_value"),
     "s2_docx_scan": s2,
     "s5_span_lines": s5_spans,
-    "s12_parent_tree_size": lambda s, d: order_lists(s, d).select("doc_id", "entries"),
-    "s13_marked_count": lambda s, d: order_lists(s, d).select("doc_id", "marked"),
+    "s12_parent_tree_size": lambda s, d: flat_parent_trees(s, d).select("doc_id", files.parent_tree_size(F.col("nums")).cast("long").alias("entries")),
+    "s13_marked_count": lambda s, d: page_streams(s, d).groupBy("doc_id").agg(F.collect_list("stream").alias("streams")).select("doc_id", files.marked_count(F.col("streams")).cast("long").alias("marked")),
     "x4_table_text": lambda s, d: part_tables(s, d).select("p_partkey", layout.table_text(F.col("text")).alias("is_table")),
     "x5_table_headers": lambda s, d: part_tables(s, d).select("p_partkey", F.array_join(layout.table_headers(F.col("text")), "|").alias("headers")),
     "x6_block_confidence": lambda s, d: elements(s, d).select("doc_id", "pos", layout.block_confidence(F.when(F.col("k") % 9 == 0, 2).otherwise(1)).alias("confidence")),
