@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +47,43 @@ def no_headers() -> Column:
     return (F.col("type") == "table") & (F.col("n_headers") == 0)
 
 
-def element_issues(elements: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Rule:
+    """A rule of a user's own over the columns of an element and level_before; texts are SQL expressions.
+
+    A confidence may be a number, a suggested_fix a Column. Issues come behind
+    the built-in ones of an element, in the order of the rules.
+    """
+
+    rule_id: str
+    issue_type: str
+    when: Column | str
+    severity: str = "medium"
+    confidence: Column | str | float = "confidence"
+    automation_status: str = CONFIRM
+    suggested_fix: Column | str | None = None
+
+
+def _column(value: Column | str | float | None) -> Column:
+    return value if isinstance(value, Column) else F.expr(value) if isinstance(value, str) else F.lit(value)
+
+
+def element_issues(elements: DataFrame, more: Sequence[Rule] = ()) -> DataFrame:
     """Issues of single elements and of heading order, in one pass: an array of those that hold, exploded.
 
-    issue_ord counts a document's issues: headings first, then element by element.
+    issue_ord counts a document's issues: headings first, then element by
+    element. Rules of `more` become entries of the same array, so they cost
+    neither a scan nor an exchange; a rule_id and issue_type of two rules raise.
     """
+    if len({(r.rule_id, r.issue_type) for r in more}) < len(more):
+        raise ValueError("two rules have one rule_id and issue_type")
     by_pos = Window.partitionBy("doc_id").orderBy("pos")
     level = F.when(F.col("type") == "heading", F.col("heading_level"))
     before = F.last(level, ignorenulls=True).over(by_pos.rowsBetween(Window.unboundedPreceding, -1))
     rows = elements.withColumn("level_before", before)
 
-    def issue(stage, rule, kind, when, severity, confidence, fix):
-        return F.when(when, F.struct(F.lit(stage).alias("stage"), F.lit(rule).alias("rule_id"), F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), confidence.alias("confidence"), F.lit(CONFIRM).alias("automation_status"), fix.alias("suggested_fix")))
+    def issue(stage, rule, kind, when, severity, confidence, fix, status=CONFIRM):
+        return F.when(when, F.struct(F.lit(stage).alias("stage"), F.lit(rule).alias("rule_id"), F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), confidence.alias("confidence"), F.lit(status).alias("automation_status"), fix.alias("suggested_fix")))
 
     none, own = F.lit(None).cast("string"), F.col("confidence")
     found = F.array(
@@ -64,6 +92,7 @@ def element_issues(elements: DataFrame) -> DataFrame:
         issue(1, "wcag.links.meaningful_text", "weak_link_text", (F.col("type") == "link") & weak_link(F.col("text")), "medium", F.lit(0.9), none),
         issue(1, "wcag.tables.headers", "missing_table_headers", no_headers(), "high", own, none),
         issue(2, "wcag.reading_order.confidence", "low_reading_order_confidence", own < 0.6, "medium", own, none),
+        *[issue(3 + k, r.rule_id, r.issue_type, _column(r.when), r.severity, _column(r.confidence).cast("double"), _column(r.suggested_fix).cast("string"), r.automation_status) for k, r in enumerate(more)],
     )
     rows = rows.withColumn("issue", F.explode(F.filter(found, lambda x: x.isNotNull())))
     order = Window.partitionBy("doc_id").orderBy((F.col("issue.stage") > 0).cast("int"), "pos", "issue.stage")

@@ -14,11 +14,11 @@ DECISION = "suggestion_id string, issue_id string, decision string, final_value
 REQUIRED = ["suggestion_id", "issue_id", "decision"]
 #: The decisions that a reviewer may take.
 DECISIONS = ["accept", "edit", "reject"]
-#: What the scripted reviewer of the demonstration enters, by action.
+#: What the scripted reviewer enters, by action.
 SCRIPTED = {
     "set_document_language": "en-AU",
-    "generate_alt_text": "Bar chart showing quarterly accessibility progress.",
-    "improve_link_text": "Read the quarterly accessibility report",
+    "generate_alt_text": "A picture that the text beside it describes.",
+    "improve_link_text": "Open the page named beside this link",
 }
 
 

@@ -370,6 +370,16 @@ down AS (SELECT doc_id, pos, type, text, 0::BIGINT AS depth, [ord] AS way FROM u
 STORED = "res AS (SELECT s.job_id, s.slot, l.final_status FROM slots s LEFT JOIN lat l USING (job_id, slot)), ev AS (SELECT d.job_id, d.seq, d.slot, d.decision FROM dec d JOIN slots USING (job_id, slot)), js AS (SELECT job_id, count(*) AS issues, count(*) FILTER (final_status IS NULL) AS open, (SELECT count(*) FROM ev WHERE ev.job_id = res.job_id) AS events, CASE WHEN job_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS artifacts FROM res GROUP BY 1)"
 STATUS = "CASE WHEN events > 0 THEN CASE WHEN open = 0 THEN 'reviewed' ELSE 'awaiting_review' END WHEN artifacts > 0 THEN 'output_generated' ELSE 'awaiting_review' END"
 
+SCANNED = (
+    NODES.rstrip() + OWN_ALTS.rstrip() + REBUILT.rstrip() + """,
+ord AS (SELECT o_orderkey AS doc_id, o_orderkey % 11 = 0 AS enc, o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AS readable FROM orders),
+sn AS (SELECT doc_id, count(*) AS elements FROM nodes GROUP BY 1), pn AS (SELECT doc_id, CAST(sum(entries) AS BIGINT) + 2 AS entries FROM parw GROUP BY 1),
+gn AS (SELECT doc_id, count(DISTINCT page_index) AS pages, count(*) AS marks, count(*) FILTER (role = 'Figure') AS images, count(*) FILTER (role = 'Link') AS links FROM plan GROUP BY 1), tn AS (SELECT doc_id, count(*) AS texts FROM gl GROUP BY 1),
+sc AS (SELECT o.*, CASE WHEN readable THEN CASE WHEN elements IS NOT NULL THEN 'true' ELSE 'false' END ELSE 'unknown' END AS tree, CASE WHEN readable THEN CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END ELSE 'unknown' END AS marked,
+  CASE WHEN readable THEN coalesce(elements, 0) ELSE 0 END AS elements, CASE WHEN readable THEN coalesce(entries, 0) ELSE 0 END AS entries, coalesce(pages, 0) AS pages, CASE WHEN enc THEN 0 ELSE coalesce(marks, 0) END AS marks, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE coalesce(images, 0) END AS images, coalesce(links, 0) AS links, coalesce(texts, 0) AS texts
+  FROM ord o LEFT JOIN sn USING (doc_id) LEFT JOIN pn USING (doc_id) LEFT JOIN gn USING (doc_id) LEFT JOIN tn USING (doc_id))
+"""
+)
 #: All issues of whole analyses.
 _kinds = [("encrypted_pdf", "pdf.encryption", "critical", 1.0, "cannot_automate", "enc"), ("untagged_pdf", "pdf.tags.present", "critical", 0.95, "auto_fixable", "NOT enc AND tagged = FALSE"), ("unknown_pdf_tagging", "pdf.tags.present", "high", 0.5, CONFIRM, "NOT enc AND tagged IS NULL"), ("no_extractable_pdf_text", "pdf.extractable_text", "critical", 0.9, CONFIRM, "NOT enc AND page_count > 0 AND blocks = 0"), ("multi_column_reading_order_review", "pdf.reading_order.multicolumn", "high", 0.75, CONFIRM, "NOT enc AND pages <> ''")]
 ALL = PDF.rstrip() + "," + ISS.rstrip() + f""",
@@ -384,6 +394,14 @@ ai AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, nr, issue
 """
 
 SQL |= {
+    "s6_inspections": _with(SCANNED, "SELECT doc_id, enc AS is_encrypted, tree, marked, CASE WHEN readable THEN 'en' ELSE '' END AS language, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE '' END AS title, elements AS structure_element_count, entries AS parent_tree_entry_count, marks AS marked_content_count, pages AS page_count, texts AS text_block_count, images AS image_count, links AS link_count, CASE WHEN readable THEN 0 ELSE 1 END + CASE WHEN doc_id % 17 = 0 THEN pages ELSE 0 END AS warnings FROM sc"),
+    "s6_inspection_issues": _with(SCANNED, "SELECT doc_id, 'encrypted_pdf' AS issue_type, 'critical' AS severity FROM sc WHERE enc UNION ALL SELECT doc_id, 'untagged_pdf', 'critical' FROM sc WHERE readable AND (tree = 'false' OR marked = 'false') UNION ALL SELECT doc_id, 'unknown_pdf_tagging', 'high' FROM sc WHERE NOT readable AND NOT enc UNION ALL SELECT doc_id, 'no_extractable_pdf_text', 'critical' FROM sc WHERE NOT enc AND pages > 0 AND texts = 0 UNION ALL SELECT doc_id, 'missing_document_language', 'high' FROM sc WHERE NOT readable"),
+    "s8_warnings": _with(SCANNED, "SELECT doc_id, CASE WHEN enc THEN 'The file is encrypted, so little of it can be inspected.' ELSE 'The catalog cannot be read.' END AS warning FROM sc WHERE NOT readable UNION ALL SELECT DISTINCT doc_id, 'The images of page ' || (page_index + 1) || ' cannot be read.' FROM plan WHERE doc_id % 17 = 0"),
+    "r16_own_rules": _with(ISS, f"""SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN stage = 0 THEN 0 ELSE 1 END, pos, stage) - 1 AS issue_ord, rule_id, issue_type, severity, confidence, automation_status, coalesce(suggested_fix, '') AS suggested_fix FROM (
+        SELECT doc_id, pos, stage, rule_id, issue_type, severity, confidence, '{CONFIRM}' AS automation_status, suggested_fix FROM iss0
+        UNION ALL SELECT doc_id, pos, 3, 'house.links.mail', 'mail_link', 'low', 0.8, 'auto_fixable', 'Say whose address ' || href || ' is.' FROM el WHERE type = 'link' AND href LIKE 'mailto:%'
+        UNION ALL SELECT doc_id, pos, 4, 'house.headings.short', 'long_heading', 'medium', confidence, '{CONFIRM}', NULL FROM el WHERE type = 'heading' AND length(text) > 10
+        UNION ALL SELECT doc_id, pos, 5, 'house.lists.marks', 'bare_list', 'low', confidence, '{CONFIRM}', NULL FROM el WHERE type = 'list_item' AND k % 3 <> 0)"""),
     "p6_whole_reports": _with(ALL, """SELECT p.doc_id, 'order ' || p.doc_id || '.pdf' AS file, 'WCAG 2.2 AA' AS target, 'pdf' AS format, page_count AS pages, count(issue_ord) AS issues, count(issue_ord) AS suggestions, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
         count(*) FILTER (automation_status = 'auto_fixable') AS auto, count(*) FILTER (issue_type = 'weak_link_text') AS weak_links, CASE WHEN p.doc_id % 2 = 0 THEN 'reviewed' ELSE 'awaiting_review' END AS status, CASE WHEN p.doc_id % 3 = 2 THEN '2' ELSE '' END AS second_artifact FROM pdf p LEFT JOIN ai USING (doc_id) GROUP BY p.doc_id, page_count"""),
     "p6_report_issues": _with(ALL, "SELECT doc_id, issue_ord AS ord, issue_ord, rule_id, issue_type, severity, confidence, automation_status, 'open' AS final_status, page AS source_page_number FROM ai"),
@@ -424,6 +442,6 @@ SQL |= {
           CASE WHEN o_orderkey % 2 <> 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS n0_high
         FROM orders LEFT JOIN (SELECT doc_id, count(*) FILTER (type = 'heading') = 0 AND count(*) FILTER (type = 'paragraph') >= 4 AS flat FROM el GROUP BY 1) f ON f.doc_id = o_orderkey
         LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (severity = 'high') AS high, arg_min(issue_type, issue_ord) AS first_issue FROM iss GROUP BY 1) i ON i.doc_id = o_orderkey)"""),
-    "h8_scripted_review": _with(MATCH, "SELECT doc_id, issue_ord, CASE WHEN issue_type IN ('missing_image_alt_text', 'weak_link_text') THEN 'edit' ELSE 'accept' END AS decision, CASE issue_type WHEN 'missing_image_alt_text' THEN 'Bar chart showing quarterly accessibility progress.' WHEN 'weak_link_text' THEN 'Read the quarterly accessibility report' ELSE coalesce(proposed_value, '') END AS final_value FROM sg"),
+    "h8_scripted_review": _with(MATCH, "SELECT doc_id, issue_ord, CASE WHEN issue_type IN ('missing_image_alt_text', 'weak_link_text') THEN 'edit' ELSE 'accept' END AS decision, CASE issue_type WHEN 'missing_image_alt_text' THEN 'A picture that the text beside it describes.' WHEN 'weak_link_text' THEN 'Open the page named beside this link' ELSE coalesce(proposed_value, '') END AS final_value FROM sg"),
 }
 SQL = {name: _stripping(sql) for name, sql in SQL.items()}

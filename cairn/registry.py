@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn import oracle
 from cairn.functions import text
-from cairn.operators import analysis, content, jobs, layout, pointers, rebuild, reports, review, roundtrip, rules, service, suggestions, tagtree, validate, validation
+from cairn.operators import analysis, content, inspection, jobs, layout, pointers, rebuild, reports, review, roundtrip, rules, service, suggestions, tagtree, validate, validation
 from cairn.sources import files, report_files, shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,15 @@ def rule(kind: str) -> Query:
     return lambda spark, d: issues(spark, d).filter(F.col("issue_type") == kind).select("doc_id", "pos", "severity", "confidence")
 
 
-def inspection(kind: str) -> Query:
+#: Rules that a user might add: two as SQL, one as a Column.
+MORE_RULES = [
+    rules.Rule("house.links.mail", "mail_link", "type = 'link' and href like 'mailto:%'", "low", 0.8, rules.AUTO, "concat('Say whose address ', href, ' is.')"),
+    rules.Rule("house.headings.short", "long_heading", "type = 'heading' and length(text) > 10"),
+    rules.Rule("house.lists.marks", "bare_list", (F.col("type") == "list_item") & F.col("list_label").isNull(), "low"),
+]
+
+
+def inspection_rule(kind: str) -> Query:
     return lambda spark, d: rules.inspection_issues(inspections(spark, d)).filter(F.col("issue_type") == kind).select("doc_id", "rule_id", "severity", "confidence", "automation_status", F.coalesce("pages", F.lit("")).alias("pages"))
 
 
@@ -381,7 +389,10 @@ def plan_values(spark, d):
 
 def flat_parent_trees(spark, d):
     """The plans' parent trees as flat lists of keys and values, with a key that is no number and a last one without value."""
-    t = tagtree.parent_tree(tree_of(plan(spark, d)))
+    return flat_lists(tagtree.parent_tree(tree_of(plan(spark, d))))
+
+
+def flat_lists(t):
     value = F.when(F.col("entries") > 1, F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("1"), F.col("entries").cast("int")), ","), F.lit("]"))).otherwise(F.lit('"x"'))
     lists = t.withColumn("value", value).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("e"))
     pairs = F.flatten(F.transform("e", lambda x: F.array(x["key"].cast("string"), x["value"])))
@@ -390,11 +401,34 @@ def flat_parent_trees(spark, d):
 
 def written_trees(spark, d):
     """The plans' tag trees written as nested JSON and read again."""
+    return content.tree_elements(written_json(tree_of(plan(spark, d))))
+
+
+def written_json(tree):
     role = F.col("role")
     depth = F.when(role.isin("LI", "TR"), 1).when(role.isin("Lbl", "LBody", "TH", "TD"), 2).otherwise(0).cast("long")
     place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "row", "cell")) - 1).cast("long")
-    rows = tree_of(plan(spark, d)).select("doc_id", place.alias("place"), depth.alias("depth"), F.lit("/StructElem").alias("Type"), F.concat(F.lit("/"), role).alias("S"))
-    return content.tree_elements(pointers.nested(rows, ["Type", "S"], "K"))
+    rows = tree.select("doc_id", place.alias("place"), depth.alias("depth"), F.lit("/StructElem").alias("Type"), F.concat(F.lit("/"), role).alias("S"))
+    return pointers.nested(rows, ["Type", "S"], "K")
+
+
+def scanned(spark, d):
+    """Inspections of the plans' pages and trees as a reader would give them: every 11th file is encrypted, every 13th has no catalog, of every 17th the second part of a page is broken."""
+    key = F.col("o_orderkey")
+    t = shared.written(tree_of(plan(spark, d)), "tree")
+    trees = written_json(t).withColumnRenamed("tree", "k")
+    nums = flat_lists(tagtree.parent_tree(t))
+    docs = tables.read(spark, d, "orders").select(key.alias("doc_id"), (key % 11 == 0).alias("is_encrypted"), F.when(key % 2 == 0, " T ").alias("title")).join(trees, "doc_id", "left").join(nums, "doc_id", "left")
+    root = F.concat(F.lit('{"K": '), "k", F.lit(', "ParentTree": {"Nums": ['), F.array_join(F.transform("nums", lambda x: F.when(x.rlike("^[a-z]"), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)), ", "), F.lit("]}}"))
+    doc = F.col("doc_id")
+    catalog = F.concat(F.lit('{"Lang": "en", "MarkInfo": {"Marked": '), (doc % 3 == 0).cast("string"), F.lit('}, "StructTreeRoot": '), F.coalesce(root, F.lit("null")), F.lit("}"))
+    catalogs = docs.select("doc_id", "is_encrypted", "title", F.when(doc % 13 > 0, catalog).alias("catalog"))
+    p = plan(spark, d).select("doc_id", "page_index", "pos", F.transform("lines", lambda x: x["text"]).alias("t"), (F.col("role") == "Figure").alias("i"), (F.col("role") == "Link").alias("l"))
+    every = p.groupBy("doc_id", "page_index").agg(F.to_json(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]))).alias("blocks"), F.count_if("i").alias("i"), F.count_if("l").alias("l"))
+    many = lambda c: F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("1"), F.col(c).cast("int")), ","), F.lit("]"))
+    every = every.join(page_streams(spark, d), ["doc_id", "page_index"])
+    pages = every.select("doc_id", "page_index", "blocks", F.when(doc % 17 == 0, F.lit("[1,")).otherwise(many("i")).alias("images"), many("l").alias("links"), F.col("stream").alias("content"))
+    return shared.written(inspection.inspections(catalogs, pages), "inspections")
 
 
 def validator_runs(spark, d):
@@ -431,6 +465,9 @@ QUERIES: dict[str, Query] = {
     "h3_suffix": lambda s, d: tables.read(s, d, "part").select("p_partkey", service.safe_suffix(F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ".PDF").when(F.col("p_size") % 3 == 1, ".Docx").otherwise(".txt"))).alias("suffix")),
     "h6_reports": whole_reports,
     "h8_scripted_review": lambda s, d: service.scripted_decisions(suggestions.suggest(issues(s, d), elements(s, d))).select("doc_id", "issue_ord", "decision", "final_value"),
+    "s6_inspections": lambda s, d: scanned(s, d).select("doc_id", "is_encrypted", F.coalesce(F.col("has_struct_tree").cast("string"), F.lit("unknown")).alias("tree"), F.coalesce(F.col("mark_info_marked").cast("string"), F.lit("unknown")).alias("marked"), F.coalesce("language", F.lit("")).alias("language"), F.coalesce("title", F.lit("")).alias("title"), "structure_element_count", "parent_tree_entry_count", "marked_content_count", "page_count", "text_block_count", "image_count", "link_count", F.size("extraction_warnings").cast("long").alias("warnings")),
+    "s6_inspection_issues": lambda s, d: rules.inspection_issues(scanned(s, d).withColumn("multi_column_pages", F.array().cast("array<long>"))).select("doc_id", "issue_type", "severity"),
+    "s8_warnings": lambda s, d: scanned(s, d).select("doc_id", F.explode("extraction_warnings").alias("warning")),
     "s2_docx_scan": s2,
     "s5_span_lines": s5_spans,
     "s12_parent_tree_size": lambda s, d: flat_parent_trees(s, d).select("doc_id", files.parent_tree_size(F.col("nums")).cast("long").alias("entries")),
@@ -478,13 +515,14 @@ QUERIES: dict[str, Query] = {
     "p3_by_type": lambda s, d: reports.count_by(issues(s, d), "issue_type", "severity"),
     "p123_all_counts": lambda s, d: reports.counts(issues(s, d)),
     "p4_counts": lambda s, d: reports.issue_counts(elements(s, d), issues(s, d)),
-    "r1_encrypted": inspection("encrypted_pdf"),
-    "r2_untagged": inspection("untagged_pdf"),
-    "r3_unknown_tagging": inspection("unknown_pdf_tagging"),
-    "r4_no_text": inspection("no_extractable_pdf_text"),
-    "r5_multicolumn": inspection("multi_column_reading_order_review"),
-    "r7_missing_language": inspection("missing_document_language"),
+    "r1_encrypted": inspection_rule("encrypted_pdf"),
+    "r2_untagged": inspection_rule("untagged_pdf"),
+    "r3_unknown_tagging": inspection_rule("unknown_pdf_tagging"),
+    "r4_no_text": inspection_rule("no_extractable_pdf_text"),
+    "r5_multicolumn": inspection_rule("multi_column_reading_order_review"),
+    "r7_missing_language": inspection_rule("missing_document_language"),
     "r14_is_tagged": lambda s, d: inspections(s, d).select("doc_id", F.coalesce(rules.is_tagged().cast("string"), F.lit("unknown")).alias("is_tagged")),
+    "r16_own_rules": lambda s, d: rules.element_issues(elements(s, d), MORE_RULES).select("doc_id", "pos", "issue_ord", "rule_id", "issue_type", "severity", "confidence", "automation_status", F.coalesce("suggested_fix", F.lit("")).alias("suggested_fix")),
     "r15_rule_catalogue": lambda s, d: issues(s, d).join(F.broadcast(rules.rules_dim(s)), "rule_id", "left").groupBy("rule_id", "criterion", "level").agg(F.count(F.lit(1)).cast("long").alias("n")),
     "g3_action": lambda s, d: suggestions.suggest(issues(s, d), elements(s, d)).groupBy("issue_type", "action").agg(F.count(F.lit(1)).cast("long").alias("n")),
     "g4_source": lambda s, d: issues(s, d).groupBy(suggestions.source(F.col("issue_type")).alias("source")).agg(F.count(F.lit(1)).cast("long").alias("n")),
