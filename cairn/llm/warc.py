@@ -218,13 +218,14 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, mi
     def run(batches):
         from pyspark import TaskContext
 
-        part, rolled, records, size = TaskContext.get().partitionId(), 0, [], 0
+        # Rows come in no fixed order, so another attempt's packages hold other records: they have names of their own, and the manifest says whose count.
+        part, attempt, rolled, records, size = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, [], 0
         out: list[tuple[str, int]] = []
 
         def close():
             nonlocal rolled, records, size
             if records:
-                name = f"{folder}/part-{part:06d}-{rolled:04d}.wacz"
+                name = f"{folder}/part-{part:06d}-{rolled:04d}-{attempt}.wacz"
                 put(name, package(records))
                 out.append((name, len(records)))
                 rolled, records, size = rolled + 1, [], 0
