@@ -119,13 +119,15 @@ def by_row(docs: DataFrame, key: str = "row_key") -> DataFrame:
 def meet(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
     """rows with the columns of their group, which is there for each of them; groups is a written table with one row a key.
 
-    A group of more than a thousandth of all rows is broadcast: there are under
-    a thousand of them. Their rows are dealt by `spread`, only those of others
-    by the key, so no task gets a large group.
+    A group of more rows than a partition's even share is broadcast, at least
+    those of more than a thousandth of all rows: there are fewer of them than
+    partitions, or a thousand. Their rows are dealt by `spread`, only those of
+    others by the key, so no task gets more than its share of one group.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
+    shares = max(1000, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = F.struct(*[c for c in groups.columns if c != key])
-    large = F.col(size) * 1000 > total
+    large = F.col(size) * shares > total
     hot = groups.filter(large).select(key, own.alias("_hot"))
     cold = groups.filter(~large).select(F.col(key).alias("_at"), own.alias("_cold"))
     apart = F.concat(F.lit("spread "), F.coalesce(F.col(spread), F.monotonically_increasing_id()).cast("string"))

@@ -137,6 +137,19 @@ def test_equal_pages_and_long_ones(spark):
     assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["page_id"] < 10) == [(1, "revisit", 2, 3_000_000), (2, "response", None, 3_000_000), (2, "response", None, 3_000_000)]
 
 
+def test_archives_of_a_repeated_attempt(spark, tmp_path):
+    """Tasks that run again, with rows in another order, leave the packages that a manifest names as they are."""
+    rows = [(k, "u", f"page {k % 40}") for k in range(200)]
+    folder = f"file://{tmp_path}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = [tuple(r) for r in warc.write_archives(pages, folder, roll_bytes=2000).collect()]
+    again = [tuple(r) for r in warc.write_archives(pages.orderBy(F.desc("page_id")), folder, roll_bytes=2000).collect()]
+    assert not {p for p, _ in first} & {p for p, _ in again}
+    for found in (first, again):
+        manifest = spark.createDataFrame(found, "path string, records long")
+        assert sorted(r["page_id"] for r in warc.read_archives(spark, manifest).collect()) == list(range(200))
+
+
 def test_zip64_directory():
     raw = warc.package([("urn:page:1", warc.warc_record(1, "u", b"payload", 7, "D", None))])
     # The same package with a ZIP64 end record: the plain one's fields are full.
