@@ -41,6 +41,15 @@ def block_confidence(line_count: Column) -> Column:
     return F.when(line_count == 1, 0.85).otherwise(0.8)
 
 
+def box(rect: Column) -> Column:
+    """(x0, y0, x1, y1) as doubles of a rectangle in JSON: a list of four numbers or more, or an object of those names; null for anything else."""
+    v = F.try_parse_json(rect)
+    number = lambda path: F.try_variant_get(v, path, "double")
+    listed, named = [number(f"$[{k}]") for k in range(4)], [number(f"$.{c}") for c in ("x0", "y0", "x1", "y1")]
+    whole = lambda cols: F.when(~F.exists(F.array(*cols), lambda x: x.isNull()), F.array(*cols))
+    return F.coalesce(whole(listed), whole(named))
+
+
 def image_rows(images: DataFrame, boxes: DataFrame) -> DataFrame:
     """Images (doc_id, page_number, pos) with the box that has their number on the page, if there is one.
 

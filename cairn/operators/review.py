@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import cleaned
+from cairn.functions.text import cleaned, strip
 
 
 class ReviewError(ValueError):
@@ -72,6 +72,17 @@ def resolved_values(decisions: DataFrame, suggestions: DataFrame) -> DataFrame:
     return rows.groupBy("job_id", "slot").agg(F.max_by("v", "seq").alias("value"))
 
 
+def resolved_by_action(decisions: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """(job_id, action, value): over a job's whole log, the value of the last accepted or edited suggestion of each action.
+
+    suggestions: (job_id, slot, action, proposed_value); several may have one
+    action. A decision without a value of either kind is passed over.
+    """
+    rows = decisions.filter(F.col("decision").isin("accept", "edit")).join(suggestions, ["job_id", "slot"])
+    rows = rows.withColumn("v", F.coalesce(cleaned(F.col("final_value")), F.when(F.col("proposed_value") != "", strip(F.col("proposed_value"))))).filter("v is not null")
+    return rows.groupBy("job_id", "action").agg(F.max_by("v", "seq").alias("value"))
+
+
 def job_status(issues: DataFrame, jobs: DataFrame) -> DataFrame:
     """reviewed where a job has issues and none is open, else awaiting_review; jobs without issues are kept."""
     counts = issues.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("final_status") == "open").alias("open"))

@@ -65,6 +65,22 @@ def artifact(job: DataFrame, artifact_id: str) -> DataFrame:
     return found.withColumn("media_type", media_type(F.col("type")))
 
 
+def artifact_label(kind: Column) -> Column:
+    """What a page calls an artifact of a kind."""
+    return F.when(kind == "accessible_pdf", "Accessible PDF").when(kind == "accessibility_report", "Remediation Report").otherwise(F.replace(kind, F.lit("_"), F.lit(" ")))
+
+
+def shown_report(artifacts: Column) -> Column:
+    """The validation report that a page shows of a job's artifacts: the first file's own, or the one within the first report, whichever comes first.
+
+    Artifacts are structs with type and validation_report (JSON); a blank or null
+    report, and a report without one in it, is passed over. JSON text, null where there is none.
+    """
+    inner = lambda a: F.to_json(F.try_variant_get(F.try_parse_json(a["validation_report"]), "$.validation_report", "variant"))
+    own = lambda a: F.when(a["type"] == "accessible_pdf", F.nullif(strip(a["validation_report"]), F.lit(""))).when(a["type"] == "accessibility_report", F.nullif(inner(a), F.lit("null")))
+    return F.get(F.filter(F.transform(artifacts, own), lambda x: x.isNotNull()), F.lit(0))
+
+
 def scripted_decisions(suggestions: DataFrame) -> DataFrame:
     """Suggestions (action, proposed_value, ...) with decision and final_value of the scripted reviewer: an edit where it has a text for the action, else accepted as proposed."""
     own = F.lit(None).cast("string")

@@ -53,12 +53,14 @@ def first_match(issues: DataFrame, elements: DataFrame) -> DataFrame:
     """(doc_id, issue_ord, match_pos): the first element that is an issue's by id, by page and box, or by its whole source.
 
     The three ways are equi-joins of their own; of all matches the first stays.
+    Where both tables have a description, it is part of the whole source.
     """
-    e = elements.select(F.col("doc_id"), F.col("pos").alias("match_pos"), *[F.col(c).alias(f"e_{c}") for c in ("element_id", "page_number", "x0", "y0", "x1", "y1")])
+    described = ["description"] if "description" in issues.columns and "description" in elements.columns else []
+    e = elements.select(F.col("doc_id"), F.col("pos").alias("match_pos"), *[F.col(c).alias(f"e_{c}") for c in ("element_id", "page_number", "x0", "y0", "x1", "y1", *described)])
     place = [F.col(c) == F.col(f"e_{c}") for c in ("page_number", "x0", "y0", "x1", "y1")]
-    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in ("element_id", "page_number", "x0", "y0", "x1", "y1")]
+    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in ("element_id", "page_number", "x0", "y0", "x1", "y1", *described)]
     keep = ["doc_id", "issue_ord", "match_pos"]
-    i = issues.select("doc_id", "issue_ord", "issue_type", "element_id", "page_number", "x0", "y0", "x1", "y1")
+    i = issues.select("doc_id", "issue_ord", "issue_type", "element_id", "page_number", "x0", "y0", "x1", "y1", *described)
 
     def on(rows, terms):
         left = rows.withColumnRenamed("doc_id", "i_doc")

@@ -93,6 +93,17 @@ def parent_tree(tree: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).cast("long").alias("entries"))
 
 
+def parent_tree_nodes(tree: DataFrame) -> DataFrame:
+    """(doc_id, key, nodes): the parent tree's entries, those of a page in the order of their content ids, that of an annotation its link.
+
+    nodes is an array of (mcid, pos, row, cell, role); mcid is -1 for annotations.
+    """
+    node = lambda i: F.struct(i.alias("mcid"), "pos", "row", "cell", "role")
+    own = F.array(F.when(F.col("is_leaf"), F.struct(F.col("page_index").alias("key"), node(F.col("mcid")).alias("n"))), F.when((F.col("role") == "Link") & F.col("struct_parent").isNotNull(), F.struct(F.col("struct_parent").alias("key"), node(F.lit(-1).cast("long")).alias("n"))))
+    rows = tree.select("doc_id", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("e"))
+    return rows.groupBy("doc_id", F.col("e.key").alias("key")).agg(F.sort_array(F.collect_list("e.n")).alias("nodes"))
+
+
 def tagged_records(plan: DataFrame, hurt=None, lost_keys=None) -> DataFrame:
     """Records for validation of the tree that is made of a plan: plan, tree, parent tree and marks from one pass over it.
 

@@ -402,6 +402,11 @@ SQL |= {
         UNION ALL SELECT doc_id, pos, 3, 'house.links.mail', 'mail_link', 'low', 0.8, 'auto_fixable', 'Say whose address ' || href || ' is.' FROM el WHERE type = 'link' AND href LIKE 'mailto:%'
         UNION ALL SELECT doc_id, pos, 4, 'house.headings.short', 'long_heading', 'medium', confidence, '{CONFIRM}', NULL FROM el WHERE type = 'heading' AND length(text) > 10
         UNION ALL SELECT doc_id, pos, 5, 'house.lists.marks', 'bare_list', 'low', confidence, '{CONFIRM}', NULL FROM el WHERE type = 'list_item' AND k % 3 <> 0)"""),
+    "o2_value_by_action": _with(DEC, "SELECT job_id, CASE WHEN slot % 2 = 0 THEN 'set_document_title' ELSE 'set_document_language' END AS action, arg_max(coalesce(nullif(trim(final_value), ''), proposed_value), seq) AS value FROM dec JOIN slots USING (job_id, slot) WHERE decision IN ('accept', 'edit') GROUP BY 1, 2"),
+    "h7_shown_reports": """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type = 'click' AS file, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_type = 'click' OR event_id % 3 = 1 THEN replace(props, ' ', '') END AS body FROM events WHERE event_type IN ('click', 'purchase'))
+        SELECT user_id AS job_id, coalesce(arg_min(body, n) FILTER (body IS NOT NULL), '') AS shown, CASE WHEN arg_min(file, n) THEN 'Accessible PDF' ELSE 'Remediation Report' END AS first_label FROM e GROUP BY 1""",
+    "x12_boxes": _with(EL, "SELECT doc_id, pos, CASE WHEN k % 5 < 2 THEN x0 ELSE -1 END::DOUBLE AS x0, CASE WHEN k % 5 < 2 THEN y1 ELSE -1 END::DOUBLE AS y1 FROM el"),
+    "t8_parent_tree_nodes": _with(NODES, "SELECT doc_id, page_index AS key, string_agg(mcid || ':' || pos || ':' || role, ' ' ORDER BY mcid) AS nodes FROM nodes WHERE is_leaf GROUP BY 1, 2 UNION ALL SELECT doc_id, struct_parent, '-1:' || pos || ':Link' FROM zip WHERE struct_parent IS NOT NULL"),
     "p6_whole_reports": _with(ALL, """SELECT p.doc_id, 'order ' || p.doc_id || '.pdf' AS file, 'WCAG 2.2 AA' AS target, 'pdf' AS format, page_count AS pages, count(issue_ord) AS issues, count(issue_ord) AS suggestions, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
         count(*) FILTER (automation_status = 'auto_fixable') AS auto, count(*) FILTER (issue_type = 'weak_link_text') AS weak_links, CASE WHEN p.doc_id % 2 = 0 THEN 'reviewed' ELSE 'awaiting_review' END AS status, CASE WHEN p.doc_id % 3 = 2 THEN '2' ELSE '' END AS second_artifact FROM pdf p LEFT JOIN ai USING (doc_id) GROUP BY p.doc_id, page_count"""),
     "p6_report_issues": _with(ALL, "SELECT doc_id, issue_ord AS ord, issue_ord, rule_id, issue_type, severity, confidence, automation_status, 'open' AS final_status, page AS source_page_number FROM ai"),

@@ -158,6 +158,33 @@ def report_files_read(spark, d):
     return found.select("name", F.variant_get("report", "$.job.id", "bigint").alias("job_id"), F.variant_get("report", "$.summary.initial_issue_count", "bigint").alias("issues"))
 
 
+def values_by_action(spark, d):
+    """Three slots of five set the title, the others the language."""
+    mine = slots(spark, d).withColumn("action", F.when(F.col("slot") % 2 == 0, "set_document_title").otherwise("set_document_language"))
+    return review.resolved_by_action(decisions(spark, d), mine)
+
+
+def shown_reports(spark, d):
+    """What a page shows of each user's job: its artifacts by the user's events, clicks giving files and purchases reports, some without content."""
+    e = tables.read(spark, d, "events").filter("event_type in ('click', 'purchase')")
+    file = F.col("event_type") == "click"
+    body = F.when(F.col("event_id") % 3 == 0, F.lit(" ")).when(file, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"validation_report":'), "props", F.lit("}"))).otherwise(F.lit('{"more":1}'))
+    made = e.select("user_id", F.struct("ts", "event_id", F.when(file, "accessible_pdf").otherwise("accessibility_report").alias("type"), body.alias("validation_report")).alias("a"))
+    jobs_ = made.groupBy("user_id").agg(F.sort_array(F.collect_list("a")).alias("artifacts"))
+    return jobs_.select(F.col("user_id").alias("job_id"), F.replace(F.coalesce(service.shown_report(F.col("artifacts")), F.lit("")), F.lit(" "), F.lit("")).alias("shown"), service.artifact_label(F.col("artifacts")[0]["type"]).alias("first_label"))
+
+
+def boxes(spark, d):
+    """Elements' boxes as rectangles of several forms: lists, objects, lists that are short, no JSON."""
+    c = lambda n: F.col(n).cast("string")
+    listed = F.concat(F.lit("["), F.concat_ws(", ", *[c(x) for x in rebuild.BOX]), F.lit(", 7]"))
+    named = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{x}": '), c(x)) for x in rebuild.BOX]), F.lit("}"))
+    k = F.col("k") % 5
+    rect = F.when(k == 0, listed).when(k == 1, named).when(k == 2, F.concat(F.lit("["), c("x0"), F.lit("]"))).when(k == 3, F.lit("none"))
+    rows = elements(spark, d).select("doc_id", "pos", layout.box(rect).alias("b"))
+    return rows.select("doc_id", "pos", F.coalesce(F.col("b")[0], F.lit(-1.0)).alias("x0"), F.coalesce(F.col("b")[3], F.lit(-1.0)).alias("y1"))
+
+
 def element_trees(spark, d):
     """Elements below elements: each lies below the last heading of a lower level before it, children of one in order of k."""
     back = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -539,6 +566,10 @@ QUERIES: dict[str, Query] = {
     "x7_columns": lambda s, d: layout.multi_column(roundtrip.generated_lines(plan(s, d)), ["doc_id", "page_number"]),
     "x10_overlap_join": lambda s, d: layout.link_texts(elements(s, d)),
     "x11_two_nearest": lambda s, d: layout.nearby(elements(s, d)),
+    "o2_value_by_action": values_by_action,
+    "h7_shown_reports": shown_reports,
+    "x12_boxes": boxes,
+    "t8_parent_tree_nodes": lambda s, d: tagtree.parent_tree_nodes(tree_of(plan(s, d))).select("doc_id", "key", F.array_join(F.transform("nodes", lambda n: F.concat_ws(":", n["mcid"].cast("string"), n["pos"].cast("string"), n["role"])), " ").alias("nodes")),
     "p6_whole_reports": report_heads,
     "p6_report_issues": report_issues,
     "p6_report_suggestions": lambda s, d: analysis.listed(whole_reports_of(s, d), "suggestions", {"issue_ord": "bigint", "action": "string", "source": "string", "requires_user_confirmation": "boolean"}),
