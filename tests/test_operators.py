@@ -276,3 +276,39 @@ def test_reports_of_files(spark, tmp_path):
     got = {r["path"][-6:]: json.loads(r["report"]) for r in service.docx_reports(found, files.docx_elements(found)).collect()}
     kinds = {k: [i["issue_type"] for i in v["issues"]] for k, v in got.items()}
     assert kinds == {"a.docx": ["missing_document_language", "skipped_heading_level"], "b.docx": ["missing_document_title", "missing_document_language"]}
+
+
+@pytest.mark.parametrize(("rect", "box"), [("[1, 2, 3, 4, 5]", [1, 2, 3, 4]), ('{"x0": 1.5, "y0": 2, "x1": 3, "y1": 4}', [1.5, 2, 3, 4]), ("[1, 2, 3]", None), ('[1, null, 3, 4]', None), ('["a", 1, 2, 3]', None), ('{"x0": 1}', None), ("no", None), (None, None), ("7", None)])
+def test_boxes_of_rectangles(spark, rect, box):
+    assert one(spark, rect, layout.box) == box
+
+
+def test_the_last_value_of_an_action(spark):
+    slots = spark.createDataFrame([(1, 0, "t", "one"), (1, 1, "t", " two "), (1, 2, "l", ""), (2, 0, "t", None)], "job_id long, slot long, action string, proposed_value string")
+    asked = spark.createDataFrame([(1, 1, 1, "accept", None), (1, 2, 0, "accept", " "), (1, 3, 0, "reject", "x"), (1, 4, 2, "accept", None), (2, 1, 0, "edit", " mine ")], "job_id long, seq long, slot long, decision string, final_value string")
+    assert {tuple(r) for r in review.resolved_by_action(asked, slots).collect()} == {(1, "t", "one"), (2, "t", "mine")}
+    assert {tuple(r) for r in review.resolved_by_action(asked.filter("seq <> 2"), slots).collect()} == {(1, "t", "two"), (2, "t", "mine")}
+
+
+@pytest.mark.parametrize(("artifacts", "shown"), [
+    ([("accessible_pdf", '{"a":1}'), ("accessibility_report", '{"validation_report":{"b":2}}')], '{"a":1}'), ([("accessible_pdf", None), ("accessibility_report", '{"validation_report":{"b":2}}')], '{"b":2}'),
+    ([("accessibility_report", '{"c":3}'), ("accessibility_report", "broken"), ("other", '{"a":1}')], None), ([], None), (None, None),
+])
+def test_the_report_that_is_shown(spark, artifacts, shown):
+    df = spark.createDataFrame([(artifacts,)], "a array<struct<type:string,validation_report:string>>")
+    assert df.select(service.shown_report(F.col("a"))).first()[0] == shown
+
+
+def test_nodes_of_the_parent_tree(spark):
+    plan = spark.createDataFrame([(1, 0, "Link", 0, [], 0, None, False, 1), (1, 1, "Table", 0, [1, 1], 1, None, False, 1), (1, 2, "Link", 1, [], 0, None, False, 5), (1, 3, "P", 1, [], 0, None, False, 1)], PLAN)
+    got = {r["key"]: [(n["mcid"], n["role"]) for n in r["nodes"]] for r in tagtree.parent_tree_nodes(tagtree.nodes(tagtree.with_struct_parents(plan))).collect()}
+    assert got == {0: [(0, "Link"), (1, "TH"), (2, "TD")], 1: [(0, "Link"), (1, "P")], 2: [(-1, "Link")]}
+
+
+@pytest.mark.parametrize(("said", "match"), [("list", 1), ("image", 0)])
+def test_a_whole_source_has_its_description(spark, said, match):
+    cols = "doc_id long, pos long, element_id string, page_number long, x0 double, y0 double, x1 double, y1 double, description string"
+    elements = spark.createDataFrame([(1, 0, None, None, None, None, None, None, "image"), (1, 1, None, None, None, None, None, None, "list")], cols)
+    issue = spark.createDataFrame([(1, 0, "weak_link_text", None, None, None, None, None, None, said)], cols.replace("pos long", "issue_ord long, issue_type string"))
+    assert [r["match_pos"] for r in suggestions.first_match(issue, elements).collect()] == [match]
+    assert [r["match_pos"] for r in suggestions.first_match(issue.drop("description"), elements).collect()] == [0]
