@@ -55,12 +55,13 @@ def rule(kind: str) -> Query:
     return lambda spark, d: issues(spark, d).filter(F.col("issue_type") == kind).select("doc_id", "pos", "severity", "confidence")
 
 
-#: Rules that a user might add: two as SQL, one as a Column.
-MORE_RULES = [
-    rules.Rule("house.links.mail", "mail_link", "type = 'link' and href like 'mailto:%'", "low", 0.8, rules.AUTO, "concat('Say whose address ', href, ' is.')"),
-    rules.Rule("house.headings.short", "long_heading", "type = 'heading' and length(text) > 10"),
-    rules.Rule("house.lists.marks", "bare_list", (F.col("type") == "list_item") & F.col("list_label").isNull(), "low"),
-]
+def more_rules():
+    """Rules that a user might add: two as SQL, one as a Column."""
+    return [
+        rules.Rule("house.links.mail", "mail_link", "type = 'link' and href like 'mailto:%'", "low", 0.8, rules.AUTO, "concat('Say whose address ', href, ' is.')"),
+        rules.Rule("house.headings.short", "long_heading", "type = 'heading' and length(text) > 10"),
+        rules.Rule("house.lists.marks", "bare_list", (F.col("type") == "list_item") & F.col("list_label").isNull(), "low"),
+    ]
 
 
 def inspection_rule(kind: str) -> Query:
@@ -549,7 +550,7 @@ QUERIES: dict[str, Query] = {
     "r5_multicolumn": inspection_rule("multi_column_reading_order_review"),
     "r7_missing_language": inspection_rule("missing_document_language"),
     "r14_is_tagged": lambda s, d: inspections(s, d).select("doc_id", F.coalesce(rules.is_tagged().cast("string"), F.lit("unknown")).alias("is_tagged")),
-    "r16_own_rules": lambda s, d: rules.element_issues(elements(s, d), MORE_RULES).select("doc_id", "pos", "issue_ord", "rule_id", "issue_type", "severity", "confidence", "automation_status", F.coalesce("suggested_fix", F.lit("")).alias("suggested_fix")),
+    "r16_own_rules": lambda s, d: rules.element_issues(elements(s, d), more_rules()).select("doc_id", "pos", "issue_ord", "rule_id", "issue_type", "severity", "confidence", "automation_status", F.coalesce("suggested_fix", F.lit("")).alias("suggested_fix")),
     "r15_rule_catalogue": lambda s, d: issues(s, d).join(F.broadcast(rules.rules_dim(s)), "rule_id", "left").groupBy("rule_id", "criterion", "level").agg(F.count(F.lit(1)).cast("long").alias("n")),
     "g3_action": lambda s, d: suggestions.suggest(issues(s, d), elements(s, d)).groupBy("issue_type", "action").agg(F.count(F.lit(1)).cast("long").alias("n")),
     "g4_source": lambda s, d: issues(s, d).groupBy(suggestions.source(F.col("issue_type")).alias("source")).agg(F.count(F.lit(1)).cast("long").alias("n")),
