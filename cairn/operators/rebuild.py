@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textwrap
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,17 +75,22 @@ LINE = "struct<text:string,x:double,y:double,size:double>"
 LAID = f"page_index long, y double, block_count long, lines array<{LINE}>"
 
 
+def _wrapped(text: str, width: int) -> list[str]:
+    """textwrap.wrap, which leaves a short text without odd white space as it is."""
+    return [text] if 0 < len(text) <= width and text.isprintable() and text[-1] != " " else textwrap.wrap(text, width)
+
+
 def _text_lines(text: str, level: int | None, y: float) -> tuple[list[tuple], float]:
     """Lines of a text element, level 0 where it is no heading, and its height."""
     size, step = {0: (11.0, 16.0), 1: (18.0, 24.0)}.get(level, (14.0, 20.0))
-    lines = textwrap.wrap(text, 72) or [text]
+    lines = _wrapped(text, 72) or [text]
     return [(x, LEFT, y + k * step, size) for k, x in enumerate(lines)], step * len(lines) + 8
 
 
 def _image_lines(alt: str | None, decorative: bool, y: float) -> tuple[list[tuple], float]:
     """The label in an image's frame: three lines at most; the frame's height is fixed."""
     label = "Decorative image" if decorative else f"Figure: {alt}" if alt else "Figure: alt text requires review"
-    lines = textwrap.wrap(label.replace("\n", " ").strip(), 68)[:3]
+    lines = _wrapped(label.replace("\n", " ").strip(), 68)[:3]
     return [(x, LEFT + 10, y + 20 + 14 * k, 10.0) for k, x in enumerate(lines)], 76.0
 
 
@@ -95,13 +101,13 @@ def _table_lines(cells: list[list[str]], y: float) -> tuple[list[tuple], float]:
     return [(fit(x.replace("\n", " ").strip()), LEFT + k * wide + 4, y + 24 * r + 15, 9.0) for r, row in enumerate(cells) for k, x in enumerate(row) if x], 24.0 * len(cells) + 12
 
 
-def laid_out(rows: DataFrame) -> DataFrame:
+def laid_out(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """rows with page_index, y, block_count and lines: one fold over each document's elements, as a page's end depends on all before.
 
     rows: (doc_id, pos, type, heading_level, text, cells, alt, decorative, ...),
     where text is what is written and cells a table's rows. They are dealt by
-    document once and pass in order; only the cursor is held, so a document of
-    any length takes one pass. An element that begins on a page ends on it.
+    document once (into so many parts, or as Spark sees fit) and pass in order;
+    only the cursor is held, so a document of any length takes one pass. An element that begins on a page ends on it.
     """
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(LAID).fields])
 
@@ -109,9 +115,8 @@ def laid_out(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         doc, y, page = None, TOP, 0
-        line = pa.list_(pa.struct([("text", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("size", pa.float64())]))
         for b in batches:
-            out: list[tuple] = []
+            pages, tops, counts, flat = [], [], [], []
             for d, kind, level, text, cells, alt, plain in zip(*(b.column(c).to_pylist() for c in ("doc_id", "type", "heading_level", "text", "cells", "alt", "decorative")), strict=True):
                 if d != doc:
                     doc, y, page = d, TOP, 0
@@ -123,15 +128,80 @@ def laid_out(rows: DataFrame) -> DataFrame:
                     lines, high = _table_lines(cells or [], y)
                 else:
                     lines, high = _text_lines(text or "", (2 if level is None else level) if kind == "heading" else 0, y)
-                out.append((page, y, len(lines), [dict(zip(("text", "x", "y", "size"), x, strict=True)) for x in lines]))
+                pages.append(page)
+                tops.append(y)
+                counts.append(len(lines))
+                flat += lines
                 y += high
-            new = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.int64(), line), strict=True)]
+            columns = zip(*flat, strict=True) if flat else ((), (), (), ())
+            line = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["text", "x", "y", "size"])
+            new = [pa.array(pages, pa.int64()), pa.array(tops, pa.float64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), line)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "page_index", "y", "block_count", "lines"])
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(run, schema)
+    return _dealt(rows, parts).mapInArrow(run, schema)
+
+
+def _dealt(rows: DataFrame, parts: int | None) -> DataFrame:
+    return (rows.repartition("doc_id") if parts is None else rows.repartition(parts, "doc_id")).sortWithinPartitions("doc_id", "pos")
+
+
+def paged(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows with the page_index that laid_out gives them, without what is written there: heights alone, of whole batches.
+
+    rows: (doc_id, pos, type, heading_level, text, row_sizes, ...).
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("page_index", T.LongType())])
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-def structure_plan(elements: DataFrame, alts: DataFrame | None = None) -> DataFrame:
+        doc, y, page = None, TOP, 0
+        for b in batches:
+            kind, text = b.column("type"), pc.fill_null(b.column("text"), "")
+            of = lambda name: pc.fill_null(pc.equal(kind, name), False).to_numpy(zero_copy_only=False)
+            image, table, heading = of("image"), of("table"), of("heading")
+            n = np.ones(len(kind), np.int64)
+            long = pc.or_(pc.greater(pc.utf8_length(text), 72), pc.match_substring(text, "\t")).to_numpy(zero_copy_only=False) & ~image & ~table  # others are one line
+            for i in np.flatnonzero(long).tolist():
+                n[i] = max(1, len(textwrap.wrap(text[i].as_py(), 72)))
+            first = heading & (pc.fill_null(b.column("heading_level"), 2).to_numpy(zero_copy_only=False) == 1)
+            none = heading & (pc.fill_null(b.column("heading_level"), 2).to_numpy(zero_copy_only=False) == 0)
+            step = np.where(first, 24.0, np.where(heading & ~none, 20.0, 16.0))
+            sizes = pc.fill_null(pc.list_value_length(b.column("row_sizes")), 0).to_numpy(zero_copy_only=False)
+            high = np.where(image, 76.0, np.where(table, 24.0 * sizes + 12, step * n + 8))
+            pages = []
+            for d, h in zip(b.column("doc_id").to_pylist(), high.tolist(), strict=True):
+                if d != doc:
+                    doc, y, page = d, TOP, 0
+                if y > BOTTOM:
+                    y, page = TOP, page + 1
+                pages.append(page)
+                y += h
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pages, pa.int64())], [*b.schema.names, "page_index"])
+
+    return _dealt(rows, parts).mapInArrow(run, schema)
+
+
+def tag_plan(elements: DataFrame, parts: int | None = None) -> DataFrame:
+    """What tag trees take of structure_plan: (doc_id, pos, role, page_index, row_sizes, n_headers, alt_text, decorative, k), with the same values."""
+    rows = content(elements)
+    rows = rows.select("doc_id", "pos", "type", "heading_level", _shown().alias("text"), F.transform(_cells(), F.size).alias("row_sizes"), "n_headers", "alt_text", "decorative", "k")
+    return paged(rows, parts).select("doc_id", "pos", role().alias("role"), "page_index", "row_sizes", "n_headers", "alt_text", "decorative", "k")
+
+
+def _cells() -> Column:
+    return F.when(F.col("type") == "table", table_rows(F.col("text"), F.col("table_headers"))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def _shown() -> Column:
+    """Text as it is written: stripped, and behind its label in a list."""
+    label = list_label(F.col("list_label"))
+    return F.concat(F.when(label != "", F.concat(label, F.lit(" "))).otherwise(F.lit("")), strip(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))))
+
+
+def structure_plan(elements: DataFrame, alts: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """The plan of all rendered elements, in one pass: what each is tagged as, where it lies and what is written there.
 
     (doc_id, pos, role, page_index, y, block_count, lines, text_preview, cells,
@@ -140,14 +210,11 @@ def structure_plan(elements: DataFrame, alts: DataFrame | None = None) -> DataFr
     it is written: stripped, and behind its label in a list. alts (doc_id, pos,
     alt) are alternative texts to show; without it images show their own.
     """
-    cells = F.when(F.col("type") == "table", table_rows(F.col("text"), F.col("table_headers"))).otherwise(F.array().cast("array<array<string>>"))
-    label = list_label(F.col("list_label"))
-    shown = F.concat(F.when(label != "", F.concat(label, F.lit(" "))).otherwise(F.lit("")), strip(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))))
     kept = content(elements)
     kept = kept.join(alts.select("doc_id", "pos", "alt"), ["doc_id", "pos"], "left") if alts is not None else kept.withColumn("alt", F.when(F.col("type") == "image", F.when(F.col("decorative"), F.lit("")).otherwise(cleaned(F.col("alt_text")))))
     href = F.col("href") if "href" in elements.columns else F.lit(None).cast("string")
-    rows = kept.select("doc_id", "pos", "type", "heading_level", F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("text_preview"), shown.alias("text"), cells.alias("cells"), "alt", "alt_text", "decorative", "n_headers", label.alias("list_label"), href.alias("href"), "k")
-    made = laid_out(rows).withColumn("row_sizes", F.transform("cells", F.size))
+    rows = kept.select("doc_id", "pos", "type", "heading_level", F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("text_preview"), _shown().alias("text"), _cells().alias("cells"), "alt", "alt_text", "decorative", "n_headers", list_label(F.col("list_label")).alias("list_label"), href.alias("href"), "k")
+    made = laid_out(rows, parts).withColumn("row_sizes", F.transform("cells", F.size))
     return made.select("doc_id", "pos", role().alias("role"), "page_index", "y", "block_count", "lines", "text_preview", "cells", F.size("cells").cast("long").alias("n_rows"), "row_sizes", "n_headers", "list_label", "alt", "alt_text", "decorative", "href", "k")
 
 

@@ -7,7 +7,7 @@ first item. The checks are in validation.py.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators import validation
@@ -15,9 +15,14 @@ from cairn.operators import validation
 
 def islands(plan: DataFrame) -> DataFrame:
     """Each plan row's island: list items next to each other on one page share one, other rows stand alone."""
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return plan.withColumn("island", F.sum(F.when(_joins(), 0).otherwise(1)).over(w).cast("long"))
+
+
+def _joins() -> Column:
+    """Whether a plan row is a list item next to another one on its page."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    joins = (F.col("role") == "LI") & (F.lag("role").over(w) == "LI") & (F.lag("page_index").over(w) == F.col("page_index"))
-    return plan.withColumn("island", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    return F.coalesce((F.col("role") == "LI") & (F.lag("role").over(w) == "LI") & (F.lag("page_index").over(w) == F.col("page_index")), F.lit(False))
 
 
 def nodes(plan: DataFrame, keep_plan: bool = False) -> DataFrame:
@@ -27,9 +32,9 @@ def nodes(plan: DataFrame, keep_plan: bool = False) -> DataFrame:
     Links carry their annotation's struct_parent where the plan has it. Header
     cells have the scope Column.
     """
-    at = islands(plan)
-    first = F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("pos")) == 1
-    at = at.withColumn("first", first)
+    whole = F.when(F.col("role") == "Table", F.aggregate("row_sizes", F.lit(0).cast("long"), lambda a, n: a + n)).otherwise(1)
+    before = F.sum("leaves").over(Window.partitionBy("doc_id", "page_index").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("leaves")
+    at = plan.withColumn("leaves", whole).withColumn("before", before).withColumn("first", ~_joins())
     made = lambda kind, row, cell, role, top, leaf: F.struct(F.lit(kind).alias("kind"), row.cast("long").alias("row"), cell.cast("long").alias("cell"), role.alias("role"), F.lit(top).alias("is_top"), F.lit(leaf).alias("is_leaf"))
     node = lambda *x: made(validation.NODE, *x)
     none = F.lit(-1)
@@ -41,13 +46,13 @@ def nodes(plan: DataFrame, keep_plan: bool = False) -> DataFrame:
     every = F.when(F.col("role") == "LI", listed).when(F.col("role") == "Table", table).otherwise(single)
     if keep_plan:
         every = F.concat(every, F.array(made(validation.PLAN, none, none, F.col("role"), False, False)))
-    rows = at.withColumn("n", F.explode(every))
+    rows = at.select("*", F.posexplode(every).alias("nth", "n"))
     alt = F.when(F.col("n.role") == "Figure", F.when(F.col("decorative"), F.lit("")).otherwise(F.col("alt_text")))
     more = ["kind", "row_sizes", "n_headers"] if keep_plan else []
     parent = F.col("struct_parent") if "struct_parent" in plan.columns else F.lit(None).cast("long")
-    rows = rows.select("doc_id", "pos", "n.row", "n.cell", "n.role", "page_index", "n.is_top", "n.is_leaf", alt.alias("alt"), F.when(F.col("n.role") == "TH", "Column").alias("scope"), F.when(F.col("n.role") == "Link", parent).alias("struct_parent"), *[f"n.{c}" if c == "kind" else c for c in more], "k")
-    order = Window.partitionBy("doc_id", "page_index", "is_leaf").orderBy("pos", "row", "cell")
-    return rows.withColumn("mcid", F.when(F.col("is_leaf"), F.row_number().over(order) - 1).cast("long"))
+    own = F.when(F.col("role") == "Table", F.col("nth") - F.col("n.row") - 2).otherwise(0)  # leaves before it in its element: a table and its rows come before their cells
+    rows = rows.select("doc_id", "pos", "n.row", "n.cell", "n.role", "page_index", "n.is_top", "n.is_leaf", alt.alias("alt"), F.when(F.col("n.role") == "TH", "Column").alias("scope"), F.when(F.col("n.role") == "Link", parent).alias("struct_parent"), *[f"n.{c}" if c == "kind" else c for c in more], "k", F.when(F.col("n.is_leaf"), F.col("before") + own).cast("long").alias("mcid"))
+    return rows
 
 
 def damage(tree: DataFrame) -> DataFrame:
@@ -75,8 +80,8 @@ def with_struct_parents(plan: DataFrame) -> DataFrame:
     note = link & (F.col("k") % 5 != 0)
     doc, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page_index")
     ahead = Window.partitionBy("doc_id").orderBy("page_index").rangeBetween(Window.unboundedPreceding, -1)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "page_index", "role").orderBy("pos")).cast("long")
-    rows = plan.withColumn("pages", F.max("page_index").over(doc) + 1).withColumn("here", F.count_if(note).over(page)).withColumn("ahead", F.count_if(note).over(ahead)).withColumn("ord", nth)
+    nth = F.count_if(link).over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    rows = plan.withColumn("ord", nth).withColumn("here", F.count_if(note).over(page)).withColumn("ahead", F.count_if(note).over(ahead)).withColumn("pages", F.max("page_index").over(doc) + 1)  # one sort for all
     key = F.when(link & (F.col("ord") <= F.col("here")), F.col("pages") + F.col("ahead") + F.col("ord") - 1)
     return rows.withColumn("struct_parent", key.cast("long")).withColumn("ord", F.when(link, F.col("ord"))).drop("pages", "here", "ahead")
 
@@ -114,17 +119,16 @@ def tagged_records(plan: DataFrame, hurt=None, lost_keys=None) -> DataFrame:
     if hurt is not None:
         tree = hurt(tree)
     gone = F.col("gone") if "gone" in tree.columns else F.lit(False)
-    kept = (F.col("kind") == validation.NODE) & ~gone
-    entry = lambda when, key: F.when(when & ~(F.coalesce(lost_keys(key), F.lit(False)) if lost_keys is not None else F.lit(False)), validation.record(validation.PARENT, page_index=key, n=F.lit(1)))
-    names = [c for c in validation.RECORD if c in tree.columns and c != "kind"]
-    whole = lambda kind, *cut: validation.record(kind, **{c: F.col(c) for c in names if c not in cut})
-    page, link = F.col("page_index"), (F.col("role") == "Link") & F.col("struct_parent").isNotNull() & (F.col("kind") == validation.NODE)
-    out = F.array(
-        F.when(F.col("kind") == validation.PLAN, whole(validation.PLAN, "mcid", "alt", "struct_parent")), F.when(kept, whole(validation.NODE, "row_sizes", "n_headers")),
-        entry(kept & F.col("is_leaf"), page), entry(link, F.col("struct_parent")),
-        F.when((F.col("kind") == validation.NODE) & F.col("is_leaf"), validation.record(validation.MARKS, page_index=page, n=F.lit(1))),
-    )
-    return tree.select("doc_id", F.explode(F.filter(out, lambda x: x.isNotNull())).alias("r")).select("doc_id", "r.*")
+    planned, node = F.col("kind") == validation.PLAN, F.col("kind") == validation.NODE
+    kept = node & ~gone
+    lost = lambda key: F.coalesce(lost_keys(key), F.lit(False)) if lost_keys is not None else F.lit(False)
+    page, link = F.col("page_index"), node & (F.col("role") == "Link") & F.col("struct_parent").isNotNull()
+    made = {
+        "kind": F.when(node & gone, validation.GONE).otherwise(F.col("kind")), "alt": F.when(~planned, F.col("alt")), "struct_parent": F.when(~planned, F.col("struct_parent")), "mcid": F.when(~planned, F.col("mcid")), "n": F.lit(None),
+        "row_sizes": F.when(planned, F.col("row_sizes")), "n_headers": F.when(planned, F.col("n_headers")),
+        "entries": F.when(kept & F.col("is_leaf") & ~lost(page), 1), "link_entries": F.when(link & ~lost(F.col("struct_parent")), 1), "marks": F.when(node & F.col("is_leaf"), 1),
+    }
+    return tree.select("doc_id", *[made.get(c, F.col(c)).cast(t).alias(c) for c, t in validation.RECORD.items()])
 
 
 def top_roles(plan: DataFrame) -> DataFrame:

@@ -13,14 +13,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds of records: an element of the plan, a node of the tree, an entry of the parent tree, marks of a page's stream.
-PLAN, NODE, PARENT, MARKS = "plan", "node", "parent", "marks"
+#: Kinds of records: an element of the plan, a node of the tree, an entry of the parent tree, marks of a page's stream, a node that is gone.
+PLAN, NODE, PARENT, MARKS, GONE = "plan", "node", "parent", "marks", "gone"
 #: Plan: pos, role, page_index, row_sizes, n_headers. Node: pos, row, cell, role, page_index, is_top, is_leaf, mcid, alt,
 #: struct_parent (of a link's annotation). Parent: page_index (the key), n (entries). Marks: page_index, n.
+#: Nodes, gone ones too, may also bring the parent tree's entries under their page and struct_parent (entries, link_entries) and their page's marks.
 RECORD = {
     "kind": "string", "pos": "long", "row": "long", "cell": "long", "role": "string", "page_index": "long", "is_top": "boolean", "is_leaf": "boolean",
     "mcid": "long", "alt": "string", "struct_parent": "long", "n": "long", "row_sizes": "array<int>", "n_headers": "long",
+    "entries": "long", "link_entries": "long", "marks": "long",
 }
+#: Facts: a place at the top or of a leaf, a role, a node inside its element, a page or other key of the parent tree; roles that are counted.
+TOP, LEAF, ROLE, INNER, PAGE = range(5)
+CODES = ["Table", "TR", "TH", "TD", "L", "LI", "Lbl", "LBody", "Figure", "Link"]
 #: The checks in order; the last one needs a plan.
 CHECKS = [
     "structure.root_present", "structure.mark_info_marked", "structure.mcid_parent_tree", "structure.figures_have_alt", "structure.links_reference_annotations", "structure.link_annotations_mapped",
@@ -41,74 +46,87 @@ def records(plan: DataFrame | None, tree: DataFrame, parents: DataFrame, marks:
 
 
 def evaluated(found: DataFrame) -> DataFrame:
-    """One row per document with records: what each check has counted against it, and how much there is of everything."""
+    """One row per document with records: what each check has counted against it, and how much there is of everything.
+
+    Facts carry numbers alone beside their keys, so they are summed up by
+    hashing; places in an order are running counts of the one sort by place.
+    Two orders are alike in as many places as have one value on both sides.
+    """
     whole = Window.partitionBy("doc_id", "kind").orderBy("pos", "row", "cell")
-    role, page = F.col("role"), F.col("page_index")
+    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+    role, page, cell = F.col("role"), F.col("page_index"), F.col("cell")
     planned, node = F.col("kind") == PLAN, F.col("kind") == NODE
-    joins = (role == "LI") & (F.lag("role").over(whole) == "LI") & (F.lag("page_index").over(whole) == page)
-    rows = found.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("head", F.last(F.when(F.col("is_top"), F.col("pos")), ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
     on_page = Window.partitionBy("doc_id", "kind", "is_leaf", "page_index").orderBy("pos", "row", "cell")
-    rows = rows.withColumn("before", F.lag("mcid").over(on_page))
+    rows = found.withColumn("before", F.lag("mcid").over(on_page))
+    joins = (role == "LI") & (F.lag("role").over(whole) == "LI") & (F.lag("page_index").over(whole) == page)
+    rows = rows.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("head", F.last(F.when(F.col("is_top"), F.col("pos")), ignorenulls=True).over(upto))
+    sizes = F.coalesce("row_sizes", F.array().cast("array<int>"))
+    is_table = planned & (role == "Table")
+    leaves = F.when(is_table, F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + F.greatest(n, F.lit(0)))).when(planned | (node & F.col("is_leaf")), 1).otherwise(0)
+    rows = rows.withColumn("top", F.when(planned, ~F.col("joins")).otherwise(node & F.coalesce("is_top", F.lit(False)))).withColumn("leaves", leaves)
+    rows = rows.withColumn("nth_top", F.count_if("top").over(upto)).withColumn("nth_leaf", F.sum("leaves").over(upto) - F.col("leaves") + 1)
+
+    kinds = {"fact": "int", "k1": "long", "k2": "long", "key": "string", "want": "int", "got": "int", "late": "int", "entries": "long", "marks": "long", "links": "int", "code": "int", "flag": "int", "inner": "int"}
 
-    def fact(name: str, when: Column, k1=None, k2=None, key=None, side=None, value=None, n=None, flag=None) -> Column:
-        cols = {"k1": (k1, "long"), "k2": (k2, "long"), "key": (key, "string"), "side": (side, "int"), "value": (value, "string"), "n": (n, "long"), "flags": (flag, "int")}
-        return F.when(when, F.struct(F.lit(name).alias("fact"), *[(F.lit(None) if v is None else v if isinstance(v, Column) else F.lit(v)).cast(t).alias(c) for c, (v, t) in cols.items()]))
+    def fact(which: int, when: Column, **given) -> Column:
+        given["fact"] = which
+        return F.when(when, F.struct(*[(v if isinstance(v := given.get(c), Column) else F.lit(v)).cast(t).alias(c) for c, t in kinds.items()]))
 
     at = lambda r: F.concat_ws("@", r, page)
-    leaf = lambda r: fact("leaf", planned, side=0, value=at(r))
+    side = {"want": planned.cast("int"), "got": node.cast("int")}
     headed = F.coalesce(F.col("n_headers"), F.lit(0)) > 0
-    cells = F.flatten(F.transform(F.coalesce("row_sizes", F.array().cast("array<int>")), lambda n, r: F.array_repeat(leaf(F.when((r == 0) & headed, "TH").otherwise("TD")), n)))
-    leaves = F.when(role == "Table", cells).when(role == "LI", F.array(leaf(F.lit("LBody")))).otherwise(F.array(leaf(role)))
-    wrong = F.when(role == "Figure", F.when(F.col("alt").isNull(), 1)).when(role == "Link", F.when(F.col("struct_parent").isNull(), 2))
-    late = F.col("is_leaf") & (F.col("mcid").isNull() | page.isNull() | F.coalesce(F.col("mcid") <= F.col("before"), F.lit(False)))
-    listed = role.isin("LI", "Lbl", "LBody")
-    none = F.lit(None).cast("int")
+    cells = F.flatten(F.transform(sizes, lambda n, r: F.array_repeat(F.when((r == 0) & headed, at(F.lit("TH"))).otherwise(at(F.lit("TD"))), n)))
+    listed = F.coalesce(role.isin("LI", "Lbl", "LBody"), F.lit(False))
+    code = F.coalesce(reduce(lambda c, x: c.when(role == x[1], x[0] + 1), enumerate(CODES[1:], 1), F.when(role == CODES[0], 1)), F.lit(0))
+    rows = rows.withColumn("code", code)
+    flag = F.when((role == "Figure") & F.col("alt").isNull(), 1).when((role == "Link") & F.col("struct_parent").isNull(), 2)
+    told = {"code": F.when(node, F.col("code")), "flag": F.when(node, flag)}
+    alone = F.col("top") & F.col("code").isin(0, CODES.index("Figure") + 1, CODES.index("Link") + 1) & ~F.coalesce(cell >= 0, F.lit(False))  # of a node that nothing lies in
+    late = F.col("mcid").isNull() | page.isNull() | F.coalesce(F.col("mcid") <= F.col("before"), F.lit(False))
+    entries, marks = F.when(F.col("kind") == PARENT, F.col("n")).otherwise(F.col("entries")), F.when(F.col("kind") == MARKS, F.col("n")).otherwise(F.col("marks"))
+    linked = node & (role == "Link")
     own = F.array(
-        fact("top", planned & ~F.col("joins"), side=0, value=F.when(role == "LI", "L").otherwise(role)), fact("top", node & F.col("is_top"), side=1, value=role),
-        fact("leaf", node & F.col("is_leaf"), side=1, value=at(role)),
-        fact("role", planned, key=role, side=0), fact("role", node & (F.col("is_top") | listed), key=role, side=1),
-        fact("node", node, k1=F.col("head"), k2=F.when(listed, F.col("pos")).otherwise(F.col("row")), value=role, n=F.col("cell"), flag=F.coalesce(wrong, none)), fact("late", node & late),
-        fact("page", F.col("kind") == PARENT, k1=page, side=0, n=F.col("n")), fact("page", F.col("kind") == MARKS, k1=page, side=1, n=F.col("n")), fact("page", node & (role == "Link"), k1=F.col("struct_parent"), side=2),
-    )
-    rows = rows.withColumn("facts", F.filter(F.concat(own, F.when(planned, leaves).otherwise(F.array().cast(_type(leaves, rows)))), lambda x: x.isNotNull()))
-    facts = rows.select("doc_id", "pos", "row", "cell", F.posexplode("facts").alias("i", "f")).select("doc_id", "pos", "row", "cell", "i", "f.*")
-    order = F.row_number().over(Window.partitionBy("doc_id", "fact", "side").orderBy("pos", "row", "cell", "i"))
-    facts = facts.withColumn("k1", F.when(F.col("fact").isin("top", "leaf"), order).otherwise(F.col("k1")))
-
-    is_ = lambda *roles: F.count_if((F.col("fact") == "node") & F.col("value").isin(*roles))
-    of = lambda side: F.col("side") == side
+        fact(TOP, F.col("top"), k1=F.col("nth_top"), key=F.when(planned & (role == "LI"), "L").otherwise(role), **side, **{c: F.when(alone, v) for c, v in told.items()}),
+        fact(LEAF, (planned & ~is_table) | (node & F.col("is_leaf")), k1=F.col("nth_leaf"), key=at(F.when(planned & (role == "LI"), "LBody").otherwise(role)), **side, late=F.when(node, late.cast("int"))),
+        fact(ROLE, planned | (node & (F.col("top") | listed)), key=role, **side),
+        fact(INNER, node & ~alone, k1=F.col("head"), k2=F.when(listed, F.col("pos")).otherwise(F.col("row")), **told, inner=(cell >= 0).cast("int")),
+        fact(PAGE, F.col("kind").isin(PARENT, MARKS) | entries.isNotNull() | marks.isNotNull(), k1=page, entries=entries, marks=marks),
+        fact(PAGE, F.col("struct_parent").isNotNull() & (linked | F.col("link_entries").isNotNull()), k1=F.col("struct_parent"), entries=F.col("link_entries"), links=linked.cast("int")),
+    )
+    tabled = F.transform(cells, lambda v, i: fact(LEAF, F.lit(True), k1=F.col("nth_leaf") + i, key=v, want=1, got=0))
+    every = rows.select("doc_id", own.alias("own"), F.when(is_table, tabled).alias("tabled"))
+    facts = every.select("doc_id", F.explode(F.when(F.col("tabled").isNull(), F.col("own")).otherwise(F.concat("own", "tabled"))).alias("f")).filter("f is not null").select("doc_id", "f.*")
+
     one = facts.groupBy("doc_id", "fact", "k1", "k2", "key").agg(
-        F.count(F.lit(1)).alias("all"), F.count_if(of(0)).alias("want"), F.count_if(of(1)).alias("got"), F.min("value").alias("low"), F.max("value").alias("high"),
-        F.sum(F.when(of(0), F.col("n"))).alias("entries"), F.sum(F.when(of(1), F.col("n"))).alias("marks"), F.count_if(of(2)).alias("links"),
-        F.count_if(F.col("flags") == 1).alias("no_alt"), F.count_if(F.col("flags") == 2).alias("no_ref"),
-        *[is_(x).alias(x) for x in ("Table", "TR", "TH", "TD", "L", "LI", "Lbl", "LBody", "Figure", "Link")], F.count_if((F.col("n") >= 0) & ~F.col("value").isin("TH", "TD")).alias("other"),
+        *[F.sum(c).alias(c) for c in ("want", "got", "late", "entries", "marks", "links")], F.count("code").alias("all"), F.count_if(F.col("flag") == 1).alias("no_alt"), F.count_if(F.col("flag") == 2).alias("no_ref"),
+        *[F.count_if(F.col("code") == k).alias(x) for k, x in enumerate(CODES, 1)], F.count_if((F.col("inner") == 1) & ~F.col("code").isin(CODES.index("TH") + 1, CODES.index("TD") + 1)).alias("other"),
     )
-    sums = ["all", "want", "got", "entries", "marks", "links", "no_alt", "no_ref", "Table", "TR", "TH", "TD", "L", "LI", "Figure", "Link"]
+    is_ = lambda which: F.col("fact") == which
     row_fails = (F.col("TR") > 0) & ((F.col("TH") + F.col("TD") == 0) | (F.col("other") > 0))
     item_fails = (F.col("LI") > 0) & ((F.col("Lbl") == 0) | (F.col("LBody") == 0))
-    unlike = (F.col("want") != 1) | (F.col("got") != 1) | (F.col("low") != F.col("high"))
-    two = one.groupBy("doc_id", "fact", "k1", "key").agg(*[F.sum(c).alias(c) for c in sums], F.count_if(row_fails).alias("rows_fail"), F.count_if(item_fails).alias("items_fail"), F.bool_or(unlike).alias("unlike"))
-    held = lambda name: F.col("fact") == name
-    marks = F.coalesce(F.col("marks"), F.lit(0))
-    total = lambda name, c: F.coalesce(F.sum(F.when(held(name), F.col(c))), F.lit(0)).cast("long")
-    several = lambda name, when: F.count_if(held(name) & when).cast("long")
+    marks, alike = F.coalesce("marks", F.lit(0)), (F.col("want") == 1) & (F.col("got") == 1)
+    unmapped = F.when(is_(PAGE) & F.col("k1").isNotNull() & F.col("entries").isNull(), F.col("links"))
+    many = lambda when: F.count_if(when)
+    two = one.groupBy("doc_id", is_(INNER).alias("inner"), F.when(is_(INNER), F.col("k1")).alias("head")).agg(
+        *[F.sum(c).alias(c) for c in ("all", "late", "no_alt", "no_ref", "Table", "TR", "TH", "TD", "L", "LI", "Figure", "Link", "entries", "marks")], many(row_fails).alias("rows_fail"), many(item_fails).alias("items_fail"),
+        *[F.sum(F.when(is_(k), F.col(c))).alias(f"{name}_{c}") for k, name in ((TOP, "top"), (LEAF, "leaf")) for c in ("want", "got")], *[many(is_(k) & alike).alias(f"{name}_alike") for k, name in ((TOP, "top"), (LEAF, "leaf"))],
+        many(is_(ROLE) & (F.col("got") < F.col("want"))).alias("roles_short"), F.sum(unmapped).alias("unmapped"),
+        many(is_(PAGE) & (marks > 0) & (F.coalesce("entries", F.lit(0)) < marks)).alias("pages_short"), many(is_(PAGE) & (marks > 0) & F.col("entries").isNull()).alias("pages_without_key"),
+    )
     table_fails = (F.col("Table") > 0) & ((F.col("TR") == 0) | (F.col("rows_fail") > 0) | (F.col("TH") == 0) | (F.col("TD") == 0))
     list_fails = (F.col("L") > 0) & ((F.col("LI") == 0) | (F.col("items_fail") > 0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    unlike = lambda name: (F.greatest(total(f"{name}_want"), total(f"{name}_got")) - total(f"{name}_alike")).cast("long")
+    inside = lambda when: F.count_if(F.col("inner") & when).cast("long")
     return two.groupBy("doc_id").agg(
-        several("page", (marks > 0) & (F.coalesce("entries", F.lit(0)) < marks)).alias("pages_short"), several("page", (marks > 0) & F.col("entries").isNull()).alias("pages_without_key"),
-        total("node", "no_alt").alias("figures_without_alt"), total("node", "no_ref").alias("links_without_annotation"),
-        F.coalesce(F.sum(F.when(held("page") & F.col("k1").isNotNull() & F.col("entries").isNull(), F.col("links"))), F.lit(0)).cast("long").alias("annotations_unmapped"),
-        several("node", table_fails).alias("tables_wrong"), several("node", list_fails).alias("lists_wrong"),
-        several("top", F.col("unlike")).alias("tops_wrong"), several("leaf", F.col("unlike")).alias("leaves_wrong"), total("late", "all").alias("ids_wrong"),
-        several("role", F.col("got") < F.col("want")).alias("roles_short"), total("top", "want").alias("tops_planned"), total("leaf", "want").alias("leaves_planned"), total("top", "got").alias("tops"),
-        total("node", "all").alias("nodes"), total("page", "marks").alias("marks"), total("page", "entries").alias("entries"), *[total("node", c).alias(n) for c, n in (("Figure", "figures"), ("Link", "links"), ("Table", "tables"), ("L", "lists"))],
+        total("pages_short").alias("pages_short"), total("pages_without_key").alias("pages_without_key"), total("no_alt").alias("figures_without_alt"), total("no_ref").alias("links_without_annotation"),
+        total("unmapped").alias("annotations_unmapped"), inside(table_fails).alias("tables_wrong"), inside(list_fails).alias("lists_wrong"),
+        unlike("top").alias("tops_wrong"), unlike("leaf").alias("leaves_wrong"), total("late").alias("ids_wrong"),
+        total("roles_short").alias("roles_short"), total("top_want").alias("tops_planned"), total("leaf_want").alias("leaves_planned"), total("top_got").alias("tops"),
+        total("all").alias("nodes"), total("marks").alias("marks"), total("entries").alias("entries"), *[total(c).alias(n) for c, n in (("Figure", "figures"), ("Link", "links"), ("Table", "tables"), ("L", "lists"))],
     )
 
 
-def _type(column: Column, df: DataFrame) -> str:
-    return df.select(column.alias("x")).schema["x"].dataType.simpleString()
-
-
 COUNTS = ["marks", "entries", "nodes", "tops", "figures", "links", "tables", "lists"]
 
 

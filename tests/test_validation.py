@@ -95,3 +95,23 @@ def test_summary_and_role_counts(spark):
     assert [got[1][c] for c in validation.COUNTS] == [11, 13, 19, 7, 1, 2, 1, 1]
     assert [got[2][c] for c in ("status", "failed_count", "nodes")] == ["failed", 1, 0]
     assert {r["role"]: r["n"] for r in validation.role_counts(found).collect()}["LI"] == 2
+
+
+def test_one_row_of_records_for_each_of_plan_and_tree(spark):
+    plan = plan_of(spark).unionByName(plan_of(spark, doc=2, k=11)).unionByName(plan_of(spark, doc=3, k=19))
+    tree = tagtree.nodes(tagtree.with_struct_parents(plan))
+    assert tagtree.tagged_records(plan, tagtree.damage, lambda key: key % 3 == 1).count() == plan.count() + tree.count()
+
+
+def test_lost_places_and_entries_are_counted(spark):
+    """A lost first heading moves every place behind it; its mark and the entries of gone links stay."""
+    plan = plan_of(spark, [(0, "H1", 0, [], 0), (1, "P", 0, [], 0), (2, "H2", 0, [], 0)])
+    found = tagtree.tagged_records(plan, lambda t: t.withColumn("gone", F.expr("pos = 0")))
+    got = validation.evaluated(found).first()
+    assert [got[c] for c in ("tops_wrong", "leaves_wrong", "tops", "tops_planned", "marks", "entries", "roles_short", "pages_short")] == [3, 3, 2, 3, 3, 2, 1, 1]
+
+
+def test_content_ids_count_leaves_before(spark):
+    plan = plan_of(spark, [(0, "P", 0, [], 0), (1, "Table", 0, [2, 1, 3], 1), (2, "LI", 0, [], 0), (3, "P", 1, [], 0), (4, "LI", 1, [], 0)])
+    ids = [r["mcid"] for r in tagtree.nodes(plan).filter("is_leaf").orderBy("pos", "row", "cell").collect()]
+    assert ids == [0, 1, 2, 3, 4, 5, 6, 7, 0, 1]
