@@ -6,9 +6,13 @@ place, abort deletes them. So a failed or repeated task leaves no file, and
 readers see a file whole or not at all. A name with a slash, a blank or a
 repeated one fails the write. Paths are those of pyarrow.fs (file, hdfs, s3, gs).
 
-One file for each report is what its readers ask for; the driver renames them
-one by one, so this is for reports that people open. Millions of reports belong
-into a table (analysis.whole_reports).
+One file for each report is what its readers ask for. By default all lie in the
+target itself: the driver knows every name and renames them one by one, so this
+is for reports that people open. Many go into folders (option folders, or
+write_in_folders): a task's files stay together in a folder of the target, so
+the driver renames and lists folders alone, whatever the number of files. Rows
+are dealt by name then, so equal names meet in a task; a target takes one write.
+spark.read.format("report_files").load(path) reads both: (name, text), a task for each folder.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 
@@ -44,12 +49,25 @@ class ReportFiles(DataSource):
     def name(cls) -> str:
         return "report_files"
 
+    def schema(self) -> str:
+        return "name string, text string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return ReportReader(self.options["path"])
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if [f.name for f in schema.fields][:2] != ["name", "text"]:
             raise ValueError("rows of report files are (name, text)")
+        if self.options.get("folders", "false") == "true":
+            return FolderWriter(self.options["path"], overwrite)
         return ReportWriter(self.options["path"], overwrite)
 
 
+def write_in_folders(rows: DataFrame, path: str, parts: int) -> None:
+    """rows (name, text) as files in so many folders of the target, which has none yet."""
+    rows.repartition(parts, "name").write.format("report_files").option("folders", "true").mode("append").save(path)
+
+
 class ReportWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
@@ -88,3 +106,65 @@ class ReportWriter(DataSourceWriter):
 
         if system.get_file_info(f"{root}/.{self.job}").type == fs.FileType.Directory:
             system.delete_dir(f"{root}/.{self.job}")
+
+
+class FolderWriter(ReportWriter):
+    """A folder for each task. Messages name folders alone, and commit moves those."""
+
+    def write(self, rows: Iterator) -> Written:
+        names: set[str] = set()
+
+        def once():
+            for row in rows:
+                if row["name"] in names:
+                    raise ValueError(f"files that have one name: {row['name']!r}")
+                names.add(row["name"])
+                yield row
+
+        return Written(super().write(once()).folder, [])
+
+    def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        system, root = file_system(self.path)
+        if any(not f.base_name.startswith(".") for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True))):
+            self.abort(messages)
+            raise ValueError(f"there already are files by name in {self.path}")
+        for m in messages:
+            if m:
+                system.move(m.folder, f"{root}/{m.folder.rsplit('/', 1)[1]}")
+        if system.get_file_info(f"{root}/.{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{root}/.{self.job}")
+
+
+class ReportReader(DataSourceReader):
+    """A task for each folder, and one for the files in the target itself."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path.rstrip("/")
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        system, root = file_system(self.path)
+        found = [f for f in system.get_file_info(fs.FileSelector(root)) if not f.base_name.startswith(".")]
+        folders = [f.path for f in found if f.type == fs.FileType.Directory]
+        return [InputPartition(f) for f in ([root] if len(folders) < len(found) else []) + folders] or [InputPartition(root)]
+
+    def read(self, partition: InputPartition) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, _ = file_system(self.path)
+        kind = pa.schema([("name", pa.string()), ("text", pa.string())])
+        names, texts = [], []
+        for f in system.get_file_info(fs.FileSelector(partition.value)):
+            if f.is_file and not f.base_name.startswith("."):
+                with system.open_input_stream(f.path) as file:
+                    texts.append(file.read().decode())
+                names.append(f.base_name)
+            if len(names) == 256:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], schema=kind)
+                names, texts = [], []
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], schema=kind)

@@ -92,3 +92,24 @@ def test_a_failed_task_leaves_no_file(spark, sink, tmp_path):
     with pytest.raises(Exception, match="broken row"):
         sink(bad, tmp_path / "out")
     assert not (tmp_path / "out").exists() or [n for n in os.listdir(tmp_path / "out") if not n.startswith(".")] == []
+
+
+def test_many_files_lie_in_folders(spark, sink, tmp_path):
+    """The driver is told of folders, not of files; names are those of the rows."""
+    rows = spark.range(500).select(F.concat("id", F.lit(".json")).alias("name"), F.col("id").cast("string").alias("text"))
+    report_files.write_in_folders(rows, str(tmp_path / "out"), 3)
+    assert len(os.listdir(tmp_path / "out")) == 3 and all(p.is_dir() for p in (tmp_path / "out").iterdir())
+    found = spark.read.format("report_files").load(str(tmp_path / "out"))
+    assert {tuple(r) for r in found.collect()} == {(f"{k}.json", str(k)) for k in range(500)} and found.rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="there already"):
+        report_files.write_in_folders(rows, str(tmp_path / "out"), 3)
+    with pytest.raises(Exception, match="name"):
+        report_files.write_in_folders(rows.unionByName(rows), str(tmp_path / "two"), 3)
+    assert len(os.listdir(tmp_path / "out")) == 3 and [n for n in os.listdir(tmp_path / "two") if not n.startswith(".")] == []
+    written = report_files.FolderWriter(str(tmp_path / "three"), False).write(iter([{"name": "a", "text": "x"}]))
+    assert written.names == []
+
+
+def test_files_in_the_target_are_read(spark, sink, tmp_path):
+    sink([("a.json", "{}"), ("b.json", "\u00e9")], tmp_path / "out")
+    assert {tuple(r) for r in spark.read.format("report_files").load(str(tmp_path / "out")).collect()} == {("a.json", "{}"), ("b.json", "\u00e9")}
