@@ -78,13 +78,17 @@ def all_issues(documents: DataFrame, inspections: DataFrame, elements: DataFrame
     return pdf.unionByName(whole).unionByName(single)
 
 
-def rebuilt(documents: DataFrame, elements: DataFrame, values: DataFrame, alts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def renamed(documents: DataFrame, elements: DataFrame, values: DataFrame) -> DataFrame:
+    """documents after remediation: accepted titles and languages (doc_id, action, value) put in. Takes no plan."""
+    return rebuild.document_values(documents, values, rules.first_text(elements))
+
+
+def rebuilt(documents: DataFrame, elements: DataFrame, values: DataFrame, alts: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, plan) after remediation: accepted titles and languages (doc_id, action, value) and alternative texts (doc_id, pos, alt) put in.
 
     The plan is written, as lines, links and pages are all read from it.
     """
-    named = rebuild.document_values(documents, values, rules.first_text(elements))
-    return named, written(rebuild.structure_plan(elements, alts), "plan")
+    return renamed(documents, elements, values), written(rebuild.structure_plan(elements, alts, parts), "plan")
 
 
 def compared(source_issues: DataFrame, documents: DataFrame, plan: DataFrame) -> DataFrame:
