@@ -28,13 +28,54 @@ ASKED = "chunk long, kind int, bucket int, keys binary, counts binary"
 ANSWERED = "chunk long, kind int, bucket int, counts binary, words long, tokens long, target_tokens long"
 
 
-def grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each token, of the token before (START at a start), of the bigram, and the documents' first tokens."""
-    hashes, starts = word_hashes(*long_bytes(table.column("text")))
+def grams(table: pa.Table, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token, of its bigram with the token before (START at a start), and the documents' first tokens.
+
+    Texts are taken some at a time, of about `most` bytes, as hashing takes many times what it is given.
+    """
+    buf, offsets = long_bytes(table.column("text"))
+    at = np.unique(np.concatenate([[0], np.searchsorted(offsets, np.arange(most, offsets[-1], most)), [len(offsets) - 1]]))
+    hashes, counts = [], []
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        found, starts = word_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        hashes.append(found)
+        counts.append(np.diff(starts))
+    hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    starts = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
     before[starts[:-1][np.diff(starts) > 0]] = START
-    return hashes, before, mix64(pair64(before, hashes)), starts
+    pair = pair64(before, hashes)
+    del before
+    return hashes, mix64(pair), starts
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and where each key is among them: np.unique in half its memory, for less than 2^31 keys."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    names = ordered[new]
+    del ordered
+    where = np.empty(len(keys), np.int32)
+    where[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return names, where
+
+
+def vocabulary_of(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk's different words and START, sorted; where each token is among them, and where the one before it is."""
+    words, as_token = distinct(hashes)
+    as_history = np.empty_like(as_token)
+    if not len(hashes):
+        return words, as_token, as_history
+    k = int(np.searchsorted(words, START))
+    if k == len(words) or words[k] != START:
+        words = np.insert(words, k, START)
+        as_token[as_token >= k] += 1
+    as_history[1:] = as_token[:-1]
+    as_history[starts[:-1][np.diff(starts) > 0]] = k
+    return words, as_token, as_history
 
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -67,14 +108,15 @@ def ask(table: pa.Table, is_target: np.ndarray, chunk: int, pair_buckets: int, w
 
     Counts of words are as tokens and as histories, those of bigrams one; each in all texts and in target texts.
     """
-    hashes, before, pair, starts = grams(table)
+    hashes, pair, starts = grams(table)
     mine = np.repeat(is_target, np.diff(starts))
-    words, where = np.unique(np.concatenate([hashes, before]), return_inverse=True)
-    as_token, as_history = where[: len(hashes)], where[len(hashes) :]
+    words, as_token, as_history = vocabulary_of(hashes, starts)
+    del hashes
     counted = [np.bincount(x, minlength=len(words)) for x in (as_token, as_token[mine], as_history, as_history[mine])]
     out: list[tuple[int, int, bytes, bytes]] = asked(WORD, words, counted, word_buckets)
-    del words, where, as_token, as_history, hashes, before
-    pairs, where = np.unique(pair, return_inverse=True)
+    del words, as_token, as_history, counted
+    pairs, where = distinct(pair)
+    del pair
     out += asked(PAIR, pairs, [np.bincount(x, minlength=len(pairs)) for x in (where, where[mine])], pair_buckets)
     kinds, buckets, keys, counts = zip(*out, strict=True) if out else ((), (), (), ())
     return pa.table({"chunk": pa.array(np.full(len(out), chunk, np.int64)), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
@@ -89,13 +131,14 @@ def answer(key, table):
     """A bucket's counts over all chunks, for each chunk in the order of its keys; and, with a null chunk, what the bucket holds in all."""
     kind, bucket = key[0].as_py(), key[1].as_py()
     columns = 4 if kind == WORD else 2
-    blobs = table.column("keys").to_pylist()
-    keys = np.concatenate([np.cumsum(unplanes(b, 8), dtype=np.uint64) for b in blobs])
-    ends = np.cumsum([len(b) // 8 for b in blobs])
-    own = np.concatenate([unpacked(b, columns).astype(np.float64) for b in table.column("counts").to_pylist()], axis=1)
-    names, where = np.unique(keys, return_inverse=True)
+    keys = [np.cumsum(unplanes(b.as_py(), 8), dtype=np.uint64) for b in table.column("keys")]
+    ends = np.cumsum([len(k) for k in keys])
+    keys = np.concatenate(keys)
+    names, where = distinct(keys)
+    del keys
+    own = np.concatenate([unpacked(b.as_py(), columns) for b in table.column("counts")], axis=1)
     sums = [np.bincount(where, c, len(names)).astype(np.int64) for c in own]  # exact below 2^53
-    del blobs, keys, own
+    del own
     out = [packed(*(s[w] for s in sums)) for w in np.split(where, ends[:-1])]
     m = len(out) + 1
     whole = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())] if kind == WORD else [0, 0, 0]
@@ -114,6 +157,15 @@ def losses(single: np.ndarray, history: np.ndarray, pair: np.ndarray, tokens: in
     return -np.log(w * (pair / np.maximum(history, 1)) + (1 - w) * one)
 
 
+def means(tokens: int, starts: np.ndarray, of, most: int = 1 << 17) -> np.ndarray:
+    """Each document's mean of of(a, b), the losses of tokens a to b, which are taken `most` at a time."""
+    sofar = np.zeros(tokens + 1)
+    for a in range(0, tokens, most):
+        sofar[a + 1 : min(a + most, tokens) + 1] = of(a, min(a + most, tokens))
+    np.cumsum(sofar, out=sofar)
+    return (sofar[starts[1:]] - sofar[starts[:-1]]) / np.maximum(np.diff(starts), 1)
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int = 1 << 18, weight: float = 0.6, chunk: int = 8 << 20, bucket: int = 16 << 20) -> DataFrame:
     """One row per input row: doc_id, n_tokens, target_loss, background_loss, score.
 
@@ -152,22 +204,22 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, words: int
     vocabulary = max(words, found)
 
     def run(texts, told):
-        hashes, before, pair, starts = grams(texts)
+        hashes, pair, starts = grams(texts)
         n = np.diff(starts)
         sums = [np.zeros(len(n)), np.zeros(len(n))]
         if len(hashes):
+            n_tokens = len(hashes)
+            _, w, v = vocabulary_of(hashes, starts)
+            del hashes
+            p = distinct(pair)[1]
+            del pair
             # Chunks ask in the order of their sorted keys, so buckets' answers end to end belong to those.
             blobs = sorted(zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True))
-            singles, singles_t, histories, histories_t = np.concatenate([unpacked(b, 4).astype(np.int64) for k, _, b in blobs if k == WORD], axis=1)
-            pairs, pairs_t = np.concatenate([unpacked(b, 2).astype(np.int64) for k, _, b in blobs if k == PAIR], axis=1)
-            w = np.unique(np.concatenate([hashes, before]), return_inverse=True)[1]
-            v, w = w[len(hashes) :], w[: len(hashes)]
-            del hashes, before, blobs
-            p = np.unique(pair, return_inverse=True)[1]
-            del pair
+            singles, singles_t, histories, histories_t = np.concatenate([unpacked(b, 4) for k, _, b in blobs if k == WORD], axis=1).astype(np.int64)
+            pairs, pairs_t = np.concatenate([unpacked(b, 2) for k, _, b in blobs if k == PAIR], axis=1)
+            del blobs
             for k, (s, h, b, total) in enumerate(((singles_t, histories_t, pairs_t, target_tokens), (singles, histories, pairs, tokens))):
-                sofar = np.concatenate([[0.0], np.cumsum(losses(s[w], h[v], b[p], total, vocabulary, weight))])
-                sums[k] = (sofar[starts[1:]] - sofar[starts[:-1]]) / np.maximum(n, 1)
+                sums[k] = means(n_tokens, starts, lambda i, j: losses(s[w[i:j]], h[v[i:j]], b[p[i:j]].astype(np.int64), total, vocabulary, weight))  # noqa: B023
         out = pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(sums[0]), "background_loss": pa.array(sums[1]), "score": pa.array(sums[1] - sums[0])})
         give_back()
         return out

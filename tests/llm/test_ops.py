@@ -11,6 +11,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -420,6 +421,24 @@ def test_lm_score(spark, empty):
     assert lm_score.cross_entropy_difference(empty, ids).count() == 0
 
 
+@pytest.mark.parametrize("word", ["word", "w" * 300])
+def test_lm_score_chunk_takes_little_memory(word):
+    """A chunk's keys are found in a few times the text's size, also where a word is very long."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 30000, 400))) + " " + word for _ in range(2000)]
+    table = pa.table({"text": pa.array(texts)})
+    tracemalloc.start()
+    try:
+        out = lm_score.ask(table, np.arange(len(texts)) % 3 == 0, 0, 8, 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.num_rows == 10
+    assert peak < 12 * sum(map(len, texts))
+
+
 def test_lm_score_counts_are_exact(spark):
     from collections import Counter
 
