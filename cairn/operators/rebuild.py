@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.functions.text import cleaned, folded, strip, table_rows
+from cairn.functions.text import cleaned, folded, has_table_rows, strip, table_rows
 
 RENDERED = ["heading", "paragraph", "list_item", "table", "image", "link"]
 
@@ -23,7 +23,7 @@ def role() -> Column:
 def has_content() -> Column:
     """Images always, tables with rows or headers, other elements with text."""
     t = F.col("type")
-    shown = F.when(t == "image", True).when(t == "table", F.size(table_rows(F.col("text"), F.col("table_headers"))) > 0).otherwise(cleaned(F.col("text")).isNotNull())
+    shown = F.when(t == "image", True).when(t == "table", has_table_rows(F.col("text"), F.col("table_headers"))).otherwise(cleaned(F.col("text")).isNotNull())
     return t.isin(RENDERED) & shown
 
 
@@ -247,28 +247,21 @@ def alt_texts(elements: DataFrame, accepted: DataFrame) -> DataFrame:
     accepted: (doc_id, seq, element_id, page_number, x0, y0, x1, y1, value) of
     accepted alternative texts with their issue's place. It is an element's by
     id; or by page, where the issue's box is the element's or is not known;
-    or, without a page, by the whole place. Each way is an equi-join of its own.
+    or, without a page, by the whole place. Each way is a key of its own, and one equi-join meets them all.
     """
-    images = elements.filter("type = 'image'").select("doc_id", "pos", "alt_text", "decorative", "element_id", "page_number", *BOX)
-    a = accepted.select(F.col("doc_id").alias("a_doc"), "seq", "value", *[F.col(c).alias(f"a_{c}") for c in ("element_id", "page_number", *BOX)])
-    one = F.col("doc_id") == F.col("a_doc")
-    boxed = [F.col(c) == F.col(f"a_{c}") for c in BOX]
-    whole = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in ("element_id", "page_number", *BOX)]
-
-    def on(rows, *terms):
-        cond = one
-        for t in terms:
-            cond = cond & t
-        return images.join(rows, cond).select("doc_id", "pos", "seq", "value")
-
-    page = F.col("page_number") == F.col("a_page_number")
-    paged = a.filter("a_page_number <> 0")
-    ways = on(a.filter("a_element_id <> ''"), F.col("element_id") == F.col("a_element_id"))
-    ways = ways.unionByName(on(paged.filter("a_x0 is not null"), page, *boxed)).unionByName(on(paged.filter("a_x0 is null"), page))
-    ways = ways.unionByName(on(a.filter("coalesce(a_page_number, 0) = 0"), *whole)).withColumn("value", cleaned(F.col("value"))).filter("value is not null")
-    latest = ways.groupBy("doc_id", "pos").agg(F.max_by("value", "seq").alias("value"))
+    page, boxed = F.col("page_number"), [F.col(c) for c in BOX]
+    key = lambda way, *have: F.struct(F.lit(way).alias("way"), *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in [("element_id", "string"), ("page_number", "long"), *[(c, "double") for c in BOX]]])
+    by_id, by_box, by_page, by_place = key(1, "element_id"), key(2, "page_number", *BOX), key(3, "page_number"), key(4, "element_id", "page_number", *BOX)
+    known = lambda cols: F.forall(F.array(*cols), lambda x: x.isNotNull())
+    listed = lambda *ways: F.filter(F.array(*[F.when(when, k) for when, k in ways]), lambda x: x.isNotNull())
+    named, on_page, nowhere = (F.col("element_id") != "", by_id), page != 0, (F.coalesce(page, F.lit(0)) == 0, by_place)
+    given = accepted.withColumn("value", cleaned(F.col("value"))).filter("value is not null")
+    given = given.select("doc_id", "seq", "value", F.explode(listed(named, (on_page & known(boxed), by_box), (on_page & F.col("x0").isNull(), by_page), nowhere)).alias("key"))
+    given = given.groupBy("doc_id", "key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+    images = elements.filter("type = 'image'").select("doc_id", "pos", "alt_text", "decorative", F.explode_outer(listed(named, (on_page & known(boxed), by_box), (on_page, by_page), nowhere)).alias("key"))
+    latest = images.join(given, ["doc_id", "key"], "left").groupBy("doc_id", "pos", "alt_text", "decorative").agg(F.max_by("value", "seq").alias("value"))
     own = F.coalesce("value", cleaned(F.col("alt_text")))
-    return images.join(latest, ["doc_id", "pos"], "left").select("doc_id", "pos", F.when(F.col("decorative"), F.lit("")).otherwise(own).alias("alt"))
+    return latest.select("doc_id", "pos", F.when(F.col("decorative"), F.lit("")).otherwise(own).alias("alt"))
 
 
 def role_counts(plan: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ def rules_dim(spark: SparkSession) -> DataFrame:
 
 
 def weak_link(text: Column) -> Column:
-    t = F.lower(strip(F.coalesce(text, F.lit(""))))
-    return (t == "") | t.isin(GENERIC_LINK_TEXT) | t.rlike(r"^(https?://|www\.)")
+    t = strip(F.coalesce(text, F.lit("")))
+    return (t == "") | t.rlike(r"(?i)^(https?://|www\.)") | F.lower(t).isin(GENERIC_LINK_TEXT)  # lower case is dear: taken once, and last
 
 
 def missing_alt() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import reports, roundtrip
+from cairn.operators import rebuild, reports, roundtrip
 
 ELEMENT = """doc_id long, pos long, type string, text string, heading_level long, confidence double, alt_text string, table_headers array<string>, list_label string,
     decorative boolean, n_headers long, page_number long, element_id string, href string, x0 double, y0 double, x1 double, y1 double, k long"""
@@ -64,3 +64,22 @@ def test_buckets(spark, statuses, after, want):
     source = spark.createDataFrame([(1, "t", x) for x in statuses], "doc_id long, issue_type string, final_status string")
     later = spark.createDataFrame([(1, "t", x) for x in after], "doc_id long, issue_type string, automation_status string")
     assert {r["bucket"]: r["n"] for r in reports.before_after(source, later).collect()} == want
+
+
+def test_reading_again_numbers_rows_once(spark):
+    """Lines are dealt by document once and numbered once; what links meet is read, not made again."""
+    plan = spark.createDataFrame([(1, 1, "Link", 0, 72.0, 1, [("a", 72.0, 72.0, 11.0)], "https://a"), (1, 0, "P", 0, 96.0, 1, [("b", 72.0, 96.0, 11.0)], None)], f"doc_id long, pos long, role string, page_index long, y double, block_count long, lines {'array<' + rebuild.LINE + '>'}, href string")
+    again = roundtrip.read_again(plan)
+    assert [(r["pos"], r["type"], r["text"], r["element_id"]) for r in again.orderBy("pos").collect()] == [(0, "paragraph", "a", "1:1"), (1, "paragraph", "b", "1:2"), (2, "link", "a b", "1:link:1")]
+    assert "Window" not in again._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alt_texts_meet_in_one_join(spark):
+    """Ids, boxes, pages and places are keys of one join with accepted texts, however many ways there are."""
+    place = "element_id string, page_number long, x0 double, y0 double, x1 double, y1 double"
+    box, none = (1.0, 2.0, 3.0, 4.0), (None,) * 4
+    images = spark.createDataFrame([(1, 0, "image", None, False, "a", 1, *box), (1, 1, "image", " own ", False, "b", 2, *box), (1, 2, "image", None, False, None, None, 1.0, None, 3.0, 4.0), (1, 3, "image", None, False, "", 3, *none), (1, 4, "image", None, True, "a", 9, *box), (2, 0, "image", None, False, "a", 1, *box)], f"doc_id long, pos long, type string, alt_text string, decorative boolean, {place}")
+    accepted = spark.createDataFrame([(1, 0, "A", "a", 7, *box), (1, 1, "B", "", 2, *box), (1, 2, "C", None, 0, 1.0, None, 3.0, 4.0), (1, 3, "D", None, None, 1.0, None, 3.0, 4.0), (1, 4, "E", "", 3, *none), (1, 5, " ", "a", 1, *box), (1, 6, "F", "z", 1, *none)], f"doc_id long, seq long, value string, {place}")
+    got = rebuild.alt_texts(images, accepted)
+    assert [tuple(r) for r in got.orderBy("doc_id", "pos").collect()] == [(1, 0, "F"), (1, 1, "B"), (1, 2, "D"), (1, 3, "E"), (1, 4, ""), (2, 0, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
