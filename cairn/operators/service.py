@@ -89,19 +89,23 @@ def scripted_decisions(suggestions: DataFrame) -> DataFrame:
     return suggestions.withColumn("decision", F.when(own.isNotNull(), "edit").otherwise("accept")).withColumn("final_value", F.coalesce(own, "proposed_value", F.lit("")))
 
 
+def document_rules() -> list[tuple]:
+    """(issue_type, severity, automation_status, condition) for a whole document's row (title, language, first_text, flat)."""
+    blank = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
+    title = F.when(F.col("first_text").isNotNull(), rules.AUTO).otherwise(rules.CONFIRM)
+    return [
+        ("missing_document_title", "high", title, blank(F.col("title"))),
+        ("missing_document_language", "high", F.lit(rules.CONFIRM), blank(F.col("language"))),
+        ("missing_heading_structure", "medium", F.lit(rules.CONFIRM), F.coalesce("flat", F.lit(False))),
+    ]
+
+
 def document_issues(documents: DataFrame, elements: DataFrame) -> DataFrame:
     """(doc_id, rank, issue_type, severity, automation_status) of whole documents (doc_id, title, language): title, language and headings that are missing."""
-    blank = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
     none = rules.without_headings(elements).select("doc_id", F.lit(True).alias("flat"))
     rows = documents.select("doc_id", "title", "language").join(rules.first_text(elements), "doc_id", "left").join(none, "doc_id", "left")
-    issue = lambda kind, severity, status, when: F.when(when, F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), status.alias("automation_status")))
-    title = F.when(F.col("first_text").isNotNull(), rules.AUTO).otherwise(rules.CONFIRM)
-    found = F.array(
-        issue("missing_document_title", "high", title, blank(F.col("title"))),
-        issue("missing_document_language", "high", F.lit(rules.CONFIRM), blank(F.col("language"))),
-        issue("missing_heading_structure", "medium", F.lit(rules.CONFIRM), F.coalesce("flat", F.lit(False))),
-    )
-    return rows.select("doc_id", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("rank", "i")).select("doc_id", "rank", "i.*")
+    found = rules.those_that_hold("struct<issue_type:string,severity:string,automation_status:string>", *[(when, F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), status.alias("automation_status"))) for kind, severity, status, when in document_rules()])
+    return rows.withColumn("found", found).select("doc_id", F.posexplode("found").alias("rank", "i")).select("doc_id", "rank", "i.*")
 
 
 def analyse(documents: DataFrame, elements: DataFrame) -> DataFrame:

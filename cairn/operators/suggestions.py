@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import cleaned, strip
@@ -36,8 +36,11 @@ RUN_OCR = "Run OCR before remediation."
 LANGUAGE = "en-AU"
 
 
-def action_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ACTIONS.items()), "issue_type string, action string")
+def action(issue_type: Column) -> Column:
+    known = F.lit(None).cast("string")
+    for kind, name in ACTIONS.items():
+        known = F.when(issue_type == kind, name).otherwise(known)
+    return F.coalesce(known, F.lit("manual_review"))
 
 
 def source(issue_type: Column) -> Column:
@@ -74,48 +77,70 @@ def first_match(issues: DataFrame, elements: DataFrame) -> DataFrame:
     return ways.groupBy("doc_id", "issue_ord").agg(F.min("match_pos").alias("match_pos"))
 
 
-def suggest(issues: DataFrame, elements: DataFrame) -> DataFrame:
-    """One suggestion per issue: action, source, proposed_value, requires_user_confirmation, confidence."""
-    spark = issues.sparkSession
-    e = elements.select("doc_id", F.col("pos").alias("match_pos"), F.col("text").alias("e_text"), "href", "nearby_text")
-    rows = issues.join(first_match(issues, elements), ["doc_id", "issue_ord"], "left").join(e, ["doc_id", "match_pos"], "left").join(F.broadcast(action_dim(spark)), "issue_type", "left")
-    near = cleaned(F.col("nearby_text"))
-    context = F.coalesce(F.substring(near, 1, 160), cleaned(F.substring(strip(F.col("e_text")), 1, 160)))
-    t = F.col("issue_type")
-    value = (
+def own_match(elements: DataFrame) -> DataFrame:
+    """elements with match (pos, text, href, nearby_text): the element that first_match finds for an issue of SCOPED types that is the element's own.
+
+    The three ways are windows within a document, so elements that are dealt by document are not dealt again.
+    """
+    it = F.struct("pos", "text", "href", "nearby_text")
+    place = ["page_number", "x0", "y0", "x1", "y1"]
+    first = lambda *by: F.min(it).over(Window.partitionBy("doc_id", *by))
+    placed = F.col("page_number") > 0
+    for c in place[1:]:
+        placed = placed & F.col(c).isNotNull()
+    by_id = F.when(cleaned(F.col("element_id")).isNotNull(), first("element_id"))
+    return elements.withColumn("match", F.least(first("element_id", *place), by_id, F.when(placed, first(*place))))
+
+
+def element_value(t: Column, suggested_fix: Column, text: Column, href: Column, nearby_text: Column) -> Column:
+    """What is proposed for an issue of type t, from the text, link and text nearby of the element that it matches."""
+    near = cleaned(nearby_text)
+    context = F.coalesce(F.substring(near, 1, 160), cleaned(F.substring(strip(text), 1, 160)))
+    return (
         F.when(t == "missing_image_alt_text", F.coalesce(F.concat(F.lit("Image related to: "), context), F.lit(DESCRIBE_IMAGE)))
-        .when((t == "weak_link_text") & cleaned(F.col("href")).isNotNull(), F.coalesce(F.substring(near, 1, 80), F.concat(F.lit("Open "), authority(F.col("href")))))
+        .when((t == "weak_link_text") & cleaned(href).isNotNull(), F.coalesce(F.substring(near, 1, 80), F.concat(F.lit("Open "), authority(href))))
         .when(t == "weak_link_text", F.lit(REPLACE_LINK))
         .when(t == "missing_table_headers", F.lit(CONFIRM_HEADERS))
         .when(t.isin("missing_heading_structure", "multi_column_reading_order_review", "low_reading_order_confidence"), F.lit(CONFIRM_ORDER))
-        .otherwise(F.col("suggested_fix"))
+        .otherwise(suggested_fix)
     )
-    rows = rows.withColumn("proposed_value", value)
-    return rows.select("doc_id", "issue_ord", "issue_type", F.coalesce("action", F.lit("manual_review")).alias("action"), source(t).alias("source"), "match_pos", "proposed_value", (F.col("automation_status") != "auto_fixable").alias("requires_user_confirmation"), confidence().alias("confidence"))
 
 
-def confidence() -> Column:
-    c = F.col("confidence")
-    return F.when(cleaned(F.col("proposed_value")).isNull(), F.least(c, F.lit(0.4))).when(F.col("automation_status") == "auto_fixable", F.greatest(c, F.lit(0.85))).otherwise(c)
+def suggest(issues: DataFrame, elements: DataFrame) -> DataFrame:
+    """One suggestion per issue: action, source, proposed_value, requires_user_confirmation, confidence."""
+    e = elements.select("doc_id", F.col("pos").alias("match_pos"), F.col("text").alias("e_text"), "href", "nearby_text")
+    rows = issues.join(first_match(issues, elements), ["doc_id", "issue_ord"], "left").join(e, ["doc_id", "match_pos"], "left")
+    t = F.col("issue_type")
+    rows = rows.withColumn("proposed_value", element_value(t, F.col("suggested_fix"), F.col("e_text"), F.col("href"), F.col("nearby_text")))
+    return rows.select("doc_id", "issue_ord", "issue_type", action(t).alias("action"), source(t).alias("source"), "match_pos", "proposed_value", (F.col("automation_status") != "auto_fixable").alias("requires_user_confirmation"), confidence(F.col("confidence"), F.col("proposed_value"), F.col("automation_status")).alias("confidence"))
 
 
-def document_suggestions(issues: DataFrame, documents: DataFrame, texts: DataFrame) -> DataFrame:
-    """Suggestions for issues of documents and inspections (doc_id, issue_type, suggested_fix, confidence, automation_status).
+def confidence(c: Column, proposed_value: Column, automation_status: Column) -> Column:
+    return F.when(cleaned(proposed_value).isNull(), F.least(c, F.lit(0.4))).when(automation_status == "auto_fixable", F.greatest(c, F.lit(0.85))).otherwise(c)
 
-    documents: (doc_id, metadata_language); texts: (doc_id, first_text).
-    """
-    rows = issues.join(documents, "doc_id", "left").join(texts, "doc_id", "left").join(F.broadcast(action_dim(issues.sparkSession)), "issue_type", "left")
-    t, fix = F.col("issue_type"), F.nullif("suggested_fix", F.lit(""))
-    value = (
-        F.when(t == "missing_document_title", F.coalesce(fix, "first_text"))
-        .when(t == "missing_document_language", F.coalesce(F.nullif("metadata_language", F.lit("")), F.lit(LANGUAGE)))
+
+def document_value(t: Column, suggested_fix: Column, metadata_language: Column, first_text: Column) -> Column:
+    """What is proposed for an issue of type t of a whole document."""
+    fix = F.nullif(suggested_fix, F.lit(""))
+    return (
+        F.when(t == "missing_document_title", F.coalesce(fix, first_text))
+        .when(t == "missing_document_language", F.coalesce(F.nullif(metadata_language, F.lit("")), F.lit(LANGUAGE)))
         .when(t == "untagged_pdf", F.lit(REBUILD_TAGS))
         .when(t == "no_extractable_pdf_text", F.lit(RUN_OCR))
         .when(t == "multi_column_reading_order_review", F.lit(CONFIRM_ORDER))
-        .otherwise(F.col("suggested_fix"))
+        .otherwise(suggested_fix)
     )
-    rows = rows.withColumn("proposed_value", value)
-    return rows.select("doc_id", "issue_type", F.coalesce("action", F.lit("manual_review")).alias("action"), source(t).alias("source"), "proposed_value", (F.col("automation_status") != "auto_fixable").alias("requires_user_confirmation"), confidence().alias("confidence"))
+
+
+def document_suggestions(issues: DataFrame, documents: DataFrame, texts: DataFrame) -> DataFrame:
+    """Suggestions for issues of documents and inspections (doc_id, issue_type, suggested_fix, confidence, automation_status).
+
+    documents: (doc_id, metadata_language); texts: (doc_id, first_text).
+    """
+    rows = issues.join(documents, "doc_id", "left").join(texts, "doc_id", "left")
+    t = F.col("issue_type")
+    rows = rows.withColumn("proposed_value", document_value(t, F.col("suggested_fix"), F.col("metadata_language"), F.col("first_text")))
+    return rows.select("doc_id", "issue_type", action(t).alias("action"), source(t).alias("source"), "proposed_value", (F.col("automation_status") != "auto_fixable").alias("requires_user_confirmation"), confidence(F.col("confidence"), F.col("proposed_value"), F.col("automation_status")).alias("confidence"))
 
 
 def explanation(reason: Column, action: Column, value: Column) -> Column:

@@ -63,6 +63,25 @@ def test_a_report_read_back(spark, parts):
     assert analysis.listed(none, "issues", {"severity": "string"}).count() == 0
 
 
+def test_within_documents_as_by_tables(spark):
+    """Ids, boxes and whole sources that several elements have, blank ids, elements without a place, an element with two issues, documents without elements or inspection."""
+    rows = [element(k, kind, "click here" if kind == "link" else f"t{k}", level=1 + 2 * (k % 2), conf=0.5 if k % 3 else 0.9) for k, kind in enumerate(["heading", "heading", "image", "image", "link", "link", "table", "paragraph"])]
+    rows = spark.createDataFrame(rows, ELEMENT).withColumn("nearby_text", F.when(F.col("pos") % 4 == 0, " near ")).withColumn("element_id", F.when(F.col("pos") < 4, "e").when(F.col("pos") == 5, " "))
+    rows = rows.withColumn("y0", F.when(F.col("pos") > 2, F.floor(F.col("pos") / 2).cast("double"))).withColumn("y1", F.when(F.col("pos") > 2, F.lit(9.0))).withColumn("page_number", F.when(F.col("pos") < 7, F.col("page_number")))
+    flat = rows.filter("type = 'paragraph'").withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("doc_id", F.lit(2).cast("long"))
+    elements = rows.unionByName(flat)
+    docs = spark.createDataFrame([(1, None, "en", 2), (2, "T", " ", 0), (3, None, None, 1), (4, "T", "en", 0)], "doc_id long, title string, language string, page_count long")
+    scan = docs.filter("doc_id <> 4").select("doc_id", (F.col("doc_id") == 3).alias("is_encrypted"), F.lit(None).cast("boolean").alias("has_struct_tree"), F.lit(None).cast("boolean").alias("mark_info_marked"), "page_count", F.lit(0).cast("long").alias("text_block_count"), F.array(F.lit(2), F.lit(5)).cast("array<long>").alias("multi_column_pages"), "language")
+    found = analysis.issues(docs, scan, elements)
+    made = analysis.suggested(found, elements, docs.select("doc_id", F.lit("de").alias("metadata_language")))
+    files = docs.select("doc_id", F.concat(F.lit("f"), "doc_id").alias("file"), F.lit("pdf").alias("format"))
+    want = analysis.whole_reports(files, scan, found, made, F.lit("now"))
+    one = files.join(docs.select("doc_id", "title", "language", F.lit("de").alias("metadata_language")), "doc_id").join(scan.select("doc_id", F.struct(*scan.columns[1:]).alias("pdf")), "doc_id", "left")
+    got = analysis.reports_within(one, elements, F.lit("now"))
+    read = lambda df: {r["doc_id"]: json.loads(r["t"]) for r in df.select("doc_id", F.to_json("report").alias("t")).collect()}
+    assert read(got) == read(want) and len(read(got)[1]["issues"]) > 8
+
+
 @pytest.fixture
 def sink(spark):
     spark.dataSource.register(report_files.ReportFiles)

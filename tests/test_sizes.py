@@ -36,3 +36,10 @@ def test_documents_need_no_plan(spark, monkeypatch):
 def test_parent_tree_is_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(shared, "parts", lambda df, rows=100_000: 37)
     assert registry.dealt_plan(spark, SMALL).rdd.getNumPartitions() == 37
+
+
+def test_reports_deal_each_table_once_and_write_nothing(spark, monkeypatch):
+    calls = counted(monkeypatch, shared, "written")
+    found = registry.queries()["p6_report_suggestions"](spark, SMALL)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert calls == [] and plan.count("Exchange hashpartitioning") == plan.count("FileScan parquet") == 2
