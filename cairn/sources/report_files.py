@@ -13,6 +13,12 @@ write_in_folders): a task's files stay together in a folder of the target, so
 the driver renames and lists folders alone, whatever the number of files. Rows
 are dealt by name then, so equal names meet in a task; a target takes one write.
 spark.read.format("report_files").load(path) reads both: (name, text), a task for each folder.
+
+A small file takes a block of its disk at least, so where reports are small and
+as many as documents, packages take their place (option packages, for writing
+and reading, or write_in_packages): each task's files in one tar archive, packed
+with zstd, from which `tar --zstd -x` takes the same named files. Rows stay
+where they are then; names are compared by themselves before, in Spark.
 """
 
 from __future__ import annotations
@@ -28,6 +34,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 
+#: A package's name within its task's folder.
+PACKAGE = "reports.tar.zst"
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """An attempt's folder and the names in it."""
@@ -53,11 +63,13 @@ class ReportFiles(DataSource):
         return "name string, text string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ReportReader(self.options["path"])
+        return PackageReader(self.options["path"]) if self.options.get("packages", "false") == "true" else ReportReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if [f.name for f in schema.fields][:2] != ["name", "text"]:
             raise ValueError("rows of report files are (name, text)")
+        if self.options.get("packages", "false") == "true":
+            return PackageWriter(self.options["path"], overwrite)
         if self.options.get("folders", "false") == "true":
             return FolderWriter(self.options["path"], overwrite)
         return ReportWriter(self.options["path"], overwrite)
@@ -68,6 +80,23 @@ def write_in_folders(rows: DataFrame, path: str, parts: int) -> None:
     rows.repartition(parts, "name").write.format("report_files").option("folders", "true").mode("append").save(path)
 
 
+def write_in_packages(rows: DataFrame, path: str, names: DataFrame) -> None:
+    """rows (name, text) as files in packages, one for each partition, of a target that has none yet.
+
+    names has the names of rows, made without their texts: of two rows with one name in it nothing is written.
+    """
+    twice = names.groupBy("name").count().filter("count > 1").select("name").head(3)
+    if twice:
+        raise ValueError(f"files that have one name: {[r['name'] for r in twice]}")
+    rows.write.format("report_files").option("packages", "true").mode("append").save(path)
+
+
+def _checked(name: str | None) -> str:
+    if not name or "/" in name or name.startswith("."):
+        raise ValueError(f"no name for a file: {name!r}")
+    return name
+
+
 class ReportWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
@@ -78,9 +107,7 @@ class ReportWriter(DataSourceWriter):
         system.create_dir(folder, recursive=True)
         names: list[str] = []
         for row in rows:
-            if not row["name"] or "/" in row["name"] or row["name"].startswith("."):
-                raise ValueError(f"no name for a file: {row['name']!r}")
-            with system.open_output_stream(f"{folder}/{row['name']}") as out:
+            with system.open_output_stream(f"{folder}/{_checked(row['name'])}") as out:
                 out.write((row["text"] or "").encode())
             names.append(row["name"])
         return Written(folder, names)
@@ -137,6 +164,56 @@ class FolderWriter(ReportWriter):
             system.delete_dir(f"{root}/.{self.job}")
 
 
+class Frames:
+    """What is written goes to out as zstd frames of some megabytes each: half of the size that a stream at pyarrow's fixed level has."""
+
+    def __init__(self, out) -> None:
+        import pyarrow as pa
+
+        self.out, self.codec, self.held, self.size = out, pa.Codec("zstd", compression_level=9), [], 0
+
+    def write(self, data: bytes) -> int:
+        self.held.append(bytes(data))
+        self.size += len(data)
+        if self.size >= 4 << 20:
+            self.flush()
+        return len(data)
+
+    def flush(self) -> None:
+        if self.size:
+            self.out.write(self.codec.compress(b"".join(self.held)))
+        self.held, self.size = [], 0
+
+    def __enter__(self) -> Frames:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.flush()
+
+
+class PackageWriter(FolderWriter):
+    """A package for each task, in its folder."""
+
+    def write(self, rows: Iterator) -> Written:
+        import io
+        import tarfile
+
+        system, root = file_system(self.path)
+        folder = f"{root}/.{self.job}/{uuid.uuid4().hex}"  # an attempt's own
+        system.create_dir(folder, recursive=True)
+        names: set[str] = set()
+        with system.open_output_stream(f"{folder}/{PACKAGE}", compression=None) as out, Frames(out) as frames, tarfile.open(fileobj=frames, mode="w|", format=tarfile.PAX_FORMAT) as package:
+            for row in rows:
+                if row["name"] in names:
+                    raise ValueError(f"files that have one name: {row['name']!r}")
+                names.add(row["name"])
+                raw = (row["text"] or "").encode()
+                member = tarfile.TarInfo(_checked(row["name"]))
+                member.size = len(raw)
+                package.addfile(member, io.BytesIO(raw))
+        return Written(folder, [])
+
+
 class ReportReader(DataSourceReader):
     """A task for each folder, and one for the files in the target itself."""
 
@@ -151,20 +228,42 @@ class ReportReader(DataSourceReader):
         folders = [f.path for f in found if f.type == fs.FileType.Directory]
         return [InputPartition(f) for f in ([root] if len(folders) < len(found) else []) + folders] or [InputPartition(root)]
 
-    def read(self, partition: InputPartition) -> Iterator:
-        import pyarrow as pa
+    def files(self, folder: str) -> Iterator[tuple[str, bytes]]:
         from pyarrow import fs
 
         system, _ = file_system(self.path)
-        kind = pa.schema([("name", pa.string()), ("text", pa.string())])
-        names, texts = [], []
-        for f in system.get_file_info(fs.FileSelector(partition.value)):
+        for f in system.get_file_info(fs.FileSelector(folder)):
             if f.is_file and not f.base_name.startswith("."):
                 with system.open_input_stream(f.path) as file:
-                    texts.append(file.read().decode())
-                names.append(f.base_name)
+                    yield f.base_name, file.read()
+
+    def read(self, partition: InputPartition) -> Iterator:
+        import pyarrow as pa
+
+        kind = pa.schema([("name", pa.string()), ("text", pa.string())])
+        names, texts = [], []
+        for name, raw in self.files(partition.value):
+            names.append(name)
+            texts.append(raw.decode())
             if len(names) == 256:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], schema=kind)
                 names, texts = [], []
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], schema=kind)
+
+
+class PackageReader(ReportReader):
+    """A task for each package, which passes file by file."""
+
+    def files(self, folder: str) -> Iterator[tuple[str, bytes]]:
+        import tarfile
+
+        from pyarrow import fs
+
+        system, _ = file_system(self.path)
+        if system.get_file_info(f"{folder}/{PACKAGE}").type != fs.FileType.File:
+            return
+        with system.open_input_stream(f"{folder}/{PACKAGE}", compression="zstd") as raw, tarfile.open(fileobj=raw, mode="r|") as package:
+            for member in package:
+                yield member.name, package.extractfile(member).read()
+                package.members = []  # else all headers are kept

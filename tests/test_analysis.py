@@ -132,3 +132,28 @@ def test_many_files_lie_in_folders(spark, sink, tmp_path):
 def test_files_in_the_target_are_read(spark, sink, tmp_path):
     sink([("a.json", "{}"), ("b.json", "\u00e9")], tmp_path / "out")
     assert {tuple(r) for r in spark.read.format("report_files").load(str(tmp_path / "out")).collect()} == {("a.json", "{}"), ("b.json", "\u00e9")}
+
+
+def test_many_files_lie_in_packages(spark, sink, tmp_path):
+    """A package for each partition, smaller than its texts, from which any tar takes named files."""
+    rows = spark.range(500).select(F.concat("id", F.lit(".json")).alias("name"), F.when(F.col("id") != 7, F.concat(F.lit("\u00e9" * 300), F.col("id").cast("string"))).alias("text")).repartition(3)
+    report_files.write_in_packages(rows, str(tmp_path / "out"), rows.select("name"))
+    found = spark.read.format("report_files").option("packages", "true").load(str(tmp_path / "out"))
+    assert {tuple(r) for r in found.collect()} == {(r["name"], r["text"] or "") for r in rows.collect()} and found.rdd.getNumPartitions() == 3
+    packed = [f for _, _, names in os.walk(tmp_path / "out") for f in names if not f.startswith(".")]
+    assert packed == [report_files.PACKAGE] * 3 and sum(p.stat().st_size for p in (tmp_path / "out").rglob("*.zst")) < 50_000
+    with pytest.raises(Exception, match="there already"):
+        report_files.write_in_packages(rows, str(tmp_path / "out"), rows.select("name"))
+    for twice in (rows.unionByName(rows), rows.withColumn("name", F.lit("a/b"))):
+        with pytest.raises(Exception, match="name"):
+            report_files.write_in_packages(twice, str(tmp_path / "two"), twice.select("name"))
+    assert not (tmp_path / "two").exists()
+    with pytest.raises(Exception, match="no name"):
+        report_files.write_in_packages(rows.withColumn("name", F.concat(F.lit("/"), "name")), str(tmp_path / "two"), rows.select("name"))
+    assert [n for n in os.listdir(tmp_path / "two") if not n.startswith(".")] == []
+    large = spark.range(4).select(F.concat("id", F.lit(".json")).alias("name"), F.repeat(F.col("id").cast("string"), 3_000_000).alias("text")).coalesce(1)  # several frames
+    report_files.write_in_packages(large, str(tmp_path / "large"), large.select("name"))
+    assert {tuple(r) for r in spark.read.format("report_files").option("packages", "true").load(str(tmp_path / "large")).collect()} == {tuple(r) for r in large.collect()}
+    none = rows.limit(0)
+    report_files.write_in_packages(none, str(tmp_path / "none"), none.select("name"))
+    assert spark.read.format("report_files").option("packages", "true").load(str(tmp_path / "none")).count() == 0
