@@ -43,3 +43,10 @@ def test_reports_deal_each_table_once_and_write_nothing(spark, monkeypatch):
     found = registry.queries()["p6_report_suggestions"](spark, SMALL)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert calls == [] and plan.count("Exchange hashpartitioning") == plan.count("FileScan parquet") == 2
+
+
+def test_a_scan_writes_its_plan_alone(spark, monkeypatch):
+    calls = counted(monkeypatch, shared, "written")
+    found = registry.scanned(spark, SMALL)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [name for _, name, *_ in calls] == ["plan"] and plan.count("FileScan parquet [o_orderkey") == plan.count("ArrowEvalPython") == 1
